@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, block_words=BLO
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.coalesce(F.col("most"), F.lit(0)))
     return (
-        pieces.join(drawn, ["source_key", "block"], "left")
+        pieces.join(drawn.hint("merge"), ["source_key", "block"], "left")  # slots unfold after their size is estimated
         .withColumn("words", F.greatest(F.lit(0).cast("long"), end - begin))
         .select("doc_id", "source", "size", "same", "source_size", "target", (begin - F.col("start")).alias("first_word"), F.coalesce("words", F.lit(0)).alias("words"), "pass_no", "shard", "position")
     )
