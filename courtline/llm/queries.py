@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing, mpegts, token_counts
 from .common import table
 
 
@@ -10,5 +10,21 @@ def op1_mixing(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op6_mpegts(spark, sf_dir):
+    return mpegts.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_token_counts": op4_token_counts, "op6_mpegts": op6_mpegts, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {}
