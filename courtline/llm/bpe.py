@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_tasks
+
 #: Chunks that a worker keeps, twice: those used since the last turn, and those used in the turn before.
 KEPT_CHUNKS = 400_000
 SPACE_BESIDE_SPACE = re.compile(r"\s | \s")
@@ -148,7 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             found = coder.encode([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return in_tasks(docs, run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -160,7 +162,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
             found = [None if x is None else decode_ids(x, table) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, into])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.BinaryType())]))
+    return in_tasks(rows, run, T.StructType([*rows.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
 def token_offsets(text: str, path: str, pattern: str) -> list[tuple[int, int]]:
@@ -184,4 +186,4 @@ def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

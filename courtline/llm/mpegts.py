@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import in_slices
+from .common import in_tasks
 
 # Fixed values of ISO/IEC 13818-1
 PACKET = 188
@@ -198,7 +199,7 @@ def with_media(docs: DataFrame) -> DataFrame:
             read = [demultiplex(m) for m in media]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary()), pa.array([r["pts"] for r in read], pa.list_(pa.int64())), pa.array([r["access"] for r in read], pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "media", "pts", "access"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, pts array<long>, access array<int>")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary, pts array<long>, access array<int>")
 
 
 def feature(read: dict) -> str:
@@ -224,4 +225,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

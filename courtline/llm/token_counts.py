@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import Memory, byte_characters, chunks_of, in_slices
+from .common import in_tasks
 
 #: Bounds of a worker's memories; see bpe.Memory.
 KEPT_CHUNKS = 350_000
@@ -168,7 +169,7 @@ def with_prefix_counts(docs: DataFrame, path: str, pattern: str, text: str = "te
             found = list(counter.of_texts([t or "" for t in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, counts])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(counts, T.ArrayType(T.IntegerType()))]))
+    return in_tasks(docs, run, T.StructType([*docs.schema.fields, T.StructField(counts, T.ArrayType(T.IntegerType()))]))
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -> DataFrame:
@@ -188,5 +189,5 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -
             sizes = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(fits, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
 
