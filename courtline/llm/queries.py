@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, mpegts, token_counts
+from pyspark.sql import functions as F
+
+from . import bpe, mixing, mpegts, token_counts, topk, warc
 from .common import table
 
 
@@ -10,6 +12,14 @@ def op1_mixing(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -26,5 +36,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_token_counts": op4_token_counts, "op6_mpegts": op6_mpegts, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op6_mpegts": op6_mpegts, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {}
