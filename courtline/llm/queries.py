@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mpegts, substring, token_counts, topk, warc
+from . import bagminhash, bpe, mixing, mpegts, substring, token_counts, topk, warc
 from .common import table
 
 
@@ -34,11 +34,15 @@ def op8_substring(spark, sf_dir):
     return substring.removed_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_bagminhash(spark, sf_dir):
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op6_mpegts": op6_mpegts, "op8_substring": op8_substring, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op6_mpegts": op6_mpegts, "op8_substring": op8_substring, "op9_bagminhash": op9_bagminhash, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {}
