@@ -18,7 +18,7 @@ Null and empty texts have 0 tokens. Texts are never cut. Other columns may have
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -52,60 +52,61 @@ class PrefixCounts:
         back = {c: b for b, c in enumerate(byte_characters())}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.specials = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.tokens = {bytes(back[c] for c in t) for t in self.tokenizer.get_vocab(with_added_tokens=False) if t not in special}
-        self.longest = max(map(len, self.tokens))
         self.spell = byte_characters()
+        self.names = [t for t in self.tokenizer.get_vocab(with_added_tokens=False) if t not in special]
+        self.numbers = {bytes(back[c] for c in t): n for n, t in enumerate(self.names, 1)}  # 0: nothing stands before
+        self.longest = max(map(len, self.numbers))
         self.matches, self.space = regex.compile(pattern), regex.compile(r"\s+").fullmatch
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
         self.first, self.after = Memory(KEPT_CHUNKS // 8), Memory(KEPT_CHUNKS)
 
-    def stays_apart(self, left: bytes, right: bytes) -> bool:
-        """Whether the library encodes left + right as these two tokens (right alone if left is empty)."""
-        key = (left, right)
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) > KEPT_PAIRS:
-                self.apart.clear()
-            spelled = "".join(self.spell[b] for b in left + right)
-            tokens = [t.value for t in self.tokenizer.model.tokenize(spelled)]
-            found = self.apart[key] = tokens == ["".join(self.spell[b] for b in x) for x in key if x]
+    def stays_apart(self, left: int, right: int) -> bool:
+        """Whether the library encodes the two tokens together as these two (the right one alone if left is 0)."""
+        if len(self.apart) > KEPT_PAIRS:
+            self.apart.clear()
+        pair = [self.names[x - 1] for x in (left, right) if x]
+        found = self.apart[left << 32 | right] = [t.value for t in self.tokenizer.model.tokenize("".join(pair))] == pair
         return found
 
-    def of_match(self, match: str) -> list[int]:
-        """Tokens of every prefix of one match, by characters."""
-        if (found := self.known.get(match)) is None:
-            if len(self.known) > KEPT_MATCHES:
-                self.known.clear()
-            found = self.of_bytes(match.encode())[1:]
-            if len(found) != len(match):
-                ends = accumulate(len(c.encode()) for c in match)
-                found = [found[e - 1] for e in ends]
+    def learn_matches(self, matches: Iterable[str]) -> None:
+        """Tokens of every prefix of each match, by characters. What a match shares with the one before it in order is not done again."""
+        numbers, apart, longest, before = self.numbers.get, self.apart.get, self.longest, b""
+        last, counts = [0], [0]
+        for data, match in sorted((m.encode(), m) for m in matches):
+            same = 0
+            for x, y in zip(before, data, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], counts[same + 1 :]
+            for i in range(same + 1, len(data) + 1):
+                for j in range(i - longest if i > longest else 0, i):
+                    if (token := numbers(data[j:i])) is not None:
+                        found = apart(last[j] << 32 | token)
+                        if found or (found is None and self.stays_apart(last[j], token)):
+                            last.append(token)
+                            counts.append(counts[j] + 1)
+                            break
+                else:
+                    raise ValueError("no token ends here; the vocabulary lacks a byte")
+            own = counts[1:]
+            if len(own) != len(match):
+                own = [own[e - 1] for e in accumulate(len(c.encode()) for c in match)]
             if match in CONTRACTIONS:
-                found[1] = 2
-            self.known[match] = found
-        return found
+                own[1] = 2
+            self.known[match] = own
+            before = data
 
-    def of_bytes(self, data: bytes) -> list[int]:
-        """Tokens of every prefix by bytes, the empty one first."""
-        last, counts, tokens, apart = [b""], [0], self.tokens, self.apart
-        for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                if (token := data[j:i]) in tokens:
-                    left = last[j]
-                    found = apart.get((left, token))
-                    if found or (found is None and self.stays_apart(left, token)):
-                        last.append(token)
-                        counts.append(counts[j] + 1)
-                        break
-            else:
-                raise ValueError("no token ends here; the vocabulary lacks a byte")
-        return counts
+    def of_match(self, match: str) -> list[int]:
+        if match not in self.known:
+            self.learn_matches([match])
+        return self.known[match]
 
-    def of_plain(self, text: str) -> list[int]:
+    def of_plain(self, text: str, matches: list[str] | None = None) -> list[int]:
         """Tokens of every prefix of a text without special strings, by characters."""
         counts, total, earlier, before = [], 0, "", 0
-        for match in self.matches.findall(text):
+        for match in self.matches.findall(text) if matches is None else matches:
             own = self.of_match(match)
             at = len(counts)
             counts += [n + total for n in own] if total else own
@@ -116,8 +117,12 @@ class PrefixCounts:
         return counts
 
     def learn(self, kept: Memory, wanted: set[str], before: str) -> None:
-        for x in kept.missing(wanted):
-            counts = self.of_plain(before + x)
+        if len(self.known) > KEPT_MATCHES:
+            self.known.clear()
+        found = [(x, self.matches.findall(before + x)) for x in kept.missing(wanted)]
+        self.learn_matches({m for _, matches in found for m in matches}.difference(self.known))
+        for x, matches in found:
+            counts = self.known[matches[0]] if len(matches) == 1 else self.of_plain("", matches)
             kept[x] = bytes(counts) if counts and max(counts) < 256 else b""
 
     def of_text(self, text: str) -> np.ndarray:
