@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, mixing, mpegts, substring, token_counts, topk, warc
+from . import bagminhash, bpe, mixing, mpegts, quality, substring, token_counts, topk, toxicity, warc
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mpegts(spark, sf_dir):
     return mpegts.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring(spark, sf_dir):
     return substring.removed_digests(table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op6_mpegts": op6_mpegts, "op8_substring": op8_substring, "op9_bagminhash": op9_bagminhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_mpegts": op6_mpegts, "op7_toxicity": op7_toxicity, "op8_substring": op8_substring, "op9_bagminhash": op9_bagminhash, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {}
