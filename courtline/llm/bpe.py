@@ -22,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_tasks
@@ -187,3 +188,9 @@ def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the bytes that the ids decode to)."""
+    both = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
