@@ -141,7 +141,7 @@ class Filter:
 
 
 def batches_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in in_slices(batches, "text", 2_000_000):
+    for batch in in_slices(batches, "text", 1_500_000):
         yield batch, [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
@@ -185,14 +185,15 @@ def filter_of(blocks: DataFrame, n_blocks: int, most_bits: int) -> Filter:
     return Filter(once, twice, slice_bits)
 
 
-CANDIDATES = "group_no int, docs binary, counts binary, hashes binary, checks binary, positions binary, repeats binary"
-REMOVED = "doc_id long, text_key long, positions binary"
+CANDIDATES = "group_no int, batch long, docs binary, counts binary, hashes binary, checks binary, positions binary, repeats binary"
+CONFIRMED = "batch long, docs binary, counts binary, positions binary"
+REMOVED = "doc_id long, text_key long, stretches binary"
 
 
 def candidates(docs: DataFrame, found, groups: int, window: int) -> DataFrame:
     """Windows that may stand in several documents, in rows by group.
 
-    docs: doc_id and text_key of the documents of a row; counts: how many of its windows, then of
+    batch: names the batch of documents that a row comes from; docs: their doc_id and text_key; counts: how many of its windows, then of
     its repeats, each has; hashes, checks and positions of the windows; positions of the repeats,
     which are windows that another document of the same batch with a smaller doc_id has.
     """
@@ -225,48 +226,77 @@ def candidates(docs: DataFrame, found, groups: int, window: int) -> DataFrame:
             group = (h % U(groups)).astype(np.int64)
             by = np.lexsort((whole, repeat, doc, group))
             group, doc, repeat, h, check, position = group[by], doc[by], repeat[by], h[by], check[by], words.position[whole][by].astype(np.uint32)
+            batch_no = int.from_bytes(hashlib.blake2b(ids.tobytes() + keys.tobytes(), digest_size=8).digest(), "little", signed=True)
             rows = []
             for lo, hi in zip(cuts := np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]), [*cuts[1:], len(group)], strict=True):
                 own, r = doc[lo:hi], repeat[lo:hi]
                 used = np.unique(own)
                 local = np.searchsorted(used, own)
                 counts = np.stack([np.bincount(local[~r], minlength=len(used)), np.bincount(local[r], minlength=len(used))]).astype(np.int32)
-                rows.append((int(group[lo]), np.stack([ids[used], keys[used]]).tobytes(), counts.tobytes(), h[lo:hi][~r].tobytes(), check[lo:hi][~r].tobytes(), position[lo:hi][~r].tobytes(), position[lo:hi][r].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in CANDIDATES.split(", ")])
+                rows.append((int(group[lo]), batch_no, np.stack([ids[used], keys[used]]).tobytes(), counts.tobytes(), h[lo:hi][~r].tobytes(), check[lo:hi][~r].tobytes(), position[lo:hi][~r].tobytes(), position[lo:hi][r].tobytes()))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CANDIDATES.split(", ")])
 
     return in_tasks(docs.select("doc_id", "text_key", "text"), run, CANDIDATES)
 
 
-def confirmed(rows: DataFrame, window: int) -> DataFrame:
-    """The windows that a document with a smaller doc_id has too: doc_id, text_key, positions; several rows per document."""
+def confirmed(rows: DataFrame) -> DataFrame:
+    """Of each row of candidates, the windows that a document with a smaller doc_id has too: batch, docs, counts, positions."""
 
     def run(table: pa.Table) -> pa.Table:
         def column(name: str, kind) -> list[np.ndarray]:
             return [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
 
-        docs = [x.reshape(2, -1) for x in column("docs", np.int64)]
-        counts = [x.reshape(2, -1) for x in column("counts", np.int32)]
-        ids, keys = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs])
-        doc = np.repeat(np.arange(len(ids)), np.concatenate([c[0] for c in counts]))
+        docs, counts = [x.reshape(2, -1) for x in column("docs", np.int64)], [x.reshape(2, -1) for x in column("counts", np.int32)]
+        ids, asked, repeats = np.concatenate([d[0] for d in docs]), np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
+        doc = np.repeat(np.arange(len(ids)), asked)
         h, check, position = (np.concatenate(column(c, k)) for c, k in (("hashes", U), ("checks", np.uint32), ("positions", np.uint32)))
         order = np.lexsort((ids[doc], check, h))
         sh, sc, sid = h[order], check[order], ids[doc][order]
         first = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])])[: len(order)]
         later = order[sid > sid[np.flatnonzero(first)][np.cumsum(first) - 1]] if len(order) else order
-        doc = np.concatenate([doc[later], np.repeat(np.arange(len(ids)), np.concatenate([c[1] for c in counts]))])
-        position = np.concatenate([position[later], np.concatenate(column("repeats", np.uint32))]).astype(np.int64)
-        by = np.lexsort((position, keys[doc], ids[doc]))
-        doc, position = doc[by], position[by]
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(ids[doc]) != 0) | (np.diff(keys[doc]) != 0)) + 1]) if len(doc) else np.zeros(0, dtype=np.int64)
-        out = [position[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True)] if len(doc) else []
-        return pa.table([pa.array(ids[doc][cuts]), pa.array(keys[doc][cuts]), pa.array(out, pa.binary())], names=["doc_id", "text_key", "positions"])
+        doc = np.concatenate([doc[later], np.repeat(np.arange(len(ids)), repeats)])
+        position = np.concatenate([position[later], np.concatenate(column("repeats", np.uint32))])
+        by = np.argsort(doc, kind="stable")
+        position, found = position[by], np.bincount(doc, minlength=len(ids)).astype(np.int32)
+        out, at, start = [], 0, 0
+        for batch, own in zip(table.column("batch").to_pylist(), docs, strict=True):
+            n = found[at : at + own.shape[1]]
+            if size := int(n.sum()):
+                out.append((batch, own[:, n > 0].tobytes(), n[n > 0].tobytes(), position[start : start + size].tobytes()))
+            at, start = at + own.shape[1], start + size
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["batch", "docs", "counts", "positions"])
 
     ship(rows.sparkSession)
-    return rows.groupBy("group_no").applyInArrow(run, REMOVED)
+    return rows.groupBy("group_no").applyInArrow(run, CONFIRMED)
+
+
+def stretches_of(positions: np.ndarray, window: int) -> np.ndarray:
+    """First word and end of the stretches that windows at sorted positions cover, in turn."""
+    new = np.flatnonzero(np.diff(positions) > window) + 1
+    return np.stack([positions[np.concatenate([[0], new])], positions[np.concatenate([new - 1, [len(positions) - 1]])] + window], axis=1).astype(np.int32).ravel()
+
+
+def per_document(rows: DataFrame, window: int) -> DataFrame:
+    """Confirmed windows as stretches of words, one row per document of each batch: doc_id, text_key, stretches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in table.column("docs").to_pylist()], axis=1)
+        counts = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in table.column("counts").to_pylist()])
+        positions = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("positions").to_pylist()]).astype(np.int64)
+        each = np.repeat(np.arange(len(counts)), counts)
+        by = np.lexsort((positions, docs[1][each], docs[0][each]))
+        ids, keys, positions = docs[0][each][by], docs[1][each][by], positions[by]
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(keys) != 0)) + 1])
+        out = [stretches_of(positions[lo:hi], window).tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+        return pa.table([pa.array(ids[cuts]), pa.array(keys[cuts]), pa.array(out, pa.binary())], names=["doc_id", "text_key", "stretches"])
+
+    return rows.groupBy("batch").applyInArrow(run, REMOVED)
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW, most_filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
-    """docs with a column _found: positions of the windows to remove, in no order, as arrays of 32-bit integers; null if none."""
+    """docs with a column _found: first words and ends of the stretches to remove, as 32-bit integers in turn; null if none."""
     spark = docs.sparkSession
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     read = docs.select("doc_id", "text", key.alias("text_key"))
@@ -274,21 +304,18 @@ def with_repeats(docs: DataFrame, window: int = WINDOW, most_filter_bits: int =
     n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = spark.sparkContext.broadcast(filter_of(blocks, n_blocks, most_filter_bits))
     groups = max(16, -(-n_blocks * (window // 2) // GROUP_WINDOWS))
-    removed = confirmed(candidates(read, found, groups, window), window)
-    per_doc = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list("positions").alias("_found"))
+    removed = per_document(confirmed(candidates(read, found, groups, window)), window)
+    per_doc = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.first("stretches").alias("_found"))  # equal rows have equal stretches
     return docs.join(per_doc, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("_doc")) & (key == F.col("_key")), "left").drop("_doc", "_key")
 
 
-def kept_words(text: bytes, found: list[bytes] | None, window: int) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, found: bytes | None) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     words = text.split()
     if not found:
         return words, len(words)
-    starts = np.unique(np.concatenate([np.frombuffer(x, dtype=np.int32) for x in found]))
-    cover = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(cover, starts, 1)
-    np.subtract.at(cover, starts + window, 1)
-    return [words[i] for i in np.flatnonzero(np.cumsum(cover)[:-1] == 0)], len(words)
+    edges = [0, *np.frombuffer(found, dtype=np.int32).tolist(), len(words)]
+    return [w for lo, hi in zip(edges[::2], edges[1::2], strict=True) for w in words[lo:hi]], len(words)
 
 
 def removed_digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -296,7 +323,7 @@ def removed_digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words(t or b"", f, window) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True)]
+            rows = [kept_words(t or b"", f) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for _, n in rows], pa.int64()), pa.array([n - len(w) for w, n in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows])],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -312,7 +339,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not f else b" ".join(kept_words(t, f, window)[0]) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True)]
+            texts = [t if t is None or not f else b" ".join(kept_words(t, f)[0]) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True)]
             own = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in columns], names=columns)
 
