@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .sequence import alternating
 
 
@@ -53,6 +56,28 @@ def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent:
     return players.join(mu, keys).select(*keys, "player", (F.col("mu") + F.col("p")).alias("value_adj")), opp.select(*keys, "opponent", F.col("o").alias("effect"))
 
 
+def opponent_effects_grouped(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40) -> DataFrame:
+    """Adjusted values as by opponent_effects, each group's rounds in one task over its sums by pair; for groups whose pairs fit a task."""
+    pairs = rows.where(F.col(w) > 0).groupBy(*by, F.col(player).alias("player"), F.col(opponent).alias("opponent")).agg(F.sum(w).alias("w"), F.sum(F.col(w) * F.col(y)).alias("wy"))
+    ship(rows.sparkSession)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, players = pd.factorize(pdf.player)
+        j, opponents = pd.factorize(pdf.opponent)
+        weight = pdf.w.to_numpy(float)
+        mu = pdf.wy.sum() / weight.sum()
+        r = pdf.wy.to_numpy(float) - weight * mu
+        pw, ow = np.bincount(i, weights=weight), np.bincount(j, weights=weight)
+        ridge, o = ridge_k * ow.mean(), np.zeros(len(opponents))
+        for _ in range(rounds):
+            p = np.bincount(i, weights=r + weight * o[j]) / pw
+            o = np.bincount(j, weights=weight * p[i] - r) / (ow + ridge)
+        return pd.DataFrame({**{c: [v] * len(players) for c, v in zip(by, key, strict=True)}, "player": players, "value_adj": mu + p})
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in [*by, "player"])
+    return pairs.groupBy(*by).applyInPandas(run, f"{kinds}, value_adj double")
+
+
 def percentile_against(targets: DataFrame, reference: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """pct: 100 times the share of the group's reference values strictly below value; null for null values and groups without references.
 
