@@ -49,8 +49,8 @@ def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent:
     players = None
     for i in range(rounds):
         players = pairs.join(opp, [*keys, "opponent"]).groupBy(*keys, "player").agg((F.sum(F.col("wr") + F.col("w") * F.col("o")) / F.sum("w")).alias("p"))
-        sums = pairs.join(players, [*keys, "player"]).groupBy(*keys, "opponent").agg(F.sum(F.col("w") * F.col("p") - F.col("wr")).alias("s"))
-        opp = sums.join(weight, [*keys, "opponent"]).select(*keys, "opponent", (F.col("s") / (F.col("ow") + F.col("ridge"))).alias("o"))
+        sums = pairs.join(players, [*keys, "player"]).groupBy(*keys, "opponent").agg(F.sum(F.col("w") * F.col("p") - F.col("wr")).alias("_s"))
+        opp = sums.join(weight, [*keys, "opponent"]).select(*keys, "opponent", (F.col("_s") / (F.col("ow") + F.col("ridge"))).alias("o"))
         if i % checkpoint_every == checkpoint_every - 1 and i < rounds - 1:
             opp = opp.checkpoint()
     return players.join(mu, keys).select(*keys, "player", (F.col("mu") + F.col("p")).alias("value_adj")), opp.select(*keys, "opponent", F.col("o").alias("effect"))
