@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
+"""The queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash, bpe, mixing, mpegts, quality, substring, token_counts, topk, toxicity, warc
 from .common import table
+from .sql import SQL
 
 
 def op1_mixing(spark, sf_dir):
@@ -53,4 +54,5 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_mpegts": op6_mpegts, "op7_toxicity": op7_toxicity, "op8_substring": op8_substring, "op9_bagminhash": op9_bagminhash, "op10_bpe": op10_bpe}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
