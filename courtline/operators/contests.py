@@ -73,3 +73,22 @@ def numbered_labels(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     w = Window.partitionBy(*keys, "label")
     n, of = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
     return rows.withColumn("_n", n).withColumn("_of", of).withColumn("label", F.when(F.col("_of") > 1, F.concat("label", F.lit(" (game "), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col("label"))).drop("_n", "_of")
+
+
+def match_names(rows: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """The longest known name that an opponent's text begins with, and what else the text tells: matched, away, label, rest.
+
+    A leading @ marks an away match and #n a ranking label. Different texts are matched once, by an
+    equi-join on their first word; names are as many as teams.
+    """
+    text = F.trim(F.col(column))
+    bare = F.trim(F.regexp_replace(text, r"^@?\s*(#\d+\s+)?", ""))
+    asked = rows.select(F.col(column).alias("_asked"), bare.alias("_bare")).where("_asked is not null").distinct()
+    known = names.select(F.col(name).alias("_name")).where("trim(_name) <> ''").distinct()
+    word = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    found = asked.join(known, word(F.col("_bare")) == word(F.col("_name"))).where((F.col("_bare") == F.col("_name")) | F.col("_bare").startswith(F.concat("_name", F.lit(" "))))
+    best = found.groupBy("_asked").agg(F.max_by("_name", F.length("_name")).alias("matched"))
+    out = rows.join(best, F.col(column) == F.col("_asked"), "left").drop("_asked")
+    label = F.regexp_extract(text, r"^@?\s*#(\d+)\s", 1).try_cast("int")
+    rest = F.trim(F.substr(bare, F.length("matched") + 1))
+    return out.withColumns({"away": text.startswith("@"), "label": label, "rest": F.when(F.col("matched").isNotNull(), F.nullif(rest, F.lit("")))})

@@ -101,6 +101,14 @@ def test_unique_join(spark):
     assert [tuple(r) for r in contests.unique_join(a, b, ["k"]).collect()] == [(1, "x", "p")]
 
 
+def test_match_names(spark):
+    names = spark.createDataFrame([("Penn",), ("Penn State",), ("Ohio",)], "team string")
+    df = spark.createDataFrame([("@ Penn State Reno, NV",), ("#4 Ohio",), ("Pennsylvania",), (None,), ("Penn",)], "opponent string")
+    got = {r["opponent"]: (r["matched"], r["away"], r["label"], r["rest"]) for r in contests.match_names(df, "opponent", names, "team").collect()}
+    assert got["@ Penn State Reno, NV"] == ("Penn State", True, None, "Reno, NV") and got["#4 Ohio"] == ("Ohio", False, 4, None)
+    assert got["Pennsylvania"][0] is None and got["Penn"][0] == "Penn" and got[None][0] is None
+
+
 def test_null_grades(spark):
     specs = (Benchmark("a", 1.0), Benchmark("b", 1.0, higher=False))
     got = rates.with_benchmarks(spark.createDataFrame([(None, None), (2.0, None), (0.0, 0.5)], "a double, b double"), specs).collect()
