@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, with_checkpoints
 from .sequence import alternating
 
 
@@ -38,6 +38,7 @@ def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent:
     All groups at once, over sums by pair. Each round is two groupings; lineage is cut with
     checkpoint() every few rounds. Gives players (adjusted value) and opponents (effect).
     """
+    with_checkpoints(rows.sparkSession)
     keys = list(by)
     pairs = rows.where(F.col(w) > 0).groupBy(*keys, F.col(player).alias("player"), F.col(opponent).alias("opponent")).agg(F.sum(w).alias("w"), F.sum(F.col(w) * F.col(y)).alias("wy"))
     mu = pairs.groupBy(*keys).agg((F.sum("wy") / F.sum("w")).alias("mu"))

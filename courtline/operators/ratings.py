@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, with_checkpoints
 from ..specs import EloConfig
 from .metrics import ranked, z_scores
 
@@ -64,6 +64,7 @@ def additive_ratings_wide(pairs: DataFrame, ridge: float = 1.0, rounds: int = 40
     Every product with the normal matrix is two joins and two groupings over the pair sums; the
     driver holds a few numbers. Vectors are written with checkpoint() every round.
     """
+    with_checkpoints(pairs.sparkSession)
     pairs = pairs.select("team", "opponent", "n", "s").persist()
     total = pairs.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mu0 = total["s"] / total["n"]

@@ -30,3 +30,10 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session with a checkpoint folder: that of spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="courtline-"))
+    return spark
