@@ -8,11 +8,12 @@ smaller counts over that of the larger ones. Points come in rising order, and a
 its point exceeds all values of the document's signature.
 
 Signatures are cut into bands. Documents that share a band are compared: each with the band's first
-one, and, while a band holds several classes, those outside its largest class with all of another
-class, a bounded number for each band and round, until none is left. A pair is a link if its
-multisets overlap to `threshold` or more, checked on the shingles themselves; classes are the
-connected components of links. So a band of n similar texts takes about n comparisons, not n^2,
-and no link that would join two classes is missed. Equal texts are one node from the start.
+one, and then, in bands that still hold several classes, those outside its largest class with all
+of another class, in blocks. A pair is a link if its multisets overlap to `threshold` or more,
+checked on the shingles themselves; classes are the connected components of links. So a band of n
+similar texts takes about n comparisons, and no link that would join two classes is missed; what
+grows faster is only the comparison of a band's stragglers with its members, inside tasks. Equal
+texts are one node from the start.
 
 Nothing is collected or broadcast by this code; steps are written to the shared folder.
 
@@ -24,20 +25,22 @@ results. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import in_tasks, saved
 from .substring import Words, batches_of_texts, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Members outside a band's largest class that are compared in the first round; twice as many in each further one.
-ASKED_FIRST = 16
+#: Texts of a block: of those outside their band's largest class, and of all that they are compared with.
+OTHERS, MEMBERS = 256, 512
 
 U = np.uint64
 STEP, PLACE = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F)
@@ -183,37 +186,83 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def extended(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels after further links: the links' classes are joined, other classes stay."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    edges = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    step = components(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    every = labels.unionByName(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    return saved(every.join(step, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def further_links(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of a band that are in different classes.
+
+    In every band of several classes, those outside its largest class are compared with all of other
+    classes. They meet in blocks: at most OTHERS of the ones and MEMBERS of the others a block, so no
+    task holds a band. Pairs stay in the task; what leaves it are links that join two classes, fewer
+    than the classes that it sees.
+    """
+    known = labelled(members, labels)
+    classes = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", "label"))
+    mixed_bands = classes.groupBy("band").agg(top["label"].alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), (F.sum("n") - top["n"]).alias("others")).where("classes > 1 and n > 2")
+    parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    rows = saved(known.join(mixed_bands.select("band", "largest", parts("others", OTHERS).alias("ys"), parts("n", MEMBERS).alias("xs")), "band"), "open")
+    deals = max(256, rows.count() // 1000)
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 20)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ys = rows.where("label <> largest").select("band", "node", "label", F.lit(True).alias("other"), (place % F.col("ys")).alias("y_part"), every("xs").alias("x_part"))
+    xs = rows.select("band", "node", "label", F.lit(False).alias("other"), every("ys").alias("y_part"), (place % F.col("xs")).alias("x_part"))
+    dealt = ys.unionByName(xs).join(sets, "node").withColumn("deal", F.when((F.col("y_part") == 0) & (F.col("x_part") == 0), F.pmod("band", F.lit(deals))).otherwise(F.xxhash64("band", "y_part", "x_part")))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["band"], r["y_part"], r["x_part"]))
+        joined: dict[bytes, bytes] = {}
+        found = [x for _, block in groupby(rows, key=lambda r: (r["band"], r["y_part"], r["x_part"])) for x in block_links(list(block), threshold, joined)]
+        return pa.table([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    ship(members.sparkSession)
+    return dealt.groupBy("deal").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def block_links(rows: list[dict], threshold: float, joined: dict[bytes, bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Links of the others of a block with its members that join two classes; joined: the classes that this task has joined so far."""
+
+    def top(label: bytes) -> bytes:
+        while (up := joined.get(label, label)) != label:
+            label = up
+        return label
+
+    xs = [r for r in rows if not r["other"]]
+    sets = [unpacked(r["hashes"], r["counts"]) for r in xs]
+    hashes, counts, owner = np.concatenate([h for h, _ in sets]), np.concatenate([n for _, n in sets]), np.repeat(np.arange(len(xs)), [len(h) for h, _ in sets])
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts, owner = hashes[order], counts[order], owner[order]
+    sizes = np.array([n.sum() for _, n in sets])
+    for r in rows:
+        if r["other"]:
+            h, n = unpacked(r["hashes"], r["counts"])
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+            common = np.bincount(owner[at], weights=np.minimum(counts[at], np.repeat(n, hi - lo)), minlength=len(xs))
+            linked = np.flatnonzero(common >= threshold * (sizes + n.sum() - common))
+            for i in linked:
+                if (a := top(r["label"])) != (b := top(xs[i]["label"])):
+                    joined[max(a, b)] = min(a, b)
+                    yield r["node"], xs[i]["node"]
+
+
 def class_labels(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node and label of the texts that have a link."""
     every = saved(bands(docs), "bands")
     firsts = every.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
     members = saved(every.join(firsts, "band"), "members")
-    pairs = saved(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     members = members.select("band", "node")
     sets = saved(multisets(docs, members.select("node").distinct()), "multisets")
-    found = saved(links(pairs, sets, threshold), "links")
-    labels, asked, most = components(found), None, ASKED_FIRST
-    while True:
-        known = labelled(members, labels)
-        classes = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        large = classes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).where("classes > 1 and n > 2")
-        # Two classes of one member each that met as first and other are settled; the rest of their band is not.
-        others = known.join(large.select("band", "largest"), "band").where("label <> largest")
-        if asked is not None:
-            others = others.join(asked, ["band", "node"], "left_anti")
-        turn = saved(others.withColumn("turn", F.row_number().over(Window.partitionBy("band").orderBy("node"))).where(F.col("turn") <= most).select("band", "node", "label"), "asked")
-        if turn.isEmpty():
-            return labels
-        asked = saved(turn.select("band", "node").unionByName(asked) if asked is not None else turn.select("band", "node"), "asked")
-        more = turn.select("band", F.col("node").alias("x"), F.col("label").alias("x_label")).join(known, "band").where("label <> x_label")
-        more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = saved(more, "pairs")
-        pairs = saved(pairs.unionByName(more), "pairs")
-        new = saved(links(more, sets, threshold), "links")
-        if not new.isEmpty():
-            found = saved(found.unionByName(new), "links")
-            labels = components(found)
-        most *= 2
+    labels = components(links(pairs, sets, threshold))
+    return extended(labels, saved(further_links(members, labels, sets, threshold), "links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
