@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import in_tasks
 
 #: Chunks that a worker keeps, twice: those used since the last turn, and those used in the turn before.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 80_000
 SPACE_BESIDE_SPACE = re.compile(r"\s | \s")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -124,6 +124,12 @@ def chunks(path: str, pattern: str) -> Chunks:
     return Chunks(path, pattern)
 
 
+def forget() -> None:
+    """Frees tokenizers and what is remembered; a worker may do other work next."""
+    for kept in (chunks, tokenizer_of_ranks):
+        kept.cache_clear()
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], texts: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about most_bytes of text, at least one row each."""
     for batch in batches:
@@ -171,26 +177,21 @@ def token_offsets(text: str, path: str, pattern: str) -> list[tuple[int, int]]:
     return tokenizer_of_ranks(path, pattern).encode(text, add_special_tokens=False).offsets
 
 
-def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
-
-    Ids and decoded bytes stay in the task; only their digests leave it.
-    """
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the bytes that the ids decode to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, table = chunks(path, pattern), byte_table(path)
         for batch in in_slices(batches, "text"):
             found = coder.encode([t or "" for t in batch.column("text").to_pylist()])
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(map(sha, found), pa.string()), pa.array([sha(decode_ids(x, table)) for x in found], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            decoded = [hashlib.sha256(decode_ids(x, table)).hexdigest() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        del coder
+        forget()
 
-    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the bytes that the ids decode to)."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encoded(docs, path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")

@@ -141,7 +141,7 @@ class Filter:
 
 
 def batches_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in in_slices(batches, "text", 1_500_000):
+    for batch in in_slices(batches, "text", 1_000_000):
         yield batch, [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
