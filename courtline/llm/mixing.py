@@ -169,7 +169,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("same").alias("_same"), "_parts", "_taken")
     numbered = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text")))
     joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_same")))
-    kept = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("_taken") == F.col("_words"), F.col("text")).otherwise(kept)
+    # _list is used twice below, so that Catalyst keeps it a column of its own and words are found once for each text.
+    joined = joined.withColumn("_list", words)
+    kept = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_list", (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    text = F.when(F.col("_taken") == F.size("_list"), F.col("text")).otherwise(kept)
     columns = {c: F.col(c) for c in docs.columns} | {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*[e.alias(c) for c, e in columns.items()])
