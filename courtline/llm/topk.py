@@ -12,8 +12,8 @@ Queries are dealt in blocks of query_rows and every query block meets every row
 block's answer is k rows for each query, and the answers are merged by a window. Neither side is
 collected or broadcast.
 
-Vectors that are null, empty or hold a null or non-finite component take no part. Vectors are
-scored against those of the same length. Of rows that share a vec_id the least vector is the query;
+Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows
+without a vec_id. Vectors are scored against those of the same length. Of rows that share a vec_id the least vector is the query;
 all of them are candidates of other queries, and none is of its own vec_id's. An empty table or
 query set gives an empty result. Other columns may have any name.
 """
