@@ -2,8 +2,10 @@
 
 A word that may be disguised (digits or signs for letters, signs between letters, letters drawn
 out, letters set apart by spaces) is a lattice: at each place the letters that may have been meant,
-nothing for a sign put between, one or two letters for a run. Viterbi decoding finds the likeliest
-reading under a trigram model of letters, counted over all documents, and the channel's costs. The
+nothing for a sign put between, one or two letters for a run of two or more. A run of short tokens is
+one lattice, in which every space may be one or none, so the words within it are decoded too. Viterbi
+decoding finds the likeliest reading under a trigram model of letters, counted over all documents, and
+the channel's costs. The
 restored words are scored: a word's weight is the log odds of the most telling of its beginnings
 and itself, by how many toxic and clean labelled documents have it. The largest weights of a text
 become a probability by logistic calibration on labelled documents outside fold 0 that gave no
@@ -21,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,12 @@ LEAST_TOXIC = 8
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.5
 KEPT_WORDS = 400_000
+KEPT_STRETCHES = 150_000
 
 # Signs that stand for letters.
 MEANT = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 BETWEEN = set(".-_*~'`^,:;/\\=#&%")
-SUBSTITUTED, DROPPED, KEPT_SIGN, DRAWN = 1.0, 0.7, 6.0, 0.3
+SUBSTITUTED, DROPPED, KEPT_SIGN, DRAWN, DOUBLED = 1.0, 0.7, 6.0, 0.3, 2.0
 
 #: Letters of the model: 0 is any other byte, 1 to 26 are a to z, 27 is a byte of another letter.
 CLASSES = 28
@@ -51,8 +55,10 @@ CLASS[128:] = 27
 
 EDGE_SIGNS = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 PLAIN = re.compile(r"[^\W\d_]*")
-DRAWN_OUT = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"(.)\1")
 SET_APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: Tokens of up to three characters next to each other.
+STRETCH = re.compile(r"(?<!\S)\S{1,3}(?!\S)(?:\s+\S{1,3}(?!\S))++")
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -87,37 +93,66 @@ def letter_class(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if LETTER.match(c) else 0
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+#: A reading, its cost, and the classes of its letters.
+Place = tuple[tuple[str, float, tuple[int, ...]], ...]
+
+
+def place_of(c: str, n: int) -> Place:
+    """The readings of a run of n times c."""
+    if LETTER.match(c):
+        one = [(c, 0.0)] if n == 1 else [(c, DOUBLED), (c * 2, 0.0)] if n == 2 else [(c, DRAWN), (c * 2, DRAWN)]
+    else:
+        one = [(x * k, SUBSTITUTED + (DRAWN if k != n else 0)) for x in MEANT.get(c, "") for k in range(1, min(n, 2) + 1)]
+        one += [("", DROPPED)] if c in BETWEEN else []
+        one += [(c * n, KEPT_SIGN * min(n, 3))]
+    return tuple((x, cost, tuple(map(letter_class, x))) for x, cost in one)
+
+
+few_of = lru_cache(maxsize=4096)(place_of)
+#: A space that was meant, or one that sets letters apart; NOTHING marks where it was.
+NOTHING = "\0"
+SPACE: Place = ((" ", 0.0, (0,)), (NOTHING, DROPPED, ()))
+
+
+def lattice(word: str) -> list[Place]:
     """The readings of each place of a word, with their costs; a run of one sign is one place."""
+    return [(few_of if len(m[0]) < 9 else place_of)(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.S)]
+
+
+def stretch_lattice(tokens: list[str]) -> list[Place]:
+    """One lattice for tokens with spaces between; a token of signs may also be nothing."""
     places = []
-    for m in re.finditer(r"(.)\1*", word, re.S):
-        c, n = m[1], len(m[0])
-        if LETTER.match(c):
-            one = [(c * min(n, 2), 0.0)] if n < 3 else [(c, DRAWN), (c * 2, DRAWN)]
-        else:
-            one = [(x * k, SUBSTITUTED + (DRAWN if k != n else 0)) for x in MEANT.get(c, "") for k in range(1, min(n, 2) + 1)]
-            one += [("", DROPPED)] if c in BETWEEN else []
-            one += [(c * n, KEPT_SIGN * min(n, 3))]
-        places.append(one)
+    for i, token in enumerate(tokens):
+        places += [SPACE] if i else []
+        word = EDGE_SIGNS.sub("", token)
+        if word:
+            places += lattice(word)
+        elif any(c in MEANT for c in token):
+            places += [(*p, ("", DROPPED, ())) for p in lattice(token)]
     return places
 
 
-def restored(word: str, model: list) -> str:
-    """The likeliest reading of a word: Viterbi over its lattice, with the last two letters as state."""
+def likeliest(places: list[Place], model: list) -> str:
+    """Viterbi over a lattice, with the last two letters as state."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for place in lattice(word):
+    for place in places:
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        if len(states) == len(place) == 1:  # no choice: the cost is the same for all that follows
+            ((x, y), (cost, path)), (reading, _, classes) = next(iter(states.items())), place[0]
+            for z in classes:
+                x, y = y, z
+            states = {(x, y): (cost, (path, reading))}
+            continue
         for (a, b), (cost, path) in states.items():
-            for reading, extra in place:
+            for reading, extra, classes in place:
                 x, y, total = a, b, cost + extra
-                for c in reading:
-                    z = letter_class(c)
+                for z in classes:
                     total -= model[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or total < new[x, y][0]:
                     new[x, y] = (total, (path, reading))
         states = new
-    best = min((cost - model[a][b][0], path) for (a, b), (cost, path) in states.items())[1]
+    best = min(((cost - model[a][b][0], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])[1]
     parts = []
     while best:
         best, reading = best
@@ -125,20 +160,22 @@ def restored(word: str, model: list) -> str:
     return "".join(reversed(parts))
 
 
+def restored(word: str, model: list) -> str:
+    """The likeliest reading of a word."""
+    return likeliest(lattice(word), model)
+
+
 class Reader:
     """The words of texts as they were meant."""
 
     def __init__(self, model: list):
-        self.model = model
+        self.model, self.stretches = model, Memory(KEPT_STRETCHES)
 
     def readings(self, token: str) -> list[str]:
         """A token without signs at its edges, and what it may stand for."""
         word = EDGE_SIGNS.sub("", token.lower())
-        if not word or (PLAIN.fullmatch(word) and not DRAWN_OUT.search(word)):
+        if not word or (PLAIN.fullmatch(word) and not REPEATED.search(word)):
             return [word] if word else []
-        core = word.strip("@$0123456789_")
-        if PLAIN.fullmatch(core) and not DRAWN_OUT.search(core) and re.search(r"([@$_])\1\1", word):
-            return [core] if core else []
         if not LETTER.search(word):
             return [word]
         return list(dict.fromkeys([word, *PLAIN.findall(word), restored(word, self.model)]))
@@ -148,6 +185,19 @@ class Reader:
         """Words whose letters are set apart by spaces."""
         return [m[0].replace(" ", "") for m in SET_APART.finditer(text)]
 
+    def decoded(self, stretch: str) -> tuple[str, ...]:
+        """The words of a run of short tokens that are put together from several."""
+        words = (w.strip(NOTHING) for w in likeliest(stretch_lattice(stretch.split()), self.model).split(" "))
+        return tuple(w.replace(NOTHING, "") for w in words if NOTHING in w)
+
+    def tokens(self, texts: list[str]) -> list[set[str]]:
+        """The tokens of each text, and the words that spaces set apart."""
+        runs = [[m[0].lower() for m in STRETCH.finditer(t)] for t in texts]
+        known = self.stretches
+        for run in known.missing({x for own in runs for x in own if len(x) <= 100}):
+            known[run] = self.decoded(run)
+        return [set(t.split()).union(Reader.joined(t), *((known[x] if len(x) <= 100 else self.decoded(x)) for x in own)) for t, own in zip(texts, runs, strict=True)]
+
 
 def features(word: str) -> set[str]:
     return {word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)}
@@ -173,7 +223,7 @@ class Scorer:
 
     def inputs(self, texts: list[str]) -> np.ndarray:
         """The largest weight, the second largest, and the log of how many words have one above 0."""
-        words = [set(t.split()) | set(Reader.joined(t)) for t in texts]
+        words = self.reader.tokens(texts)
         for token in self.kept.missing(set().union(*words)):
             self.kept[token] = self.weight(token)
         out = np.zeros((len(texts), 3))
@@ -187,12 +237,14 @@ def feature_counts(rows: DataFrame, letters: list) -> DataFrame:
     """feature, toxic and clean: in how many of the documents it is. Tasks count before they send."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(letters)
+        reader, read = Reader(letters), Memory(KEPT_STRETCHES)
         for batch in in_slices(batches, "text"):
             counts = (Counter(), Counter())
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = set(text.split()) | set(Reader.joined(text))
-                counts[y].update({f for t in tokens for w in reader.readings(t) if w for f in features(w)})
+            words = reader.tokens(batch.column("text").to_pylist())
+            for token in read.missing(set().union(*words)):
+                read[token] = reader.readings(token)
+            for y, tokens in zip(batch.column("y").to_pylist(), words, strict=True):
+                counts[y].update({f for t in tokens for w in read[t] if w for f in features(w)})
             names = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0)]], names=["feature", "toxic", "clean"])
 

@@ -314,6 +314,23 @@ def test_restoring():
     assert toxicity.Reader.joined("you i d i o t there") == ["idiot"]
 
 
+def test_restoring_spaces_and_runs():
+    corpus = ("you are a idiot. what a stupid fool you are, the moron and a clown are all well in the pool. is it a book or an apple? " * 300).encode()
+    data = toxicity.CLASS[np.frombuffer(corpus, dtype=np.uint8)]
+    counts = np.zeros((28, 28, 28))
+    np.add.at(counts, (data[:-2], data[1:-1], data[2:]), 1)
+    reader = toxicity.Reader(toxicity.log_model(counts).tolist())
+    texts = ["you are a i d i o t", "y o u i d i o t", "what i d iot", "i  d  i  o  t", "1 d 1 0 t", "you are a m\to\nr o n.", "it is an"]
+    for words, want in zip(reader.tokens(texts), ["idiot"] * 5 + ["moron", "is"], strict=True):
+        assert want in {x for w in words for x in reader.readings(w)}
+    assert reader.tokens(["y o u i d i o t"])[0] >= {"you", "idiot"}
+    assert reader.tokens(["it is an"]) == [{"it", "is", "an"}]
+    assert "stupid" in reader.readings("stuupid") and {*reader.readings("fool"), *reader.readings("all")} <= {"fool", "all", ""}
+    assert "stupid" in reader.readings("$$$tupid") and "stupid" in reader.readings("$tupid")
+    assert {"a", "a$$$"} < set(reader.readings("a$$$"))
+    assert reader.tokens(["i " * 200_000])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
