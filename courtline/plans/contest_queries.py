@@ -411,5 +411,5 @@ def d18_source_agreement(t):
 @query("WITH " + SIDES_SQL + """, u AS (SELECT DISTINCT team, s.season FROM conference, (SELECT DISTINCT season FROM sides) s), f AS (SELECT season, team, count(*) AS upsets FROM sides WHERE won = 1 AND p < 10000 GROUP BY 1, 2) SELECT u.season, u.team, coalesce(upsets, 0) AS upsets FROM u LEFT JOIN f USING (season, team)""")
 def d20_universe_fill(t):
     x = sides(t)
-    universe = t.conference().select("team", F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("season"))
+    universe = t.conference().select("team").distinct().crossJoin(F.broadcast(x.select("season").distinct()))  # a few seasons
     return c.filled(universe, x.where("won = 1 and p < 10000").groupBy("season", "team").agg(F.count(F.lit(1)).alias("upsets")), ["season", "team"], ["upsets"]).select("season", "team", "upsets")

@@ -48,3 +48,25 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns[:2] == ["user_id", "side"]
     assert set(SQL) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def later(tmp_path_factory):
+    """The smallest tables with the orders of 1997 on fifteen years later."""
+    at, con = tmp_path_factory.mktemp("later"), duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for t in TABLES:
+        kind = con.execute(f"select typeof(o_orderdate) from '{DATA}/orders.parquet' limit 1").fetchone()[0]
+        moved = f"replace ((o_orderdate + CASE WHEN year(o_orderdate) >= 1997 THEN INTERVAL 15 YEAR ELSE INTERVAL 0 YEAR END)::{kind} AS o_orderdate)" if t == "orders" else ""
+        con.execute(f"copy (select * {moved} from '{DATA}/{t}.parquet') to '{at}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    return str(at), con
+
+
+def test_seasons_from_the_tables(spark, later):
+    at, con = later
+    seasons = {r[0] for r in con.execute("select distinct year(o_orderdate) from orders").fetchall()}
+    assert {2012, 2013} < seasons
+    assert rows(QUERIES["d20_universe_fill"](spark, at).toPandas()) == rows(con.execute(SQL["d20_universe_fill"]).df())
+    assert {r["season"] for r in QUERIES["h10_h11_logistic_validation"](spark, at).collect()} == seasons
+    assert {r["season"] for r in QUERIES["h9_walk_forward_ratings"](spark, at).select("season").distinct().collect()} == seasons
