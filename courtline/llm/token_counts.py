@@ -127,10 +127,14 @@ class PrefixCounts:
 
     def of_text(self, text: str) -> np.ndarray:
         """Tokens of every prefix, by characters."""
-        if self.specials and (m := self.specials.search(text)):
-            until = (self.of_plain(text[: m.start()]) or [0])[-1] + 1
-            return np.concatenate([self.of_plain(text[: m.end() - 1]), [until], self.of_text(text[m.end() :]) + until]).astype(np.int64)
-        return np.array(self.of_plain(text), dtype=np.int64)
+        parts, total, at = [], 0, 0
+        for m in self.specials.finditer(text) if self.specials else ():
+            parts.append(np.array(self.of_plain(text[at : m.end() - 1]), dtype=np.int64) + total)
+            total += (self.of_plain(text[at : m.start()]) or [0])[-1] + 1
+            parts.append(np.array([total], dtype=np.int64))
+            at = m.end()
+        parts.append(np.array(self.of_plain(text[at:]), dtype=np.int64) + total)
+        return np.concatenate(parts)
 
     def of_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Tokens of every prefix of every text, by characters; chunks between single spaces come from memory."""

@@ -153,6 +153,18 @@ def test_token_counts(docs, empty):
         assert count(text[:n]) <= 5
 
 
+def test_token_counts_many_specials():
+    from tokenizers import Tokenizer
+
+    path, _, pattern = tokenizer_paths()
+    library = Tokenizer.from_file(path)
+    text = "a b<|endoftext|> c" * 1500
+    got = token_counts.PrefixCounts(path, pattern).of_text(text)
+    assert len(got) == len(text)
+    for k in [*range(1, 60), 14_003, len(text) - 20, len(text)]:
+        assert got[k - 1] == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_bpe(docs, empty):
     import tiktoken
 
