@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one, set for the session."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, set for the session, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="courtline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -50,6 +52,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name like name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """The schema with a field at its end, in place of one with that name."""
+    return T.StructType([*(f for f in schema.fields if f.name.lower() != name.lower()), T.StructField(name, kind)])
+
+
+def put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    """The batch with a column at its end, in place of one with that name; see with_field."""
+    kept = [i for i, c in enumerate(batch.schema.names) if c.lower() != name.lower()]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), column], names=[*(batch.schema.names[i] for i in kept), name])
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the machine, which it shares with the executor's other stages."""
     gc.collect()
