@@ -6,15 +6,18 @@ nothing for a sign put between, one or two letters for a run of two or more. A r
 one lattice, in which every space may be one or none, so the words within it are decoded too. Viterbi
 decoding finds the likeliest reading under a trigram model of letters, counted over all documents, and
 the channel's costs. The
-restored words are scored: a word's weight is the log odds of the most telling of its beginnings
-and itself, by how many toxic and clean labelled documents have it. The largest weights of a text
+restored words are scored: a word's weight is that of the most telling of its beginnings and
+itself. A beginning's or word's weight is the lower bound of its log odds, by how many toxic and
+clean labelled documents have it: the log odds less Z standard errors, so that rare ones weigh
+little; what has no weight above 0 tells nothing and need not be kept. The largest weights of a text
 become a probability by logistic calibration on labelled documents outside fold 0 that gave no
 weights.
 
-Weights come from at most SAMPLE labelled documents, of which at most FEATURES are kept; letters
-are counted over, and scores are of, whole texts. Null and empty texts have no words and get the
-score of such texts. Without labels of both kinds every score is the share of label 1, or 0.
-Other columns may have any name.
+Weights come from the whole texts of at most SAMPLE labelled documents; letters are counted over,
+and scores are of, all whole texts. Null and empty texts have no words and get the score of such
+texts. Without labels of both kinds every score is the share of label 1, or 0. Of several labels of
+a document the largest counts; repeated rows get equal scores. An empty table gives an empty result.
+Only doc_id and text are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,12 +38,13 @@ from .common import in_tasks
 from .labelled import fold, logistic, probability, sample
 
 SAMPLE = {1: 3000, 0: 6000}
-FEATURES = 5000
-LEAST_TOXIC = 8
+#: Standard errors by which the log odds are lessened.
+Z = 2.0
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.5
-KEPT_WORDS = 400_000
-KEPT_STRETCHES = 150_000
+#: Bytes that a worker's memories may take, about.
+WORD_BYTES = 80_000_000
+STRETCH_BYTES = 40_000_000
 
 # Signs that stand for letters.
 MEANT = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -169,7 +173,7 @@ class Reader:
     """The words of texts as they were meant."""
 
     def __init__(self, model: list):
-        self.model, self.stretches = model, Memory(KEPT_STRETCHES)
+        self.model, self.stretches = model, Memory(STRETCH_BYTES)
 
     def readings(self, token: str) -> list[str]:
         """A token without signs at its edges, and what it may stand for."""
@@ -193,10 +197,9 @@ class Reader:
     def tokens(self, texts: list[str]) -> list[set[str]]:
         """The tokens of each text, and the words that spaces set apart."""
         runs = [[m[0].lower() for m in STRETCH.finditer(t)] for t in texts]
-        known = self.stretches
-        for run in known.missing({x for own in runs for x in own if len(x) <= 100}):
-            known[run] = self.decoded(run)
-        return [set(t.split()).union(Reader.joined(t), *((known[x] if len(x) <= 100 else self.decoded(x)) for x in own)) for t, own in zip(texts, runs, strict=True)]
+        asked = list({x for own in runs for x in own})
+        known = dict(zip(asked, self.stretches.answers(asked, lambda new: list(map(self.decoded, new))), strict=True))
+        return [set(t.split()).union(Reader.joined(t), *map(known.__getitem__, own)) for t, own in zip(texts, runs, strict=True)]
 
 
 def features(word: str) -> set[str]:
@@ -215,7 +218,7 @@ class Scorer:
     """The largest weights of texts, with a bounded memory of tokens."""
 
     def __init__(self, model: Model):
-        self.model, self.reader, self.kept = model, Reader(model.letters), Memory(KEPT_WORDS)
+        self.model, self.reader, self.kept = model, Reader(model.letters), Memory(WORD_BYTES)
 
     def weight(self, token: str) -> float:
         weights = self.model.weights
@@ -224,11 +227,11 @@ class Scorer:
     def inputs(self, texts: list[str]) -> np.ndarray:
         """The largest weight, the second largest, and the log of how many words have one above 0."""
         words = self.reader.tokens(texts)
-        for token in self.kept.missing(set().union(*words)):
-            self.kept[token] = self.weight(token)
+        asked = list(set().union(*words))
+        known = dict(zip(asked, self.kept.answers(asked, lambda new: list(map(self.weight, new))), strict=True))
         out = np.zeros((len(texts), 3))
         for i, own in enumerate(words):
-            found = sorted((w for w in map(self.kept.__getitem__, own) if w > 0), reverse=True)
+            found = sorted((w for w in map(known.__getitem__, own) if w > 0), reverse=True)
             out[i] = (found[0] if found else 0.0), (found[1] if len(found) > 1 else 0.0), np.log1p(len(found))
         return out
 
@@ -237,14 +240,14 @@ def feature_counts(rows: DataFrame, letters: list) -> DataFrame:
     """feature, toxic and clean: in how many of the documents it is. Tasks count before they send."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, read = Reader(letters), Memory(KEPT_STRETCHES)
+        reader, read = Reader(letters), Memory(STRETCH_BYTES)
         for batch in in_slices(batches, "text"):
             counts = (Counter(), Counter())
             words = reader.tokens(batch.column("text").to_pylist())
-            for token in read.missing(set().union(*words)):
-                read[token] = reader.readings(token)
+            asked = list(set().union(*words))
+            known = dict(zip(asked, read.answers(asked, lambda new: list(map(reader.readings, new))), strict=True))
             for y, tokens in zip(batch.column("y").to_pylist(), words, strict=True):
-                counts[y].update({f for t in tokens for w in read[t] if w for f in features(w)})
+                counts[y].update({f for t in tokens for w in known[t] if w for f in features(w)})
             names = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0)]], names=["feature", "toxic", "clean"])
 
@@ -262,8 +265,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     if len(sizes) < 2:
         return Model(letters, {}, (), share)
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    telling = feature_counts(rows.where("fold <> 4"), letters).where(F.col("toxic") >= min(LEAST_TOXIC, max(2, sizes[1] // 20))).withColumn("w", odds).where("w > 1")
-    weights = {r["feature"]: r["w"] for r in telling.orderBy(F.desc("w"), "feature").limit(FEATURES).collect()}
+    bound = odds - Z * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    # Bounded by the sample: a weight above 0 takes several documents of its toxic part.
+    weights = {r["feature"]: r["w"] for r in feature_counts(rows.where("fold <> 4"), letters).select("feature", bound.alias("w")).where("w > 0").collect()}
     model = Model(letters, weights, (), share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    found = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # at most FEATURES weights and 28^3 letters
+    found = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # 28^3 letters, and weights from a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = found.value
