@@ -3,12 +3,15 @@
 Two zstandard dictionaries are built from good and from bad labelled text. A text is compressed
 block by block with each, and the difference of the two sizes over the block's own size tells which
 it resembles. The mean, the largest and the smallest difference of a text's blocks and its two
-normalised sizes become a probability by logistic calibration, fitted on labelled documents outside fold 0 that the
-dictionaries were not built from.
-
-What is fitted comes from at most SAMPLE documents of each label and BLOCKS_EACH blocks of each of
-them; scores are of whole texts. Null and empty texts are one empty block. Without labels of both
-kinds every score is the share of label 1, or 0.5 without any. Other columns may have any name.
+normalised sizes become a probability by logistic calibration, fitted on labelled documents outside
+fold 0 that the dictionaries were not built from.
+
+What is fitted comes from the whole texts of at most SAMPLE documents of each label; scores are of
+whole texts. Texts go to no driver: a task for each label builds its dictionary. Null and empty
+texts are one empty block. Without labels of both kinds every score is the share of label 1, or 0.5
+without any. Of several labels of a document the largest counts; repeated rows get equal scores. An
+empty table gives an empty result. Other columns may have any name; one with the name of the score's
+column is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
 from .bpe import in_slices
-from .common import in_tasks
+from .common import free, in_tasks, put, with_field
 from .labelled import fold, logistic, probability, sample
 
 SAMPLE = 2500
 BLOCK = 1024
-BLOCKS_EACH = 6
 DICTIONARY = 64 * 1024
 LEVEL = 3
 INPUTS = 5
@@ -83,6 +87,17 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(some)[-DICTIONARY:].ljust(8)
 
 
+def dictionaries(rows: DataFrame) -> dict[int, bytes]:
+    """The dictionary of each label, built in a task from all blocks of its texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = sorted(t.encode() for t in table.column("text").to_pylist())
+        return pa.table([pa.array(table.column("y").to_pylist()[:1], pa.int32()), pa.array([dictionary(texts)], pa.binary())], names=["y", "dictionary"])
+
+    ship(rows.sparkSession)
+    return {r["y"]: bytes(r["dictionary"]) for r in rows.select("y", "text").groupBy("y").applyInArrow(run, "y int, dictionary binary").collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Dictionaries from folds 1 and 2, calibration on folds 3 and 4 of the sample."""
     rows = sample(docs, labels, label, {0: SAMPLE, 1: SAMPLE})
@@ -90,13 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     counts = {r["y"]: r["n"] for r in labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     share = ones / (ones + zeros) if ones + zeros else 0.5
-    # At most 2 * SAMPLE texts, each bounded by its blocks, come to the driver; whole texts stay in tasks.
-    spread = F.transform(F.sequence(F.lit(0), F.least(F.lit(BLOCKS_EACH - 1), F.floor((F.octet_length("text") - 1) / BLOCK)).cast("int")), lambda i: F.substring("text", (F.floor(i * F.length("text") / BLOCKS_EACH) + 1).cast("int"), F.lit(BLOCK)))
-    text = F.when(F.octet_length("text") <= BLOCKS_EACH * BLOCK, F.col("text")).otherwise(F.array_join(spread, "\n"))
-    built = rows.where("fold in (1, 2)").orderBy("y", F.xxhash64("doc_id"), "doc_id").select("y", text.alias("text")).collect()
-    if not ones or not zeros or {r["y"] for r in built} != {0, 1}:
+    built = dictionaries(rows.where("fold in (1, 2)"))
+    if not ones or not zeros or built.keys() != {0, 1}:
         return Model(b"", b"", (), share)
-    good, bad = (dictionary([r["text"].encode() for r in built if r["y"] == y]) for y in (1, 0))
+    good, bad = built[1], built[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
@@ -114,15 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with the probability of label 1 of each whole text."""
-    from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             p = probability(np.array(model.weights), differences(texts, model.good, model.bad)) if model.weights else np.full(len(texts), model.share)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, column])
+            yield put(batch, column, pa.array(p, pa.float64()))
 
-    return in_tasks(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return in_tasks(docs, run, with_field(docs.schema, column, T.DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,4 +144,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted to have label 0."""
-    return scored(docs, fit(docs, labels), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = free(docs, "_score")
+    return scored(docs, fit(docs, labels), score).where(F.col(score) >= THRESHOLD).drop(score)
