@@ -9,13 +9,21 @@ of `window` words that contain one; these candidates, and no others, are dealt b
 groups that find the smallest doc_id of each window, and the windows that have a smaller one than
 their own form maximal repeats.
 
-The filter only spares work: a false hit makes a candidate that no group confirms. Beyond its bound
-it lets more candidates through, at most all windows. Before candidates are dealt, those of a batch
-with the same words are put together, so a passage that a third of all documents share makes one
-candidate for each batch. Windows are compared by 96 bits of hash.
+The filter only spares work: a false hit makes a candidate that no group confirms. Where blocks
+outnumber a quarter of its bits it would let most windows through, so it is left out and all windows
+are candidates; results are the same. Before candidates are dealt, those of a batch with the same
+words are put together, and a task remembers windows that it has sent: one that it has sent for a
+smaller doc_id is a repeat and is not sent again. So a passage that a third of all documents share
+makes about one candidate for each task. Repeats that a task knows by itself are dealt by batch,
+never by their words.
+
+Hashes of words add independent random values for each byte and place, so words have no algebra in
+which they could collide by their form; windows are compared by 96 bits, 64 of one such hash of
+words and 32 of another.
 
 Nulls: a null text has no words; a null doc_id is larger than all others. Rows equal in doc_id and
-text are cut alike. Empty tables give empty results. Only doc_id and text are read.
+text are cut alike. Texts are read whole, however long. Empty tables give empty results. Only doc_id
+and text are read; other columns may have any name and are passed on.
 """
 
 from __future__ import annotations
@@ -31,19 +39,23 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from .bpe import in_slices
-from .common import in_tasks, saved
+from .common import free, in_tasks, saved
 
 WINDOW = 50
 #: Bits of the filter for each reference block, and its bound.
 BITS_PER_BLOCK = 16
 MOST_FILTER_BITS = 1 << 30
 SLICES = 64
+#: A task remembers up to 2^SLOT_BITS windows.
+SLOT_BITS = 20
 #: Windows of the input for each group that candidates are dealt to.
 GROUP_WINDOWS = 2_000_000
 LAST = np.int64(2**63 - 1)
 
 U = np.uint64
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Factors of the rolling hashes of windows, and what tells the two hashes of words apart.
+BASES = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+SEEDS = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -87,15 +99,25 @@ class Words:
     """The words of some texts: hashes of words, and where each text's words begin."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], SEPARATOR[data]])))
-        starts, ends = edge[::2], edge[1::2]
-        self.hashes = hashes(sums_of(data.astype(U) + U(1), BASES[0]), starts, ends, BASES[0])
+        self.data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], SEPARATOR[self.data]])))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.hashes = self.word_hashes(SEEDS[0])
         text_ends = np.cumsum([len(t) + 1 for t in texts])
-        self.bounds = np.concatenate([[0], np.searchsorted(starts, text_ends)])
+        self.bounds = np.concatenate([[0], np.searchsorted(self.starts, text_ends)])
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
-        self.position = np.arange(len(starts)) - self.bounds[:-1][self.text]
-        self.sums = sums_of(self.hashes, BASES[1])
+        self.position = np.arange(len(self.starts)) - self.bounds[:-1][self.text]
+        self.sums = sums_of(self.hashes, BASES[0])
+
+    def word_hashes(self, seed: int) -> np.ndarray:
+        """A hash of each word: the sum, over its bytes, of a random value for the byte and its place in the word."""
+        if not len(self.starts):
+            return np.zeros(0, dtype=U)
+        sizes = self.ends - self.starts
+        last = np.cumsum(sizes)
+        place = np.arange(last[-1]) - np.repeat(last - sizes, sizes)
+        byte = self.data[np.repeat(self.starts, sizes) + place]
+        return mixed(np.add.reduceat(mixed((place.astype(U) << U(8) | byte) + U(seed)), last - sizes))
 
     def windows(self, size: int) -> np.ndarray:
         """Numbers of the words at which a window of size words within one text begins."""
@@ -103,7 +125,7 @@ class Words:
         return at[self.text[at] == self.text[at + size - 1]] if len(at) else at
 
     def window_hashes(self, at: np.ndarray, size: int) -> np.ndarray:
-        return hashes(self.sums, at, at + size, BASES[1])
+        return hashes(self.sums, at, at + size, BASES[0])
 
 
 class Filter:
@@ -161,8 +183,10 @@ def reference_blocks(docs: DataFrame, block: int) -> DataFrame:
     return in_tasks(docs.select("text"), run, "slice int, n long, hashes binary")
 
 
-def filter_of(blocks: DataFrame, n_blocks: int, most_bits: int) -> Filter:
-    """The filter over all reference blocks; its bits follow their number up to most_bits. Each slice is built by one task, block by block."""
+def filter_of(blocks: DataFrame, n_blocks: int, most_bits: int) -> Filter | None:
+    """The filter over all reference blocks, None where it would let most windows through; its bits follow their number up to most_bits. Each slice is built by one task, block by block."""
+    if 4 * n_blocks > most_bits:
+        return None
     bits = min(most_bits, 1 << max(16, (n_blocks * BITS_PER_BLOCK - 1).bit_length()))
     slice_bits = bits // SLICES
 
@@ -179,9 +203,11 @@ def filter_of(blocks: DataFrame, n_blocks: int, most_bits: int) -> Filter:
         for number, (once, twice) in maps.items():
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], names=["slice", "once", "twice"])
 
-    made = {r["slice"]: r for r in in_tasks(blocks.select("slice", "hashes").repartition(SLICES, "slice"), run, "slice int, once binary, twice binary").collect()}
-    none = bytes(slice_bits // 8)
-    once, twice = (np.frombuffer(b"".join(bytes(made[i][c]) if i in made else none for i in range(SLICES)), dtype=np.uint8) for c in ("once", "twice"))
+    made = saved(in_tasks(blocks.select("slice", "hashes").repartition(SLICES, "slice"), run, "slice int, once binary, twice binary"), "filter")
+    once, twice = (np.zeros(bits // 8, dtype=np.uint8) for _ in range(2))
+    for r in made.toLocalIterator():  # at most SLICES rows, most_bits / 4 bytes in all
+        own = slice(r["slice"] * slice_bits // 8, (r["slice"] + 1) * slice_bits // 8)
+        once[own], twice[own] = (np.frombuffer(r[c], dtype=np.uint8) for c in ("once", "twice"))
     return Filter(once, twice, slice_bits)
 
 
@@ -190,43 +216,77 @@ CONFIRMED = "batch long, docs binary, counts binary, positions binary"
 REMOVED = "doc_id long, text_key long, stretches binary"
 
 
+class Sent:
+    """Some of the windows that a task has sent, with the least doc_id: one for each slot, where those met again stay."""
+
+    def __init__(self, slot_bits: int = SLOT_BITS):
+        self.shift, n = U(64 - slot_bits), 1 << slot_bits
+        self.hashes, self.checks, self.ids, self.again = np.zeros(n, dtype=U), np.zeros(n, dtype=np.uint32), np.full(n, LAST), np.zeros(n, dtype=bool)
+
+    def least(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The least doc_id that each window was sent for, LAST if that is not known."""
+        slot = (h >> self.shift).astype(np.int64)
+        same = (self.hashes[slot] == h) & (self.checks[slot] == check)
+        self.again[slot[same]] = True
+        return np.where(same, self.ids[slot], LAST)
+
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers different windows, where their slots are free for them."""
+        slot = (h >> self.shift).astype(np.int64)
+        put = ~self.again[slot] | (self.hashes[slot] == h)
+        slot, n = slot[put], len(self.again)
+        # Of several for one slot the last is kept whole.
+        where = np.zeros(n, dtype=np.int32)
+        where[slot] = np.arange(len(slot))
+        kept = where[slot] == np.arange(len(slot))
+        slot = slot[kept]
+        self.hashes[slot], self.checks[slot], self.ids[slot] = h[put][kept], check[put][kept], ids[put][kept]
+        if np.count_nonzero(self.again) > n // 2:
+            self.again[:] = False
+
+
 def candidates(docs: DataFrame, found, groups: int, window: int) -> DataFrame:
     """Windows that may stand in several documents, in rows by group.
 
     batch: names the batch of documents that a row comes from; docs: their doc_id and text_key; counts: how many of its windows, then of
     its repeats, each has; hashes, checks and positions of the windows; positions of the repeats,
-    which are windows that another document of the same batch with a smaller doc_id has.
+    which are windows that the task has met in another document with a smaller doc_id. Repeats are
+    in a row of their own, in a group that follows from the batch.
     """
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = found.value
+        index, sent = found and found.value, Sent()
         for batch, texts in batches_of_texts(batches):
             words = Words(texts)
-            at = words.windows(block)
-            hit = np.zeros(len(words.hashes) + block + 2, dtype=np.int64)
-            hit[at + 1] = index.hits(words.window_hashes(at, block), words.position[at] % block == 0)
-            np.cumsum(hit, out=hit)
             whole = words.windows(window)
-            whole = whole[hit[whole + window - block + 1] > hit[whole]]
+            if index is not None:
+                at = words.windows(block)
+                hit = np.zeros(len(words.hashes) + block + 2, dtype=np.int64)
+                hit[at + 1] = index.hits(words.window_hashes(at, block), words.position[at] % block == 0)
+                np.cumsum(hit, out=hit)
+                whole = whole[hit[whole + window - block + 1] > hit[whole]]
             if not len(whole):
                 continue
             doc = words.text[whole]
             ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64)
             h = words.window_hashes(whole, window)
-            check = (hashes(sums_of(mixed(words.hashes), BASES[2]), whole, whole + window, BASES[2]) >> U(32)).astype(np.uint32)
+            check = (hashes(sums_of(words.word_hashes(SEEDS[1]), BASES[1]), whole, whole + window, BASES[1]) >> U(32)).astype(np.uint32)
             order = np.lexsort((ids[doc], h))
             sorted_h, sorted_ids, sorted_check = h[order], ids[doc][order], check[order]
-            first = np.concatenate([[True], (sorted_h[1:] != sorted_h[:-1])])
-            least = sorted_ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-            same = sorted_check == sorted_check[np.flatnonzero(first)][np.cumsum(first) - 1]
+            first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+            run_of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+            before = sent.least(sorted_h[first], sorted_check[first])
+            least = np.minimum(sorted_ids[first], before)
             repeat = np.empty(len(order), dtype=bool)
-            repeat[order] = (sorted_ids > least) & same
-            group = (h % U(groups)).astype(np.int64)
-            by = np.lexsort((whole, repeat, doc, group))
-            group, doc, repeat, h, check, position = group[by], doc[by], repeat[by], h[by], check[by], words.position[whole][by].astype(np.uint32)
+            repeat[order] = (sorted_ids > least[run_of]) & (sorted_check == sorted_check[first][run_of])
+            new = sorted_ids[first] < before
+            sent.add(sorted_h[first][new], sorted_check[first][new], sorted_ids[first][new])
             batch_no = int.from_bytes(hashlib.blake2b(ids.tobytes() + keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+            group = np.where(repeat, groups + batch_no % groups, (h % U(groups)).astype(np.int64))
+            by = np.lexsort((whole, doc, group))
+            group, doc, repeat, h, check, position = group[by], doc[by], repeat[by], h[by], check[by], words.position[whole][by].astype(np.uint32)
             rows = []
             for lo, hi in zip(cuts := np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]), [*cuts[1:], len(group)], strict=True):
                 own, r = doc[lo:hi], repeat[lo:hi]
@@ -253,7 +313,7 @@ def confirmed(rows: DataFrame) -> DataFrame:
         h, check, position = (np.concatenate(column(c, k)) for c, k in (("hashes", U), ("checks", np.uint32), ("positions", np.uint32)))
         order = np.lexsort((ids[doc], check, h))
         sh, sc, sid = h[order], check[order], ids[doc][order]
-        first = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])])[: len(order)]
+        first = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])])[: len(order)]  # of the entries with the same words
         later = order[sid > sid[np.flatnonzero(first)][np.cumsum(first) - 1]] if len(order) else order
         doc = np.concatenate([doc[later], np.repeat(np.arange(len(ids)), repeats)])
         position = np.concatenate([position[later], np.concatenate(column("repeats", np.uint32))])
@@ -295,18 +355,20 @@ def per_document(rows: DataFrame, window: int) -> DataFrame:
     return rows.groupBy("batch").applyInArrow(run, REMOVED)
 
 
-def with_repeats(docs: DataFrame, window: int = WINDOW, most_filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
-    """docs with a column _found: first words and ends of the stretches to remove, as 32-bit integers in turn; null if none."""
+def with_repeats(docs: DataFrame, column: str, window: int = WINDOW, most_filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
+    """docs with a further column: first words and ends of the stretches to remove, as 32-bit integers in turn; null if none."""
     spark = docs.sparkSession
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     read = docs.select("doc_id", "text", key.alias("text_key"))
     blocks = saved(reference_blocks(read, window // 2), "reference-blocks")
     n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = spark.sparkContext.broadcast(filter_of(blocks, n_blocks, most_filter_bits))
+    index = filter_of(blocks, n_blocks, most_filter_bits)
+    found = index and spark.sparkContext.broadcast(index)  # at most most_filter_bits / 4 bytes
     groups = max(16, -(-n_blocks * (window // 2) // GROUP_WINDOWS))
     removed = per_document(confirmed(candidates(read, found, groups, window)), window)
-    per_doc = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.first("stretches").alias("_found"))  # equal rows have equal stretches
-    return docs.join(per_doc, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("_doc")) & (key == F.col("_key")), "left").drop("_doc", "_key")
+    own_doc, own_key = free(docs, "_doc"), free(docs, "_key")
+    per_doc = removed.groupBy(F.col("doc_id").alias(own_doc), F.col("text_key").alias(own_key)).agg(F.first("stretches").alias(column))  # equal rows have equal stretches
+    return docs.join(per_doc, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col(own_doc)) & (key == F.col(own_key)), "left").drop(own_doc, own_key)
 
 
 def kept_words(text: bytes, found: bytes | None) -> tuple[list[bytes], int]:
@@ -323,23 +385,23 @@ def removed_digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words(t or b"", f) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True)]
+            rows = [kept_words(t or b"", f) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for _, n in rows], pa.int64()), pa.array([n - len(w) for w, n in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows])],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return in_tasks(with_repeats(docs.select("doc_id", "text"), window, **options), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return in_tasks(with_repeats(docs.select("doc_id", "text"), "found", window, **options), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """docs without the repeats. A text that loses words is its other words joined by one space; others stay as they are. n_chars, if there, follows the text."""
-    columns = docs.columns
-    found = with_repeats(docs, window, **options)
+    columns, own_found = docs.columns, free(docs, "_found")
+    found = with_repeats(docs, own_found, window, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not f else b" ".join(kept_words(t, f)[0]) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True)]
+            texts = [t if t is None or not f else b" ".join(kept_words(t, f)[0]) for t, f in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(own_found).to_pylist(), strict=True)]
             own = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in columns], names=columns)
 
