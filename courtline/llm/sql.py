@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+
+
+def drawn(x: str, key: str, n: str) -> str:
+    """mixing.drawn in SQL."""
+    return f"(('0x' || substr(md5(({x})::VARCHAR || ':' || ({key})::VARCHAR), 1, 15))::BIGINT % ({n}))"
+
+
+MIRROR = "CASE WHEN k >= a THEN k - a ELSE k - a + n END"
+SWAP = f"((greatest(a, {MIRROR}) % 1073741789 + k % 1073741789) * (greatest(a, {MIRROR}) % 1073741789 + 29773456)) % 1073741783 % 2 = 1"
+
 SQL = {
-    "op1_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-pl AS (SELECT *, coalesce(doc_id, 0) % 1024 AS part, row_number() OVER (PARTITION BY doc_id, source, size) AS same FROM d),
-st AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY part, doc_id, size, same) - size AS start FROM pl),
+    "op1_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+pl AS (SELECT *, """ + drawn("coalesce(doc_id, 0)", "h", "(SELECT count(*) // 4096 + 1 FROM d)") + r""" AS part, row_number() OVER (PARTITION BY doc_id, source, size, h) AS same FROM d),
+st AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY part, doc_id NULLS FIRST, size, h, same) - size AS start FROM pl),
 tot AS (SELECT source, sum(size) AS s FROM d GROUP BY 1),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM tot),
 c AS (SELECT *, ((no - 1) % 3 + 1)::DOUBLE AS weight FROM w),
@@ -16,21 +26,19 @@ t AS (SELECT l.source, l.no, l.s::BIGINT AS s, round(coalesce(least(3.0 * s, lam
 p AS (SELECT *, CAST(ceil(s / 64.0) AS BIGINT) AS n, CAST(round(target) AS BIGINT) AS take FROM t),
 q AS (SELECT *, CASE WHEN s > 0 THEN take // s ELSE 0 END AS full_passes, take - CASE WHEN s > 0 THEN take // s ELSE 0 END * s AS rest FROM p),
 r AS (SELECT *, CAST(full_passes * n + ceil(rest / 64.0) AS BIGINT) AS slots FROM q),
-z AS (SELECT *, CAST(sum(slots) OVER (ORDER BY no) - slots AS BIGINT) AS before, CAST(sum(slots) OVER () AS BIGINT) AS all_slots FROM r),
-sl AS (SELECT *, unnest(range(slots)) AS k FROM z WHERE slots > 0),
-x AS (SELECT *, k // n AS pass, k % n AS step, CAST(pow(2, length(bin(n)) - 1) AS BIGINT) AS top, CAST(pow(2, greatest(1, (length(bin(n)) - 1) // 2)) AS BIGINT) AS half,
-      CAST(pow(2, length(bin(all_slots)) - 1) AS BIGINT) AS atop, CAST(pow(2, greatest(1, (length(bin(all_slots)) - 1) // 2)) AS BIGINT) AS ahalf,
-      CASE WHEN n % 1000003 <> 0 THEN 1000003 WHEN n % 1000033 <> 0 THEN 1000033 ELSE 1000037 END AS f1, CASE WHEN n % 999983 <> 0 THEN 999983 WHEN n % 999979 <> 0 THEN 999979 ELSE 999961 END AS f2,
-      CASE WHEN all_slots % 1000003 <> 0 THEN 1000003 WHEN all_slots % 1000033 <> 0 THEN 1000033 ELSE 1000037 END AS g1, CASE WHEN all_slots % 999983 <> 0 THEN 999983 WHEN all_slots % 999979 <> 0 THEN 999979 ELSE 999961 END AS g2 FROM sl),
-y AS (SELECT *, (step * f1 + ((no * 31 + pass + 17) * 7919) % n) % n AS a, ((before + k) * g1 + (17 * 7919) % all_slots) % all_slots AS b FROM x),
-v AS (SELECT *, ((CASE WHEN a < top THEN xor(a, a // half) ELSE a END) * f2 + ((no * 31 + pass + 17) * 104729) % n) % n AS block,
-      (((CASE WHEN b < atop THEN xor(b, b // ahalf) ELSE b END) * g2 + (17 * 104729) % all_slots) % all_slots) // 4096 AS shard,
-      CASE WHEN pass = full_passes AND k = slots - 1 THEN rest - step * 64 ELSE 64 END AS most FROM y),
-j AS (SELECT st.doc_id, st.source, st.size, st.same, greatest(0, least(st.start + st.size, v.block * 64 + v.most) - greatest(st.start, v.block * 64)) AS words, v.shard
+z AS (SELECT *, greatest(1, CAST(ceil(sum(slots) OVER () / 4096) AS BIGINT)) AS shards FROM r),
+sl AS (SELECT *, unnest(range(slots)) AS i FROM z WHERE slots > 0),
+sh AS (SELECT *, """ + drawn("i", "(no * 1009 + 17)", "shards") + """ AS shard FROM sl),
+nu AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY shard, i) - 1 AS j FROM sh),
+x AS (SELECT *, j // n AS pass, j % n AS step FROM nu),
+ks AS (SELECT *, [""" + drawn("r", "(no * 31 + pass + 17)", "n") + """ FOR r IN range(1, 25)] AS keys FROM x),
+v AS (SELECT source, shard, list_reduce(list_prepend(step, keys), lambda a, k: CASE WHEN """ + SWAP + " THEN " + MIRROR + """ ELSE a END) AS block,
+      CASE WHEN pass = full_passes AND j = slots - 1 THEN rest - step * 64 ELSE 64 END AS most FROM ks),
+j AS (SELECT st.doc_id, st.source, st.size, st.h, st.same, greatest(0, least(st.start + st.size, v.block * 64 + v.most) - greatest(st.start, v.block * 64)) AS words, v.shard
       FROM st JOIN v ON v.source IS NOT DISTINCT FROM st.source AND v.block >= st.start // 64 AND v.block <= (st.start + st.size - 1) // 64 WHERE st.size > 0),
-g AS (SELECT doc_id, source, size, same, sum(words) AS taken, min(shard) FILTER (words > 0) AS first_shard FROM j GROUP BY 1, 2, 3, 4)
+g AS (SELECT doc_id, source, size, h, same, sum(words) AS taken, min(shard) FILTER (words > 0) AS first_shard FROM j GROUP BY 1, 2, 3, 4, 5)
 SELECT st.doc_id, st.size::BIGINT AS size, t.s AS source_size, t.target, coalesce(g.taken, 0)::BIGINT AS taken, g.first_shard::BIGINT AS first_shard
-FROM st JOIN t ON t.source IS NOT DISTINCT FROM st.source LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM st.doc_id AND g.source IS NOT DISTINCT FROM st.source AND g.size = st.size AND g.same = st.same""",
+FROM st JOIN t ON t.source IS NOT DISTINCT FROM st.source LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM st.doc_id AND g.source IS NOT DISTINCT FROM st.source AND g.size = st.size AND g.h = st.h AND g.same = st.same""",
     "op2_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS m FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN m IS NULL OR m IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
