@@ -85,13 +85,36 @@ def test_mixing(docs, empty):
 
 
 def test_permutations(spark):
-    long = lambda v: F.lit(v).cast("long")
+    long = mixing.long
     for n in (1, 2, 3, 7, 8, 9, 500, 513):
-        top, half = mixing.top_and_half(long(n))
-        r = spark.range(n).select(mixing.permuted(F.col("id"), long(n), top, half, long(5)).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
+        keys = mixing.round_keys(long(n), long(5))
+        r = spark.range(n).select(mixing.permuted(F.col("id"), long(n), keys).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
         assert tuple(r) == (n, 0, n - 1)
 
 
+def test_shard_counts_are_multinomial(spark):
+    """Over 240 shards the counts of each source scatter as a multinomial draw of its slots does, and sources do not depend on each other."""
+    plan = spark.createDataFrame([("=a", 1, 60_000, 240), ("=b", 2, 150_000, 240), ("=c", 3, 30_000, 240)], "source_key string, source_no long, n_slots long, n_shards long")
+    counts = {s: np.zeros(240) for s in "abc"}
+    for r in mixing.shard_counts(plan, 17).collect():
+        counts[r["source_key"][1]][r["shard"]] = r["n"]
+    for c in counts.values():
+        assert 0.8 < c.var() / (c.mean() * (1 - 1 / 240)) < 1.2
+    assert abs(np.corrcoef(list(counts.values()))[np.triu_indices(3, 1)]).max() < 0.2 and [c.sum() for c in counts.values()] == [60_000, 150_000, 30_000]
+
+
+def test_mixing_many_sources(spark):
+    """Null doc_ids, clashing column names and more sources than partitions."""
+    r = random.Random(8)
+    rows = [(None if i % 3 == 0 else i, sentence(r.randint(0, 30), r), f"s{i % 97:03}" if i % 5 else None, i, "x", 1, 2, "y") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long, _parts string, _taken long, _list long, _doc_key string")
+    got = mixing.mixed_sizes(df, block_words=4, shard_slots=16, part_rows=50).collect()
+    assert len(got) == 600 and all(0 <= x["taken"] <= 3 * x["size"] for x in got)
+    mixed = mixing.mixed_documents(df, block_words=4, shard_slots=16, part_rows=50)
+    assert mixed.columns == df.columns
+    assert sum(len(x["text"].split()) for x in mixed.collect()) == sum(x["taken"] for x in got)
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + sentence(9000) + "\r\n\r\nWARC/1.1\r\n</p>"
     pages = [(1, "http://a/", long), (2, "http://b/", long), (3, "http://c\r\nd/", "short"), (4, None, "short"), (5, "u", None), (6, "u", ""), (7, "http://e/", "é" * 999), (7, "http://e/", "é" * 999), (None, "n", long), (9, "x", "z" * 1000)]
@@ -143,11 +166,15 @@ def test_token_counts(docs, empty):
     want = sorted(str((d, len((t or "").encode()), count(t or ""), count(t or "") > 512)) for d, t, *_ in ROWS)
     assert sorted(str(tuple(r)[:4]) for r in token_counts.token_counts(docs, path, pattern).collect()) == want
     assert token_counts.token_counts(empty, path, pattern).count() == 0
+    import pyarrow as pa
+
     counts = token_counts.PrefixCounts(path, pattern)
     r = random.Random(1)
     parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "'r", "'", "12", "é", "日本", "😀", "!", "***", "<|endoftext|>", "ing", "\r\n", "'😀*"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 18))) for _ in range(120)]
-    for text, got in zip(texts, counts.of_texts(texts), strict=True):
+    texts += [" ".join(texts), "\u2003 a\u00a0 b c\u3000 d  e", "日本語" * 40 + "x" * 70 + " y"]
+    for text, steps in zip(texts, counts.steps(pa.array(texts)), strict=True):
+        got = token_counts.counts_of(steps.as_buffer())
         assert got.tolist() == [count(text[:k]) for k in range(1, len(text) + 1)]
         n = token_counts.characters_within(got, 5)
         assert count(text[:n]) <= 5
@@ -176,10 +203,25 @@ def test_bpe(docs, empty):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     back = bpe.decode(bpe.encode(docs, path, pattern), path)
     assert all((r["text"] or "").encode() == bytes(r["decoded"]) for r in back.collect())
-    assert bpe.token_offsets("日a", path, pattern)[-1] == (1, 2)
+    library = bpe.tokenizer_of_ranks(path, pattern)
+    for r in bpe.encode(docs, path, pattern, ids="words", offsets="source").collect():
+        assert list(map(tuple, r["source"])) == library.encode(r["text"] or "", add_special_tokens=False).offsets
     assert bpe.encoded_digests(empty, path, pattern).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of one long word, of signs without spaces and of white space take no more than linear time."""
+    from tokenizers import Tokenizer
+
+    json, ranks, pattern = tokenizer_paths()
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcde") for _ in range(200_000)), "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(100_000)), " \n\t" * 40_000, "<|endoftext|>" * 20_000, "a  b" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(json)
+    assert {x["doc_id"]: x["n_tokens"] for x in token_counts.token_counts(df, json, pattern).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {x["decoded_sha256"] for x in bpe.encoded_digests(df, ranks, pattern).collect()} == {hashlib.sha256(t.encode()).hexdigest() for t in texts}
+
+
 def test_mpegts(docs, empty):
     r = random.Random(2)
     for n in [*range(1, 400), 2921, 2922, 2923, 23376, 23377, 50000]:
@@ -371,3 +413,38 @@ def test_pipeline(spark, tmp_path):
     mixed = kept["mixing"]
     assert set(last) == set(mixed) and all(bytes(last[d]["ids"]) for d in mixed if mixed[d]["text"])
     assert len(collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())) == len(last)
+
+
+def test_substring_words_of_two_letters(spark):
+    """Words that differ but collide under any polynomial hash modulo a power of two are different words."""
+    word = ["a", "b"]
+    for _ in range(11):
+        word = [word[0] + word[1], word[1] + word[0]]
+    before, after = sentence(30), sentence(30)
+    df = spark.createDataFrame([(i, f"{before} {w} {after}") for i, w in enumerate(word)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.removed_digests(df).collect()} == {0}
+    w = substring.Words([x.encode() for x in word])
+    assert len(set(w.hashes.tolist())) == len(set(w.word_hashes(substring.SEEDS[1]).tolist())) == 2
+
+
+@pytest.mark.parametrize("bits", [1 << 30, 1 << 10])
+def test_substring_many_batches(spark, bits):
+    """Passages that many documents share, over several tasks and batches; the last size leaves the filter out."""
+    r = random.Random(5)
+    passage = sentence(80, r)
+    pairs = [(i * 7919 % 1000, f"{sentence(r.randint(0, 40), r)} {passage if i % 3 else sentence(60, r)} {sentence(r.randint(0, 9), r)}") for i in range(400)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    assert sorted(str(tuple(x)) for x in substring.removed_digests(df, most_filter_bits=bits).collect()) == brute_repeats(pairs, 50)
+
+
+def test_sent_windows():
+    r = np.random.default_rng(1)
+    sent, true = substring.Sent(8), {}
+    for _ in range(60):
+        h = np.unique(r.integers(0, 3000, 90)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        check, ids = (h >> np.uint64(7)).astype(np.uint32), r.integers(0, 10**6, len(h))
+        for x, known in zip(h.tolist(), sent.least(h, check).tolist(), strict=True):
+            assert known in (substring.LAST, true.get(x))
+        new = ids < sent.least(h, check)
+        sent.add(h[new], check[new], ids[new])
+        true |= {x: i for x, i, n in zip(h.tolist(), ids.tolist(), new.tolist(), strict=True) if n}
