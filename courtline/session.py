@@ -33,7 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """The session with a checkpoint folder: that of spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="courtline-"))
+    """The session with a checkpoint folder: that of spark.checkpoint.dir; where it is unset a temporary one, on one machine only."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="courtline-"))
     return spark

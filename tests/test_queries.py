@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "null"
     if isinstance(x, (bool,)) or type(x).__name__ == "bool_":
         return str(bool(x))
