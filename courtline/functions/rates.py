@@ -16,6 +16,40 @@ def rate(num: Column | str, den: Column | str, floor: float = 0) -> Column:
     return F.when((den >= floor) & (den != 0), num.cast("double") / den)
 
 
+def match_rates(detail: Column | None = None) -> dict[str, Column]:
+    """The rates of a side's match from its counts, by name; a denominator of 0 gives null.
+
+    detail: whether touches are known at all; where they are not, what depends on first balls is
+    null, as 0 would be a claim that the data do not make.
+    """
+    c = F.col
+    seen = F.lit(True) if detail is None else F.coalesce(detail, F.lit(False))
+    points = c("kill_pts") + c("block_pts") + c("opp_error_pts")
+    return {
+        "sideout_pct": rate("so_won", "recv_rallies"),
+        "fbso_pct": F.when(seen, rate("fbso_won", "recv_rallies")),
+        "point_score_pct": rate("ps_won", "serve_rallies"),
+        "opp_fbso_allowed": F.when(seen, rate("opp_fbso_won", "serve_rallies")),
+        "ace_pct": rate("aces", "serve_rallies"),
+        "serve_err_pct": rate("serve_errs", "serve_rallies"),
+        "hit_pct": rate(c("kills") - c("att_errors"), "attacks"),
+        "kill_pct": rate("kills", "attacks"),
+        "att_err_pct": rate("att_errors", "attacks"),
+        "rec_err_pct": rate("rec_errors", "ret_att"),
+        "blocks_per_set": rate(c("block_solos") + c("block_assists") / 2, "sets"),
+        "digs_per_set": rate("digs", "sets"),
+        "kill_pt_share": rate(c("kill_pts"), points),
+        "rally_win_pct": rate(c("so_won") + c("ps_won"), c("recv_rallies") + c("serve_rallies")),
+        "trans_so_pct": F.when(seen, rate(c("so_won") - c("fbso_won"), c("recv_rallies") - c("fbso_won"))),
+        "first20_share": rate("sets_first", "sets_played"),
+    }
+
+
+def ratio_or_count(num: Column, den: Column) -> Column:
+    """num / den, and num itself where den is 0 or null."""
+    return F.coalesce(rate(num, den), num.cast("double"))
+
+
 def flag(metric: Column, threshold: float, higher: bool = True) -> Column:
     """1.0 if met, 0.0 if not, null if the metric is null."""
     return F.when(metric.isNotNull(), (metric >= threshold if higher else metric <= threshold).cast("double"))
