@@ -8,11 +8,17 @@ archive_records of them, so an archive has a bounded size and no reader holds mo
 
 Reading groups the records that belong together by origin identifier, orders them by segment
 number, checks that they are all there and have the total length, and decodes the chunks. One group
-is one page. Repeated rows (equal page_id and html) make equal records; their number is kept.
+is one page. Repeated rows (equal page_id and html) make equal records; equal segments are counted
+before they are gathered, and as many pages come back.
+
+A payload that very many pages share makes one key of two joins. Both have plain tables on both
+sides, so that Spark's adaptive skew join deals the key to many tasks; pages too short to be
+revisits, such as empty ones, and responses take part in neither.
 
 Nulls: a null html is an empty payload, a null url an empty target; a null page_id is a page of its
-own that never is the one referred to unless no equal payload has a page_id. An empty table makes
-an empty result. Only page_id, url and html are read; other columns may have any name.
+own that never is the one referred to unless no equal payload has a page_id. Very long pages are
+cut into segments, so that only the task that puts a page together holds it whole. An empty table
+makes an empty result. Only page_id, url and html are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -59,10 +65,13 @@ def chunked(payload: Column, size: int) -> Column:
 def with_revisits(pages: DataFrame, min_revisit: int) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    groups = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
+    long = rows.where(F.octet_length("payload") >= min_revisit)
+    groups = saved(long.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id"), "payload-groups")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    joined = rows.join(groups, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    columns = ["page_id", "url", "payload", "digest"]
+    joined = long.join(groups.hint("merge"), "digest", "left").select(*columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    short = rows.where(F.octet_length("payload") < min_revisit)
+    return joined.unionByName(short.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to")))
 
 
 def records(rows: DataFrame, chunk_chars: int, segment_chars: int) -> DataFrame:
@@ -177,13 +186,14 @@ def reassembled(segments: DataFrame) -> DataFrame:
 
     Equal segments from repeated rows are put together once for each row.
     """
-    parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
-    groups = segments.groupBy("origin").agg(
+    kept = ("record_id", "record_type", "url", "payload_digest", "refers_to", "total", "block")
+    single = segments.groupBy("origin", "segment").agg(*[F.first(c).alias(c) for c in kept], F.count(F.lit(1)).alias("rows"))
+    groups = single.groupBy("origin").agg(
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_id", "record_type", "url", "payload_digest", "refers_to")],
         F.max("total").alias("total"),
-        parts.alias("all"),
+        F.max("rows").cast("int").alias("rows"),
+        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    groups = groups.withColumn("parts", F.array_distinct("all")).withColumn("rows", (F.size("all") / F.size("parts")).cast("int"))
     block = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     groups = groups.withColumn("block", block)
     whole = (F.octet_length("block") == F.col("total")) & (F.element_at("parts", -1)["segment"] == F.size("parts"))
@@ -226,9 +236,10 @@ def archived_pages(pages: DataFrame, folder: str | None = None, **options) -> Da
         read_archives(spark, folder).select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"), F.substring("payload_digest", 6, 40).alias("named")),
         "warc-pages",
     )
-    targets = read.where("record_type = 'response'").groupBy("record_id").agg(F.first("bytes").alias("target_bytes"), F.first("digest").alias("target_digest")).withColumnRenamed("record_id", "target")
-    joined = read.join(targets, (F.col("refers_to") == F.col("target")) & (F.col("record_type") == "revisit"), "left")
-    revisit = F.col("record_type") == "revisit"
-    digest = F.when(revisit, F.col("target_digest")).otherwise(F.col("digest"))
-    checked = F.when(digest == F.col("named"), digest).otherwise(F.raise_error(F.concat(F.lit("another payload than its digest says: "), F.col("record_id"))).cast("string"))
-    return joined.select(page_of(F.col("record_id")).alias("page_id"), F.when(revisit, F.col("target_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), checked.alias("payload_digest"), "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+    responses, revisits = read.where("record_type = 'response'"), read.where("record_type = 'revisit'")
+    referred = saved(revisits.select(F.col("refers_to").alias("record_id")).distinct(), "warc-referred")
+    targets = responses.join(referred.hint("merge"), "record_id", "left_semi").groupBy("record_id").agg(F.first("bytes").alias("bytes"), F.first("digest").alias("digest"))
+    targets = saved(targets.withColumnRenamed("record_id", "refers_to"), "warc-targets")
+    joined = responses.unionByName(revisits.drop("bytes", "digest").join(targets.hint("merge"), "refers_to", "left").select(*responses.columns))
+    checked = F.when(F.col("digest") == F.col("named"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("another payload than its digest says: "), F.col("record_id"))).cast("string"))
+    return joined.select(page_of(F.col("record_id")).alias("page_id"), F.col("bytes").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", page_of(F.col("refers_to")).alias("refers_to"))
