@@ -8,14 +8,16 @@ score. Rows are selected from the most significant slice downward: first the k-t
 then all rows that can still reach it, as the coarse score lacks at most a known amount. These
 boundary rows are scored exactly from the integers, so the result is exact, ties included.
 
-Queries are dealt in blocks of query_rows and every query block meets every row block once; a
-block's answer is k rows for each query, and the answers are merged by a window. Neither side is
-collected or broadcast.
+Queries are dealt in blocks of query_rows and every query block meets every row block once, in a
+task of its own: blocks are numbered, and a pair of numbers names the task. A block's answer is k
+rows for each query, and the answers are merged by a window. Neither side is collected or broadcast.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows
-without a vec_id. Vectors are scored against those of the same length. Of rows that share a vec_id the least vector is the query;
-all of them are candidates of other queries, and none is of its own vec_id's. An empty table or
-query set gives an empty result. Other columns may have any name.
+without a vec_id. Vectors are scored against those of the same length. A score must be a 64-bit
+integer: if the largest component of the rows and that of the queries could make a larger one in
+that many dimensions, the search fails and says so, and never wraps. Of rows that share a vec_id the
+least vector is the query; all of them are candidates of other queries, and none is of its own
+vec_id's. An empty table or query set gives an empty result. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ SCALE = 64
 BLOCK_ROWS = 16384
 QUERY_ROWS = 512
 DROP_BITS = 1
+LARGEST = 1 << 62
+MOST_PARTS = 100_000
+
+
+def long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
 def add_bitmaps(columns: dict[int, list[np.ndarray]]) -> dict[int, np.ndarray]:
@@ -137,7 +145,18 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and q, the integers floor(scale * x), of the rows that take part."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("q"))
+    # The least and the largest long have no mirror or product; whatever lies beyond is refused below as too large.
+    whole = F.transform(x, lambda v: F.least(F.lit(float(LARGEST)), F.greatest(F.lit(-float(LARGEST)), F.floor(v * scale).cast("double"))).cast("long"))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", whole.alias("q"))
+
+
+def fits(rows: DataFrame, queries: DataFrame) -> None:
+    """Fails if a score, or a step towards it, could exceed 64 bits."""
+    most = lambda df: {r["dim"]: r["most"] for r in df.groupBy(F.size("q").alias("dim")).agg(F.max(F.array_max(F.transform("q", F.abs))).alias("most")).collect()}
+    of_rows, of_queries = most(rows), most(queries)
+    for dim, x in of_queries.items():
+        if dim * x * (2 * of_rows.get(dim, 0) + 1) >= 1 << 62:
+            raise ValueError(f"components of {dim}-dimensional vectors are too large for 64-bit scores")
 
 
 def in_blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -169,28 +188,44 @@ def in_blocks(rows: DataFrame, most: int) -> DataFrame:
     return in_tasks(rows, run, "dim int, n int, ids binary, vectors binary")
 
 
+def numbered(blocks: DataFrame, label: str) -> DataFrame:
+    """blocks, written and read again, with no: 0 and on. Numbers follow from those within partitions and the partitions' counts."""
+    placed = saved(blocks.withColumn("of", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(long((1 << 33) - 1))), label)
+    counts = placed.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), long(0)).alias("before"))  # a row for each partition
+    return placed.join(F.broadcast(before), "of").withColumn("no", F.col("before") + F.col("at")).drop("of", "at", "before")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, drop_bits: int = DROP_BITS) -> DataFrame:
     """The k best rows of every query: query_id, rank, vec_id, score."""
     rows = quantised(vectors, scale)
     queries = rows.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("q").alias("q"))
-    blocks = saved(in_blocks(rows.where("vec_id is not null"), block_rows).withColumn("row_block", F.xxhash64("ids", "vectors")), "row-blocks")
-    asked = saved(in_blocks(queries, query_rows).withColumn("query_block", F.xxhash64("ids", "vectors")), "query-blocks")
-    # Every query block goes to each of the parts that row blocks are dealt to: at most part rows of the one meet those of the other.
-    parts = max(1, min(4096, blocks.count()))
-    left = blocks.select("dim", F.pmod("row_block", F.lit(parts)).alias("part"), F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"))
-    right = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select("dim", "part", "ids", "vectors")
-    pairs = left.join(right.hint("shuffle_hash"), ["dim", "part"])
+    fits(rows, queries)
+    blocks = numbered(in_blocks(rows.where("vec_id is not null"), block_rows), "row-blocks")
+    asked = numbered(in_blocks(queries, query_rows), "query-blocks")
+    n_blocks, n_asked = blocks.count(), asked.count()
+    # A row block goes to as many tasks as there are parts of the query blocks; there are several parts only while tasks are few.
+    splits = max(1, min(n_asked, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // max(1, n_blocks))))
+    number = lambda n: F.explode(F.sequence(long(0), long(max(0, n - 1))))
+    left = blocks.select(F.col("no").alias("row_no"), number(splits).alias("split"), F.lit(0).alias("kind"), "dim", "ids", "vectors")
+    right = asked.select(number(n_blocks).alias("row_no"), (F.col("no") % splits).alias("split"), F.lit(1).alias("kind"), "dim", "ids", "vectors")
+    part = F.col("row_no") * splits + F.col("split")
+    both = left.unionByName(right).select(part.alias("part"), "kind", "dim", "ids", "vectors")
+    parts = max(1, min(MOST_PARTS, n_blocks * splits))
+    dealt = both.repartitionById(parts, (F.col("part") % parts).cast("int")).sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[bytes, SlicedBlock] | None = None
+        held: tuple[int, int, SlicedBlock] | None = None
         for batch in batches:
-            for dim, row_ids, row_vectors, ids, queries in zip(*(batch.column(c).to_pylist() for c in ("dim", "row_ids", "row_vectors", "ids", "vectors")), strict=True):
-                if kept is None or kept[0] != row_ids:
-                    kept = (row_ids, SlicedBlock(np.frombuffer(row_ids, dtype=np.int64), np.frombuffer(row_vectors, dtype=np.int64).reshape(-1, dim), drop_bits))
-                found = [(q, *kept[1].top(q, v, k)) for q, v in zip(np.frombuffer(ids, dtype=np.int64).tolist(), np.frombuffer(queries, dtype=np.int64).reshape(-1, dim), strict=True)]
-                query_ids = np.repeat(np.array([q for q, _, _ in found], dtype=np.int64), [len(i) for _, i, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
-
-    best = in_tasks(pairs, run, "query_id long, vec_id long, score long")
+            for number, kind, dim, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "dim", "ids", "vectors")), strict=True):
+                ids, vectors = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=np.int64).reshape(-1, dim)
+                if not kind:
+                    held = (number, dim, SlicedBlock(ids, vectors, drop_bits))
+                elif held and held[:2] == (number, dim):
+                    found = [(q, *held[2].top(q, v, k)) for q, v in zip(ids.tolist(), vectors, strict=True)]
+                    query_ids = np.repeat(np.array([q for q, _, _ in found], dtype=np.int64), [len(i) for _, i, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
+
+    best = in_tasks(dealt, run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
