@@ -5,8 +5,13 @@ times, cut into transport packets of 188 bytes with continuity counters, precede
 access point by the program tables. Reading parses the tables, checks their CRC and the counters,
 reassembles the PES packets and gives the samples, the times and the random access points.
 
-Null and empty texts are 64 bytes 0. Texts are never cut. Equal texts give equal streams. Other
-columns may have any name; repeated rows are rows of their own.
+The query writes the table of streams, with their times and access points, to the shared folder,
+reads it again and takes everything from the stored bytes; a stream with a gap in its counters or
+times, or with other times than those stored beside it, is an error.
+
+Null and empty texts are 64 bytes 0. Texts are never cut. Equal texts give equal streams; repeated
+rows are rows of their own. An empty table gives an empty result. Only doc_id and text are read;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import in_slices
-from .common import in_tasks
+from .common import in_tasks, saved
 
 # Fixed values of ISO/IEC 13818-1
 PACKET = 188
@@ -30,6 +35,7 @@ PAT_PID = 0
 PRIVATE_DATA = 0x06
 AUDIO_STREAM_ID = 0xC0
 CLOCK = 90_000
+MASK = (1 << 33) - 1
 
 PMT_PID, SAMPLES_PID, PROGRAM = 0x1000, 0x0100, 1
 SAMPLE_RATE = 8_000
@@ -76,6 +82,11 @@ def stamped(times: np.ndarray) -> np.ndarray:
     return np.stack([0x21 | (t >> 29) & 0x0E, t >> 22 & 0xFF, 0x01 | (t >> 14) & 0xFE, t >> 7 & 0xFF, 0x01 | (t << 1) & 0xFE], axis=1).astype(np.uint8)
 
 
+def stream_times(n: int) -> np.ndarray:
+    """The presentation times of n PES packets."""
+    return np.arange(n) * PES_SAMPLES * CLOCK // SAMPLE_RATE & MASK
+
+
 def multiplex(samples: bytes) -> bytes:
     """The transport stream of samples (at least one)."""
     n = -(-len(samples) // PES_SAMPLES)
@@ -83,7 +94,7 @@ def multiplex(samples: bytes) -> bytes:
     data[: len(samples)] = np.frombuffer(samples, dtype=np.uint8)
     data = data.reshape(n, PES_SAMPLES)
     numbers = np.arange(n)
-    times = numbers * PES_SAMPLES * CLOCK // SAMPLE_RATE & (1 << 33) - 1
+    times = stream_times(n)
     out = np.zeros((n, PES_PACKETS, PACKET), dtype=np.uint8)
     out[:, :, 0], out[:, :, 1], out[:, :, 2] = SYNC, SAMPLES_PID >> 8, SAMPLES_PID & 255
     out[:, 0, 1] |= 0x40
@@ -146,7 +157,7 @@ def section_of(packet: bytes, table_id: int) -> bytes:
 
 
 def demultiplex(stream: bytes) -> dict:
-    """samples, pts (of each PES packet), access (numbers of the PES packets at random access points), pids, packets, errors (of continuity)."""
+    """samples, pts (of each PES packet), access (numbers of the PES packets at random access points), pids, packets, errors (gaps in counters and times)."""
     if not stream or len(stream) % PACKET:
         raise Broken("not whole packets")
     packets = np.frombuffer(stream, dtype=np.uint8).reshape(-1, PACKET)
@@ -181,6 +192,8 @@ def demultiplex(stream: bytes) -> dict:
         t = data[at + 9 : at + 14]
         pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
         samples.append(data[at + 9 + data[at + 8] : until])
+    played = np.concatenate([[0], np.cumsum([len(x) for x in samples])])[:-1]  # losses of whole turns of the counter show in the times only
+    errors += int((np.array(pts, dtype=np.int64) - pts[0] & MASK != played * CLOCK // SAMPLE_RATE & MASK).sum()) if pts else 0
     return {"samples": b"".join(samples), "pts": pts, "access": np.flatnonzero(access[begins]).tolist(), "program_pid": map_pid, "pid": pid, "kind": kind, "packets": len(packets), "errors": errors}
 
 
@@ -189,40 +202,47 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
     return text.ljust(max(unit, -(-len(text) // unit) * unit), b"\0")
 
 
+MEDIA = "doc_id long, n_bytes long, media binary, pts array<long>, access array<int>"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def with_media(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, media (the stream), pts, access (numbers of the PES packets at random access points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            media = [multiplex(padded(t)) for t in texts]
-            read = [demultiplex(m) for m in media]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary()), pa.array([r["pts"] for r in read], pa.list_(pa.int64())), pa.array([r["access"] for r in read], pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "media", "pts", "access"])
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            payloads = [padded(t) for t in texts]
+            n = [-(-len(p) // PES_SAMPLES) for p in payloads]
+            columns = [pa.array(map(len, texts), pa.int64()), pa.array(map(multiplex, payloads), pa.binary()), pa.array(map(stream_times, n), pa.list_(pa.int64())), pa.array([np.arange(0, k, ACCESS_EVERY) for k in n], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "media", "pts", "access"])
 
-    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary, pts array<long>, access array<int>")
+    return in_tasks(docs.select("doc_id", "text"), run, MEDIA)
 
 
 def feature(read: dict) -> str:
     return f"program={read['program_pid']};stream={read['pid']}/{read['kind']};packets={read['packets']};pes={len(read['pts'])};pts={read['pts'][0]}-{read['pts'][-1]};access={len(read['access'])};errors={read['errors']}"
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Per document, from the stored stream read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
-
-    The streams themselves stay in the task.
-    """
+def digests(media: DataFrame) -> DataFrame:
+    """Per stored stream: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "text"):
+        names = [x.split()[0] for x in DIGESTS.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for batch in in_slices(batches, "media"):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = (text or "").encode()
-                media = multiplex(padded(data))
-                read = demultiplex(media)
+            for doc_id, n_bytes, stream, pts, access in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "pts", "access")), strict=True):
+                read = demultiplex(stream)
+                if read["errors"] or read["pts"] != pts or read["access"] != access:
+                    raise Broken(f"the stream of document {doc_id} is not as stored")
                 samples = read["samples"]
-                rows.append((doc_id, len(data), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(read)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                rows.append((doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(read)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_tasks(media, run, DIGESTS)
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """The digests of the streams of docs, from the table of streams written to the shared folder and read again."""
+    return digests(saved(with_media(docs), "media"))
