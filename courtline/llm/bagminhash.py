@@ -1,11 +1,14 @@
 """Near-duplicate classes by BagMinHash signatures.
 
 A document is the multiset of its shingles of five words (all its words, if fewer). Its signature
-has one value for each of `components`: the least point of Poisson processes, one for each shingle
-and each dyadic interval of its count, whose points fall on components at random; points above the
-count are left out. Two documents agree in a component with probability equal to the sum of the
-smaller counts over that of the larger ones. Points come in rising order, and a process ends when
-its point exceeds all values of the document's signature.
+has one value for each of `components`: the least point, in that component, of Poisson processes
+over the levels of its shingles' counts; points above a count are left out. Two documents agree in a
+component with probability equal to the sum of the smaller counts over that of the larger ones.
+The processes are hierarchical: level 1 of a shingle is a process of its own, and all levels above
+it, up to 2^31, are one process. A process is split in halves at its first point, if that point can
+still matter: one half keeps the point, the other draws its own, and halves above the count go. A
+single level is not split; its points come in rising order until one exceeds all values of the
+document's signature. The points depend on the shingle alone, so documents share them.
 
 Signatures are cut into bands. Documents that share a band are compared: each with the band's first
 one, and then, in bands that still hold several classes, those outside its largest class with all
@@ -15,11 +18,15 @@ similar texts takes about n comparisons, and no link that would join two classes
 grows faster is only the comparison of a band's stragglers with its members, inside tasks. Equal
 texts are one node from the start.
 
-Nothing is collected or broadcast by this code; steps are written to the shared folder.
+Nothing is collected or broadcast by this code; steps are written to the shared folder. Copies of a
+text are put together within tasks before texts are dealt, and joins on a band, a class or a hub of
+links have plain tables on both sides, so that Spark's adaptive skew join deals a large one to many
+tasks.
 
-Nulls: a null text is an empty one. Texts without words are alike only if equal. Rows may repeat,
-and a doc_id may come with several texts: each row gets its text's class. Empty tables give empty
-results. Only doc_id and text are read.
+Nulls: a null text is an empty one. Texts without words are alike only if equal. Texts are read
+whole, however long. Rows may repeat, and a doc_id may come with several texts: each row gets its
+text's class. Empty tables give empty results. Only doc_id and text are read; other columns may have
+any name and are passed on.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import in_tasks, saved
+from .common import free, in_tasks, saved
 from .substring import Words, batches_of_texts, mixed
 
 SHINGLE = 5
@@ -43,7 +50,7 @@ BANDS, ROWS = 20, 5
 OTHERS, MEMBERS = 256, 512
 
 U = np.uint64
-STEP, PLACE = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F)
+STEP, PLACE, FIRST, SPLIT = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 #: So few running processes make several points at once.
 FEW, AT_ONCE = 30_000, 24
 
@@ -62,31 +69,64 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[first], h[first], np.diff(np.concatenate([first, [len(h)]]))
 
 
+def uniform(bits: np.ndarray) -> np.ndarray:
+    return ((mixed(bits) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+class Signatures:
+    """The signatures of n texts while points come; infinite where a text has none yet."""
+
+    def __init__(self, n: int, components: int):
+        self.n, self.components, self.values = n, components, np.full(n * components, np.inf)
+
+    def matter(self, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether points can still be the least of a component."""
+        return x < self.values.reshape(self.n, self.components).max(axis=1)[doc]
+
+    def levels(self, doc: np.ndarray, state: np.ndarray, x: np.ndarray) -> None:
+        """Takes the points of processes of one level, of which x is the first."""
+        while len(doc):
+            k = AT_ONCE if len(doc) < FEW else 1
+            steps = state[:, None] + STEP * np.arange(1, k + 1, dtype=U)
+            gaps = -np.log(uniform(steps)) / self.components
+            points = np.cumsum(np.concatenate([x[:, None], gaps], axis=1), axis=1)
+            component = ((mixed(steps ^ PLACE) >> U(32)) * U(self.components) >> U(32)).astype(np.int64)
+            np.minimum.at(self.values, (doc[:, None] * self.components + component).ravel(), points[:, :-1].ravel())
+            x, state = points[:, -1], steps[:, -1]
+            running = self.matter(doc, x)
+            doc, state, x = doc[running], state[running], x[running]
+
+
+def process_state(h: np.ndarray, low: np.ndarray | int, width: int) -> np.ndarray:
+    """What the draws of the process over levels low + 1 to low + width of a shingle follow from."""
+    return mixed(h ^ mixed(np.atleast_1d(low).astype(U) * PLACE + U(width)))
+
+
+def first_gap(state: np.ndarray, components: int, width: int) -> np.ndarray:
+    return -np.log(uniform(state ^ FIRST)) / (components * float(width))
+
+
 def signatures(n: int, text: np.ndarray, h: np.ndarray, count: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
     """The signatures of n texts; infinite where a text has no shingle."""
-    out = np.full(n * components, np.inf)
-    intervals = np.ceil(np.log2(count)).astype(np.int64) + 1  # (0,1], (1,2], (2,4], (4,8], ...
-    each = np.repeat(np.arange(len(h)), intervals)
-    number = np.arange(len(each)) - np.repeat(np.cumsum(intervals) - intervals, intervals)
-    doc, count = text[each], count[each]
-    state = mixed(h[each] ^ mixed((number + 1).astype(U)))
-    low = np.where(number == 0, 0, np.left_shift(1, np.maximum(number - 1, 0)))
-    length = np.maximum(low, 1)
-    x = np.zeros(len(each))
-    while len(doc):
-        k = AT_ONCE if len(doc) < FEW else 1
-        steps = state[:, None] + STEP * np.arange(1, k + 1, dtype=U)
-        gaps = -np.log(((mixed(steps) >> U(11)).astype(np.float64) + 0.5) / 2.0**53) / (components * length)[:, None]
-        points = np.cumsum(np.concatenate([x[:, None], gaps], axis=1), axis=1)[:, 1:]
-        draw = mixed(steps ^ PLACE)
-        component = ((draw >> U(32)) * U(components) >> U(32)).astype(np.int64)
-        level = low[:, None] + ((draw & U(0xFFFFFFFF)) * length.astype(U)[:, None] >> U(32)).astype(np.int64)
-        kept = level < count[:, None]
-        np.minimum.at(out, (doc[:, None] * components + component)[kept], points[kept])
-        x, state = points[:, -1], steps[:, -1]
-        running = x < out.reshape(n, components).max(axis=1)[doc]
-        doc, count, state, low, length, x = doc[running], count[running], state[running], low[running], length[running], x[running]
-    return out.reshape(n, components)
+    out = Signatures(n, components)
+    state = process_state(h, 0, 1)
+    out.levels(text, state, first_gap(state, components, 1))
+    several = np.flatnonzero(count > 1)
+    doc, h, count, low, width = text[several], h[several], count[several], np.ones(len(several), dtype=np.int64), 1 << 31
+    x = first_gap(process_state(h, low, width), components, width)
+    while width > 1 and len(doc):
+        alive = out.matter(doc, x)
+        doc, h, count, low, x = doc[alive], h[alive], count[alive], low[alive], x[alive]
+        right = mixed(process_state(h, low, width) ^ SPLIT) >> U(63) == 1
+        width //= 2
+        holder, other = np.where(right, low + width, low), np.where(right, low, low + width)
+        later = x + first_gap(process_state(h, other, width), components, width)
+        doc, h, count = np.tile(doc, 2), np.tile(h, 2), np.tile(count, 2)
+        low, x = np.concatenate([holder, other]), np.concatenate([x, later])
+        below = low < count
+        doc, h, count, low, x = doc[below], h[below], count[below], low[below], x[below]
+    out.levels(doc, process_state(h, low, 1), x)
+    return out.values.reshape(n, components)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -117,7 +157,7 @@ def bands(docs: DataFrame) -> DataFrame:
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its shingles (32-bit hashes and counts, as bytes) of the wanted nodes."""
+    """node and its shingles (32-bit hashes and counts, as bytes) of the wanted nodes. Copies of a text become one in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of_texts(batches):
@@ -130,8 +170,8 @@ def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows.append((own.tobytes(), np.stack([more, count[lo:hi][more]]).astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]], names=["node", "hashes", "counts"])
 
-    rows = docs.select(node(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi")
-    return in_tasks(rows, run, "node binary, hashes binary, counts binary").dropDuplicates(["node"])
+    texts = docs.select(node(F.col("text")).alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    return in_tasks(texts.join(wanted.hint("merge"), "node", "left_semi"), run, "node binary, hashes binary, counts binary")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -173,7 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = saved(both(edges).select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while not edges.isEmpty():
         near = both(edges).groupBy("a").agg(F.min("b").alias("b"))
-        up = near.select(F.col("a").alias("from"), F.least("a", "b").alias("to"))
+        up = saved(near.select(F.col("a").alias("from"), F.least("a", "b").alias("to")), "up")
         twice = up.alias("x").join(up.alias("y"), F.col("x.to") == F.col("y.from")).select(F.col("x.from").alias("from"), F.col("y.to").alias("to"))
         step = saved(twice, "step")
         moved = lambda rows, c, step=step: rows.join(step, rows[c] == step["from"], "left").withColumn(c, F.coalesce("to", c)).drop("from", "to")
@@ -208,7 +248,8 @@ def further_links(members: DataFrame, labels: DataFrame, sets: DataFrame, thresh
     top = F.max(F.struct("n", "label"))
     mixed_bands = classes.groupBy("band").agg(top["label"].alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), (F.sum("n") - top["n"]).alias("others")).where("classes > 1 and n > 2")
     parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    rows = saved(known.join(mixed_bands.select("band", "largest", parts("others", OTHERS).alias("ys"), parts("n", MEMBERS).alias("xs")), "band"), "open")
+    mixed_bands = saved(mixed_bands.select("band", "largest", parts("others", OTHERS).alias("ys"), parts("n", MEMBERS).alias("xs")), "mixed-bands")
+    rows = saved(known.join(mixed_bands, "band"), "open")
     deals = max(256, rows.count() // 1000)
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 20)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -257,6 +298,7 @@ def class_labels(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node and label of the texts that have a link."""
     every = saved(bands(docs), "bands")
     firsts = every.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
+    firsts = saved(firsts, "firsts")
     members = saved(every.join(firsts, "band"), "members")
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     members = members.select("band", "node")
@@ -269,7 +311,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class, null if all are null), class_size (rows of its class)."""
     rows = docs.select("doc_id", node(F.col("text")).alias("node"))
     own = saved(labelled(rows, class_labels(docs, threshold)).select("doc_id", "label"), "classes")
-    classes = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    classes = saved(own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
     return own.join(classes, "label").select("doc_id", "class_id", "class_size")
 
 
@@ -277,7 +319,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: of those with the least doc_id (nulls last) that whose text is least."""
     label = labelled(docs.select("doc_id", "text").withColumn("node", node(F.col("text"))), class_labels(docs, threshold)).select("doc_id", "node", "label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    keep = label.groupBy("label").agg(F.min(order).alias("keep")).select(F.col("keep.doc_id").alias("_doc"), F.col("keep.node").alias("_node")).distinct()
-    kept = docs.withColumn("_own", node(F.col("text"))).join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_node")), "left_semi")
+    own, own_doc, own_node = free(docs, "_own"), free(docs, "_doc"), free(docs, "_node")
+    keep = label.groupBy("label").agg(F.min(order).alias("keep")).select(F.col("keep.doc_id").alias(own_doc), F.col("keep.node").alias(own_node)).distinct()
+    kept = docs.withColumn(own, node(F.col("text"))).join(keep, F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(own) == F.col(own_node)), "left_semi")
     # Only rows equal in doc_id and text are left to tell apart.
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
