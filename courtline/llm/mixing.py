@@ -78,6 +78,15 @@ def running(rows: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
     return placed.select(*rows.columns, *[(F.col(f"{c}_offset") + F.sum(c).over(within) - F.col(c)).alias(f"{c}_before") for c in sums])
 
 
+def running_within(rows: DataFrame, key: str, number: str, value: str, run: int = 1024) -> DataFrame:
+    """rows with before: the sum of value over rows of the same key with a smaller number. Runs of numbers are summed first."""
+    in_runs = rows.withColumn("run", F.floor(F.col(number) / run).cast("long"))
+    earlier = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = in_runs.groupBy(key, "run").agg(F.sum(value).alias("of_run")).select(key, "run", F.coalesce(F.sum("of_run").over(earlier), long(0)).alias("run_before"))
+    within = Window.partitionBy(key, "run").orderBy(number)
+    return in_runs.join(runs, [key, "run"]).withColumn("before", F.col("run_before") + F.sum(value).over(within) - F.col(value)).drop("run", "run_before")
+
+
 def text_digest() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
@@ -104,7 +113,6 @@ def source_plan(parts: DataFrame, weights: tuple[int, ...], max_epochs: int, blo
     plan = numbered.withColumn("weight", weight).withColumn("cap", cap).withColumn("by_cap", F.col("source_size") / F.col("weight"))
     # Sources that stop come first in order of cap / weight: the level of the others follows from what is left.
     plan = running(plan.select("source_key", "source_no", "source_size", "weight", "cap", "by_cap"), ["by_cap", "source_no"], ["weight", "cap"])
-    plan = saved(plan, "plan")
     all_of = plan.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("weights"))
     level = (F.col("all_words") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
     free_of = plan.crossJoin(F.broadcast(all_of)).withColumn("level", level).where(F.col("level") * F.col("weight") < F.col("cap"))  # one row
@@ -138,12 +146,9 @@ def shard_counts(plan: DataFrame, seed: int) -> DataFrame:
 
 def slots(plan: DataFrame, block_words: int, seed: int) -> DataFrame:
     """One row per slot: source_key, block, pass_no, most (words it takes from the block's start), shard."""
-    counts = running(saved(shard_counts(plan, seed), "shard-counts"), ["source_no", "shard"], ["n"])
-    counts = saved(counts, "shard-starts")
-    starts = counts.groupBy("source_key").agg(F.min("n_before").alias("source_start"))
-    each = counts.join(starts, "source_key").join(plan, "source_key")
-    first = F.col("n_before") - F.col("source_start")
-    each = each.select("source_key", "shard", "n_blocks", "full", "rest", "n_slots", "keys", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("k"))
+    counts = running_within(saved(shard_counts(plan, seed), "shard-counts"), "source_no", "shard", "n")
+    each = counts.drop("source_no").join(plan, "source_key")
+    each = each.select("source_key", "shard", "n_blocks", "full", "rest", "n_slots", "keys", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("k"))
     each = each.withColumn("pass_no", F.floor(F.col("k") / F.col("n_blocks")).cast("long"))
     step = F.col("k") - F.col("pass_no") * F.col("n_blocks")
     last = (F.col("pass_no") == F.col("full")) & (F.col("k") == F.col("n_slots") - 1)
@@ -167,10 +172,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, block_words=BLO
     part = drawn(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("text_hash"), long(n_parts))
     rows = rows.withColumn("source_key", key).withColumn("part", part)
     parts = rows.groupBy("source_key", "part").agg(F.min("source").alias("source"), F.sum("size").alias("words"))
-    parts = saved(running(parts, ["source", "part"], ["words"]), "parts")
     plan = source_plan(parts, weights, max_epochs, block_words, shard_slots, seed)
-    begins = parts.groupBy("source_key").agg(F.min("words_before").alias("source_begin"))
-    starts = parts.join(begins, "source_key").join(plan.select("source_key", "source_size", "target"), "source_key").select("source_key", "part", (F.col("words_before") - F.col("source_begin")).alias("part_start"), "source_size", "target")
+    starts = running_within(parts, "source_key", "part", "words").join(plan.select("source_key", "source_size", "target"), "source_key").select("source_key", "part", F.col("before").alias("part_start"), "source_size", "target")
 
     in_part = Window.partitionBy("source_key", "part").orderBy("doc_id", "size", "text_hash", "doc_key", "same")
     start = F.col("part_start") + F.sum("size").over(in_part) - F.col("size")
