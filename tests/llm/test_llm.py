@@ -131,6 +131,8 @@ def test_warc(spark, tmp_path):
     assert {r["payload"].decode() for r in warc.read_archives(spark, folder).where("record_type = 'response'").collect()} == {h or "" for _, _, h in pages}
     segments = warc.read_records(spark, folder, False)
     assert segments.count() > 5
+    many = spark.range(200).selectExpr("1 as page_id", "'u' as url", f"'{'word ' * 500}' as html")
+    assert [tuple(r)[3:] for r in warc.archived_pages(many, segment_chars=900).collect()] == [("response", None)] * 200
     with pytest.raises(Exception, match="segments do not make a whole record"):
         warc.reassembled(segments.where("segment <> 2")).collect()
     assert warc.archived_pages(df.where("1 = 0")).count() == 0
@@ -155,6 +157,12 @@ def test_topk(spark, drop):
     got = topk.search(df, F.col("vec_id") % 20 == 0, block_rows=64, query_rows=4, drop_bits=drop)
     assert {tuple(x) for x in got.collect()} == brute_top(vectors, 20)
     assert topk.search(df.where("1 = 0"), F.col("vec_id") % 20 == 0).count() == 0
+    assert topk.search(df, F.col("vec_id") < 0).count() == 0
+    large = spark.createDataFrame([(0, [2.0**20, 1.0]), (1, [2.0**18, -3.0]), (2, [-(2.0**20), 5.0])], "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in topk.search(large, F.col("vec_id") % 20 == 0, drop_bits=drop).collect()} == brute_top([(0, [2.0**20, 1.0]), (1, [2.0**18, -3.0]), (2, [-(2.0**20), 5.0])], 20)
+    for x in (1e300, -1e300, 2.0**40):
+        with pytest.raises(ValueError, match="too large"):
+            topk.search(spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
 
 
 def test_token_counts(docs, empty):
@@ -222,6 +230,34 @@ def test_very_long_texts(spark):
     assert {x["decoded_sha256"] for x in bpe.encoded_digests(df, ranks, pattern).collect()} == {hashlib.sha256(t.encode()).hexdigest() for t in texts}
 
 
+def slowly_read(stream):
+    """A transport stream read packet by packet: brute force for demultiplex."""
+    pat = pmt = pid = kind = None
+    counters, pes, access = {}, [], []
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47
+        own, start, control = (p[1] & 31) << 8 | p[2], p[1] & 64, p[3] >> 4 & 3
+        assert counters.get(own, (p[3] & 15) - 1 & 15) == (p[3] & 15) - 1 & 15
+        counters[own] = p[3] & 15
+        body = p[4:] if control == 1 else p[5 + p[4] :]
+        if own == 0:
+            pat = body
+            pmt = (body[11] & 31) << 8 | body[12]
+        elif own == pmt:
+            pid, kind = (body[14] & 31) << 8 | body[15], body[13]
+        elif own == pid:
+            if start:
+                if control & 2 and p[4] and p[5] & 64:
+                    access.append(len(pes))
+                pes.append(b"")
+            pes[-1] += body
+    assert pat is not None
+    pts = [(x[9] >> 1 & 7) << 30 | x[10] << 22 | x[11] >> 1 << 15 | x[12] << 7 | x[13] >> 1 for x in pes]
+    assert all(x[:4] == b"\0\0\1\xc0" and int.from_bytes(x[4:6]) == len(x) - 6 for x in pes)
+    return {"samples": b"".join(x[9 + x[8] :] for x in pes), "pts": pts, "access": access, "program_pid": pmt, "pid": pid, "kind": kind, "packets": len(stream) // 188, "errors": 0}
+
+
 def test_mpegts(docs, empty):
     r = random.Random(2)
     for n in [*range(1, 400), 2921, 2922, 2923, 23376, 23377, 50000]:
@@ -232,7 +268,15 @@ def test_mpegts(docs, empty):
     del stream[188 * 5 : 188 * 6]
     with pytest.raises(mpegts.Broken):
         mpegts.demultiplex(bytes(stream))
+    turn = bytearray(mpegts.multiplex(bytes(30_000)))
+    del turn[188 * (2 + 16) : 188 * (2 + 32)]  # one whole turn of the counter
+    assert mpegts.demultiplex(bytes(turn))["errors"] > 0
     got = {r["doc_id"]: r for r in mpegts.media_digests(docs).collect()}
+    for m in mpegts.with_media(docs).collect():
+        stream, own = bytes(m["media"]), got[m["doc_id"]]
+        slow = slowly_read(stream)
+        assert (m["pts"], m["access"]) == (slow["pts"], slow["access"]) and own["payload_sha256"] == hashlib.sha256(slow["samples"]).hexdigest()
+        assert (own["media_bytes"], own["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest()) and own["feature"] == mpegts.feature(slow)
     for d, t, *_ in ROWS:
         data = mpegts.padded((t or "").encode())
         assert (got[d]["payload_bytes"], got[d]["payload_sha256"], got[d]["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:])) and len(data) % 64 == 0 and data
@@ -320,6 +364,28 @@ def test_signature_is_unbiased():
     assert abs((s[0] == s[1]).mean() - want) < 0.04
 
 
+def test_signature_of_large_counts():
+    """Texts of few shingles that repeat very often, against the multisets' overlap."""
+    r = random.Random(6)
+    for counts in ([(700, 500), (3, 9)], [(40_000, 30_000), (1, 1), (2, 0)], [(5, 8)]):
+        h = np.array([r.getrandbits(64) for _ in counts], dtype=np.uint64)
+        text = np.repeat([0, 1], len(counts))
+        both = np.array([c[0] for c in counts] + [c[1] for c in counts])
+        some = both > 0
+        s = bagminhash.signatures(2, text[some], np.tile(h, 2)[some], both[some], 4000)
+        want = sum(map(min, counts)) / sum(map(max, counts))
+        assert abs((s[0] == s[1]).mean() - want) < 0.04
+
+
+def test_recall_on_documents(spark):
+    """Of the pairs of exact similarity 0.8 or more with a document whose id is divisible by 50, at least 0.9 are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = [(r["doc_id"], multiset(r["text"])) for r in docs.collect()]
+    label = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs).collect()}
+    pairs = [(i, j) for i, a in sets if i % 50 == 0 and a for j, b in sets if i != j and b and sum((a & b).values()) >= 0.8 * sum((a | b).values())]
+    assert pairs and np.mean([label[i] == label[j] for i, j in pairs]) >= 0.9
+
+
 def labelled_docs(spark):
     r = random.Random(11)
     out, labels = [], []
