@@ -50,9 +50,28 @@ def first_match(text: Column, patterns: Sequence[tuple[str, str]], other: str =
     return out
 
 
+# The kinds of a scored play and the phrases that tell them, in the order in which they count.
+PLAYS = [
+    ("Ace", "service ace"),
+    ("Service error", "service error"),
+    ("Attack error", "attack error"),
+    ("Block error", "block error|blocking error"),
+    ("Set error", "bad set|set error"),
+    ("Ball handling error", "ball handling error"),
+    ("Dig error", "dig error"),
+    ("Kill", "kill"),
+    ("Block", "block"),
+]
+
+
+def play_kind(text: Column) -> Column:
+    """The kind of a play by its text: the first whose phrase stands in it as whole words, in any case; Other if none does."""
+    return first_match(text, [(kind, rf"(?i)\b({phrase})\b") for kind, phrase in PLAYS])
+
+
 def actor(text: Column) -> Column:
-    """The name after 'by', null if there is none."""
-    return F.nullif(F.trim(F.regexp_extract(text, r"\bby ([^.(]+)", 1)), F.lit(""))
+    """The name after 'by': from a capital to a full stop, comma or bracket; null if there is none."""
+    return F.nullif(F.trim(F.regexp_extract(text, r"\bby ([A-Z][^.(,]*)", 1)), F.lit(""))
 
 
 def kill_parts(text: Column) -> tuple[Column, Column]:

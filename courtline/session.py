@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,3 +42,9 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="courtline-"))
     return spark
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the session's shared one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or with_checkpoints(spark).sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/courtline-{label}-{uuid.uuid4().hex}"

@@ -46,9 +46,9 @@ def land_player_box(spark: SparkSession, paths: str | Sequence[str], groups: dic
 
 
 def land_roster(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """team, player_key and position; of several rows the last of the file."""
-    rows = read_csv(spark, paths, ["Team", "Player", "Pos"]).withColumn("_seq", F.monotonically_increasing_id())
-    return rows.groupBy(F.col("Team").alias("team"), x.letters_key(F.col("Player")).alias("player_key")).agg(F.max_by("Pos", "_seq").alias("position"))
+    """team, player_key and position; of several rows the last of the last file by name."""
+    rows = order_landed(read_csv(spark, paths, ["Team", "Player", "Pos"]).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
+    return rows.groupBy(F.col("Team").alias("team"), x.letters_key(F.col("Player")).alias("player_key")).agg(F.max_by("Pos", F.struct("path", "seq")).alias("position"))
 
 
 def team_box(rows: DataFrame, by: Sequence[str], sums: Sequence[str], most: str) -> DataFrame:
@@ -76,8 +76,8 @@ RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("date", "game_
 
 
 def land_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Results keyed by day and unordered pair; of several rows the last of the file. Files that are no JSON give no rows."""
-    rows = spark.read.schema(RESULT).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths if isinstance(paths, str) else list(paths)).where("home_team is not null and away_team is not null").withColumn("_seq", F.monotonically_increasing_id())
+    """Results keyed by day and unordered pair; of several rows the last of the last file by name. Files that are no JSON give no rows."""
+    rows = spark.read.schema(RESULT).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths if isinstance(paths, str) else list(paths)).where("home_team is not null and away_team is not null").withColumn("_seq", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))  # a file is read by one task
     keyed = rows.select(any_date(F.col("date")).alias("day"), F.least("home_team", "away_team").alias("lo"), F.greatest("home_team", "away_team").alias("hi"), F.col("home_team").alias("home"), F.col("away_team").alias("away"), "home_sets", "away_sets", "winner", "state", "game_id", "_seq")
     return last_by(keyed, ["day", "lo", "hi"], "_seq").drop("_seq")
 

@@ -10,8 +10,6 @@ from ..functions import text as x
 from .box import any_date, order_landed, strings
 
 EVENTS = ["date", "away_team", "home_team", "set", "event", "team", "player", "score"]
-#: Kinds of a scored play by its text, the first that matches.
-PLAYS = [("Service ace", r"(?i)service ace"), ("Service error", r"(?i)service error"), ("Kill", r"(?i)\bkill\b"), ("Attack error", r"(?i)attack error"), ("Block", r"(?i)\bblock"), ("Ball handling error", r"(?i)ball handling"), ("Set error", r"(?i)set error"), ("Reception error", r"(?i)reception error"), ("Dig error", r"(?i)dig error")]
 
 _S = T.StringType()
 _TEAM = T.ArrayType(T.StructType([T.StructField("teamId", _S), T.StructField("isHome", T.BooleanType()), T.StructField("nameShort", _S)]))
@@ -46,7 +44,7 @@ def land_points(spark: SparkSession, path: str) -> DataFrame:
     stats = sets.select("*", F.posexplode("_p.playbyplayStats").alias("_i", "_s"))
     plays = stats.select("*", F.posexplode("_s.plays").alias("_j", "_play")).where("_play.homeScore is not null")
     told = F.col("_play.playText")
-    return plays.select("_file", "day", "away_team", "home_team", (F.col("_set") + 1).alias("set_no"), (F.col("_i") * 100000 + F.col("_j")).alias("seq"), F.when(F.col("_s.teamId") == F.col("_hid"), F.col("home_team")).otherwise(F.col("away_team")).alias("team"), x.first_match(told, PLAYS).alias("kind"), x.actor(told).alias("actor"), F.col("_play.homeScore").alias("home_score"), F.col("_play.visitorScore").alias("away_score"))
+    return plays.select("_file", "day", "away_team", "home_team", (F.col("_set") + 1).alias("set_no"), (F.col("_i") * 100000 + F.col("_j")).alias("seq"), F.when(F.col("_s.teamId") == F.col("_hid"), F.col("home_team")).otherwise(F.col("away_team")).alias("team"), x.play_kind(told).alias("kind"), x.actor(told).alias("actor"), F.col("_play.homeScore").alias("home_score"), F.col("_play.visitorScore").alias("away_score"))
 
 
 def land_player_stats(spark: SparkSession, path: str) -> DataFrame:
