@@ -10,9 +10,10 @@ shard by these counts; number k takes, in each pass over the source, the block t
 pseudorandom permutation of block numbers maps k to (swap-or-not rounds, which permute any number of
 blocks), and slots and blocks are joined by (source, block).
 
-Nothing sorts or gathers a whole source, or all sources: streams are numbered in parts of about
-part_rows rows, running sums go over ranges first and then within each, and counts are drawn in runs
-that are dealt out before they are unfolded. A source may hold all rows.
+Nothing sorts or gathers a whole source: streams are numbered in parts of about part_rows rows,
+running sums go over runs first and then within each, and counts are drawn in runs that are dealt
+out before they are unfolded. A source may hold all rows. Up to FEW_SOURCES sources, a row each, are
+ordered by one task; more of them in ranges, with the same result.
 
 Nulls: a null text has size 0 and is never taken; a null source is a source of its own, ordered
 last; a null doc_id is a document like others. Repeated rows are separate documents. Texts are read
@@ -33,7 +34,9 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 PART_ROWS = 4096
 SLOT_RUN = 65536
-ROUNDS = 24
+#: Up to so many sources are ordered by one task.
+FEW_SOURCES = 1_000_000
+ROUNDS = 16
 #: Primes below 2^30 and a number below them: no product in a round exceeds 2^62.
 PRIMES = (1073741789, 1073741783)
 SHIFT = 29773456
@@ -66,8 +69,11 @@ def permuted(x: Column, n: Column, keys: Column) -> Column:
     return F.aggregate(keys, x, step)
 
 
-def running(rows: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
-    """rows with, for each column of sums, c_before: its sum over earlier rows. Ranges of the (total) order are summed first."""
+def running(rows: DataFrame, order: list[str], sums: list[str], few: bool) -> DataFrame:
+    """rows with, for each column of sums, c_before: its sum over earlier rows of a total order. Where rows are not few, ranges of the order are summed first."""
+    if few:
+        window = Window.orderBy(*map(F.asc_nulls_last, order))
+        return rows.select("*", *[(F.sum(c).over(window) - F.col(c)).alias(f"{c}_before") for c in sums])
     part = free(rows, "_part")
     ranged = saved(rows.repartitionByRange(*map(F.asc_nulls_last, order)).withColumn(part, F.spark_partition_id()), "ranges")
     within = Window.partitionBy(part).orderBy(*map(F.asc_nulls_last, order))
@@ -106,21 +112,21 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def source_plan(parts: DataFrame, weights: tuple[int, ...], max_epochs: int, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """One row per source: source_key, source_no, source_size, target, blocks, passes, slots, shards. parts: source_key, source, words."""
-    totals = parts.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("words").alias("source_size")).withColumn("one", long(1))
-    numbered = running(totals, ["source"], ["one"]).withColumn("source_no", F.col("one_before") + 1)
+    totals = saved(parts.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("words").alias("source_size")), "sources").withColumn("one", long(1))
+    n_sources, all_words = totals.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    few = n_sources <= FEW_SOURCES
+    numbered = running(totals, ["source"], ["one"], few).withColumn("source_no", F.col("one_before") + 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_no") - 1) % len(weights) + 1).cast("int")).cast("long")
-    cap = F.col("source_size") * max_epochs
-    plan = numbered.withColumn("weight", weight).withColumn("cap", cap).withColumn("by_cap", F.col("source_size") / F.col("weight"))
+    plan = numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs).withColumn("by_cap", F.col("source_size") / F.col("weight"))
     # Sources that stop come first in order of cap / weight: the level of the others follows from what is left.
-    plan = running(plan.select("source_key", "source_no", "source_size", "weight", "cap", "by_cap"), ["by_cap", "source_no"], ["weight", "cap"])
-    all_of = plan.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("weights"))
-    level = (F.col("all_words") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
-    free_of = plan.crossJoin(F.broadcast(all_of)).withColumn("level", level).where(F.col("level") * F.col("weight") < F.col("cap"))  # one row
-    final = free_of.agg(F.min_by("level", "weight_before").alias("final_level"))
-    target = F.when(F.col("final_level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("final_level") * F.col("weight")))
+    plan = running(plan.select("source_key", "source_no", "source_size", "weight", "cap", "by_cap"), ["by_cap", "source_no"], ["weight", "cap"], few)
+    all_weights = sum(weights[k % len(weights)] for k in range(n_sources % len(weights))) + n_sources // len(weights) * sum(weights)
+    level = (F.lit(all_words or 0) - F.col("cap_before")) / (F.lit(all_weights) - F.col("weight_before"))
+    final = plan.select("weight", "cap", "weight_before", level.alias("level")).where(F.col("level") * F.col("weight") < F.col("cap")).agg(F.min_by("level", "weight_before")).first()[0]
+    cap = F.col("cap").cast("double")
+    target = cap if final is None else F.least(cap, F.lit(final) * F.col("weight"))
     plan = (
-        plan.crossJoin(F.broadcast(final))  # one row
-        .withColumn("target", F.round(target, 6))
+        plan.withColumn("target", F.round(target, 6))
         .withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
         .withColumn("take", F.round("target").cast("long"))
         .withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -129,7 +135,8 @@ def source_plan(parts: DataFrame, weights: tuple[int, ...], max_epochs: int, blo
     )
     keys = F.transform(F.sequence(long(0), F.col("full")), lambda p: round_keys(F.greatest(F.col("n_blocks"), long(1)), F.col("source_no") * 31 + p + seed))
     plan = saved(plan.select("source_key", "source_no", "source_size", "target", "n_blocks", "full", "rest", "n_slots", keys.alias("keys")), "plan")
-    return plan.crossJoin(F.broadcast(plan.agg(F.greatest(long(1), F.ceil(F.sum("n_slots") / shard_slots)).alias("n_shards"))))  # one row
+    n_slots = plan.agg(F.sum("n_slots")).first()[0] or 0
+    return plan.withColumn("n_shards", long(max(1, -(-n_slots // shard_slots))))
 
 
 def shard_counts(plan: DataFrame, seed: int) -> DataFrame:
@@ -147,18 +154,14 @@ def shard_counts(plan: DataFrame, seed: int) -> DataFrame:
 def slots(plan: DataFrame, block_words: int, seed: int) -> DataFrame:
     """One row per slot: source_key, block, pass_no, most (words it takes from the block's start), shard."""
     counts = running_within(saved(shard_counts(plan, seed), "shard-counts"), "source_no", "shard", "n")
-    each = counts.drop("source_no").join(plan, "source_key")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = counts.drop("source_no").join(plan, "source_key").repartition(parts, "source_key", "shard")  # few rows, which unfold here
     each = each.select("source_key", "shard", "n_blocks", "full", "rest", "n_slots", "keys", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("k"))
     each = each.withColumn("pass_no", F.floor(F.col("k") / F.col("n_blocks")).cast("long"))
     step = F.col("k") - F.col("pass_no") * F.col("n_blocks")
     last = (F.col("pass_no") == F.col("full")) & (F.col("k") == F.col("n_slots") - 1)
-    return each.select(
-        "source_key",
-        permuted(step, F.col("n_blocks"), F.element_at("keys", (F.col("pass_no") + 1).cast("int"))).alias("block"),
-        "pass_no",
-        F.when(last, F.col("rest") - step * block_words).otherwise(block_words).cast("long").alias("most"),
-        "shard",
-    )
+    block = permuted(step, F.col("n_blocks"), F.element_at("keys", (F.col("pass_no") + 1).cast("int")))
+    return each.select("source_key", block.alias("block"), "pass_no", F.when(last, F.col("rest") - step * block_words).otherwise(block_words).cast("long").alias("most"), "shard")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, part_rows=PART_ROWS, seed=17) -> DataFrame:

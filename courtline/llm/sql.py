@@ -31,7 +31,7 @@ sl AS (SELECT *, unnest(range(slots)) AS i FROM z WHERE slots > 0),
 sh AS (SELECT *, """ + drawn("i", "(no * 1009 + 17)", "shards") + """ AS shard FROM sl),
 nu AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY shard, i) - 1 AS j FROM sh),
 x AS (SELECT *, j // n AS pass, j % n AS step FROM nu),
-ks AS (SELECT *, [""" + drawn("r", "(no * 31 + pass + 17)", "n") + """ FOR r IN range(1, 25)] AS keys FROM x),
+ks AS (SELECT *, [""" + drawn("r", "(no * 31 + pass + 17)", "n") + """ FOR r IN range(1, 17)] AS keys FROM x),
 v AS (SELECT source, shard, list_reduce(list_prepend(step, keys), lambda a, k: CASE WHEN """ + SWAP + " THEN " + MIRROR + """ ELSE a END) AS block,
       CASE WHEN pass = full_passes AND j = slots - 1 THEN rest - step * 64 ELSE 64 END AS most FROM ks),
 j AS (SELECT st.doc_id, st.source, st.size, st.h, st.same, greatest(0, least(st.start + st.size, v.block * 64 + v.most) - greatest(st.start, v.block * 64)) AS words, v.shard
