@@ -103,8 +103,10 @@ def test_shard_counts_are_multinomial(spark):
     assert abs(np.corrcoef(list(counts.values()))[np.triu_indices(3, 1)]).max() < 0.2 and [c.sum() for c in counts.values()] == [60_000, 150_000, 30_000]
 
 
-def test_mixing_many_sources(spark):
-    """Null doc_ids, clashing column names and more sources than partitions."""
+@pytest.mark.parametrize("few", [10**6, 1])
+def test_mixing_many_sources(spark, monkeypatch, few):
+    """Null doc_ids, clashing column names and many sources, ordered by one task or in ranges."""
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     r = random.Random(8)
     rows = [(None if i % 3 == 0 else i, sentence(r.randint(0, 30), r), f"s{i % 97:03}" if i % 5 else None, i, "x", 1, 2, "y") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long, _parts string, _taken long, _list long, _doc_key string")
