@@ -55,6 +55,12 @@ def flag(metric: Column, threshold: float, higher: bool = True) -> Column:
     return F.when(metric.isNotNull(), (metric >= threshold if higher else metric <= threshold).cast("double"))
 
 
+def spec_rows(specs: Sequence[Benchmark], graded: bool = True) -> tuple[list[tuple], str]:
+    """Benchmarks as rows and their schema: place, metric, direction, threshold, flag_column, graded."""
+    rows = [(i, b.metric, "higher_is_better" if b.higher else "lower_is_better", b.threshold, b.flag, graded) for i, b in enumerate(specs)]
+    return rows, "place int, metric string, direction string, threshold double, flag_column string, graded boolean"
+
+
 def with_benchmarks(rows: DataFrame, specs: Sequence[Benchmark]) -> DataFrame:
     """A flag for each benchmark, grade (their sum, null if all are null) and bench_of (how many are not null)."""
     rows = rows.withColumns({b.flag: flag(F.col(b.metric), b.threshold, b.higher) for b in specs})

@@ -77,11 +77,31 @@ def coverage(now: DataFrame, before: DataFrame, team: str, match: str) -> DataFr
     """Rows of each team now and before, and whether it is thin (fewer than half of the upper median) or missing."""
     n = now.groupBy(team).agg(F.countDistinct(match).alias("n_now"))
     b = before.groupBy(team).agg(F.countDistinct(match).alias("n_before"))
-    middle = n.agg(F.sort_array(F.collect_list("n_now")).alias("x")).select(F.get("x", F.floor(F.size("x") / 2).cast("int")).alias("median"))
+    # The upper median, from how many teams have each number of rows.
+    sizes = n.groupBy("n_now").agg(F.count(F.lit(1)).alias("teams"))
+    upto = F.sum("teams").over(Window.orderBy("n_now"))  # as many rows as different numbers
+    middle = sizes.withColumn("upto", upto).withColumn("all", F.sum("teams").over(Window.partitionBy())).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("n_now").alias("median"))
     both = n.join(b, team, "full_outer").crossJoin(F.broadcast(middle))  # one row
     return both.select(team, F.coalesce("n_now", F.lit(0)).alias("n_now"), F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce(F.col("n_now") * 2 < F.col("median"), F.lit(False)).alias("thin"), F.col("n_now").isNull().alias("missing"))
 
 
+def coverage_summary(now: DataFrame, before: DataFrame, team: str, match: str, conf: str) -> DataFrame:
+    """Teams, and the least, median and most rows of a team now; teams missing, and conferences of which all teams are missing."""
+    n = now.groupBy(team).agg(F.countDistinct(match).alias("n_now"))
+    lost = before.groupBy(team).agg(F.max(conf).alias(conf)).join(n, team, "left")
+    wiped = lost.groupBy(conf).agg(F.count("n_now").alias("kept")).where("kept = 0").agg(F.count(F.lit(1)).alias("conferences_wiped"))
+    sizes = n.agg(F.count(F.lit(1)).alias("teams"), F.min("n_now").alias("least"), F.percentile("n_now", F.lit(0.5)).alias("median"), F.max("n_now").alias("most"))
+    return sizes.crossJoin(lost.agg(F.count_if(F.col("n_now").isNull()).alias("missing"))).crossJoin(wiped)  # one row each
+
+
+def benchmarks_met(rows: DataFrame, by: Sequence[str], thresholds: DataFrame, higher: dict[str, bool]) -> DataFrame:
+    """How many of its position's benchmarks a row meets, and of how many it has a value. rows and thresholds share position and metric."""
+    known = rows.join(thresholds.select("position", "metric", "threshold"), ["position", "metric"])
+    up = F.create_map(*[F.lit(v) for kv in higher.items() for v in kv])[F.col("metric")]
+    met = F.when(up, F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
+    return known.where("value is not null").groupBy(*by).agg(F.count_if(met).alias("met"), F.count(F.lit(1)).alias("of"))
+
+
 def ranked(rows: DataFrame, by: Sequence[str], value: str, name: str, higher: bool = True, only: Column | None = None) -> DataFrame:
     """Least rank of ties within groups; null where value is null or only is false, which do not count either."""
     kept = F.col(value).isNotNull() if only is None else F.col(value).isNotNull() & only

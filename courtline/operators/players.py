@@ -146,3 +146,16 @@ def controlled_slope(rows: DataFrame, by: Sequence[str], y: str, x: str, control
         F.covar_pop(x, y).alias("xy"), F.covar_pop(control, y).alias("cy"), F.covar_pop(x, control).alias("xc"), F.var_pop(x).alias("xx"), F.var_pop(control).alias("cc"), F.avg(x).alias("mean_x"), F.count(F.lit(1)).alias("n"),
     )
     return g.select(*by, "n", "mean_x", F.try_divide(F.col("xy") * F.col("cc") - F.col("cy") * F.col("xc"), F.nullif(F.col("xx") * F.col("cc") - F.col("xc") ** 2, F.lit(0.0))).alias("slope"))
+
+
+def for_positions(rows: DataFrame, position: str, columns: dict[str, tuple[str, Sequence[str]]]) -> DataFrame:
+    """rows with columns that have a value for some positions only: name to (column, positions)."""
+    return rows.withColumns({name: F.when(F.col(position).isin(*allowed), F.col(c)) for name, (c, allowed) in columns.items()})
+
+
+def name_coverage(rows: DataFrame, roster: DataFrame, by: Sequence[str], player: str, weight: str) -> DataFrame:
+    """By group: hitters, those that the roster (team, player) does not have, the share of weight of those it has, and whether it has none."""
+    known = roster.select("team", player).distinct().withColumn("_known", F.lit(True))
+    each = rows.groupBy(*by, player).agg(F.sum(weight).alias("_w")).join(known, ["team", player], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    out = each.groupBy(*by).agg(F.count(F.lit(1)).alias("hitters"), F.count_if(~F.col("_known")).alias("unmatched"), (F.sum(F.when(F.col("_known"), F.col("_w"))) / F.sum("_w")).alias("coverage"))
+    return out.withColumn("team_unmatched", F.col("hitters") == F.col("unmatched"))

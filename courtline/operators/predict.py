@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import lerp, sigmoid
@@ -82,9 +82,8 @@ def win_distribution(rows: DataFrame, by: Sequence[str], p: str, order: str) ->
     ps = F.transform(F.array_sort(F.collect_list(F.struct(order, p))), lambda x: x[p])
     add = lambda d, q: F.zip_with(F.concat(F.transform(d, lambda v: v * (1 - q)), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(d, lambda v: v * q)), lambda a, b: a + b)
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("games"), F.sum(p).alias("mean"), ps.alias("ps")).withColumn("dist", F.aggregate("ps", F.array(F.lit(1.0)), add))
-    cdf = F.transform("dist", lambda v, i: F.aggregate(F.slice("dist", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
-    quantile = lambda q: (F.size(F.filter("_cdf", lambda c: c < q - 1e-12))).cast("long")
-    return out.withColumn("_cdf", cdf).select(*by, "games", "mean", "dist", quantile(0.1).alias("q10"), quantile(0.9).alias("q90"), F.element_at("dist", -1).alias("win_out"))
+    below = lambda q: F.aggregate("dist", F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")), lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["n"] + (s["sum"] + v < q - 1e-12).cast("long")).alias("n")))["n"]
+    return out.select(*by, "games", "mean", "dist", below(0.1).alias("q10"), below(0.9).alias("q90"), F.element_at("dist", -1).alias("win_out"))
 
 
 def project(schedule: DataFrame, played: DataFrame, ratings: DataFrame, values: Sequence[str], last_day: Column, fallback: float = 0.05) -> DataFrame:
@@ -99,6 +98,49 @@ def project(schedule: DataFrame, played: DataFrame, ratings: DataFrame, values:
     return out.withColumn("fallback", F.col("_none_home") | F.col("_none_away")).drop("_none_home", "_none_away", *[f"_low_{v}" for v in values])
 
 
+def with_chances(games: DataFrame, weights: Sequence[float], gaps: Sequence[Column]) -> DataFrame:
+    """Projected games with p_home, the chance by fitted weights: of the home side, then of each gap."""
+    z = F.lit(float(weights[0]))
+    for w, gap in zip(weights[1:], gaps, strict=True):
+        z = z + w * gap
+    return games.withColumn("p_home", 1 / (1 + F.exp(-z)))
+
+
+def unrated(games: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Teams of the games that no rating is known of."""
+    teams = games.select(F.explode(F.array("home", "away")).alias("team")).distinct()
+    return teams.join(ratings.select("team"), "team", "left_anti")
+
+
+def forecast_hits(rows: DataFrame, by: Sequence[str], p: str, hit: Column, n: int) -> DataFrame:
+    """Of the n likeliest by p in each group, how many are hits; all hits, their mean p, and the Brier skill against the same chance for all of the field.
+
+    rows: in_field tells who could be picked in hindsight.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(p), "team"))
+    y = F.coalesce(hit, F.lit(False)).cast("double")
+    x = rows.withColumn("_y", y).withColumn("_place", place).withColumn("_size", F.count_if("in_field").over(Window.partitionBy(*by)))
+    even = F.when(F.col("in_field"), n / F.col("_size")).otherwise(0.0)
+    return x.groupBy(*by).agg(
+        F.count_if((F.col("_place") <= n) & (F.col("_y") == 1)).alias("hits"), F.sum("_y").cast("long").alias("of"), F.avg(F.when(F.col("_y") == 1, F.col(p))).alias("mean_p"),
+        (1 - F.try_divide(F.sum((F.col(p) - F.col("_y")) ** 2), F.sum((even - F.col("_y")) ** 2))).alias("brier_skill"),
+    )
+
+
+def one_bid_leagues(rows: DataFrame, by: Sequence[str], conf: str, p: str) -> DataFrame:
+    """Leagues with one team in the field, and how many of their likeliest champions by p were that team."""
+    likeliest = F.max_by("in_field", F.struct(F.col(p), -F.col("team"))).alias("right")
+    leagues = rows.groupBy(*by, conf).agg(F.count_if("in_field").alias("bids"), likeliest).where("bids = 1")
+    return leagues.groupBy(*by).agg(F.count(F.lit(1)).alias("one_bid_leagues"), F.count_if("right").alias("one_bid_right"))
+
+
+def title_odds(rows: DataFrame, by: Sequence[str], p_title: str, p_round: str, reached: Column, champion: Column) -> DataFrame:
+    """The champion's rank by title odds, and the sum of title odds given the round of those who reached it."""
+    rank = F.rank().over(Window.partitionBy(*by).orderBy(F.desc(p_title)))
+    given = F.when(reached & (F.col(p_round) > 0), F.col(p_title) / F.col(p_round))
+    return rows.withColumn("_rank", rank).groupBy(*by).agg(F.min(F.when(champion, F.col("_rank"))).alias("champion_rank"), F.sum(given).alias("title_given_round"))
+
+
 def once(rows: DataFrame, day: str, a: str, b: str, order: Sequence[str]) -> DataFrame:
     """Matches once by day and unordered pair."""
     keyed = rows.withColumns({"_lo": F.least(a, b), "_hi": F.greatest(a, b)})

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship, with_checkpoints
 from ..specs import EloConfig
@@ -22,25 +24,40 @@ def pair_sums(sides: DataFrame, by: Sequence[str], team: str, opponent: str, y:
 
 
 def additive_fit(pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
-    """y = mu + off of team - def of opponent from pair sums; the penalty is on team effects only, which are centred."""
+    """y = mu + off of team - def of opponent from pair sums; the penalty is on team effects only, which are centred.
+
+    Conjugate gradient on the normal equations, preconditioned by their diagonal: memory and a round's
+    work are linear in the pairs, whatever the number of teams.
+    """
     teams = np.unique(np.concatenate([pdf.team.to_numpy(), pdf.opponent.to_numpy()]))
     k = len(teams)
-    i, j = np.searchsorted(teams, pdf.team), k + np.searchsorted(teams, pdf.opponent)
+    i, j = np.searchsorted(teams, pdf.team), np.searchsorted(teams, pdf.opponent)
     n, s = pdf.n.to_numpy(float), pdf.s.to_numpy(float)
-    a, rhs = np.zeros((2 * k + 1, 2 * k + 1)), np.zeros(2 * k + 1)
-    last = 2 * k
-    for rows, cols, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
-        np.add.at(a, (rows, cols), sign * n)
-    for at, sign in ((i, 1), (j, -1)):
-        np.add.at(a, (at, np.full(len(at), last)), sign * n)
-        np.add.at(a, (np.full(len(at), last), at), sign * n)
-        np.add.at(rhs, at, sign * s)
-    a[last, last], rhs[last] = n.sum(), s.sum()
-    a[np.arange(last), np.arange(last)] += ridge
-    x = np.linalg.solve(a, rhs)
-    off, deff = x[:k] - x[:k].mean(), x[k:last] - x[k:last].mean()
-    played = np.bincount(i, weights=n, minlength=k).astype(int)
-    return pd.DataFrame({"team": teams, "rating_off": 100 * off, "rating_def": 100 * deff, "rating_overall": 100 * (off + deff), "league": 100 * x[last], "n_matches": played})
+    total = lambda at, v: np.bincount(at, weights=v, minlength=k)
+    # Unknowns: off of each team, def of each team, mu.
+    b = np.concatenate([total(i, s), -total(j, s), [s.sum()]])
+    diagonal = np.concatenate([total(i, n) + ridge, total(j, n) + ridge, [n.sum()]])
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        fitted = n * (x[i] - x[k + j] + x[-1])
+        return np.concatenate([total(i, fitted) + ridge * x[:k], -total(j, fitted) + ridge * x[k : 2 * k], [fitted.sum()]])
+
+    x = np.zeros(2 * k + 1)
+    x[-1] = s.sum() / n.sum()
+    r = b - normal(x)
+    z = r / diagonal
+    direction, rz = z, r @ z
+    for _ in range(20 * (2 * k + 1)):
+        if rz <= 1e-26 * max(1.0, b @ (b / diagonal)):
+            break
+        step = normal(direction)
+        alpha = rz / (direction @ step)
+        x, r = x + alpha * direction, r - alpha * step
+        z = r / diagonal
+        rz, before = r @ z, rz
+        direction = z + rz / before * direction
+    off, deff = x[:k] - x[:k].mean(), x[k:-1] - x[k:-1].mean()
+    return pd.DataFrame({"team": teams, "rating_off": 100 * off, "rating_def": 100 * deff, "rating_overall": 100 * (off + deff), "league": 100 * x[-1], "n_matches": total(i, n).astype(int)})
 
 
 def additive_ratings(pairs: DataFrame, by: Sequence[str], ridge: float = 1.0) -> DataFrame:
@@ -111,59 +128,86 @@ def ridge_board(ratings: DataFrame, by: Sequence[str], least: int = 5) -> DataFr
 def walk_forward(sides: DataFrame, season: str, day: str, y: str, least: int = 50, ridge: float = 1.0) -> DataFrame:
     """Ratings for every week of a season, fitted on its matches before the week; none where these are fewer than least rows.
 
-    Pair sums are made by week once, then each row goes to the later weeks of its season, so the
-    matches are not scanned again for every week.
+    Pair sums are made by week once. A season's sums are one task's rows, to which it adds week by
+    week; nothing is repeated for later weeks.
     """
     week = F.date_trunc("week", day).cast("date")
-    sums = sides.dropna(subset=["team", "opponent", y]).groupBy(season, week.alias("w"), "team", "opponent").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
-    weeks = sides.select(season, week.alias("week_start")).distinct()
-    upto = sums.join(weeks, season).where(F.col("w") < F.col("week_start"))
-    upto = upto.groupBy(season, "week_start", "team", "opponent").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    enough = upto.groupBy(season, "week_start").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).drop("rows")
-    return additive_ratings(upto.join(enough, [season, "week_start"], "left_semi"), [season, "week_start"], ridge)
-
-
-def elo_fold(pdf: pd.DataFrame, config: EloConfig) -> pd.DataFrame:
-    """Ratings before and after each match, in the order of the rows."""
-    ratings: dict = {}
-    season, rows = None, []
-    strong, weak = config.damping
-    for m in pdf.itertuples(index=False):
-        if m.season != season:
-            if season is not None:
-                ratings = {t: config.mean + config.carryover * (r - config.mean) for t, r in ratings.items()}
-            season = m.season
-        h, a = ratings.get(m.home, config.mean), ratings.get(m.away, config.mean)
-        edge = h - a + config.home
-        expected = 1 / (1 + 10 ** (-edge / config.scale))
+    sums = sides.dropna(subset=["team", "opponent", y]).groupBy(season, week.alias("week_start"), "team", "opponent").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
+    weeks = sides.select(season, week.alias("week_start")).distinct().select(season, "week_start", *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in ("team", "opponent", "n", "s")])
+    team, kind = sums.schema["team"].dataType.simpleString(), sums.schema[season].dataType.simpleString()
+    ship(sides.sparkSession)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        marks, rows = sorted(pdf.loc[pdf.n.isna(), "week_start"].unique()), pdf[pdf.n.notna()].sort_values("week_start", kind="stable")
+        out, known = [], rows.iloc[:0]
+        for mark in marks:
+            new = rows.week_start < mark
+            known, rows = pd.concat([known, rows[new]]).groupby(["team", "opponent"], as_index=False)[["n", "s"]].sum(), rows[~new]
+            if known.n.sum() >= least:
+                out.append(additive_fit(known, ridge).assign(week_start=mark))
+        found = pd.concat(out) if out else pd.DataFrame(columns=["week_start", "team", "rating_off", "rating_def", "rating_overall", "league", "n_matches"])
+        found.insert(0, season, key[0])
+        return found[[season, "week_start", "team", "rating_off", "rating_def", "rating_overall", "league", "n_matches"]]
+
+    return sums.unionByName(weeks).groupBy(season).applyInPandas(run, f"{season} {kind}, week_start date, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
+
+
+class EloFold:
+    """Ratings of one pool while its matches come in order."""
+
+    def __init__(self, config: EloConfig):
+        self.config, self.ratings, self.season = config, {}, None
+
+    def add(self, season, home, away, home_won: float, margin: float) -> tuple[float, ...]:
+        """Both ratings before the match, the home side's chance, and both ratings after it."""
+        c = self.config
+        if season != self.season:
+            if self.season is not None:
+                self.ratings = {t: c.mean + c.carryover * (r - c.mean) for t, r in self.ratings.items()}
+            self.season = season
+        h, a = self.ratings.get(home, c.mean), self.ratings.get(away, c.mean)
+        edge = h - a + c.home
+        expected = 1 / (1 + 10 ** (-edge / c.scale))
         factor = 1.0
-        if config.margin and m.margin > 0:
-            factor = math.log(m.margin + 1) * strong / (weak * (edge if m.home_won else -edge) + strong)
-        change = config.k * factor * (m.home_won - expected)
-        ratings[m.home], ratings[m.away] = h + change, a - change
-        rows.append((m.match, h, a, expected, h + change, a - change))
-    return pd.DataFrame(rows, columns=["match", "elo_home", "elo_away", "p_home", "elo_home_after", "elo_away_after"])
+        if c.margin and margin > 0:
+            strong, weak = c.damping
+            factor = math.log(margin + 1) * strong / (weak * (edge if home_won else -edge) + strong)
+        change = c.k * factor * (home_won - expected)
+        self.ratings[home], self.ratings[away] = h + change, a - change
+        return h, a, expected, h + change, a - change
+
+
+ELO = ["elo_home", "elo_away", "p_home", "elo_home_after", "elo_away_after"]
 
 
 def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfig] | None = None) -> DataFrame:
     """Ratings before and after every match and the home side's chance, by pool and configuration.
 
-    matches: pool columns, match, season, day, home, away, home_won, margin. A pool's matches are one
-    ordered fold in one task; pools and configurations run side by side.
+    matches: pool columns, match, season, day, home, away, home_won, margin. A match's ratings follow
+    from all earlier ones, so a pool is one ordered fold. Spark sorts its matches on disk; the task
+    streams them and holds the ratings of the teams only. Pools and configurations run side by side.
     """
     configs = configs or {"default": EloConfig()}
     ship(matches.sparkSession)
     each = matches.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
     keys = [*pool, "config"]
-    schema = ", ".join([*(f"{c} {each.schema[c].dataType.simpleString()}" for c in keys), f"match {each.schema['match'].dataType.simpleString()}", *(f"{c} double" for c in ("elo_home", "elo_away", "p_home", "elo_home_after", "elo_away_after"))])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = elo_fold(pdf.sort_values(["day", "home", "away", "match"]), configs[key[-1]])
-        for c, v in reversed(list(zip(keys, key, strict=True))):
-            out.insert(0, c, v)
-        return out
-
-    return each.groupBy(*keys).applyInPandas(run, schema)
+    order = [*keys, "day", "home", "away", "match"]
+    rows = each.select(*keys, "match", "season", "day", "home", "away", F.col("home_won").cast("double").alias("home_won"), F.col("margin").cast("double").alias("margin"))
+    schema = T.StructType([*(rows.schema[c] for c in [*keys, "match"]), *(T.StructField(c, T.DoubleType()) for c in ELO)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fold = None, None
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in (*keys, "season", "home", "away", "home_won", "margin")}
+            found = []
+            for key, *match in zip(zip(*(columns[c] for c in keys), strict=True), *(columns[c] for c in ("season", "home", "away", "home_won", "margin")), strict=True):
+                if key != held:
+                    held, fold = key, EloFold(configs[key[-1]])
+                found.append(fold.add(*match))
+            made = np.array(found, dtype=float).reshape(-1, len(ELO))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "match"]), *map(pa.array, made.T)], names=[*keys, "match", *ELO])
+
+    return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def elo_season_ends(matches: DataFrame, log: DataFrame, pool: Sequence[str], least: int = 5) -> DataFrame:

@@ -54,8 +54,10 @@ def d3_home_view(t):
 
 @query("WITH " + SIDES_SQL + " SELECT a.contest_id, a.team, a.q, b.q AS o_q, b.p AS o_p, b.won AS o_won, a.q - b.q AS margin FROM sides a JOIN sides b ON a.contest_id = b.contest_id AND a.team <> b.team")
 def d4_mirror_join(t):
-    out = c.mirror(sides(t).select("contest_id", "team", "q", "p", "won"), ["contest_id"], "team", ["q", "p", "won"], "o_")
-    return out.select("contest_id", "team", "q", "o_q", "o_p", "o_won", (F.col("q") - F.col("o_q")).alias("margin"))
+    """Both sides' values beside each other: known before the sides are made, so no join is needed."""
+    lost = 1.0 - F.col("home_won")
+    mirrored = {"team": ("home", "away"), "q": ("home_q", "away_q"), "o_q": ("away_q", "home_q"), "o_p": ("away_p", "home_p"), "o_won": (lost, "home_won")}
+    return c.team_view(t.contest(), ["contest_id"], mirrored).select("contest_id", "team", "q", "o_q", "o_p", "o_won", (F.col("q") - F.col("o_q")).alias("margin"))
 
 
 @query("WITH " + CONTEST_SQL + """,
@@ -203,6 +205,33 @@ def e30_coverage(t):
     return m.coverage(x.where("season = 1998"), x.where("season = 1997"), "team", "contest_id")
 
 
+@query("WITH " + SIDES_SQL + """, n AS (SELECT team, count(DISTINCT contest_id) AS n_now FROM sides WHERE season = 1998 AND conf <> 'ASIA' GROUP BY 1), b AS (SELECT team, max(conf) AS conf FROM sides WHERE season = 1997 GROUP BY 1),
+l AS (SELECT b.team, conf, n_now FROM b LEFT JOIN n ON n.team = b.team)
+SELECT (SELECT count(*) FROM n) AS teams, (SELECT min(n_now) FROM n) AS least, (SELECT quantile_cont(n_now, 0.5) FROM n) AS median, (SELECT max(n_now) FROM n) AS most, (SELECT count(*) FROM l WHERE n_now IS NULL) AS missing,
+(SELECT count(*) FROM (SELECT conf FROM l GROUP BY 1 HAVING count(n_now) = 0)) AS conferences_wiped""")
+def e30_coverage_summary(t):
+    """A season that lost a conference, against the one before."""
+    x = sides(t)
+    return m.coverage_summary(x.where("season = 1998 and conf <> 'ASIA'"), x.where("season = 1997"), "team", "contest_id", "conf")
+
+
+@query("SELECT * FROM (VALUES (0, 'q', 'higher_is_better', 30.0::DOUBLE, 'b_q', true), (1, 'p', 'higher_is_better', 40000.0::DOUBLE, 'b_p', true), (2, 'opp_q', 'lower_is_better', 20.0::DOUBLE, 'b_opp_q', true)) v(place, metric, direction, threshold, flag_column, graded), (SELECT count(*) AS n_rows FROM lineitem)")
+def g3_spec_table(t):
+    """The benchmark definitions as rows, beside how many lines they are applied to."""
+    specs = t.spark.createDataFrame(*fr.spec_rows(SPECS))
+    return specs.crossJoin(t.lineitem.agg(F.count(F.lit(1)).alias("n_rows")))  # one row
+
+
+@query("WITH " + SEASON_SQL + """, v AS (SELECT season, team, round(q_mean, 6) AS q, round(p_mean, 6) AS p FROM ts), l AS (SELECT season, team, 'q' AS metric, q AS value, q >= 30 AS met FROM v UNION ALL SELECT season, team, 'p', p, p >= 40000 FROM v)
+SELECT season, team, metric, value, met, rank() OVER (PARTITION BY season, metric ORDER BY value DESC) AS rank_in_pool, count(*) OVER (PARTITION BY season, metric) AS pool FROM l""")
+def g4_season_benchmarks(t):
+    """A season's values judged by the match thresholds, with their rank among all teams."""
+    x = m.season_means(sides(t), ["season", "team"], ["q", "p"]).select("season", "team", R("q_mean", "q"), R("p_mean", "p"))
+    rows = m.ranked(m.long(x, ["season", "team"], ["q", "p"]), ["season", "metric"], "value", "rank_in_pool")
+    met = F.when(F.col("metric") == "q", F.col("value") >= SPECS[0].threshold).otherwise(F.col("value") >= SPECS[1].threshold)
+    return rows.select("season", "team", "metric", "value", met.alias("met"), F.col("rank_in_pool").cast("long").alias("rank_in_pool"), F.count(F.lit(1)).over(Window.partitionBy("season", "metric")).alias("pool"))
+
+
 @query("WITH " + SIDES_SQL + " SELECT count(*) AS rows, count(DISTINCT team) AS teams, count(DISTINCT season) AS seasons, min(day) AS first_day, max(day) AS last_day, round(quantile_cont(q, 0.5), 6) AS median_q FROM sides")
 def e32_build_metadata(t):
     return sides(t).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("team").alias("teams"), F.countDistinct("season").alias("seasons"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), R(F.percentile("q", F.lit(0.5)), "median_q"))
@@ -377,9 +406,9 @@ SELECT s.contest_id, s.team, round(v.before, 6) AS before FROM sides s LEFT JOIN
 def d12_as_of_week(t):
     x = sides(t)
     week = F.date_trunc("week", "day").cast("date")
-    sums = x.groupBy("season", "team", week.alias("wk")).agg(F.sum("won").alias("w"), F.count(F.lit(1)).alias("n"))
-    weeks = x.select("season", week.alias("week_start")).distinct()
-    v = sums.join(weeks, "season").where("wk < week_start").groupBy("season", "team", "week_start").agg((F.sum("w") / F.sum("n")).alias("before"))
+    sums = x.groupBy("season", "team", week.alias("week_start")).agg(F.sum("won").alias("w"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("season", "team").orderBy("week_start").rowsBetween(Window.unboundedPreceding, -1)
+    v = sums.select("season", "team", "week_start", (F.sum("w").over(earlier) / F.sum("n").over(earlier)).alias("before"))
     return c.as_of_week(x, "day", v, ["season", "team"]).select("contest_id", "team", R("before"))
 
 

@@ -85,12 +85,6 @@ def h13_projection(t):
     return out.select("day", "home", "away", R("q_home"), R("q_away"), F.round("p_home", 2).alias("p_home"), "fallback")
 
 
-@query("WITH " + CHANCE_SQL + " SELECT season, count(*) AS games, count(*) FILTER (month(day) >= 11) AS remaining, round(avg((month(day) < 11)::INT), 6) AS share_played, round(sum(p_home) FILTER (month(day) >= 11), 6) AS expected_home FROM chance GROUP BY 1")
-def h24_remaining_schedule(t):
-    late = F.month("day") >= 11
-    return with_chance(t).groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.count_if(late).alias("remaining"), R(F.avg((~late).cast("double")), "share_played"), R(F.sum(F.when(late, F.col("p_home"))), "expected_home"))
-
-
 RUN_SQL = RPI_SQL + """, runs AS (SELECT season AS sim, team, overall, ((overall - 1) // 2 + 1) AS seed, rpi > 0.55 AS auto, CASE WHEN overall <= 1 THEN 6 WHEN overall <= 2 THEN 5 WHEN overall <= 4 THEN 4 WHEN overall <= 8 THEN 3 ELSE 1 END AS reached
 FROM (SELECT season, team, rpi, row_number() OVER (PARTITION BY season ORDER BY rpi DESC NULLS LAST, team) AS overall FROM rpi) WHERE overall <= 40)"""
 
@@ -103,6 +97,96 @@ def run_rows(t: Tables):
     return x.select(F.col("season").alias("sim"), "team", "overall", (F.floor((o - 1) / 2) + 1).alias("seed"), (F.col("rpi") > 0.55).alias("auto"), reached.alias("reached"))
 
 
+H13_SQL = "WITH " + SEASON_SQL + """, rt AS (SELECT team, q_mean FROM ts WHERE season = 1997 AND n_matches >= 30), low AS (SELECT quantile_cont(q_mean, 0.05) AS lq FROM rt), g AS (SELECT DISTINCT day, home, away FROM contest WHERE season = 1998 AND day >= DATE '1998-11-01')"""
+
+
+def projected_1998(t):
+    rt = m.season_means(sides(t), ["season", "team"], ["q"]).where("season = 1997 and n_matches >= 30").select("team", F.col("q_mean").alias("q"))
+    x = t.contest()
+    return p.project(x.where("season = 1998").select("day", "home", "away"), x.where("false"), rt, ["q"], F.lit("1998-11-01").cast("date")), rt
+
+
+@query(H13_SQL + """ SELECT g.day, g.home, g.away, round(1 / (1 + exp(-(0.2 + 0.05 * (coalesce(h.q_mean, lq) - coalesce(a.q_mean, lq))))), 6) AS p_home, h.team IS NULL OR a.team IS NULL AS fallback FROM g LEFT JOIN rt h ON h.team = g.home LEFT JOIN rt a ON a.team = g.away, low""")
+def h13_projected_chances(t):
+    """Unplayed games with the home side's chance by given weights of home and rating gap."""
+    games, _ = projected_1998(t)
+    return p.with_chances(games, (0.2, 0.05), [F.col("q_home") - F.col("q_away")]).select("day", "home", "away", R("p_home"), "fallback")
+
+
+@query(H13_SQL + """ SELECT team FROM (SELECT home AS team FROM g UNION SELECT away FROM g) EXCEPT SELECT team FROM rt""")
+def h13_unrated_teams(t):
+    games, rt = projected_1998(t)
+    return p.unrated(games, rt)
+
+
+FORECAST_SQL = RUN_SQL + """, fc AS (SELECT season + 1 AS sim, team, conf, 1 / (1 + exp(-8 * (rpi - 0.5))) AS p_field, pow(1 / (1 + exp(-8 * (rpi - 0.5))), 3) AS p_reached3, pow(1 / (1 + exp(-8 * (rpi - 0.5))), 6) AS p_champion FROM rpi JOIN conference USING (team) WHERE rpi IS NOT NULL),
+fr AS (SELECT fc.*, runs.team IS NOT NULL AS in_field, coalesce(reached, 0) AS reached, overall, seed FROM fc LEFT JOIN runs ON runs.sim = fc.sim AND runs.team = fc.team WHERE fc.sim <= 2001)"""
+
+
+def forecast_rows(t: Tables):
+    """A season's RPI as the forecast of the next season's run, beside what came of it."""
+    p0 = 1 / (1 + F.exp(-8 * (F.col("rpi") - 0.5)))
+    fc = rpi_table(t).where("rpi is not null").join(t.conference(), "team").select((F.col("season") + 1).alias("sim"), "team", "conf", p0.alias("p_field"), (p0**3).alias("p_reached3"), (p0**6).alias("p_champion"))
+    found = run_rows(t).select("sim", "team", "reached", "overall", "seed", F.lit(True).alias("_in"))
+    return fc.where("sim <= 2001").join(found, ["sim", "team"], "left").withColumn("in_field", F.coalesce("_in", F.lit(False))).withColumn("reached", F.coalesce("reached", F.lit(0))).drop("_in")
+
+
+@query("WITH " + FORECAST_SQL + """, pl AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY p_reached3 DESC, team) AS place, count(*) FILTER (in_field) OVER (PARTITION BY sim) AS size FROM fr)
+SELECT sim, count(*) FILTER (place <= 8 AND reached >= 3) AS hits, count(*) FILTER (reached >= 3) AS "of", round(avg(p_reached3) FILTER (reached >= 3), 6) AS mean_p,
+round(1 - sum(pow(p_reached3 - (reached >= 3)::INT, 2)) / sum(pow(CASE WHEN in_field THEN 8 / size ELSE 0 END - (reached >= 3)::INT, 2)), 6) AS brier_skill FROM pl GROUP BY 1""")
+def h26_round_forecasts(t):
+    return p.forecast_hits(forecast_rows(t), ["sim"], "p_reached3", F.col("reached") >= 3, 8).select("sim", "hits", "of", R("mean_p"), R("brier_skill"))
+
+
+@query("WITH " + FORECAST_SQL + """, lg AS (SELECT sim, conf, count(*) FILTER (in_field) AS bids, arg_max(in_field, (p_field, -team)) AS hit FROM fr GROUP BY 1, 2 HAVING count(*) FILTER (in_field) = 1)
+SELECT sim, count(*) AS one_bid_leagues, count(*) FILTER (hit) AS one_bid_right FROM lg GROUP BY 1""")
+def h26_one_bid_leagues(t):
+    return p.one_bid_leagues(forecast_rows(t), ["sim"], "conf", "p_field")
+
+
+@query("WITH " + FORECAST_SQL + """, rk AS (SELECT *, rank() OVER (PARTITION BY sim ORDER BY p_champion DESC) AS r FROM fr)
+SELECT sim, min(r) FILTER (reached >= 6) AS champion_rank, round(sum(p_champion / p_reached3) FILTER (reached >= 4 AND p_reached3 > 0), 6) AS title_given_round FROM rk GROUP BY 1""")
+def h26_title_odds(t):
+    out = p.title_odds(forecast_rows(t), ["sim"], "p_champion", "p_reached3", F.col("reached") >= 4, F.col("reached") >= 6)
+    return out.select("sim", F.col("champion_rank").cast("long").alias("champion_rank"), R("title_given_round"))
+
+
+@query("WITH " + RUN_SQL + " SELECT sim, count(*) FILTER (seed <= 2 AND reached >= 3) AS round3_hits, count(*) FILTER (seed <= 2) AS round3_of, count(*) FILTER (seed = 1 AND reached >= 5) AS round5_hits, count(*) FILTER (seed = 1) AS round5_of FROM runs GROUP BY 1")
+def h27_seeds_alone(t):
+    """What the seeds alone got right."""
+    low = lambda k: F.col("seed") <= k
+    got = lambda k, r: F.count_if(low(k) & (F.col("reached") >= r))
+    return run_rows(t).groupBy("sim").agg(got(2, 3).alias("round3_hits"), F.count_if(low(2)).alias("round3_of"), got(1, 5).alias("round5_hits"), F.count_if(low(1)).alias("round5_of"))
+
+
+@query("WITH " + FORECAST_SQL + """, rk AS (SELECT *, rank() OVER (PARTITION BY sim ORDER BY p_champion DESC) AS r FROM fr) SELECT sim, team, round(p_field, 6) AS p_field, round(p_champion, 6) AS p_champion, r AS title_rank, seed::BIGINT AS seed,
+CASE reached WHEN 1 THEN 'first round' WHEN 3 THEN 'third round' WHEN 4 THEN 'fourth round' WHEN 5 THEN 'final' WHEN 6 THEN 'champion' ELSE 'not in the field' END AS finish FROM rk WHERE team = 3""")
+def h27_focus_team(t):
+    """One team's odds beside what it reached; the team is the parameter."""
+    from pyspark.sql import Window
+
+    x = forecast_rows(t).withColumn("title_rank", F.rank().over(Window.partitionBy("sim").orderBy(F.desc("p_champion"))).cast("long")).where("team = 3")
+    r = F.col("reached")
+    finish = F.when(r == 1, "first round").when(r == 3, "third round").when(r == 4, "fourth round").when(r == 5, "final").when(r == 6, "champion").otherwise("not in the field")
+    return x.select("sim", "team", R("p_field"), R("p_champion"), "title_rank", F.col("seed").cast("long").alias("seed"), finish.alias("finish"))
+
+
+@query("WITH " + CHANCE_SQL + """, met AS (SELECT season, least(home, away) AS lo, greatest(home, away) AS hi, count(*) AS n FROM chance GROUP BY 1, 2, 3), best AS (SELECT arg_max((season, lo, hi), (n, -season, -lo, -hi)) AS b FROM met)
+SELECT contest_id, day, round(CASE WHEN home = b[2] THEN p_home ELSE 1 - p_home END, 6) AS p, CASE WHEN home = b[2] THEN home_won ELSE 1 - home_won END AS won FROM chance, best WHERE season = b[1] AND least(home, away) = b[2] AND greatest(home, away) = b[3]""")
+def n24_most_frequent_pair(t):
+    """Meetings of the pair that met most often in a season, from the side of the smaller number."""
+    x = with_chance(t)
+    met = x.groupBy("season", F.least("home", "away").alias("lo"), F.greatest("home", "away").alias("hi")).agg(F.count(F.lit(1)).alias("n"))
+    season, lo, hi = met.agg(F.max_by(F.struct("season", "lo", "hi"), F.struct("n", -F.col("season"), -F.col("lo"), -F.col("hi"))).alias("b")).first()["b"]
+    return api.head_to_head(x, season, lo, hi).select("contest_id", "day", R("p"), "won")
+
+
+@query("WITH " + CHANCE_SQL + " SELECT season, count(*) AS games, count(*) FILTER (month(day) >= 11) AS remaining, round(avg((month(day) < 11)::INT), 6) AS share_played, round(sum(p_home) FILTER (month(day) >= 11), 6) AS expected_home FROM chance GROUP BY 1")
+def h24_remaining_schedule(t):
+    late = F.month("day") >= 11
+    return with_chance(t).groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.count_if(late).alias("remaining"), R(F.avg((~late).cast("double")), "share_played"), R(F.sum(F.when(late, F.col("p_home"))), "expected_home"))
+
+
 @query("WITH " + RUN_SQL + """, k AS (SELECT count(DISTINCT sim) AS sims FROM runs) SELECT team, round(count(*)::DOUBLE / any_value(sims), 6) AS p_field, round(count(*) FILTER (auto)::DOUBLE / any_value(sims), 6) AS p_auto, round(avg(overall), 6) AS mean_overall,
 round(count(*) FILTER (overall <= 16)::DOUBLE / any_value(sims), 6) AS p_host, round(count(*) FILTER (seed = 1)::DOUBLE / any_value(sims), 6) AS p_1seed, round(count(*) FILTER (reached >= 3)::DOUBLE / any_value(sims), 6) AS p_reached3, round(count(*) FILTER (reached >= 6)::DOUBLE / any_value(sims), 6) AS p_reached6 FROM runs, k GROUP BY 1""")
 def e29_run_summary(t):

@@ -167,3 +167,30 @@ def e6_e7_e8_in_system_shares(t):
     x = t.player_match().join(chosen, "player", "left")
     g = x.groupBy("team", "opponent").agg(F.sum("w").alias("kills"), F.coalesce(F.sum(F.when(F.col("in_set"), F.col("w"))), F.lit(0.0)).alias("in_system"))
     return g.select("team", "opponent", R("kills"), R("in_system"), R(F.col("in_system") / F.col("kills"), "share"))
+
+
+@query("WITH " + TOTALS_SQL + """, l AS (SELECT season, player, position, 'w' AS metric, w AS value FROM rated UNION ALL SELECT season, player, position, 'rate', rate FROM rated), th AS (SELECT position, metric, quantile_cont(value, 0.5) AS threshold FROM l GROUP BY 1, 2)
+SELECT season, player, position, count(*) FILTER (CASE WHEN l.metric = 'w' THEN value >= threshold ELSE value <= threshold END) AS met, count(*) AS "of" FROM l JOIN th USING (position, metric) GROUP BY 1, 2, 3""")
+def g7_benchmarks_by_position(t):
+    """How many of its position's benchmarks each player meets, and of how many; a low rate is better here."""
+    x = totals(t)
+    thresholds = pl.medians(x.select("position", "w", "rate"), ["position"], ["w", "rate"])
+    rows = m.long(x.select("season", "player", "position", "w", "rate"), ["season", "player", "position"], ["w", "rate"])
+    return m.benchmarks_met(rows, ["season", "player", "position"], thresholds, {"w": True, "rate": False})
+
+
+@query("WITH " + TOTALS_SQL + """, q AS (SELECT ps_partkey AS player, v AS touch FROM (SELECT p_partkey AS ps_partkey, p_retailprice AS v FROM part WHERE p_partkey % 10 <> 3)),
+j AS (SELECT rated.season, rated.player, rated.position, q.touch FROM rated LEFT JOIN q USING (player)) SELECT season, player, position, CASE WHEN position = 'ECONOMY' THEN touch END AS economy_touch, CASE WHEN position = 'PROMO' THEN touch END AS promo_touch FROM j""")
+def i13_touch_quality(t):
+    """Charted quality joined to players and kept only for the positions that it covers."""
+    quality = t.part.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("player"), F.col("p_retailprice").alias("touch"))
+    joined = totals(t).select("season", "player", "position").join(quality, "player", "left")
+    return pl.for_positions(joined, "position", {"economy_touch": ("touch", ["ECONOMY"]), "promo_touch": ("touch", ["PROMO"])}).select("season", "player", "position", "economy_touch", "promo_touch")
+
+
+@query("WITH " + PLAYER_SQL + """, rs AS (SELECT DISTINCT team, player FROM player_match WHERE season = 1997), h AS (SELECT p.season, p.team, p.player, sum(p.w) AS kills, bool_or(rs.player IS NOT NULL) AS known FROM player_match p LEFT JOIN rs ON rs.team = p.team AND rs.player = p.player GROUP BY 1, 2, 3)
+SELECT season, team, count(*) AS hitters, count(*) FILTER (NOT known) AS unmatched, round(sum(kills) FILTER (known) / sum(kills), 6) AS coverage, count(*) FILTER (known) = 0 AS team_unmatched FROM h GROUP BY 1, 2""")
+def e7_unmatched_coverage(t):
+    """Hitters that the roster knows, by team and season: how many are not matched, the share of kills that is, and teams without any match."""
+    x = t.player_match()
+    return pl.name_coverage(x, x.where("season = 1997").select("team", "player").distinct(), ["season", "team"], "player", "w").select("season", "team", "hitters", "unmatched", R("coverage"), "team_unmatched")
