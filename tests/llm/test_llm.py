@@ -516,3 +516,74 @@ def test_sent_windows():
         new = ids < sent.least(h, check)
         sent.add(h[new], check[new], ids[new])
         true |= {x: i for x, i, n in zip(h.tolist(), ids.tolist(), new.tolist(), strict=True) if n}
+
+
+CLASHING = ["_words", "_row", "_list", "_taken", "_size", "_doc", "_source", "_same", "_parts", "_key", "_found", "_own", "_node", "_score", "_doc_key", "node", "label", "ids", "token_steps", "found", "text_key", "part", "size"]
+
+
+def test_clashing_names(spark):
+    """Columns with the names that operators use inside, or give to results, are passed on."""
+    base, labels = labelled_docs(spark)
+    df = base.select("doc_id", "text", F.lit("s").alias("source"), *[F.col("doc_id").alias(c) for c in CLASHING]).where("doc_id is not null").coalesce(2)
+    for operator in (substring.deduplicated, bagminhash.one_of_each, lambda d: quality.kept(d, labels), mixing.mixed_documents):
+        out = operator(df)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[c] == r["doc_id"] for r in rows for c in CLASHING)
+    json, ranks, pattern = tokenizer_paths()
+    encoded = bpe.decode(bpe.encode(df, ranks, pattern), ranks, into="_own")
+    assert sorted(encoded.columns) == sorted(df.columns) and all(bytes(r["_own"]) == (r["text"] or "").encode() and r["node"] == r["doc_id"] for r in encoded.collect())
+    counted = token_counts.with_prefix_counts(df, json, pattern)
+    assert sorted(counted.columns) == sorted(df.columns) and all(r["ids"] == r["doc_id"] for r in counted.collect())
+
+
+def test_viterbi_against_all_readings():
+    r = np.random.default_rng(2)
+    model = np.log(r.dirichlet(np.ones(28), (28, 28))).tolist()
+
+    def cost_of(reading):
+        x = y = 0
+        total = 0.0
+        for _, extra, classes in reading:
+            total += extra
+            for z in classes:
+                total -= model[x][y][z]
+                x, y = y, z
+        return total - model[x][y][0]
+
+    import itertools
+
+    lattices = [toxicity.lattice(w) for w in ("1d10t", "m0r.0n", "$tuuupid", "a|l8", "b!11")] + [toxicity.stretch_lattice(x.split()) for x in ("i d 1 o t", "a b c")]
+    for places in lattices:
+        best = min(itertools.product(*places), key=cost_of)
+        assert toxicity.likeliest(places, model) == "".join(x for x, *_ in best)
+
+
+def test_compressed_differences_one_by_one():
+    import zstandard
+
+    good, bad = (quality.dictionary([sentence(400).encode() if k else sentence(400).upper().encode() for _ in range(60)]) for k in (1, 0))
+    texts = [b"", b"x", sentence(30).encode(), sentence(900).encode()]
+    for text, got in zip(texts, quality.differences(texts, good, bad), strict=True):
+        pieces = [text[i : i + quality.BLOCK] for i in range(0, len(text), quality.BLOCK)] or [b""]
+        size = {}
+        for name, raw in (("good", good), ("bad", bad)):
+            coder = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[name] = [len(coder.compress(p)) for p in pieces]
+        rates = [(g - b) / max(1, len(p)) for g, b, p in zip(size["good"], size["bad"], pieces, strict=True)]
+        n = sum(max(1, len(p)) for p in pieces)
+        assert got.tolist() == pytest.approx([(sum(size["good"]) - sum(size["bad"])) / n, max(rates), min(rates), sum(size["good"]) / n, sum(size["bad"]) / n], abs=0.02)
+
+
+def test_repeated_labels_and_rows(spark):
+    """Of several labels of a document the largest counts; repeated rows get equal scores; empty tables give empty results."""
+    docs, labels = labelled_docs(spark)
+    twice = labels.unionByName(labels.selectExpr("doc_id", "0 as quality", "0 as toxic", "lang"))
+    for scores, empty in ((lambda d, x: quality.quality_scores(d, x), 0.5), (lambda d, x: toxicity.toxicity_scores(d, x), 0.0)):
+        rows = scores(docs.unionByName(docs), twice).collect()
+        by = collections.defaultdict(set)
+        for r in rows:
+            by[r["doc_id"]].add(r["score"])
+        assert len(rows) == 2 * docs.count() and all(len(x) == 1 for d, x in by.items() if d is not None)
+        assert {r["score"] for r in scores(docs, labels.where("1 = 0")).collect()} == {empty}
+        assert scores(docs.where("1 = 0"), labels.where("1 = 0")).count() == 0
