@@ -3,6 +3,11 @@
 Every stage is written as Parquet in the shared folder and read again as the next one's documents,
 so a lost executor costs no more than a part of one stage. Every stage but the last returns the
 columns of documents.
+
+A null text is judged and compared as an empty one, and the mix never takes a text without words. A
+null doc_id is a document like others, after all that have one. Of rows equal in doc_id and text one
+stays; of texts alike, that with the least doc_id. Texts are read whole, however long. Other columns
+may have any name and are passed on up to the mix. An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
