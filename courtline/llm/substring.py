@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,12 @@ def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+@lru_cache(maxsize=4)
+def byte_values(seed: int, places: int = 64) -> np.ndarray:
+    """The random values of all bytes at the first places of a word."""
+    return mixed(np.arange(places * 256, dtype=U) + U(seed))
+
+
 class Words:
     """The words of some texts: hashes of words, and where each text's words begin."""
 
@@ -113,11 +120,15 @@ class Words:
         """A hash of each word: the sum, over its bytes, of a random value for the byte and its place in the word."""
         if not len(self.starts):
             return np.zeros(0, dtype=U)
-        sizes = self.ends - self.starts
-        last = np.cumsum(sizes)
-        place = np.arange(last[-1]) - np.repeat(last - sizes, sizes)
-        byte = self.data[np.repeat(self.starts, sizes) + place]
-        return mixed(np.add.reduceat(mixed((place.astype(U) << U(8) | byte) + U(seed)), last - sizes))
+        sizes = (self.ends - self.starts).astype(np.int32)
+        last = np.cumsum(sizes, dtype=np.int32)
+        place = np.arange(last[-1], dtype=np.int32) - np.repeat(last - sizes, sizes)
+        code = place << 8 | self.data[np.repeat(self.starts.astype(np.int32), sizes) + place]
+        table = byte_values(seed)
+        values = table[np.minimum(code, len(table) - 1)]
+        beyond = np.flatnonzero(code >= len(table))
+        values[beyond] = mixed(code[beyond].astype(U) + U(seed))
+        return mixed(np.add.reduceat(values, last - sizes))
 
     def windows(self, size: int) -> np.ndarray:
         """Numbers of the words at which a window of size words within one text begins."""
