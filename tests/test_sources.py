@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from courtline.functions import text
 from courtline.sources import box, feeds, tables
 
 
@@ -31,7 +32,7 @@ def test_points_and_box(spark, tmp_path):
     play = lambda text, h=None, v=None: {"playText": text, "homeScore": h, "visitorScore": v}
     (tmp_path / "m.json").write_text(json.dumps({"_date": "09/01/2024", "_away_team": "A", "_home_team": "H", "teams": [{"teamId": "1", "isHome": True, "nameShort": "H "}, {"teamId": "2", "isHome": False, "nameShort": "A"}], "periods": [{"playbyplayStats": [{"teamId": 1, "plays": [play("Kill by J (from S)", 1, 0), play("Timeout")]}, {"teamId": "2", "plays": [play("Service ace by Q", 1, 1)]}]}]}))
     r = feeds.land_points(spark, str(tmp_path)).orderBy("set_no", "seq").collect()
-    assert [(x["team"], x["kind"], x["home_score"], x["away_score"], x["actor"]) for x in r] == [("H", "Kill", 1, 0, "J"), ("A", "Service ace", 1, 1, "Q")]
+    assert [(x["team"], x["kind"], x["home_score"], x["away_score"], x["actor"]) for x in r] == [("H", "Kill", 1, 0, "J"), ("A", "Ace", 1, 1, "Q")]
     (tmp_path / "box").mkdir()
     (tmp_path / "box/b.json").write_text(json.dumps({"_date": "09/01/2024", "teams": [{"teamId": "1", "isHome": True, "nameShort": "H"}, {"teamId": "2", "isHome": False, "nameShort": "A"}], "teamBoxscore": [{"teamId": 1, "playerStats": [{"firstName": "J", "lastName": "D", "position": "OH", "gamesPlayed": "3", "kills": "7", "participated": True}, {"firstName": "N", "lastName": "O", "participated": False}]}]}))
     r = feeds.land_player_stats(spark, str(tmp_path / "box")).collect()
@@ -65,3 +66,21 @@ def test_order_and_upsert(spark, tmp_path):
     tables.write_summary(rows(2024, 3), str(tmp_path / "csv"), "csv")
     tables.write_summary(rows(2024, 3), str(tmp_path / "json"), "json")
     assert spark.read.json(str(tmp_path / "json")).first()["v"] == 3
+
+
+def test_play_kinds_and_actors(spark):
+    """Errors count before kills and blocks, phrases are whole words, and a name ends at a comma."""
+    want = [
+        ("Block error by X.", "Block error", "X"), ("Blocking error by X", "Block error", "X"), ("Bad set by X", "Set error", "X"), ("set error by X Y.", "Set error", "X Y"), ("Kill by J, block error by K", "Block error", "J"), ("Blocked ball", "Other", None),
+        ("Kill by Jane Doe, assist by A", "Kill", "Jane Doe"), ("Service ace by Q", "Ace", "Q"), ("Service error (X)", "Service error", None), ("Attack error by A (block by B)", "Attack error", "A"), ("Block by A, B", "Block", "A"), ("Reception error by A", "Other", "A"),
+        ("kill by the net, by Ann B. Lee", "Kill", "Ann B"), ("Roadkill", "Other", None), ("Dig error, ball handling error by Z", "Ball handling error", "Z"), ("", "Other", None),
+    ]
+    df = spark.createDataFrame([(t,) for t, *_ in want], "t string")
+    got = {r["t"]: (r["k"], r["a"]) for r in df.select("t", text.play_kind(F.col("t")).alias("k"), text.actor(F.col("t")).alias("a")).collect()}
+    assert got == {t: (k, a) for t, k, a in want}
+
+
+def test_the_last_file_wins(spark, tmp_path):
+    for name, pos in (("b.csv", "S"), ("a.csv", "OH"), ("c.csv", "L")):
+        (tmp_path / name).write_text(f"Team,Player,Pos\nT,\"Doe, Jane\",{pos}\n" + "T,Other,X\n" * (50 if name == "a.csv" else 1))
+    assert {r["position"] for r in box.land_roster(spark, str(tmp_path)).where("player_key = 'JANE DOE'").collect()} == {"L"}
