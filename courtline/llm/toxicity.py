@@ -43,8 +43,8 @@ Z = 2.0
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.5
 #: Bytes that a worker's memories may take, about.
-WORD_BYTES = 80_000_000
-STRETCH_BYTES = 40_000_000
+WORD_BYTES = 160_000_000
+STRETCH_BYTES = 60_000_000
 
 # Signs that stand for letters.
 MEANT = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
