@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, mixing, mpegts, quality, substring, token_counts, topk, toxicity, warc
+from . import bagminhash, bond, bpe, merkle, mixing, mpegts, quality, simhash, substring, token_counts, topk, toxicity, warc
 from .common import table
 from .sql import SQL
 
@@ -53,6 +53,20 @@ def op10_bpe(spark, sf_dir):
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_mpegts": op6_mpegts, "op7_toxicity": op7_toxicity, "op8_substring": op8_substring, "op9_bagminhash": op9_bagminhash, "op10_bpe": op10_bpe}
+def op11_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_merkle(spark, sf_dir):
+    cut = {"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=cut, when=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_mpegts": op6_mpegts, "op7_toxicity": op7_toxicity, "op8_substring": op8_substring, "op9_bagminhash": op9_bagminhash, "op10_bpe": op10_bpe, "op11_simhash": op11_simhash, "op12_hard_negatives": op12_hard_negatives, "op13_merkle": op13_merkle}
 
 __all__ = ["QUERIES", "SQL"]

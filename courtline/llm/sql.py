@@ -9,6 +9,14 @@ def drawn(x: str, key: str, n: str) -> str:
     return f"(('0x' || substr(md5(({x})::VARCHAR || ':' || ({key})::VARCHAR), 1, 15))::BIGINT % ({n}))"
 
 
+def sized_value(x: str) -> str:
+    """merkle.sized_value in SQL."""
+    return f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')"
+
+
+#: crc32 of doc_id in decimal, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
 MIRROR = "CASE WHEN k >= a THEN k - a ELSE k - a + n END"
 SWAP = f"((greatest(a, {MIRROR}) % 1073741789 + k % 1073741789) * (greatest(a, {MIRROR}) % 1073741789 + 29773456)) % 1073741783 % 2 = 1"
 
@@ -43,10 +51,10 @@ FROM st JOIN t ON t.source IS NOT DISTINCT FROM st.source LEFT JOIN g ON g.doc_i
 g AS (SELECT payload_digest, max(page_id) AS m FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN m IS NULL OR m IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN m IS DISTINCT FROM page_id THEN m END AS refers_to FROM p LEFT JOIN g USING (payload_digest)""",
-    "op3_topk": """WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+    "op3_topk": """WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20""",
     "op8_substring": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
@@ -55,4 +63,26 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN m U
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_hard_negatives": """WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding, label) AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.r = p.r WHERE p.place <= 5 AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM n WHERE rank <= 3""",
+    "op13_merkle": """WITH RECURSIVE f AS (SELECT doc_id, source, '' || """ + " || ".join(sized_value(c) for c in ("doc_id", "source", "lang", "n_chars")) + """ AS head, text FROM documents),
+l AS (SELECT doc_id, source, sha256(head || """ + sized_value("text") + """) AS leaf, CASE WHEN """ + CRC32 + """ % 2 = 0 THEN sha256(head || """ + sized_value("replace(text, chr(10), '')") + """) END AS cut FROM f),
+g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS groups FROM (SELECT DISTINCT source FROM l)),
+a AS MATERIALIZED (SELECT tree, groups, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, doc_id, leaf, cut FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source),
+t AS (SELECT tree, 0 AS level, i, n, leaf AS d FROM a UNION ALL SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, level, i // 3, n),
+s AS MATERIALIZED (SELECT x.tree, x.level, x.i, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS lft, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS rgt FROM t x JOIN t y ON y.tree = x.tree AND y.level = x.level AND y.i // 3 = x.i // 3 WHERE x.n > 1 GROUP BY 1, 2, 3),
+sub AS (SELECT tree, d AS subroot FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, tree AS i, (SELECT any_value(groups) FROM g) AS n, subroot AS d FROM sub UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+us AS MATERIALIZED (SELECT x.level, x.i, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS lft, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS rgt FROM u x JOIN u y ON y.level = x.level AND y.i // 3 = x.i // 3 WHERE x.n > 1 GROUP BY 1, 2),
+up AS (SELECT tree, i AS leaf_no, 0 AS level, i, coalesce(cut, leaf) AS d, '' AS path FROM a UNION ALL SELECT up.tree, leaf_no, up.level + 1, up.i // 3, sha256(lft || d || rgt), path || lft || rgt FROM up JOIN s ON s.tree = up.tree AND s.level = up.level AND s.i = up.i),
+top AS (SELECT tree, leaf_no, arg_max(d, level) AS d, arg_max(path, level) AS path FROM up GROUP BY 1, 2),
+over_groups AS (SELECT tree, leaf_no, 0 AS level, tree AS i, d, path FROM top UNION ALL SELECT o.tree, leaf_no, o.level + 1, o.i // 3, sha256(lft || d || rgt), path || lft || rgt FROM over_groups o JOIN us ON us.level = o.level AND us.i = o.i),
+fin AS (SELECT tree, leaf_no, arg_max(d, level) AS folded_root, sha256(arg_max(path, level)) AS proof_sha256 FROM over_groups GROUP BY 1, 2)
+SELECT a.doc_id, a.leaf, sub.subroot, r.d AS root, fin.proof_sha256, fin.folded_root, fin.folded_root = r.d AS verified
+FROM a JOIN sub USING (tree) JOIN fin ON fin.tree = a.tree AND fin.leaf_no = a.i, (SELECT d FROM u WHERE n = 1) r""",
 }

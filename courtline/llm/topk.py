@@ -15,14 +15,15 @@ rows for each query, and the answers are merged by a window. Neither side is col
 Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows
 without a vec_id. Vectors are scored against those of the same length. A score must be a 64-bit
 integer: if the largest component of the rows and that of the queries could make a larger one in
-that many dimensions, the search fails and says so, and never wraps. Of rows that share a vec_id the
-least vector is the query; all of them are candidates of other queries, and none is of its own
-vec_id's. An empty table or query set gives an empty result. Other columns may have any name.
+that many dimensions, the search fails and says so, and never wraps. Rows are told apart by their
+place, not by vec_id: each row that is a query has its own answer, and only the row itself is barred
+from it, not others of its vec_id. An empty table or query set gives an empty result. Other columns
+may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,8 +99,8 @@ def at_least(slices: dict[int, np.ndarray], rows: np.ndarray, value: int) -> np.
 class SlicedBlock:
     """Bit slices of the attributes of a block of integer vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, drop_bits: int = DROP_BITS):
-        self.ids, self.vectors, self.drop = ids, vectors, drop_bits
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, drop_bits: int = DROP_BITS):
+        self.numbers, self.ids, self.vectors, self.drop = rows, ids, vectors, drop_bits
         n = len(ids)
         self.low = vectors.min(axis=0)
         coarse = (vectors - self.low) >> drop_bits
@@ -107,7 +108,7 @@ class SlicedBlock:
         words = -(-n // 64) * 64
         self.rows = self.packed(np.ones(n, dtype=bool), words)
         self.slices = [[self.packed(coarse[:, d] >> b & 1 == 1, words) for b in range(bits)] for d, bits in enumerate(self.bits)]
-        self.order = np.argsort(ids, kind="stable")
+        self.order = np.argsort(rows, kind="stable")
 
     @staticmethod
     def packed(flags: np.ndarray, words: int) -> np.ndarray:
@@ -115,8 +116,8 @@ class SlicedBlock:
         full[: len(flags)] = flags
         return np.packbits(full, bitorder="little").view(np.uint64)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best rows other than query_id, best first, ties by id."""
+    def top(self, own_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best rows other than own_row, best first, ties by id."""
         columns: dict[int, list[np.ndarray]] = {}
         slack = 0
         for weight, slices in zip(query.tolist(), self.slices, strict=True):
@@ -129,7 +130,7 @@ class SlicedBlock:
                         columns.setdefault(b + j, []).append(bitmap)
         total = add_bitmaps(columns)
         rows = self.rows.copy()
-        own = self.order[np.searchsorted(self.ids, query_id, "left", self.order) : np.searchsorted(self.ids, query_id, "right", self.order)]
+        own = self.order[np.searchsorted(self.numbers, own_row, "left", self.order) : np.searchsorted(self.numbers, own_row, "right", self.order)]
         for r in own.tolist():
             rows[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
         # In coarse units a score lacks less than slack / 2^drop, so whoever reaches the k-th has at least this.
@@ -141,13 +142,18 @@ class SlicedBlock:
         return self.ids[found][best], scores[best]
 
 
-def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and q, the integers floor(scale * x), of the rows that take part."""
+def quantised(vectors: DataFrame, scale: int, *more: str) -> DataFrame:
+    """vec_id, columns of more, and q, the integers floor(scale * x), of the rows that take part."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     # The least and the largest long have no mirror or product; whatever lies beyond is refused below as too large.
     whole = F.transform(x, lambda v: F.least(F.lit(float(LARGEST)), F.greatest(F.lit(-float(LARGEST)), F.floor(v * scale).cast("double"))).cast("long"))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", whole.alias("q"))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", *more, whole.alias("q"))
+
+
+def with_rows(rows: DataFrame, label: str) -> DataFrame:
+    """rows, written and read again, with row: a number that tells each from all others."""
+    return saved(rows.withColumn("row", F.monotonically_increasing_id()), label)
 
 
 def fits(rows: DataFrame, queries: DataFrame) -> None:
@@ -159,19 +165,18 @@ def fits(rows: DataFrame, queries: DataFrame) -> None:
             raise ValueError(f"components of {dim}-dimensional vectors are too large for 64-bit scores")
 
 
-def in_blocks(rows: DataFrame, most: int) -> DataFrame:
-    """vec_id and q in rows of up to most vectors of one length: dim, n, ids and vectors as bytes."""
+def in_blocks(rows: DataFrame, most: int, columns: Sequence[str]) -> DataFrame:
+    """Rows of up to most vectors of one length: dim, and as bytes the long columns and the vectors q of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def block(dim: int) -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _ in held[dim]])
-            vectors = np.concatenate([v for _, v in held.pop(dim)])
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["dim", "n", "ids", "vectors"])
+            parts = [np.concatenate(x).tobytes() for x in zip(*held.pop(dim), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], names=["dim", *columns, "vectors"])
 
         for batch in batches:
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            longs = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
             q = batch.column("q")
             sizes = pc.list_value_length(q).to_numpy(zero_copy_only=False)
             flat, starts = q.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
@@ -179,13 +184,13 @@ def in_blocks(rows: DataFrame, most: int) -> DataFrame:
                 at = np.flatnonzero(sizes == dim)
                 vectors = flat[starts[at][:, None] + np.arange(dim)]
                 for k in range(0, len(at), most):
-                    held.setdefault(dim, []).append((ids[at[k : k + most]], vectors[k : k + most]))
-                    if sum(len(i) for i, _ in held[dim]) >= most:
+                    held.setdefault(dim, []).append((*(x[at[k : k + most]] for x in longs), vectors[k : k + most]))
+                    if sum(len(x[0]) for x in held[dim]) >= most:
                         yield block(dim)
         for dim in list(held):
             yield block(dim)
 
-    return in_tasks(rows, run, "dim int, n int, ids binary, vectors binary")
+    return in_tasks(rows, run, "dim int, " + ", ".join(f"{c} binary" for c in (*columns, "vectors")))
 
 
 def numbered(blocks: DataFrame, label: str) -> DataFrame:
@@ -196,36 +201,51 @@ def numbered(blocks: DataFrame, label: str) -> DataFrame:
     return placed.join(F.broadcast(before), "of").withColumn("no", F.col("before") + F.col("at")).drop("of", "at", "before")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, drop_bits: int = DROP_BITS) -> DataFrame:
-    """The k best rows of every query: query_id, rank, vec_id, score."""
-    rows = quantised(vectors, scale)
-    queries = rows.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("q").alias("q"))
-    fits(rows, queries)
-    blocks = numbered(in_blocks(rows.where("vec_id is not null"), block_rows), "row-blocks")
-    asked = numbered(in_blocks(queries, query_rows), "query-blocks")
+def meetings(rows: DataFrame, queries: DataFrame, columns: Sequence[str], block_rows: int, query_rows: int) -> DataFrame:
+    """Every block of rows with every block of queries: part, kind (0: a block of rows, which the queries of its part follow), dim, columns and vectors.
+
+    columns: long columns of rows and queries; rows need not have those that they lack.
+    """
+    blocks = numbered(in_blocks(rows.withColumns({c: long(0) for c in columns if c not in rows.columns}), block_rows, columns), "row-blocks")
+    asked = numbered(in_blocks(queries, query_rows, columns), "query-blocks")
     n_blocks, n_asked = blocks.count(), asked.count()
     # A row block goes to as many tasks as there are parts of the query blocks; there are several parts only while tasks are few.
-    splits = max(1, min(n_asked, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // max(1, n_blocks))))
+    splits = max(1, min(n_asked, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // max(1, n_blocks))))
     number = lambda n: F.explode(F.sequence(long(0), long(max(0, n - 1))))
-    left = blocks.select(F.col("no").alias("row_no"), number(splits).alias("split"), F.lit(0).alias("kind"), "dim", "ids", "vectors")
-    right = asked.select(number(n_blocks).alias("row_no"), (F.col("no") % splits).alias("split"), F.lit(1).alias("kind"), "dim", "ids", "vectors")
+    carried = ["dim", *columns, "vectors"]
+    left = blocks.select(F.col("no").alias("row_no"), number(splits).alias("split"), F.lit(0).alias("kind"), *carried)
+    right = asked.select(number(n_blocks).alias("row_no"), (F.col("no") % splits).alias("split"), F.lit(1).alias("kind"), *carried)
     part = F.col("row_no") * splits + F.col("split")
-    both = left.unionByName(right).select(part.alias("part"), "kind", "dim", "ids", "vectors")
+    both = left.unionByName(right).select(part.alias("part"), "kind", *carried)
     parts = max(1, min(MOST_PARTS, n_blocks * splits))
-    dealt = both.repartitionById(parts, (F.col("part") % parts).cast("int")).sortWithinPartitions("part", "kind")
+    return both.repartitionById(parts, (F.col("part") % parts).cast("int")).sortWithinPartitions("part", "kind")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[int, int, int, list[np.ndarray], np.ndarray]]:
+    """part, kind, dim, columns and vectors of each block that a task gets from meetings."""
+    for batch in batches:
+        for part, kind, dim, *longs, vectors in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "dim", *columns, "vectors")), strict=True):
+            yield part, kind, dim, [np.frombuffer(x, dtype=np.int64) for x in longs], np.frombuffer(vectors, dtype=np.int64).reshape(-1, dim)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, drop_bits: int = DROP_BITS) -> DataFrame:
+    """The k best rows of every query: query_id, rank, vec_id, score."""
+    rows = with_rows(quantised(vectors, scale).where("vec_id is not null"), "quantised")
+    queries = rows.where(is_query)
+    fits(rows, queries)
+    columns = ("row", "vec_id")
+    dealt = meetings(rows, queries, columns, block_rows, query_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int, SlicedBlock] | None = None
-        for batch in batches:
-            for number, kind, dim, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "dim", "ids", "vectors")), strict=True):
-                ids, vectors = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=np.int64).reshape(-1, dim)
-                if not kind:
-                    held = (number, dim, SlicedBlock(ids, vectors, drop_bits))
-                elif held and held[:2] == (number, dim):
-                    found = [(q, *held[2].top(q, v, k)) for q, v in zip(ids.tolist(), vectors, strict=True)]
-                    query_ids = np.repeat(np.array([q for q, _, _ in found], dtype=np.int64), [len(i) for _, i, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
-
-    best = in_tasks(dealt, run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        for part, kind, dim, (numbers, ids), vectors in unpacked(batches, columns):
+            if not kind:
+                held = (part, dim, SlicedBlock(numbers, ids, vectors, drop_bits))
+            elif held and held[:2] == (part, dim):
+                found = [held[2].top(n, v, k) for n, v in zip(numbers.tolist(), vectors, strict=True)]
+                sizes = [len(i) for i, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, sizes)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["row", "query_id", "vec_id", "score"])
+
+    best = in_tasks(dealt, run, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
