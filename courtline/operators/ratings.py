@@ -1,19 +1,15 @@
-"""Team ratings: additive ridge, Elo, schedule strength, composite, RPI, champions, field and bracket slots."""
+"""Team ratings: additive ridge, schedule strength, composite, RPI, champions, field and bracket slots; Elo is in elo."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ship, with_checkpoints
-from ..specs import EloConfig
 from .metrics import ranked, z_scores
 
 
@@ -152,73 +148,6 @@ def walk_forward(sides: DataFrame, season: str, day: str, y: str, least: int = 5
     return sums.unionByName(weeks).groupBy(season).applyInPandas(run, f"{season} {kind}, week_start date, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
 
 
-class EloFold:
-    """Ratings of one pool while its matches come in order."""
-
-    def __init__(self, config: EloConfig):
-        self.config, self.ratings, self.season = config, {}, None
-
-    def add(self, season, home, away, home_won: float, margin: float) -> tuple[float, ...]:
-        """Both ratings before the match, the home side's chance, and both ratings after it."""
-        c = self.config
-        if season != self.season:
-            if self.season is not None:
-                self.ratings = {t: c.mean + c.carryover * (r - c.mean) for t, r in self.ratings.items()}
-            self.season = season
-        h, a = self.ratings.get(home, c.mean), self.ratings.get(away, c.mean)
-        edge = h - a + c.home
-        expected = 1 / (1 + 10 ** (-edge / c.scale))
-        factor = 1.0
-        if c.margin and margin > 0:
-            strong, weak = c.damping
-            factor = math.log(margin + 1) * strong / (weak * (edge if home_won else -edge) + strong)
-        change = c.k * factor * (home_won - expected)
-        self.ratings[home], self.ratings[away] = h + change, a - change
-        return h, a, expected, h + change, a - change
-
-
-ELO = ["elo_home", "elo_away", "p_home", "elo_home_after", "elo_away_after"]
-
-
-def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfig] | None = None) -> DataFrame:
-    """Ratings before and after every match and the home side's chance, by pool and configuration.
-
-    matches: pool columns, match, season, day, home, away, home_won, margin. A match's ratings follow
-    from all earlier ones, so a pool is one ordered fold. Spark sorts its matches on disk; the task
-    streams them and holds the ratings of the teams only. Pools and configurations run side by side.
-    """
-    configs = configs or {"default": EloConfig()}
-    ship(matches.sparkSession)
-    each = matches.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
-    keys = [*pool, "config"]
-    order = [*keys, "day", "home", "away", "match"]
-    rows = each.select(*keys, "match", "season", "day", "home", "away", F.col("home_won").cast("double").alias("home_won"), F.col("margin").cast("double").alias("margin"))
-    schema = T.StructType([*(rows.schema[c] for c in [*keys, "match"]), *(T.StructField(c, T.DoubleType()) for c in ELO)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, fold = None, None
-        for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in (*keys, "season", "home", "away", "home_won", "margin")}
-            found = []
-            for key, *match in zip(zip(*(columns[c] for c in keys), strict=True), *(columns[c] for c in ("season", "home", "away", "home_won", "margin")), strict=True):
-                if key != held:
-                    held, fold = key, EloFold(configs[key[-1]])
-                found.append(fold.add(*match))
-            made = np.array(found, dtype=float).reshape(-1, len(ELO))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "match"]), *map(pa.array, made.T)], names=[*keys, "match", *ELO])
-
-    return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
-
-
-def elo_season_ends(matches: DataFrame, log: DataFrame, pool: Sequence[str], least: int = 5) -> DataFrame:
-    """Each team's rating after its last match of a season, for teams with enough matches, and its rank."""
-    rows = matches.join(log, [*pool, "match"])
-    order = F.struct("day", "home", "away", "match")
-    both = F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("elo_home_after").alias("elo")), F.struct(F.col("away").alias("team"), F.col("elo_away_after").alias("elo"))))
-    out = rows.select(*pool, "season", order.alias("o"), both.alias("t")).groupBy(*pool, "season", F.col("t.team").alias("team")).agg(F.max_by("t.elo", "o").alias("elo"), F.count(F.lit(1)).alias("n_matches"))
-    return ranked(out.where(F.col("n_matches") >= least), [*pool, "season"], "elo", "rank_elo")
-
-
 def schedule_strength(sides: DataFrame, ratings: DataFrame, by: Sequence[str], rating: str) -> DataFrame:
     """Mean rating of rated opponents and how many matches that covers."""
     opp = ratings.select(*by, F.col("team").alias("opponent"), F.col(rating).alias("_r"))

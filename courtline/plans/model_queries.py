@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from .. import read_api as api
+from ..operators import elo as e
 from ..operators import metrics as m
 from ..operators import predict as p
 from ..operators import ratings as r
@@ -24,28 +27,43 @@ def h1_h2_ridge_ratings(t):
 
 
 def elo_input(t: Tables):
-    return t.contest().select(F.lit("all").alias("pool"), F.col("contest_id").alias("match"), "season", "day", "home", "away", "home_won", F.abs(F.col("home_q") - F.col("away_q")).alias("margin"))
+    """Contests with two margins: the difference of both sides' sets, and the home side's share of points beyond a half, in hundredths."""
+    margins = {"margin": F.abs(F.col("home_q") - F.col("away_q")), "share_margin": F.abs(F.col("home_p") / (F.col("home_p") + F.col("away_p")) - 0.5) * 100}
+    return t.contest().withColumns(margins).select(F.lit("all").alias("pool"), F.col("contest_id").alias("match"), "season", "day", "home", "away", "home_won", *margins, "home_conf", "away_conf")
 
 
 @query()
 def h3_elo_log(t):
-    """One ordered fold by pool; tested against a plain fold."""
-    return r.elo_log(elo_input(t), ["pool"]).select("match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
+    """One replay by pool; tested against a plain fold."""
+    return e.elo_log(elo_input(t), ["pool"]).select("match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
+
+
+@query()
+def h3_elo_components(t):
+    """Matches within a conference only: the schedule falls into pools that nothing links, which are found and replayed side by side."""
+    x = e.by_component(elo_input(t).where("home_conf = away_conf"))
+    return e.elo_log(x, ["component"]).select("component", "match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
 
 
 @query()
 def h4_elo_season_ends(t):
     x = elo_input(t)
-    return r.elo_season_ends(x, r.elo_log(x, ["pool"]), ["pool"]).select("season", "team", F.round("elo", 6).alias("elo"), "n_matches", "rank_elo")
+    return e.elo_season_ends(x, e.elo_log(x, ["pool"]), ["pool"]).select("season", "team", F.round("elo", 6).alias("elo"), "n_matches", "rank_elo")
+
+
+def elo_grid() -> dict[str, EloConfig]:
+    """The grid of 540 configurations."""
+    kinds = {"none": (False, "margin"), "sets": (True, "margin"), "rally": (True, "share_margin")}
+    grid = product((10, 15, 20, 25, 30, 40), (0, 20, 35, 50, 65), (0.0, 0.4, 0.6, 0.75, 0.9, 1.0), kinds)
+    return {f"k{k}h{h}c{c}{kind}": EloConfig(k=k, home=h, carryover=c, margin=kinds[kind][0], margin_column=kinds[kind][1]) for k, h, c, kind in grid}
 
 
 @query()
 def h5_elo_sweep(t):
-    """Log loss of each configuration; configurations are folds side by side."""
-    configs = {f"k{k}h{h}c{c}": EloConfig(k=k, home=h, carryover=c) for k in (20.0, 60.0) for h in (0.0, 50.0) for c in (0.8, 0.95)}
+    """Scores of the whole grid over all seasons but the first, in which ratings settle; one pass of the matches."""
     x = elo_input(t)
-    log = r.elo_log(x, ["pool"], configs).join(x.select("pool", "match", "home_won"), ["pool", "match"])
-    return m.prediction_score(log, ["config"], "p_home", "home_won").select("config", "n", R("accuracy"), R("log_loss"), R("brier"))
+    first = x.agg(F.min("season")).first()[0]
+    return e.elo_sweep(x, ["pool"], elo_grid(), F.col("season") > F.lit(first)).select("config", "n", R("accuracy"), R("log_loss"), R("brier"))
 
 
 @query()

@@ -39,12 +39,16 @@ class Benchmark:
 
 @dataclass(frozen=True)
 class EloConfig:
-    """Fixed values of the rating: mean 1500, scale 400, and the damping constants 2.2 and 0.001."""
+    """Fixed values of the rating: mean 1500, scale 400, and the damping constants 2.2 and 0.001.
+
+    margin: whether a win's size counts; margin_column: where it is.
+    """
 
     k: float = 60.0
     home: float = 50.0
     carryover: float = 0.95
     margin: bool = True
+    margin_column: str = "margin"
     mean: float = 1500.0
     scale: float = 400.0
     damping: tuple[float, float] = field(default=(2.2, 0.001))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtline.functions import rates, text
-from courtline.operators import contests, metrics, players, predict, ratings, sequence
+from courtline.operators import contests, elo, metrics, players, predict, ratings, sequence
 from courtline.specs import Benchmark, EloConfig, EventSpec
 
 SPEC = EventSpec(("set",), ("seq",), "event", "team", "player", ("A", "B"), "Serve", "Reception", ("Kill", "First ball kill", "Attack error"), "First ball kill", ("Serve", "Reception", "Kill", "First ball kill", "Attack error"))
@@ -153,7 +153,7 @@ def test_ridge_both_forms(spark, tmp_path):
 def test_elo(spark):
     rows = [("p", 1, 2020, 1, "a", "b", 1.0, 5.0), ("p", 2, 2020, 2, "b", "a", 0.0, 0.0), ("p", 3, 2021, 3, "a", "c", 0.0, 3.0)]
     df = spark.createDataFrame(rows, "pool string, match int, season int, day int, home string, away string, home_won double, margin double")
-    got = {r["match"]: r for r in ratings.elo_log(df, ["pool"], {"x": EloConfig(margin=False)}).collect()}
+    got = {r["match"]: r for r in elo.elo_log(df, ["pool"], {"x": EloConfig(margin=False)}).collect()}
     e = 1 / (1 + 10 ** (-50 / 400))
     assert got[1]["p_home"] == pytest.approx(e) and got[1]["elo_home_after"] == pytest.approx(1500 + 60 * (1 - e))
     a = 1500 + 60 * (1 - e)
@@ -161,10 +161,87 @@ def test_elo(spark):
     p2 = 1 / (1 + 10 ** (-(b - a + 50) / 400))
     a2 = a + 60 * p2
     assert got[3]["elo_home"] == pytest.approx(1500 + 0.95 * (a2 - 1500)) and got[3]["elo_away"] == 1500
-    with_margin = {r["match"]: r for r in ratings.elo_log(df, ["pool"]).collect()}
+    with_margin = {r["match"]: r for r in elo.elo_log(df, ["pool"]).collect()}
     assert with_margin[1]["elo_home_after"] == pytest.approx(1500 + 60 * math.log(6) * 2.2 / (0.001 * 50 + 2.2) * (1 - e))
 
 
+def plain_elo(matches, config, margin):
+    """The fold as it is written down: season, home, away, home_won, margins in order."""
+    ratings, held, out = {}, None, []
+    for season, home, away, won, margins in matches:
+        if held not in (None, season):
+            ratings = {t: config.mean + config.carryover * (r - config.mean) for t, r in ratings.items()}
+        held = season
+        h, a = ratings.get(home, config.mean), ratings.get(away, config.mean)
+        edge = h - a + config.home
+        p = 1 / (1 + 10 ** (-edge / config.scale))
+        size = margins[margin] or 0
+        factor = math.log(size + 1) * 2.2 / (0.001 * (edge if won else -edge) + 2.2) if config.margin and size > 0 else 1.0
+        ratings[home], ratings[away] = h + config.k * factor * (won - p), a - config.k * factor * (won - p)
+        out.append((h, a, p, ratings[home], ratings[away]))
+    return out
+
+
+def schedule(n, teams, seasons, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        h, a = rng.sample(range(teams), 2)
+        day = i * seasons * 10 // n
+        rows.append((i, day // 10, day, f"t{h}", f"t{a}", float(rng.random() < 0.6), rng.choice([None, 0.0, 1.0, 3.0]), rng.random() * 20))
+    return sorted(rows, key=lambda r: (r[2], r[3], r[4], r[0]))
+
+
+MATCHES = "match int, season int, day int, home string, away string, home_won double, margin double, share double"
+
+
+@pytest.mark.parametrize(("n", "teams"), [(3000, 40), (600, 2), (900, 500)])
+def test_elo_like_a_fold(spark, n, teams):
+    """Layers of random schedules give the fold's ratings, for several configurations at once and over many batches."""
+    rows = schedule(n, teams, 3, n)
+    df = spark.createDataFrame(rows, MATCHES).withColumn("pool", F.lit("p")).repartition(3)
+    configs = {"a": EloConfig(), "b": EloConfig(k=20, home=0, carryover=0.4, margin=False), "c": EloConfig(margin_column="share")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+        got = {(r["config"], r["match"]): r for r in elo.elo_log(df, ["pool"], configs).collect()}
+        plain = [(r[1], *r[3:6], {"margin": r[6], "share": r[7]}) for r in rows]
+        for name, c in configs.items():
+            for r, want in zip(rows, plain_elo(plain, c, c.margin_column), strict=True):
+                assert [got[name, r[0]][x] for x in elo.ELO] == pytest.approx(want, abs=1e-9)
+        swept = {r["config"]: r for r in elo.elo_sweep(df, ["pool"], configs, F.col("season") > 0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, c in configs.items():
+        scored = [(w[2], r[5]) for r, w in zip(rows, plain_elo(plain, c, c.margin_column), strict=True) if r[1] > 0]
+        p, y = map(np.array, zip(*scored, strict=True))
+        want = (len(p), ((p > 0.5) == (y == 1)).mean(), -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), np.mean((p - y) ** 2))
+        assert [swept[name][x] for x in ("n", "accuracy", "log_loss", "brier")] == pytest.approx(want, abs=1e-9)
+
+
+def test_elo_layers():
+    """A layer's matches share no team, and every match comes after the earlier ones of its teams."""
+    rng = np.random.default_rng(1)
+    home, away = rng.integers(0, 30, 500), rng.integers(30, 60, 500)
+    place = np.zeros(500, dtype=int)
+    for k, at in enumerate(elo.layers(home, away, 60)):
+        assert len(set(home[at]) | set(away[at])) == 2 * len(at)
+        place[at] = k + 1
+    assert place.min() == 1 and all(place[i] < place[j] for j in range(500) for i in range(j) if {home[i], away[i]} & {home[j], away[j]})
+
+
+def test_elo_components(spark, tmp_path):
+    """Pools that nothing links, one of them a long chain; matches without a side or a result count for nothing."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(i, 0, i, f"c{i:03}", f"c{i + 1:03}", 1.0, 1.0, 1.0) for i in range(70)] + [(100 + i, 0, i, f"x{i % 3}", f"x{(i + 1) % 3}", 0.0, 1.0, 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows + [(200, 0, 3, None, "x1", 1.0, 1.0, 1.0), (201, 0, 3, "x0", "x1", None, 1.0, 1.0)], MATCHES)
+    found = {r["team"]: r["component"] for r in elo.components(df).collect()}
+    assert found == {f"c{i:03}": "c000" for i in range(71)} | {f"x{i}": "x0" for i in range(3)}
+    got = {r["match"]: r["elo_home"] for r in elo.elo_log(elo.by_component(df), ["component"]).collect()}
+    whole = {r["match"]: r["elo_home"] for r in elo.elo_log(df.withColumn("pool", F.lit(1)), ["pool"]).collect()}
+    assert got == pytest.approx(whole) and len(got) == 79
+    assert elo.components(df.where("false")).count() == 0 and elo.elo_log(df.withColumn("pool", F.lit(1)).where("false"), ["pool"]).count() == 0
+
+
 def test_logistic(spark):
     rng = random.Random(4)
     rows = [(x := rng.gauss(0, 1), z := rng.gauss(0, 1), float(rng.random() < 1 / (1 + math.exp(-(0.3 + x - 0.5 * z))))) for _ in range(800)]
