@@ -58,7 +58,7 @@ def prediction_score(rows: DataFrame, by: Sequence[str], p: str, y: str, clip: f
     q = F.least(F.lit(1 - clip), F.greatest(F.lit(clip), F.col(p)))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(((q >= 0.5).cast("double") == F.col(y)).cast("double")).alias("accuracy"),
+        F.avg(((q > 0.5).cast("double") == F.col(y)).cast("double")).alias("accuracy"),
         F.avg(-(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))).alias("log_loss"),
         F.avg((q - F.col(y)) ** 2).alias("brier"),
     )

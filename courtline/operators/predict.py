@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -12,44 +13,103 @@ from ..functions.rates import lerp, sigmoid
 from .contests import first_of
 
 
+@dataclass(frozen=True)
+class LogisticModel:
+    """A fit: which of the features it uses, and the fold that it does not see (none: it sees all rows)."""
+
+    name: str
+    uses: tuple[int, ...]
+    held_out: object = None
+
+
+def logistic_fits(rows: DataFrame, features: Sequence[Column], y: str, models: Sequence[LogisticModel], fold: Column | None = None, rounds: int = 30, tolerance: float = 1e-10) -> list[list[float]]:
+    """Weights of 1 and of all features (0 where unused) for each model, by Newton's method.
+
+    One aggregate a round carries gradient and curvature of every model that still moves; each row meets each
+    of these, in the task that reads it, and what is shuffled is a row for each model and task. Rows
+    without y or without a feature that a model uses are not its own.
+    """
+    k, width = len(features), len(features) + 1
+    data = rows.select(*[c.cast("double").alias(f"x{i + 1}") for i, c in enumerate(features)], F.col(y).cast("double").alias("y"), (fold if fold is not None else F.lit(0)).alias("fold"))
+    data = data.where("y is not null").withColumn("x0", F.lit(1.0)).persist()
+    beta, moving = np.zeros((len(models), width)), list(range(len(models)))
+    try:
+        for _ in range(rounds):
+            if not moving:
+                break
+            asked = F.array(*[
+                F.struct(F.lit(m).alias("m"), F.lit(models[m].held_out).alias("out"), F.array(*map(F.lit, beta[m].tolist())).alias("b"), F.array(*[F.lit(i in models[m].uses) for i in range(k)]).alias("uses"))
+                for m in moving
+            ])
+            each = data.select("*", F.explode(asked).alias("of"))
+            seen = F.lit(True)
+            for i in range(k):
+                seen = seen & (~F.col("of.uses")[i] | F.col(f"x{i + 1}").isNotNull())
+            if fold is not None:
+                seen = seen & F.col("fold").isNotNull() & (F.col("of.out").isNull() | (F.col("fold") != F.col("of.out")))
+            x = ["x0", *[f"x{i + 1}" for i in range(k)]]
+            each = each.where(seen).withColumns({f"x{i + 1}": F.when(F.col("of.uses")[i], F.col(f"x{i + 1}")).otherwise(0.0) for i in range(k)})
+            each = each.withColumn("p", sigmoid(sum((F.col("of.b")[i] * F.col(c) for i, c in enumerate(x)), F.lit(0.0)))).withColumn("v", F.col("p") * (1 - F.col("p")))
+            sums = each.groupBy("of.m").agg(
+                *[F.sum(F.col(c) * (F.col("y") - F.col("p"))).alias(f"g{i}") for i, c in enumerate(x)],
+                *[F.sum(F.col(x[i]) * F.col(x[j]) * F.col("v")).alias(f"h{i}_{j}") for i in range(width) for j in range(i, width)],
+            ).collect()  # a row for each model
+            still = []
+            for r in sums:
+                m = r["m"]
+                own = [0, *[i + 1 for i in models[m].uses]]
+                h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in own] for i in own]) + 1e-9 * np.eye(len(own))
+                step = np.linalg.solve(h, np.array([r[f"g{i}"] for i in own]))
+                beta[m, own] += step
+                if np.abs(step).max() >= tolerance:
+                    still.append(m)
+            moving = sorted(still)
+    finally:
+        data.unpersist()
+    return beta.tolist()
+
+
 def logistic_fit(rows: DataFrame, features: Sequence[Column], y: str, rounds: int = 30, tolerance: float = 1e-10) -> list[float]:
     """Weights of 1 and the features by Newton's method: one distributed aggregate and one small solve a round."""
-    x = [F.lit(1.0), *features]
-    k = len(x)
-    data = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], F.col(y).cast("double").alias("y")).dropna().persist()
-    beta = np.zeros(k)
-    for _ in range(rounds):
-        p = sigmoid(sum((float(b) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0)))
-        sums = data.withColumn("p", p).agg(
-            *[F.sum(F.col(f"x{i}") * (F.col("y") - F.col("p"))).alias(f"g{i}") for i in range(k)],
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("p") * (1 - F.col("p"))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).first()
-        if sums["g0"] is None:
-            break
-        h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + 1e-9 * np.eye(k)
-        step = np.linalg.solve(h, np.array([sums[f"g{i}"] for i in range(k)]))
-        beta = beta + step
-        if np.abs(step).max() < tolerance:
-            break
-    data.unpersist()
-    return beta.tolist()
+    return logistic_fits(rows, features, y, [LogisticModel("all", tuple(range(len(features))))], None, rounds, tolerance)[0]
 
 
 def chance(features: Sequence[Column], weights: Sequence[float]) -> Column:
     return sigmoid(sum((float(w) * c for w, c in zip(weights[1:], features, strict=True)), F.lit(float(weights[0]))))
 
 
-def leave_one_out(rows: DataFrame, fold: str, folds: Sequence, specs: dict[str, Sequence[Column]], y: str) -> DataFrame:
-    """Rows of every fold with the chance that each spec gives them when fitted on the other folds: spec, p."""
-    parts = []
-    for f in folds:
-        for name, features in specs.items():
-            w = logistic_fit(rows.where(F.col(fold).isin([x for x in folds if x != f])), features, y)
-            parts.append(rows.where(F.col(fold) == f).withColumn("spec", F.lit(name)).withColumn("p", chance(features, w)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def leave_one_out(rows: DataFrame, fold: str, folds: Sequence, specs: dict[str, Sequence[str]], features: dict[str, Column], y: str) -> DataFrame:
+    """Rows of every fold, once for each spec, with the chance that the spec gives them when fitted on the other folds: spec, p.
+
+    features: the columns that specs name. All folds and specs are fitted together.
+    """
+    names = list(features)
+    models = [LogisticModel(spec, tuple(names.index(c) for c in used), f) for f in folds for spec, used in specs.items()]
+    weights = logistic_fits(rows, list(features.values()), y, models, F.col(fold))
+    fitted = F.array(*[F.struct(F.lit(m.held_out).alias("fold"), F.lit(m.name).alias("spec"), F.array(*map(F.lit, w)).alias("w")) for m, w in zip(models, weights, strict=True)])
+    own = F.explode(F.filter(fitted, lambda m: m["fold"] == F.col(fold)))
+    z = F.col("_of.w")[0] + sum((F.when(F.col("_of.w")[i + 1] != 0, F.col("_of.w")[i + 1] * c).otherwise(0.0) for i, c in enumerate(features.values())), F.lit(0.0))
+    return rows.withColumn("_of", own).withColumn("spec", F.col("_of.spec")).withColumn("p", sigmoid(z)).drop("_of")
+
+
+def prematch_features(matches: DataFrame, elo: DataFrame, weekly: DataFrame, season: str = "season", day: str = "day") -> DataFrame:
+    """matches with both sides' ratings from before the match: elo_home, elo_away of a replay's log, and ridge_home, ridge_away as fitted before the match's week.
+
+    A team that the week's fit does not know, as in a season's first week, is average: 0.
+    """
+    out = matches.join(elo.select("match", "elo_home", "elo_away"), "match").withColumn("week_start", F.date_trunc("week", day).cast("date"))
+    for side in ("home", "away"):
+        known = weekly.select(season, "week_start", F.col("team").alias(side), F.col("rating_overall").alias(f"ridge_{side}"))
+        out = out.join(known, [season, "week_start", side], "left").withColumn(f"ridge_{side}", F.coalesce(f"ridge_{side}", F.lit(0.0)))
+    return out.drop("week_start")
+
+
+SPECS = {"elo": ("elo",), "ridge": ("ridge",), "blend": ("elo", "ridge")}
+
+
+def rating_gaps() -> dict[str, Column]:
+    """The features of SPECS: weights read by 100 points of Elo and by 10 points of the ridge rating."""
+    return {"elo": (F.col("elo_home") - F.col("elo_away")) / 100, "ridge": (F.col("ridge_home") - F.col("ridge_away")) / 10}
 
 
 def scorelines(rows: DataFrame, p: str, home_sets: str, away_sets: str, bin_no: Column, win: int = 3) -> DataFrame:

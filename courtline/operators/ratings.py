@@ -19,18 +19,14 @@ def pair_sums(sides: DataFrame, by: Sequence[str], team: str, opponent: str, y:
     return rows.groupBy(*by, F.col(team).alias("team"), F.col(opponent).alias("opponent")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
 
 
-def additive_fit(pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
-    """y = mu + off of team - def of opponent from pair sums; the penalty is on team effects only, which are centred.
+def additive_solve(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray, k: int, ridge: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Solution of y = mu + off of team i - def of team j from pair sums, for k teams: off of each, def of each, mu.
 
     Conjugate gradient on the normal equations, preconditioned by their diagonal: memory and a round's
-    work are linear in the pairs, whatever the number of teams.
+    work are linear in the pairs, whatever the number of teams. start: a solution nearby, as that of
+    a week before, which leaves few rounds.
     """
-    teams = np.unique(np.concatenate([pdf.team.to_numpy(), pdf.opponent.to_numpy()]))
-    k = len(teams)
-    i, j = np.searchsorted(teams, pdf.team), np.searchsorted(teams, pdf.opponent)
-    n, s = pdf.n.to_numpy(float), pdf.s.to_numpy(float)
     total = lambda at, v: np.bincount(at, weights=v, minlength=k)
-    # Unknowns: off of each team, def of each team, mu.
     b = np.concatenate([total(i, s), -total(j, s), [s.sum()]])
     diagonal = np.concatenate([total(i, n) + ridge, total(j, n) + ridge, [n.sum()]])
 
@@ -38,8 +34,11 @@ def additive_fit(pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
         fitted = n * (x[i] - x[k + j] + x[-1])
         return np.concatenate([total(i, fitted) + ridge * x[:k], -total(j, fitted) + ridge * x[k : 2 * k], [fitted.sum()]])
 
-    x = np.zeros(2 * k + 1)
-    x[-1] = s.sum() / n.sum()
+    if start is None:
+        x = np.zeros(2 * k + 1)
+        x[-1] = s.sum() / n.sum()
+    else:
+        x = start.copy()
     r = b - normal(x)
     z = r / diagonal
     direction, rz = z, r @ z
@@ -52,8 +51,24 @@ def additive_fit(pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
         z = r / diagonal
         rz, before = r @ z, rz
         direction = z + rz / before * direction
-    off, deff = x[:k] - x[:k].mean(), x[k:-1] - x[k:-1].mean()
-    return pd.DataFrame({"team": teams, "rating_off": 100 * off, "rating_def": 100 * deff, "rating_overall": 100 * (off + deff), "league": 100 * x[-1], "n_matches": total(i, n).astype(int)})
+    return x
+
+
+def board_of(teams: np.ndarray, x: np.ndarray, played: np.ndarray, met: np.ndarray) -> pd.DataFrame:
+    """Ratings of a solution: team effects centred over the teams that played or were met."""
+    k = len(teams)
+    seen = np.flatnonzero((played > 0) | (met > 0))
+    off, deff = x[:k][seen] - x[:k][seen].mean(), x[k:-1][seen] - x[k:-1][seen].mean()
+    return pd.DataFrame({"team": teams[seen], "rating_off": 100 * off, "rating_def": 100 * deff, "rating_overall": 100 * (off + deff), "league": 100 * x[-1], "n_matches": played[seen].astype(int)})
+
+
+def additive_fit(pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
+    """y = mu + off of team - def of opponent from pair sums; the penalty is on team effects only, which are centred."""
+    teams = np.unique(np.concatenate([pdf.team.to_numpy(), pdf.opponent.to_numpy()]))
+    i, j = np.searchsorted(teams, pdf.team), np.searchsorted(teams, pdf.opponent)
+    n, s = pdf.n.to_numpy(float), pdf.s.to_numpy(float)
+    x = additive_solve(i, j, n, s, len(teams), ridge)
+    return board_of(teams, x, np.bincount(i, weights=n, minlength=len(teams)), np.bincount(j, weights=n, minlength=len(teams)))
 
 
 def additive_ratings(pairs: DataFrame, by: Sequence[str], ridge: float = 1.0) -> DataFrame:
@@ -121,31 +136,66 @@ def ridge_board(ratings: DataFrame, by: Sequence[str], least: int = 5) -> DataFr
     return out
 
 
-def walk_forward(sides: DataFrame, season: str, day: str, y: str, least: int = 50, ridge: float = 1.0) -> DataFrame:
+BLOCK_WEEKS = 8
+BOARD = ["team", "rating_off", "rating_def", "rating_overall", "league", "n_matches"]
+
+
+def weekly_fits(pdf: pd.DataFrame, least: int, ridge: float) -> pd.DataFrame:
+    """Fits for the weeks of a block, each on the pair sums before it and begun at the one before it.
+
+    Rows are pair sums: those without a week are of all weeks before the block, those without n mark the weeks asked for.
+    """
+    marks, rows = sorted(pdf.loc[pdf.n.isna(), "week_start"].unique()), pdf[pdf.n.notna()]
+    if not len(rows):
+        return pd.DataFrame(columns=["week_start", *BOARD])
+    teams = np.unique(np.concatenate([rows.team.to_numpy(), rows.opponent.to_numpy()]))
+    k = len(teams)
+    pairs, at = np.unique(np.searchsorted(teams, rows.team) * k + np.searchsorted(teams, rows.opponent), return_inverse=True)
+    i, j = pairs // k, pairs % k
+    week = rows.week_start.fillna(marks[0] - pd.Timedelta(days=7) if len(marks) else pd.NaT).to_numpy() if len(marks) else None
+    n, s, x, out, counted = np.zeros(len(pairs)), np.zeros(len(pairs)), None, [], np.zeros(len(rows), dtype=bool)
+    for mark in marks:
+        new = (week < np.datetime64(mark)) & ~counted
+        counted |= new
+        np.add.at(n, at[new], rows.n.to_numpy(float)[new])
+        np.add.at(s, at[new], rows.s.to_numpy(float)[new])
+        if n.sum() >= least:
+            some = n > 0
+            x = additive_solve(i[some], j[some], n[some], s[some], k, ridge, x)
+            out.append(board_of(teams, x, np.bincount(i, weights=n, minlength=k), np.bincount(j, weights=n, minlength=k)).assign(week_start=mark))
+    return pd.concat(out) if out else pd.DataFrame(columns=["week_start", *BOARD])
+
+
+def walk_forward(sides: DataFrame, season: str, day: str, y: str, least: int = 50, ridge: float = 1.0, block_weeks: int = BLOCK_WEEKS) -> DataFrame:
     """Ratings for every week of a season, fitted on its matches before the week; none where these are fewer than least rows.
 
-    Pair sums are made by week once. A season's sums are one task's rows, to which it adds week by
-    week; nothing is repeated for later weeks.
+    Pair sums are made by week once. A task fits a block of a season's weeks: it gets the sums of all
+    weeks before the block, added up by pair, and the block's own by week; its first fit starts from
+    nothing and each later one from the one before it. So a season is as many tasks as it has blocks.
     """
     week = F.date_trunc("week", day).cast("date")
-    sums = sides.dropna(subset=["team", "opponent", y]).groupBy(season, week.alias("week_start"), "team", "opponent").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
-    weeks = sides.select(season, week.alias("week_start")).distinct().select(season, "week_start", *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in ("team", "opponent", "n", "s")])
+    block = F.floor(F.datediff(F.col("week_start"), F.lit("1970-01-05").cast("date")) / (7 * block_weeks)).cast("int")
+    asked = sides.where(F.col(season).isNotNull() & F.col(day).isNotNull()).withColumn("week_start", week).withColumn("block", block)
+    sums = asked.dropna(subset=["team", "opponent", y]).groupBy(season, "block", "week_start", "team", "opponent").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
+    weeks = asked.select(season, "block", "week_start").distinct()
+    last = weeks.groupBy(season).agg(F.max("block").alias("last"))
+    by_block = sums.groupBy(season, "block", "team", "opponent").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(last, season)
+    later = by_block.where("block < last").withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("last"))))
+    before = later.groupBy(season, "block", "team", "opponent").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("week_start", F.lit(None).cast("date"))
+    marks = weeks.select("*", *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in ("team", "opponent", "n", "s")])
     team, kind = sums.schema["team"].dataType.simpleString(), sums.schema[season].dataType.simpleString()
     ship(sides.sparkSession)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        marks, rows = sorted(pdf.loc[pdf.n.isna(), "week_start"].unique()), pdf[pdf.n.notna()].sort_values("week_start", kind="stable")
-        out, known = [], rows.iloc[:0]
-        for mark in marks:
-            new = rows.week_start < mark
-            known, rows = pd.concat([known, rows[new]]).groupby(["team", "opponent"], as_index=False)[["n", "s"]].sum(), rows[~new]
-            if known.n.sum() >= least:
-                out.append(additive_fit(known, ridge).assign(week_start=mark))
-        found = pd.concat(out) if out else pd.DataFrame(columns=["week_start", "team", "rating_off", "rating_def", "rating_overall", "league", "n_matches"])
+        pdf = pdf.assign(week_start=pd.to_datetime(pdf.week_start))
+        found = weekly_fits(pdf, least, ridge)
         found.insert(0, season, key[0])
-        return found[[season, "week_start", "team", "rating_off", "rating_def", "rating_overall", "league", "n_matches"]]
+        return found[[season, "week_start", *BOARD]]
 
-    return sums.unionByName(weeks).groupBy(season).applyInPandas(run, f"{season} {kind}, week_start date, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
+    every = sums.unionByName(before.select(sums.columns)).unionByName(marks.select(sums.columns))
+    # Blocks without a match in them still ask for nothing; those without marks have no row.
+    asked_blocks = every.join(weeks.select(season, "block").distinct(), [season, "block"], "left_semi")
+    return asked_blocks.groupBy(season, "block").applyInPandas(run, f"{season} {kind}, week_start date, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
 
 
 def schedule_strength(sides: DataFrame, ratings: DataFrame, by: Sequence[str], rating: str) -> DataFrame:

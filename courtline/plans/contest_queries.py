@@ -302,7 +302,7 @@ def g5_two_team_comparison(t):
 
 
 @query("WITH " + CHANCE_SQL + """, q AS (SELECT season, least(1 - 1e-6, greatest(1e-6, p_home)) AS p, home_won AS y FROM chance)
-SELECT season, count(*) AS n, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM q GROUP BY 1""")
+SELECT season, count(*) AS n, round(avg(((p > 0.5)::INT = y)::INT), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM q GROUP BY 1""")
 def h6_prediction_scores(t):
     return m.prediction_score(with_chance(t), ["season"], "p_home", "home_won").select("season", "n", R("accuracy"), R("log_loss"), R("brier"))
 
@@ -345,10 +345,10 @@ cp AS (SELECT season, conf, team, round(avg(x), 9) AS conf_pct FROM cg GROUP BY
 champ AS (SELECT season, conf, team, conf_pct FROM (SELECT cp.*, row_number() OVER (PARTITION BY cp.season, cp.conf ORDER BY conf_pct DESC, rpi DESC NULLS LAST, cp.team) AS rr FROM cp LEFT JOIN rpi USING (season, team)) WHERE rr = 1)"""
 
 
-def champion_table(t):
+def champion_table(t, ratings=None):
     x = sides(t)
     games = x.join(t.conference().select(F.col("team").alias("opponent"), F.col("conf").alias("opp_conf")), "opponent").where("conf = opp_conf")
-    return r.champions(games, None, rpi_table(t), ["season"], "conf", "rpi")
+    return r.champions(games, None, rpi_table(t) if ratings is None else ratings, ["season"], "conf", "rpi")
 
 
 @query("WITH " + CHAMP_SQL + " SELECT season, conf, team, round(conf_pct, 6) AS conf_pct FROM champ")

@@ -11,11 +11,12 @@ from ..operators import elo as e
 from ..operators import metrics as m
 from ..operators import predict as p
 from ..operators import ratings as r
+from ..session import saved_rows
 from ..specs import EloConfig
-from .contest_queries import CHANCE_SIDES_SQL, CHANCE_SQL, RPI_SQL, SEASON_SQL, R, chance_sides, rpi_table, sides, team_seasons, with_chance
+from .contest_queries import CHANCE_SIDES_SQL, CHANCE_SQL, SEASON_SQL, R, chance_sides, sides, team_seasons, with_chance
 from .player_queries import PCT_SQL, percentiles
 from .registry import query
-from .views import SIDES_SQL, Tables
+from .views import CONTEST_SQL, SIDES_SQL, Tables
 
 
 @query()
@@ -72,18 +73,55 @@ def h9_walk_forward_ratings(t):
     return r.walk_forward(sides(t), "season", "day", "q").select("season", "week_start", "team", F.round("rating_overall", 4).alias("rating_overall"))
 
 
+def prematch(t):
+    """Contests with both sides' Elo and weekly ridge ratings from before the match."""
+    x = elo_input(t)
+    return p.prematch_features(x, e.elo_log(x, ["pool"]), r.walk_forward(sides(t), "season", "day", "q"))
+
+
+@query()
+def h9_prematch_features(t):
+    """One row per match with elo, ridge and season; tested against refits from scratch and a plain fold."""
+    return prematch(t).select("match", "season", *[F.round(c, 4).alias(c) for c in ("elo_home", "elo_away", "ridge_home", "ridge_away")])
+
+
+def seasons_of(x):
+    return sorted(s["season"] for s in x.where("season is not null").select("season").distinct().collect())  # a few numbers
+
 
 @query()
+def h11_rating_specs(t):
+    """Leave-one-season-out scores of Elo, ridge and their blend; the first season, in which Elo settles, is neither fitted nor scored."""
+    x = saved_rows(prematch(t), "prematch")
+    seasons = seasons_of(x)[1:]
+    out = p.leave_one_out(x.where(F.col("season").isin(seasons)), "season", seasons, p.SPECS, p.rating_gaps(), "home_won")
+    return m.prediction_score(out, ["season", "spec"], "p", "home_won").select("season", "spec", "n", R("accuracy"), R("log_loss"), R("brier"))
+
+
+def newton_sql(train: str) -> str:
+    """Newton's method in SQL: fit (k, out, spec, u, b0, b1, b2) from x (season, y, gap, level) and m (out, spec, u), u telling whether level is used; twelve rounds."""
+    sums = "sum(y - p) AS g0, sum(gap * (y - p)) AS g1, sum(u * level * (y - p)) AS g2, sum(v) AS a, sum(v * gap) AS b, sum(v * u * level) AS c, sum(v * gap * gap) AS d, sum(v * gap * u * level) AS e, sum(v * u * level * level) + 1 - any_value(u) AS f"
+    det = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+    return f"""fit AS (SELECT 0 AS k, m.out, spec, u, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM m UNION ALL
+SELECT k + 1, out, spec, u, b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / {det}, b1 + (a * (g1 * f - e * g2) - g0 * (b * f - c * e) + c * (b * g2 - c * g1)) / {det},
+       b2 + u * (a * (d * g2 - g1 * e) - b * (b * g2 - c * g1) + g0 * (b * e - c * d)) / {det}
+FROM (SELECT k, out, spec, u, b0, b1, b2, {sums} FROM (SELECT *, p * (1 - p) AS v FROM (SELECT fit.*, y, gap, level, 1 / (1 + exp(-(b0 + b1 * gap + b2 * u * level))) AS p FROM fit JOIN x ON {train} WHERE k < 12)) GROUP BY ALL))"""
+
+
+@query("WITH RECURSIVE " + CONTEST_SQL + """, x AS (SELECT season, home_won AS y, (home_p - away_p) / 1e5 AS gap, (home_p + away_p) / 1e5 AS level FROM contest),
+m AS (SELECT season AS out, spec, u FROM (SELECT DISTINCT season FROM x), (VALUES ('gap', 0.0::DOUBLE), ('both', 1.0::DOUBLE)) s(spec, u)), """ + newton_sql("x.season <> fit.out") + """,
+s AS (SELECT x.season, spec, y, least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(b0 + b1 * gap + b2 * level))))) AS p FROM x JOIN fit ON fit.out = x.season WHERE k = 12)
+SELECT season, spec, count(*) AS n, round(avg(((p > 0.5)::INT = y)::INT), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier FROM s GROUP BY 1, 2""")
 def h10_h11_logistic_validation(t):
-    """Leave-one-season-out scores of two specs; tested against a dense Newton fit."""
-    x = t.contest().withColumn("gap", (F.col("home_p") - F.col("away_p")) / 1e5).withColumn("level", (F.col("home_p") + F.col("away_p")) / 1e5).persist()
-    specs = {"gap": [F.col("gap")], "both": [F.col("gap"), F.col("level")]}
-    seasons = sorted(s["season"] for s in x.where("season is not null").select("season").distinct().collect())  # a few numbers
-    out = p.leave_one_out(x, "season", seasons, specs, "home_won")
+    """Leave-one-season-out scores of two specs, all fitted together; SQL does twelve rounds of the same method."""
+    x = t.contest()
+    features = {"gap": (F.col("home_p") - F.col("away_p")) / 1e5, "level": (F.col("home_p") + F.col("away_p")) / 1e5}
+    out = p.leave_one_out(x, "season", seasons_of(x), {"gap": ("gap",), "both": ("gap", "level")}, features, "home_won")
     return m.prediction_score(out, ["season", "spec"], "p", "home_won").select("season", "spec", "n", R("accuracy"), R("log_loss"), R("brier"))
 
 
-@query()
+@query("WITH RECURSIVE " + CONTEST_SQL + """, x AS (SELECT season, home_won AS y, (home_p - away_p) / 1e5 AS gap, 0.0::DOUBLE AS level FROM contest WHERE season < 1998), m AS (SELECT 0 AS out, 'gap' AS spec, 0.0::DOUBLE AS u), """ + newton_sql("true") + """
+SELECT (SELECT count(*) FROM x) AS n, round(b0, 6) AS home, round(b1, 6) AS gap FROM fit WHERE k = 12""")
 def h23_coefficients_before(t):
     """Weights fitted on earlier seasons only, as rows."""
     x = t.contest().where("season < 1998").withColumn("gap", (F.col("home_p") - F.col("away_p")) / 1e5)
@@ -103,18 +141,6 @@ def h13_projection(t):
     return out.select("day", "home", "away", R("q_home"), R("q_away"), F.round("p_home", 2).alias("p_home"), "fallback")
 
 
-RUN_SQL = RPI_SQL + """, runs AS (SELECT season AS sim, team, overall, ((overall - 1) // 2 + 1) AS seed, rpi > 0.55 AS auto, CASE WHEN overall <= 1 THEN 6 WHEN overall <= 2 THEN 5 WHEN overall <= 4 THEN 4 WHEN overall <= 8 THEN 3 ELSE 1 END AS reached
-FROM (SELECT season, team, rpi, row_number() OVER (PARTITION BY season ORDER BY rpi DESC NULLS LAST, team) AS overall FROM rpi) WHERE overall <= 40)"""
-
-
-def run_rows(t: Tables):
-    """A run per season: the best forty by RPI, with a stand-in for the round that they reach."""
-    x = m.top(rpi_table(t), ["season"], [F.desc_nulls_last("rpi"), "team"], 40).withColumnRenamed("place", "overall")
-    o = F.col("overall")
-    reached = F.when(o <= 1, 6).when(o <= 2, 5).when(o <= 4, 4).when(o <= 8, 3).otherwise(1)
-    return x.select(F.col("season").alias("sim"), "team", "overall", (F.floor((o - 1) / 2) + 1).alias("seed"), (F.col("rpi") > 0.55).alias("auto"), reached.alias("reached"))
-
-
 H13_SQL = "WITH " + SEASON_SQL + """, rt AS (SELECT team, q_mean FROM ts WHERE season = 1997 AND n_matches >= 30), low AS (SELECT quantile_cont(q_mean, 0.05) AS lq FROM rt), g AS (SELECT DISTINCT day, home, away FROM contest WHERE season = 1998 AND day >= DATE '1998-11-01')"""
 
 
@@ -137,58 +163,6 @@ def h13_unrated_teams(t):
     return p.unrated(games, rt)
 
 
-FORECAST_SQL = RUN_SQL + """, fc AS (SELECT season + 1 AS sim, team, conf, 1 / (1 + exp(-8 * (rpi - 0.5))) AS p_field, pow(1 / (1 + exp(-8 * (rpi - 0.5))), 3) AS p_reached3, pow(1 / (1 + exp(-8 * (rpi - 0.5))), 6) AS p_champion FROM rpi JOIN conference USING (team) WHERE rpi IS NOT NULL),
-fr AS (SELECT fc.*, runs.team IS NOT NULL AS in_field, coalesce(reached, 0) AS reached, overall, seed FROM fc LEFT JOIN runs ON runs.sim = fc.sim AND runs.team = fc.team WHERE fc.sim <= 2001)"""
-
-
-def forecast_rows(t: Tables):
-    """A season's RPI as the forecast of the next season's run, beside what came of it."""
-    p0 = 1 / (1 + F.exp(-8 * (F.col("rpi") - 0.5)))
-    fc = rpi_table(t).where("rpi is not null").join(t.conference(), "team").select((F.col("season") + 1).alias("sim"), "team", "conf", p0.alias("p_field"), (p0**3).alias("p_reached3"), (p0**6).alias("p_champion"))
-    found = run_rows(t).select("sim", "team", "reached", "overall", "seed", F.lit(True).alias("_in"))
-    return fc.where("sim <= 2001").join(found, ["sim", "team"], "left").withColumn("in_field", F.coalesce("_in", F.lit(False))).withColumn("reached", F.coalesce("reached", F.lit(0))).drop("_in")
-
-
-@query("WITH " + FORECAST_SQL + """, pl AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY p_reached3 DESC, team) AS place, count(*) FILTER (in_field) OVER (PARTITION BY sim) AS size FROM fr)
-SELECT sim, count(*) FILTER (place <= 8 AND reached >= 3) AS hits, count(*) FILTER (reached >= 3) AS "of", round(avg(p_reached3) FILTER (reached >= 3), 6) AS mean_p,
-round(1 - sum(pow(p_reached3 - (reached >= 3)::INT, 2)) / sum(pow(CASE WHEN in_field THEN 8 / size ELSE 0 END - (reached >= 3)::INT, 2)), 6) AS brier_skill FROM pl GROUP BY 1""")
-def h26_round_forecasts(t):
-    return p.forecast_hits(forecast_rows(t), ["sim"], "p_reached3", F.col("reached") >= 3, 8).select("sim", "hits", "of", R("mean_p"), R("brier_skill"))
-
-
-@query("WITH " + FORECAST_SQL + """, lg AS (SELECT sim, conf, count(*) FILTER (in_field) AS bids, arg_max(in_field, (p_field, -team)) AS hit FROM fr GROUP BY 1, 2 HAVING count(*) FILTER (in_field) = 1)
-SELECT sim, count(*) AS one_bid_leagues, count(*) FILTER (hit) AS one_bid_right FROM lg GROUP BY 1""")
-def h26_one_bid_leagues(t):
-    return p.one_bid_leagues(forecast_rows(t), ["sim"], "conf", "p_field")
-
-
-@query("WITH " + FORECAST_SQL + """, rk AS (SELECT *, rank() OVER (PARTITION BY sim ORDER BY p_champion DESC) AS r FROM fr)
-SELECT sim, min(r) FILTER (reached >= 6) AS champion_rank, round(sum(p_champion / p_reached3) FILTER (reached >= 4 AND p_reached3 > 0), 6) AS title_given_round FROM rk GROUP BY 1""")
-def h26_title_odds(t):
-    out = p.title_odds(forecast_rows(t), ["sim"], "p_champion", "p_reached3", F.col("reached") >= 4, F.col("reached") >= 6)
-    return out.select("sim", F.col("champion_rank").cast("long").alias("champion_rank"), R("title_given_round"))
-
-
-@query("WITH " + RUN_SQL + " SELECT sim, count(*) FILTER (seed <= 2 AND reached >= 3) AS round3_hits, count(*) FILTER (seed <= 2) AS round3_of, count(*) FILTER (seed = 1 AND reached >= 5) AS round5_hits, count(*) FILTER (seed = 1) AS round5_of FROM runs GROUP BY 1")
-def h27_seeds_alone(t):
-    """What the seeds alone got right."""
-    low = lambda k: F.col("seed") <= k
-    got = lambda k, r: F.count_if(low(k) & (F.col("reached") >= r))
-    return run_rows(t).groupBy("sim").agg(got(2, 3).alias("round3_hits"), F.count_if(low(2)).alias("round3_of"), got(1, 5).alias("round5_hits"), F.count_if(low(1)).alias("round5_of"))
-
-
-@query("WITH " + FORECAST_SQL + """, rk AS (SELECT *, rank() OVER (PARTITION BY sim ORDER BY p_champion DESC) AS r FROM fr) SELECT sim, team, round(p_field, 6) AS p_field, round(p_champion, 6) AS p_champion, r AS title_rank, seed::BIGINT AS seed,
-CASE reached WHEN 1 THEN 'first round' WHEN 3 THEN 'third round' WHEN 4 THEN 'fourth round' WHEN 5 THEN 'final' WHEN 6 THEN 'champion' ELSE 'not in the field' END AS finish FROM rk WHERE team = 3""")
-def h27_focus_team(t):
-    """One team's odds beside what it reached; the team is the parameter."""
-    from pyspark.sql import Window
-
-    x = forecast_rows(t).withColumn("title_rank", F.rank().over(Window.partitionBy("sim").orderBy(F.desc("p_champion"))).cast("long")).where("team = 3")
-    r = F.col("reached")
-    finish = F.when(r == 1, "first round").when(r == 3, "third round").when(r == 4, "fourth round").when(r == 5, "final").when(r == 6, "champion").otherwise("not in the field")
-    return x.select("sim", "team", R("p_field"), R("p_champion"), "title_rank", F.col("seed").cast("long").alias("seed"), finish.alias("finish"))
-
-
 @query("WITH " + CHANCE_SQL + """, met AS (SELECT season, least(home, away) AS lo, greatest(home, away) AS hi, count(*) AS n FROM chance GROUP BY 1, 2, 3), best AS (SELECT arg_max((season, lo, hi), (n, -season, -lo, -hi)) AS b FROM met)
 SELECT contest_id, day, round(CASE WHEN home = b[2] THEN p_home ELSE 1 - p_home END, 6) AS p, CASE WHEN home = b[2] THEN home_won ELSE 1 - home_won END AS won FROM chance, best WHERE season = b[1] AND least(home, away) = b[2] AND greatest(home, away) = b[3]""")
 def n24_most_frequent_pair(t):
@@ -205,29 +179,6 @@ def h24_remaining_schedule(t):
     return with_chance(t).groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.count_if(late).alias("remaining"), R(F.avg((~late).cast("double")), "share_played"), R(F.sum(F.when(late, F.col("p_home"))), "expected_home"))
 
 
-@query("WITH " + RUN_SQL + """, k AS (SELECT count(DISTINCT sim) AS sims FROM runs) SELECT team, round(count(*)::DOUBLE / any_value(sims), 6) AS p_field, round(count(*) FILTER (auto)::DOUBLE / any_value(sims), 6) AS p_auto, round(avg(overall), 6) AS mean_overall,
-round(count(*) FILTER (overall <= 16)::DOUBLE / any_value(sims), 6) AS p_host, round(count(*) FILTER (seed = 1)::DOUBLE / any_value(sims), 6) AS p_1seed, round(count(*) FILTER (reached >= 3)::DOUBLE / any_value(sims), 6) AS p_reached3, round(count(*) FILTER (reached >= 6)::DOUBLE / any_value(sims), 6) AS p_reached6 FROM runs, k GROUP BY 1""")
-def e29_run_summary(t):
-    return r.run_summary(run_rows(t), ["team"]).select("team", *[R(c) for c in ("p_field", "p_auto", "mean_overall", "p_host", "p_1seed", "p_reached3", "p_reached6")])
-
-
-@query("WITH " + RUN_SQL + " SELECT sim, count(*) AS field, count(*) FILTER (overall <= 16) AS hosts, count(*) FILTER (reached >= 3) AS r3, count(*) FILTER (reached >= 4) AS r4, count(*) FILTER (reached >= 6) AS champions, count(*) FILTER (reached >= 6) = 1 AND count(*) FILTER (reached >= 3) = 8 AS whole FROM runs GROUP BY 1")
-def h25_bracket_integrity(t):
-    at = lambda k: F.count_if(F.col("reached") >= k)
-    return run_rows(t).groupBy("sim").agg(F.count(F.lit(1)).alias("field"), F.count_if(F.col("overall") <= 16).alias("hosts"), at(3).alias("r3"), at(4).alias("r4"), at(6).alias("champions"), ((at(6) == 1) & (at(3) == 8)).alias("whole"))
-
-
-@query("WITH " + RUN_SQL + """, f AS (SELECT sim, team, overall, reached FROM runs), nx AS (SELECT a.sim, a.team, a.overall, b.overall AS next, b.reached AS actual FROM f a LEFT JOIN f b ON b.sim = a.sim + 1 AND b.team = a.team)
-SELECT sim, count(*) AS field, count(*) FILTER (next IS NOT NULL) AS field_hits, count(*) FILTER (overall <= 16 AND next <= 16) AS host_hits, count(*) FILTER (overall <= 8 AND actual >= 3) AS round3_hits, round(avg(pow((overall <= 8)::INT - coalesce((actual >= 3)::INT, 0), 2)), 6) AS brier FROM nx WHERE sim < 2001 GROUP BY 1""")
-def h26_h27_forecast_scores(t):
-    """A season's seeds as a forecast of the next one's: hits of the field, of hosts and of a round, and the Brier score."""
-    f = run_rows(t)
-    nx = f.select((F.col("sim") - 1).alias("sim"), "team", F.col("overall").alias("next"), F.col("reached").alias("actual"))
-    x = f.where("sim < 2001").join(nx, ["sim", "team"], "left")
-    hit = F.coalesce((F.col("actual") >= 3).cast("double"), F.lit(0.0))
-    return x.groupBy("sim").agg(F.count(F.lit(1)).alias("field"), F.count("next").alias("field_hits"), F.count_if((F.col("overall") <= 16) & (F.col("next") <= 16)).alias("host_hits"), F.count_if((F.col("overall") <= 8) & (F.col("actual") >= 3)).alias("round3_hits"), R(F.avg(((F.col("overall") <= 8).cast("double") - hit) ** 2), "brier"))
-
-
 def published(t: Tables):
     x = team_seasons(t).join(t.conference(), "team")
     return x.select("season", "team", "conf", "n_matches", "wins", "losses", R("q_mean"), R("p_mean"))

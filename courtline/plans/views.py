@@ -60,6 +60,10 @@ class Tables:
         nation = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("conf"))
         return self.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("team"), "conf")
 
+    def league(self) -> DataFrame:
+        """team and league: a supplier's nation."""
+        return self.supplier.join(self.nation.select("n_nationkey", F.col("n_name").alias("league")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("team"), "league")
+
     def player_match(self) -> DataFrame:
         """match_id, day, season, player, position, team, opponent, w (weight), y (rate)."""
         rows = self.lineitem.join(self.part.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -48,3 +48,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     """A new folder in the session's shared one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or with_checkpoints(spark).sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/courtline-{label}-{uuid.uuid4().hex}"
+
+
+def saved_rows(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read again: what several jobs read is made once and survives lost executors."""
+    path = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtline.functions import rates, text
-from courtline.operators import contests, elo, metrics, players, predict, ratings, sequence
+from courtline.operators import bracket, contests, elo, metrics, players, predict, ratings, sequence
 from courtline.specs import Benchmark, EloConfig, EventSpec
 
 SPEC = EventSpec(("set",), ("seq",), "event", "team", "player", ("A", "B"), "Serve", "Reception", ("Kill", "First ball kill", "Attack error"), "First ball kill", ("Serve", "Reception", "Kill", "First ball kill", "Attack error"))
@@ -254,6 +255,67 @@ def test_logistic(spark):
     assert w == pytest.approx(b.tolist(), abs=1e-6)
 
 
+def newton(x, y):
+    a, b = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ b))
+        b += np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-9 * np.eye(len(b)), a.T @ (y - p))
+    return b
+
+
+def test_leave_one_out_like_single_fits(spark):
+    """All folds and specs fitted together give what each fit alone gives; a spec needs its own features only."""
+    rng = random.Random(6)
+    rows = [(i, 2000 + i % 4, x := rng.gauss(0, 1), rng.choice([None, rng.gauss(0, 2)]) if i % 9 == 0 else (z := rng.gauss(0, 2)), float(rng.random() < 1 / (1 + math.exp(-(0.3 + x))))) for i in range(900)]
+    rows += [(9001, None, 1.0, 1.0, 1.0), (9002, 2001, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "i int, fold int, x double, z double, y double").repartition(3)
+    features, specs = {"x": F.col("x"), "z": F.col("z")}, {"x": ("x",), "z": ("z",), "both": ("x", "z")}
+    names = list(features)
+    models = [predict.LogisticModel(s, tuple(names.index(c) for c in used), f) for f in range(2000, 2004) for s, used in specs.items()]
+    fits = predict.logistic_fits(df, list(features.values()), "y", models, F.col("fold"))
+    got = {(r["i"], r["spec"]): r["p"] for r in predict.leave_one_out(df, "fold", range(2000, 2004), specs, features, "y").collect()}
+    assert len(got) == 3 * 901
+    for m, w in zip(models, fits, strict=True):
+        own = [r for r in rows if r[1] is not None and r[1] != m.held_out and r[4] is not None and all(r[2 + i] is not None for i in m.uses)]
+        want = newton(np.array([[r[2 + i] for i in m.uses] for r in own]), np.array([r[4] for r in own]))
+        assert [w[0], *[w[i + 1] for i in m.uses]] == pytest.approx(want.tolist(), abs=1e-7) and all(w[i + 1] == 0 for i in (0, 1) if i not in m.uses)
+        for r in rows:
+            if r[1] == m.held_out and all(r[2 + i] is not None for i in m.uses):
+                z = want[0] + sum(want[j + 1] * r[2 + i] for j, i in enumerate(m.uses))
+                assert got[r[0], m.name] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-7)
+
+
+@pytest.mark.parametrize("block_weeks", [1, 3, 100])
+def test_walk_forward_like_refits(spark, block_weeks):
+    """Every week of every season as fitted from scratch on what is before it, however weeks are cut into blocks."""
+    rng = random.Random(7)
+    monday = dt.date(2024, 9, 2)
+    rows = [(s, monday + dt.timedelta(days=365 * s + rng.randrange(70)), a, b, None if rng.random() < 0.05 else rng.random()) for s in (0, 1) for _ in range(400) for a, b in [rng.sample([f"t{i}" for i in range(12 + s)], 2)]]
+    rows.append((2, monday, "t1", "t2", 0.5))
+    df = spark.createDataFrame(rows, "season int, day date, team string, opponent string, y double").repartition(3)
+    found = {(r["season"], r["week_start"], r["team"]): r for r in ratings.walk_forward(df, "season", "day", "y", block_weeks=block_weeks).collect()}
+    n = 0
+    for s in (0, 1, 2):
+        for week in sorted({r[1] - dt.timedelta(days=r[1].weekday()) for r in rows if r[0] == s}):
+            before = [(r[2], r[3], r[4]) for r in rows if r[0] == s and r[1] < week and r[4] is not None]
+            if len(before) >= 50:
+                for team, (off, deff) in dense(before, 1.0).items():
+                    r = found.pop((s, week, team))
+                    assert (r["rating_off"], r["rating_def"], r["rating_overall"]) == pytest.approx((off, deff, off + deff), abs=1e-6)
+                    n += 1
+    assert not found and n > 150
+
+
+def test_prematch_features(spark):
+    """One row per match; 0 where the week's fit does not know a team."""
+    day = dt.date(2024, 9, 11)
+    matches = spark.createDataFrame([(1, 0, day, "a", "b"), (2, 0, day, "a", "new"), (3, 1, day, "a", "b")], "match int, season int, day date, home string, away string")
+    log = spark.createDataFrame([(i, 1500.0 + i, 1400.0) for i in (1, 2, 3)], "match int, elo_home double, elo_away double")
+    weekly = spark.createDataFrame([(0, dt.date(2024, 9, 9), "a", 3.0), (0, dt.date(2024, 9, 9), "b", -2.0), (0, dt.date(2024, 9, 2), "new", 9.0)], "season int, week_start date, team string, rating_overall double")
+    got = {r["match"]: (r["elo_home"], r["elo_away"], r["ridge_home"], r["ridge_away"]) for r in predict.prematch_features(matches, log, weekly).collect()}
+    assert got == {1: (1501.0, 1400.0, 3.0, -2.0), 2: (1502.0, 1400.0, 3.0, 0.0), 3: (1503.0, 1400.0, 0.0, 0.0)}
+
+
 def test_win_distribution(spark):
     df = spark.createDataFrame([("t", i, p) for i, p in enumerate((0.2, 0.7, 0.9))], "t string, i int, p double")
     r = predict.win_distribution(df, ["t"], "p", "i").first()
@@ -291,3 +353,92 @@ def test_rank_band_and_ranks(spark):
     assert got == {0: (1, 4), 1: (2, 4), 2: (2, 4), 3: (4, 5)}  # a rating is above its own lower bound
     ranks = [r["r"] for r in metrics.ranked(df, ["g"], "v", "r").orderBy("i").collect()]
     assert ranks == [1, 2, 2, 4]
+
+
+def random_bracket(seed, rounds=6, of=0):
+    """Matches of a bracket in slot order, and each team's slot, wins and first-round side."""
+    rng = random.Random(seed)
+    alive, rows, reached = [f"t{i:02}" for i in rng.sample(range(2**rounds), 2**rounds)], [], {}
+    order = list(alive)
+    for k in range(rounds):
+        new = []
+        for a, b in zip(alive[::2], alive[1::2], strict=True):
+            home, away = rng.sample([a, b], 2)
+            won = rng.random() < 0.5
+            rows.append((of, len(rows), dt.date(2024, 12, 1 + 3 * k), home, away, float(won), k >= 2))
+            new.append(home if won else away)
+            reached[away if won else home] = k + 1
+        alive = new
+    return rows, reached | {alive[0]: rounds + 1}, order
+
+
+BRACKET = "season int, match int, day date, home string, away string, home_won double, neutral boolean"
+
+
+def test_bracket_outcomes_and_tree(spark):
+    """Reached rounds, hosts, and a tree in which the same teams can meet as in the bracket that was played."""
+    both = [random_bracket(s, of=s) for s in (1, 2)]
+    df = spark.createDataFrame([r for rows, _, _ in both for r in rows], BRACKET).repartition(4)
+    got = {(r["season"], r["team"]): r for r in bracket.outcomes(df, ["season"]).collect()}
+    spots = {(r["season"], r["team"]): r["slot"] for r in bracket.slots(bracket.tree(df, ["season"]), ["season"]).collect()}
+    for season, (rows, reached, order) in zip((1, 2), both, strict=True):
+        hosts = {r[3] for r in rows if not r[6]}
+        for team, k in reached.items():
+            r = got[season, team]
+            lost = next((x for x in rows if team in x[3:5] and (x[3] if x[5] else x[4]) != team), None)
+            assert r["reached"] == k and r["host"] == (team in hosts) and r["lost_in"] == (k if lost else None) and r["lost_to"] == (None if lost is None else lost[3] if lost[3] != team else lost[4])
+        assert sorted(spots[season, t] for t in order) == list(range(64))
+        depth = lambda i, j: next(k for k in range(1, 7) if i >> k == j >> k)  # noqa: E731  the round in which two slots can meet
+        assert all(depth(i, j) == depth(spots[season, order[i]], spots[season, order[j]]) for i in range(64) for j in range(i))
+    whole = bracket.integrity(df, ["season"]).collect()
+    assert [tuple(r)[1:] for r in whole] == [(63, 64, 32, 16, 8, 4, 2, 1, 1, 63, None)] * 2
+
+
+def test_damaged_brackets(spark):
+    """A missing match, a loser that plays on, and two brackets of half the size that never meet are told apart."""
+    rows = [random_bracket(s, of=s)[0] for s in range(4)]
+    rows[0] = rows[0][:-1]  # no final
+    last = rows[1][40]
+    loser = last[4] if last[5] else last[3]
+    after = next(i for i, r in enumerate(rows[1]) if i > 40 and (last[3] if last[5] else last[4]) in r[3:5])
+    r = rows[1][after]
+    rows[1][after] = (*r[:3], *[loser if t == (last[3] if last[5] else last[4]) else t for t in r[3:5]], *r[5:])
+    a, b = random_bracket(8, 5, 3)[0], random_bracket(9, 5, 3)[0]
+    rows[3] = a + [(3, 100 + x[1], x[2], "u" + x[3], "u" + x[4], *x[5:]) for x in b] + [(3, 200, dt.date(2024, 12, 30), "x", "y", 1.0, True)]
+    got = {r["season"]: r for r in bracket.integrity(spark.createDataFrame(sum(rows, []), BRACKET), ["season"]).collect()}
+    assert [got[s]["fault"] for s in range(4)] == ["number of matches", "results", None, "results"]
+    # Two home sides of the first round change places: whole if both went out there, else a loser plays on.
+    moved = random_bracket(4, of=9)[0]
+    i, j = [k for k, r in enumerate(moved) if k < 32][:2]
+    swap = {moved[i][3]: moved[j][3], moved[j][3]: moved[i][3]}
+    first = [(*r[:3], swap.get(r[3], r[3]), swap.get(r[4], r[4]), *r[5:]) if k in (i, j) else r for k, r in enumerate(moved)]
+    plays_on = any(moved[k][5] for k in (i, j))
+    assert bracket.integrity(spark.createDataFrame(first, BRACKET), ["season"]).first()["fault"] == ("results" if plays_on else None)
+    assert bracket.integrity(spark.createDataFrame([], BRACKET), ["season"]).count() == 0
+
+
+def test_played_brackets(spark):
+    """Brackets decided by form: the larger value of the round wins, a team alone goes on, ties go to the smaller team."""
+    rng = random.Random(3)
+    form = {t: [rng.choice([None, 1.0, 2.0, 3.0]) for _ in range(6)] for t in range(64)}
+    rows = [(1, t, t, form[t]) for t in range(64)] + [(2, t, t, form[t]) for t in range(0, 64, 2)]
+    got = {(r["season"], r["round"], r["game"]): (r["home"], r["away"], r["home_won"]) for r in bracket.played(spark.createDataFrame(rows, "season int, team int, slot int, form array<double>").repartition(3), ["season"], "slot", "form").collect()}
+    value = lambda t, k: -9 if form[t][k] is None else form[t][k]
+    want = {}
+    for season, alive in ((1, {t: t for t in range(64)}), (2, {t: t for t in range(0, 64, 2)})):
+        for k in range(6):
+            new = {}
+            for g in {p // 2 for p in alive}:
+                pair = [alive[p] for p in (2 * g, 2 * g + 1) if p in alive]
+                best = max(pair, key=lambda t: (value(t, k), -t))
+                if len(pair) == 2:
+                    want[season, k + 1, g] = (*pair, float(best == pair[0]))
+                new[g] = best
+            alive = new
+    assert got == want and len(got) == 63 + 31
+
+
+def test_seeds_from_labels(spark):
+    rows = [(1, 1, "a", 1), (1, 3, "a", 1), (1, 2, "b", 4), (1, 4, "c", 2), (1, 5, "c", 3), (2, 1, "a", 1), (2, 3, "a", 2), (2, 1, "b", 7), (2, 1, "d", None)]
+    got = {(r["season"], r["team"]): r["seed"] for r in bracket.seeds_of(spark.createDataFrame(rows, "season int, round int, team string, label int"), ["season"]).collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 4, (2, "a"): 2}
