@@ -85,6 +85,27 @@ def result_sets(text: Column, side: int) -> Column:
     return F.regexp_extract(text, r"(\d+)\s*-\s*(\d+)", side + 1).try_cast("int")
 
 
+def signed_margin(sets_for: Column, sets_against: Column) -> Column:
+    """Sets won less sets lost."""
+    return (sets_for - sets_against).cast("int")
+
+
+def result_text(won: Column, sets_for: Column, sets_against: Column) -> Column:
+    """'W 3-1' or 'L 1-3'; null where the result is not known."""
+    return F.concat(F.when(won, "W ").when(~won, "L "), sets_for.cast("int").cast("string"), F.lit("-"), sets_against.cast("int").cast("string"))
+
+
+def location(team: Column, home: Column, away: Column, neutral: Column | None = None) -> Column:
+    """home, away or neutral from a team's side; null if it is neither side."""
+    side = F.when(team == home, "home").when(team == away, "away")
+    return side if neutral is None else F.when(F.coalesce(neutral, F.lit(False)) & side.isNotNull(), "neutral").otherwise(side)
+
+
+def opponent_of(team: Column, home: Column, away: Column) -> Column:
+    """The other side; null if the team is neither."""
+    return F.when(team == home, away).when(team == away, home)
+
+
 def legal_final(a: Column, b: Column, points: int = 25) -> Column:
     """Whether a set may end so: points or more, two ahead, and no more than that beyond points."""
     high, margin = F.greatest(a, b), F.abs(a - b)

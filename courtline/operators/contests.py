@@ -45,10 +45,25 @@ def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def within_spans(events: DataFrame, spans: DataFrame, entity: str, at: str, first: str, last: str) -> DataFrame:
-    """Events of an entity inside its spans, both ends included."""
-    s = spans.withColumnRenamed(entity, "_entity")
-    return events.join(s, (F.col(entity) == F.col("_entity")) & F.col(at).between(F.col(first), F.col(last))).drop("_entity")
+def within_spans(events: DataFrame, spans: DataFrame, entity: str, at: str, first: str, last: str, lanes: int = 3) -> DataFrame:
+    """Events of an entity inside its spans, both ends included, with the span's columns.
+
+    A sweep instead of a join: span starts and events lie in one order by entity, and each event takes the span that began
+    last, if that has not ended. So no event meets a span that it is not in. An entity's spans may overlap their
+    neighbours: they are dealt in turn to `lanes` lanes, and an event is swept in each. If spans of one lane overlap, the query
+    fails and says so. Events and spans without an entity or an end are in none.
+    """
+    own = [c for c in spans.columns if c != entity]
+    turn = F.row_number().over(Window.partitionBy(entity).orderBy(first, last)) - 1
+    begun = spans.dropna(subset=[entity, first, last]).withColumn("_lane", turn % lanes)
+    begun = begun.select(F.col(entity), "_lane", F.col(first).cast(events.schema[at].dataType).alias("_at"), F.struct(*own).alias("_span"))
+    seen = events.dropna(subset=[entity, at]).select(F.col(entity), F.col(at).alias("_at"), F.struct(*events.columns).alias("_event"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+    both = begun.unionByName(seen, allowMissingColumns=True)
+    order = Window.partitionBy(entity, "_lane").orderBy("_at", F.col("_span").isNull(), F.col(f"_span.{last}"))
+    before = F.last("_span", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    clash = F.col("_span").isNotNull() & (F.col(f"_open.{last}") >= F.col(f"_span.{first}"))
+    swept = both.withColumn("_open", before).where(F.when(clash, F.raise_error(F.lit("too many spans of an entity overlap")).cast("boolean")).otherwise(True))
+    return swept.where(F.col("_event").isNotNull() & (F.col("_at") <= F.col(f"_open.{last}"))).select("_event.*", *[F.col(f"_open.{c}").alias(c) for c in own])
 
 
 def as_of_week(rows: DataFrame, day: str, values: DataFrame, keys: Sequence[str]) -> DataFrame:

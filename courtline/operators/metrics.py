@@ -73,15 +73,18 @@ def expected_wins(rows: DataFrame, by: Sequence[str], p: str, won: str) -> DataF
     return out.withColumn("diff", F.col("wins") - F.col("x_wins")).withColumn("z", F.try_divide("diff", F.sqrt(F.nullif("var", F.lit(0.0)))))
 
 
+def upper_median(rows: DataFrame, value: str) -> DataFrame:
+    """One row with median: the middle value, the upper one of two; from how many rows have each value."""
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(value))  # as many rows as different values
+    return sizes.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy())).where(F.col("_upto") > F.floor(F.col("_all") / 2)).agg(F.min(value).alias("median"))
+
+
 def coverage(now: DataFrame, before: DataFrame, team: str, match: str) -> DataFrame:
     """Rows of each team now and before, and whether it is thin (fewer than half of the upper median) or missing."""
     n = now.groupBy(team).agg(F.countDistinct(match).alias("n_now"))
     b = before.groupBy(team).agg(F.countDistinct(match).alias("n_before"))
-    # The upper median, from how many teams have each number of rows.
-    sizes = n.groupBy("n_now").agg(F.count(F.lit(1)).alias("teams"))
-    upto = F.sum("teams").over(Window.orderBy("n_now"))  # as many rows as different numbers
-    middle = sizes.withColumn("upto", upto).withColumn("all", F.sum("teams").over(Window.partitionBy())).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("n_now").alias("median"))
-    both = n.join(b, team, "full_outer").crossJoin(F.broadcast(middle))  # one row
+    both = n.join(b, team, "full_outer").crossJoin(F.broadcast(upper_median(n, "n_now")))  # one row
     return both.select(team, F.coalesce("n_now", F.lit(0)).alias("n_now"), F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce(F.col("n_now") * 2 < F.col("median"), F.lit(False)).alias("thin"), F.col("n_now").isNull().alias("missing"))
 
 
@@ -90,8 +93,8 @@ def coverage_summary(now: DataFrame, before: DataFrame, team: str, match: str, c
     n = now.groupBy(team).agg(F.countDistinct(match).alias("n_now"))
     lost = before.groupBy(team).agg(F.max(conf).alias(conf)).join(n, team, "left")
     wiped = lost.groupBy(conf).agg(F.count("n_now").alias("kept")).where("kept = 0").agg(F.count(F.lit(1)).alias("conferences_wiped"))
-    sizes = n.agg(F.count(F.lit(1)).alias("teams"), F.min("n_now").alias("least"), F.percentile("n_now", F.lit(0.5)).alias("median"), F.max("n_now").alias("most"))
-    return sizes.crossJoin(lost.agg(F.count_if(F.col("n_now").isNull()).alias("missing"))).crossJoin(wiped)  # one row each
+    sizes = n.agg(F.count(F.lit(1)).alias("teams"), F.min("n_now").alias("least"), F.max("n_now").alias("most"))
+    return sizes.crossJoin(upper_median(n, "n_now")).crossJoin(lost.agg(F.count_if(F.col("n_now").isNull()).alias("missing"))).crossJoin(wiped)  # one row each
 
 
 def benchmarks_met(rows: DataFrame, by: Sequence[str], thresholds: DataFrame, higher: dict[str, bool]) -> DataFrame:

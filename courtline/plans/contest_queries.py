@@ -207,7 +207,7 @@ def e30_coverage(t):
 
 @query("WITH " + SIDES_SQL + """, n AS (SELECT team, count(DISTINCT contest_id) AS n_now FROM sides WHERE season = 1998 AND conf <> 'ASIA' GROUP BY 1), b AS (SELECT team, max(conf) AS conf FROM sides WHERE season = 1997 GROUP BY 1),
 l AS (SELECT b.team, conf, n_now FROM b LEFT JOIN n ON n.team = b.team)
-SELECT (SELECT count(*) FROM n) AS teams, (SELECT min(n_now) FROM n) AS least, (SELECT quantile_cont(n_now, 0.5) FROM n) AS median, (SELECT max(n_now) FROM n) AS most, (SELECT count(*) FROM l WHERE n_now IS NULL) AS missing,
+SELECT (SELECT count(*) FROM n) AS teams, (SELECT min(n_now) FROM n) AS least, (SELECT list_sort(list(n_now))[count(*) // 2 + 1] FROM n) AS median, (SELECT max(n_now) FROM n) AS most, (SELECT count(*) FROM l WHERE n_now IS NULL) AS missing,
 (SELECT count(*) FROM (SELECT conf FROM l GROUP BY 1 HAVING count(n_now) = 0)) AS conferences_wiped""")
 def e30_coverage_summary(t):
     """A season that lost a conference, against the one before."""
@@ -374,13 +374,13 @@ def h12_persistence(t):
     return p.persistence(chance_sides(t), ["season", "team"], ["day", "contest_id"], "p", "won").select("groups", R("odd_even"), R("halves"), R("z_sd"), R("beyond_2sd"))
 
 
-@query("WITH RECURSIVE " + CHANCE_SIDES_SQL + """, g AS (SELECT season, team, p, row_number() OVER (PARTITION BY season, team ORDER BY contest_id) AS i, count(*) OVER (PARTITION BY season, team) AS games FROM cs WHERE season = 1998 AND month(day) >= 11),
+@query("WITH RECURSIVE " + CHANCE_SIDES_SQL + """, g AS (SELECT season, team, p, row_number() OVER (PARTITION BY season, team ORDER BY contest_id) AS i, count(*) OVER (PARTITION BY season, team) AS games FROM cs WHERE month(day) >= 11),
 d AS (SELECT season, team, games, 0::BIGINT AS i, 0::BIGINT AS k, 1.0::DOUBLE AS pr FROM g GROUP BY ALL
       UNION ALL SELECT d.season, d.team, d.games, g.i, x.k, sum(d.pr * CASE WHEN x.k = d.k THEN 1 - g.p ELSE g.p END) FROM d JOIN g ON g.season = d.season AND g.team = d.team AND g.i = d.i + 1, LATERAL (SELECT unnest([d.k, d.k + 1]) AS k) x GROUP BY ALL),
 f AS (SELECT season, team, games, k, pr, sum(pr) OVER (PARTITION BY season, team ORDER BY k) AS cdf FROM d WHERE i = games)
 SELECT season, team, games, round(sum(pr * k), 6) AS mean, min(k) FILTER (cdf >= 0.1 - 1e-12) AS q10, min(k) FILTER (cdf >= 0.9 - 1e-12) AS q90, round(max(pr) FILTER (k = games), 6) AS win_out FROM f GROUP BY 1, 2, 3""")
 def h15_h16_win_distribution(t):
-    left = chance_sides(t).where((F.col("season") == 1998) & (F.month("day") >= 11))
+    left = chance_sides(t).where(F.month("day") >= 11)  # what is left of each season from November on
     return p.win_distribution(left, ["season", "team"], "p", "contest_id").select("season", "team", "games", R("mean"), "q10", "q90", R("win_out"))
 
 

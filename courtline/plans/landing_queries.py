@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..session import new_folder
+from ..session import new_folder, saved_rows
 from ..sources import box, feeds, tables
 from .contest_queries import SIDES_SQL, sides
 from .registry import query
@@ -22,10 +22,15 @@ def written_csv(t: Tables, rows: DataFrame, order: str, label: str) -> str:
     return folder
 
 
-def written_json(t: Tables, docs: DataFrame, chunk: str, label: str) -> str:
-    """Writes one file for each chunk, an array of its documents, and gives the folder."""
+#: Documents of a file.
+FILE_DOCS = 2000
+
+
+def written_json(t: Tables, docs: DataFrame, key: str, label: str) -> str:
+    """Writes docs as files of about FILE_DOCS documents, each an array, dealt by a column of them, and gives the folder."""
     folder = new_folder(t.spark, label)
-    docs.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*[c for c in docs.columns if c != chunk]))).alias("value")).write.partitionBy(chunk).text(folder)
+    chunk = F.pmod(F.xxhash64(key), F.lit(docs.count() // FILE_DOCS + 1)).alias("chunk")
+    docs.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value")).write.partitionBy("chunk").text(folder)
     return folder
 
 
@@ -75,9 +80,9 @@ def a25_land_roster(t):
 @query("WITH " + CONTEST_SQL + """ SELECT day, least(home, away) AS lo, greatest(home, away) AS hi, any_value(home_won)::INT AS home_sets FROM (SELECT day, home::VARCHAR AS home, away::VARCHAR AS away, home_won FROM contest) GROUP BY 1, 2, 3 HAVING count(*) = 1""")
 def a8_a9_land_results(t):
     """Results of pairs that met once on a day; which of several counts follows from the files' order."""
-    known = t.contest().select(F.date_format("day", "yyyy-MM").alias("month"), F.date_format("day", "yyyy-MM-dd").alias("date"), text("contest_id").alias("game_id"), text("home").alias("home_team"), text("away").alias("away_team"), F.col("home_won").cast("int").alias("home_sets"), F.lit(0).alias("away_sets"))
+    known = t.contest().select(F.date_format("day", "yyyy-MM-dd").alias("date"), text("contest_id").alias("game_id"), text("home").alias("home_team"), text("away").alias("away_team"), F.col("home_won").cast("int").alias("home_sets"), F.lit(0).alias("away_sets"))
     once = known.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date", F.least("home_team", "away_team"), F.greatest("home_team", "away_team")))).where("n = 1").drop("n")
-    return box.land_results(t.spark, written_json(t, once, "month", "results")).select("day", "lo", "hi", "home_sets")
+    return box.land_results(t.spark, written_json(t, once, "game_id", "results")).select("day", "lo", "hi", "home_sets")
 
 
 @query("WITH " + CONTEST_SQL + """ SELECT contest_id, CASE WHEN contest_id % 5 = 0 THEN NULL WHEN contest_id % 2 = 0 THEN home::VARCHAR WHEN home_q > away_q THEN home::VARCHAR WHEN away_q > home_q THEN away::VARCHAR END AS winner, contest_id % 5 <> 0 AS final FROM contest WHERE contest_id % 11 <> 0""")
@@ -88,29 +93,67 @@ def a10_a11_split_games(t):
     return finals.select("contest_id", "winner", F.lit(True).alias("final")).unionByName(unplayed.select("contest_id", F.lit(None).cast("string").alias("winner"), F.lit(False).alias("final")))
 
 
-@query("""WITH e AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('week', ts)) AS set_no, row_number() OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) - 1 AS i FROM events)
-SELECT 'home ' || user_id AS home_team, set_no::INT AS set_no, (i * 100000)::INT AS seq, CASE WHEN event_id % 2 = 0 THEN 'home ' || user_id ELSE 'away' END AS team, CASE event_type WHEN 'purchase' THEN 'Kill' WHEN 'error' THEN 'Block error' WHEN 'click' THEN 'Ace' ELSE 'Other' END AS kind,
-'Player ' || user_id AS actor, (event_id % 30)::INT AS home_score, (event_id % 20)::INT AS away_score FROM e WHERE event_id % 13 <> 0""")
+@query("""WITH w AS (SELECT *, count(*) FILTER (event_id % 13 <> 0 AND event_id % 7 <> 0) OVER (PARTITION BY user_id, date_trunc('week', ts)) > 0 AS scored, row_number() OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) - 1 AS i FROM events),
+e AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('week', ts)) AS set_no FROM w WHERE scored)
+SELECT CASE WHEN user_id % 3 = 0 THEN 'home ' ELSE 'board ' END || user_id AS home_team, set_no::INT AS set_no, (i * 100000)::INT AS seq, CASE WHEN event_id % 2 = 0 THEN CASE WHEN user_id % 3 = 0 THEN 'home ' ELSE 'board ' END || user_id ELSE 'away' END AS team, CASE event_type WHEN 'purchase' THEN 'Kill' WHEN 'error' THEN 'Block error' WHEN 'click' THEN 'Ace' ELSE 'Other' END AS kind,
+'Player ' || user_id AS actor, (event_id % 30)::INT AS home_score, (event_id % 20)::INT AS away_score FROM e WHERE event_id % 13 <> 0 AND event_id % 7 <> 0""")
 def a4_land_points(t):
+    """Documents whose scoreboard has another name than the document (but for a third, where it has none), and plays of a team that is neither."""
     week = F.date_trunc("week", "ts")
     told = F.concat(F.element_at(F.create_map(*[F.lit(v) for kv in {"purchase": "Kill", "error": "Block error", "click": "Service ace", "view": "Serve", "signup": "Set"}.items() for v in kv]), F.col("event_type")), F.lit(" by Player "), text("user_id"), F.lit(", assisted."))
     play = F.struct(told.alias("playText"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 30).cast("int").alias("homeScore"), (F.col("event_id") % 20).cast("int").alias("visitorScore"))
-    stat = F.struct(F.when(F.col("event_id") % 2 == 0, "1").otherwise("2").alias("teamId"), F.array(play).alias("plays"))
+    stat = F.struct(F.when(F.col("event_id") % 7 == 0, "9").when(F.col("event_id") % 2 == 0, "1").otherwise("2").alias("teamId"), F.array(play).alias("plays"))
     sets = t.events.groupBy("user_id", week.alias("week")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", stat.alias("stat")))), lambda r: r["stat"]).alias("playbyplayStats"))
     docs = sets.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "playbyplayStats"))), lambda r: F.struct(r["playbyplayStats"].alias("playbyplayStats"))).alias("periods"))
     team = lambda i, home, name: F.struct(F.lit(i).alias("teamId"), F.lit(home).alias("isHome"), name.alias("nameShort"))
     teams = F.array(team("1", True, F.concat(F.lit(" home "), text("user_id"))), team("2", False, F.lit("away ")))
-    folder = written_json(t, docs.select((F.col("user_id") % 8).alias("chunk"), F.lit("2024-01-01").alias("_date"), teams.alias("teams"), "periods"), "chunk", "points")
+    board = F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("board "), text("user_id"), F.lit(" ")))
+    folder = written_json(t, docs.select("user_id", F.lit("2024-01-01").alias("_date"), board.alias("_home_team"), teams.alias("teams"), "periods"), "user_id", "points")
     return feeds.land_points(t.spark, folder).select("home_team", F.col("set_no").cast("int").alias("set_no"), F.col("seq").cast("int").alias("seq"), "team", "kind", "actor", "home_score", "away_score")
 
 
-@query("""SELECT CAST(l_shipdate AS DATE) AS day, CASE WHEN l_linenumber % 2 = 1 THEN 'home' ELSE 'away' END AS team, CASE WHEN l_linenumber % 2 = 1 THEN 'Home' ELSE 'Away' END AS location, 'First ' || l_partkey AS player, l_returnflag AS position, l_quantity::DOUBLE AS "Kills", 0.0::DOUBLE AS "Digs" FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 5 <> 0""")
+@query("""SELECT l_orderkey || '-' || l_linenumber AS contest_id, year(l_shipdate)::VARCHAR AS season, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_linenumber % 2 = 1 THEN 'board ' || l_suppkey ELSE 'guest' END AS team, CASE WHEN l_linenumber % 2 = 1 THEN coalesce(r_name, '') ELSE '' END AS conference,
+CASE WHEN l_linenumber % 2 = 1 THEN 'guest' ELSE 'board ' || l_suppkey END AS opponent, CASE WHEN l_linenumber % 2 = 1 THEN 'Home' ELSE 'Away' END AS location, 'First ' || l_partkey AS player, l_returnflag AS position, l_quantity::DOUBLE AS "Kills", 0.0::DOUBLE AS "Digs"
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_partkey % 5 <> 0 AND l_orderkey % 17 <> 0 AND l_partkey % 11 <> 0""")
 def a5_land_player_stats(t):
-    stats = F.struct(F.lit("First ").alias("firstName"), F.concat(F.lit(" "), text("l_partkey")).alias("lastName"), F.col("l_returnflag").alias("position"), text("l_quantity").alias("kills"), F.lit("").alias("digs"), (F.col("l_partkey") % 5 != 0).alias("participated"))
+    """A document for each line: the scoreboard's names differ from the document's, some documents lack them, and some players have no name."""
+    nameless = F.col("l_partkey") % 11 == 0
+    stats = F.struct(F.when(nameless, " ").otherwise("First ").alias("firstName"), F.when(~nameless, F.concat(F.lit(" "), text("l_partkey"))).alias("lastName"), F.col("l_returnflag").alias("position"), text("l_quantity").alias("kills"), F.lit("").alias("digs"), (F.col("l_partkey") % 5 != 0).alias("participated"))
     team = lambda i, home, name: F.struct(F.lit(i).alias("teamId"), F.lit(home).alias("isHome"), F.lit(name).alias("nameShort"))
-    own = F.array(F.struct(F.when(F.col("l_linenumber") % 2 == 1, "1").otherwise("2").alias("teamId"), F.array(stats).alias("playerStats")))
-    docs = t.lineitem.where("l_linenumber <= 2").select((F.col("l_orderkey") % 8).alias("chunk"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("_date"), F.array(team("1", True, "home"), team("2", False, "away ")).alias("teams"), own.alias("teamBoxscore"))
-    return feeds.land_player_stats(t.spark, written_json(t, docs, "chunk", "boxes")).select("day", "team", "location", "player", "position", "Kills", "Digs")
+    own = F.array(F.struct(F.when(F.col("l_linenumber") % 2 == 1, "1").otherwise("2").alias("teamId"), F.array(stats).alias("playerStats")), F.struct(F.lit("7").alias("teamId"), F.array(stats).alias("playerStats")))
+    contest = F.concat(text("l_orderkey"), F.lit("-"), text("l_linenumber"))
+    board = F.when(F.col("l_orderkey") % 17 != 0, F.concat(F.lit("board "), text("l_suppkey"), F.lit(" ")))
+    docs = t.lineitem.select(contest.alias("_contest_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("_date"), board.alias("_home_team"), F.lit("guest").alias("_away_team"), F.array(team("1", True, "home"), team("2", False, "away ")).alias("teams"), own.alias("teamBoxscore"))
+    conferences = t.conference().select(F.concat(F.lit("board "), text("team")).alias("team"), "conf")
+    landed = feeds.land_player_stats(t.spark, written_json(t, docs, "_contest_id", "boxes"), None, conferences)
+    return landed.select("contest_id", "season", "day", "team", "conference", "opponent", "location", "player", "position", "Kills", "Digs")
+
+
+@query("WITH " + CONTEST_SQL + """ SELECT contest_id::VARCHAR AS game_id, day, home::VARCHAR AS home, away::VARCHAR AS away, CASE WHEN contest_id % 3 = 0 THEN 'pre' WHEN contest_id % 3 = 1 THEN 'final' ELSE '' END AS state FROM contest WHERE contest_id % 19 <> 0""")
+def a9_land_schedule(t):
+    """Scheduled games with their state, among them pairs that meet twice on a day; games without a side go."""
+    k = F.col("contest_id")
+    day = F.when(k % 2 == 0, F.date_format("day", "M/d/yyyy")).otherwise(F.date_format("day", "yyyy-MM-dd"))
+    docs = t.contest().select(day.alias("date"), text("contest_id").alias("game_id"), F.when(k % 19 == 0, " ").otherwise(text("home")).alias("home_team"), text("away").alias("away_team"), F.when(k % 3 == 0, "pre").when(k % 3 == 1, "final").alias("state"))
+    return box.land_schedule(t.spark, written_json(t, docs, "game_id", "schedule"))
+
+
+@query("WITH " + CONTEST_SQL + """ SELECT season, count(*) AS rows, count(CASE WHEN season > (SELECT min(season) FROM contest) THEN away_q END) AS with_away_q, sum(home_q)::DOUBLE AS home_q, coalesce(sum(away_q) FILTER (season > (SELECT min(season) FROM contest)), 0)::DOUBLE AS away_q FROM contest GROUP BY 1""")
+def a12_season_union(t):
+    """A file or more for each season, named by it; the first season's lack a column that later ones have, and the others have theirs in another order."""
+    x = saved_rows(t.contest().select("season", "contest_id", "home", "away", "home_q", "away_q"), "contests")
+    seasons = sorted(r["season"] for r in x.select("season").distinct().collect())  # a few numbers
+    folder = new_folder(t.spark, "seasons")
+    for k, season in enumerate(seasons):
+        columns = ["contest_id", "home", "away", "home_q", "away_q"][: 4 if k == 0 else None]
+        own = x.where(F.col("season") == season).select(*(columns if k % 2 == 0 else columns[::-1]))
+        own.write.option("header", True).csv(f"{folder}/games_{season}")
+    return season_rows(feeds.union_seasons(t.spark, folder, r"/games_(\d+)/[^/]*$"))
+
+
+def season_rows(rows):
+    number = lambda c: F.coalesce(F.sum(F.col(c).try_cast("double")), F.lit(0.0))
+    return rows.groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.count("away_q").alias("with_away_q"), number("home_q").alias("home_q"), number("away_q").alias("away_q"))
 
 
 @query("""SELECT c_custkey, 'p' || c_custkey AS name, c_mktsegment AS school, (c_custkey % 40)::INT AS touches, round((2 * (c_custkey % 10) + c_custkey % 7) / (c_custkey % 40), 6) AS rating, round((c_custkey % 5) / (c_custkey % 40), 6) AS bad_share FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 40 > 0""")

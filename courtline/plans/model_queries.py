@@ -332,11 +332,17 @@ def a17_a18_carried_forward(t):
     return carried_forward(x.where("season >= 2000"), x.where("q > 30")).groupBy("season").agg(F.count(F.lit(1)).alias("rows"), R(F.sum("q"), "q"))
 
 
-@query("WITH " + SIDES_SQL + """, a AS (SELECT DISTINCT team, conf, 1 AS p FROM sides WHERE season = 2001 AND q > 48), b AS (SELECT team, conf, 2 AS p FROM conference WHERE team % 2 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT team, arg_min(conf, p) AS conf FROM u GROUP BY 1""")
+@query("WITH " + CONTEST_SQL + """, a AS (SELECT DISTINCT home AS team, 'told ' || home_conf AS conf, 1 AS p FROM contest WHERE home_q > 48), n AS (SELECT max(season) AS season FROM contest),
+b AS (SELECT DISTINCT away AS team, 'newest ' || away_conf AS conf, 2 AS p FROM contest WHERE season = (SELECT season FROM n) AND home_won = 0), d AS (SELECT team, conf, 3 AS p FROM conference), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d) SELECT team, arg_min(conf, p) AS conf FROM u GROUP BY 1""")
 def a20_conference_by_priority(t):
+    """Three sources, each with other teams: those told outright, those seen in the newest season, and the list of all."""
     from ..sources.box import conference_by_priority
 
-    return conference_by_priority([(1, sides(t).where("season = 2001 and q > 48")), (2, t.conference().where("team % 2 = 0"))])
+    x = t.contest()
+    newest = x.agg(F.max("season").alias("newest"))
+    told = x.where("home_q > 48").select(F.col("home").alias("team"), F.concat(F.lit("told "), "home_conf").alias("conf")).distinct()
+    seen = x.crossJoin(F.broadcast(newest)).where("season = newest and home_won = 0").select(F.col("away").alias("team"), F.concat(F.lit("newest "), "away_conf").alias("conf")).distinct()  # one row
+    return conference_by_priority([(1, told), (2, seen), (3, t.conference())])
 
 
 @query("WITH k AS (SELECT *, least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi FROM lineitem) SELECT lo, hi, arg_max(l_quantity, struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber, d := l_extendedprice, e := l_quantity)) AS last_q FROM k GROUP BY 1, 2")

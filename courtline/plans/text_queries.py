@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators import contests as c
 from .registry import query
+from .views import SIDES_SQL
 
 #: Texts of plays as feeds tell them; {a} and {b} are names.
 PHRASES = [
@@ -100,6 +101,18 @@ def b9_b15_b16_k7_scores(t):
     )
 
 
+@query("WITH " + SIDES_SQL + """ SELECT contest_id, team, venue AS location, opponent, CASE WHEN won = 1 THEN 'W ' ELSE 'L ' END || own || '-' || other AS result, (own - other)::INT AS margin
+FROM (SELECT *, CASE WHEN won = 1 THEN 3 ELSE (contest_id % 3)::INT END AS own, CASE WHEN won = 1 THEN (contest_id % 3)::INT ELSE 3 END AS other FROM sides)""")
+def b15_orientation(t):
+    """Each side of a match from the match's row: where it played, whom, its result's text and its margin in sets."""
+    sets = F.when(F.col("home_won") == 1, F.array(F.lit(3), (F.col("contest_id") % 3).cast("int"))).otherwise(F.array((F.col("contest_id") % 3).cast("int"), F.lit(3)))
+    rows = t.contest().select("contest_id", "home", "away", "home_won", sets.alias("s"), F.explode(F.array("home", "away")).alias("team"))
+    home = F.col("team") == F.col("home")
+    own, other = F.when(home, F.col("s")[0]).otherwise(F.col("s")[1]), F.when(home, F.col("s")[1]).otherwise(F.col("s")[0])
+    sides = F.col("team"), F.col("home"), F.col("away")
+    return rows.select("contest_id", "team", x.location(*sides).alias("location"), x.opponent_of(*sides).alias("opponent"), x.result_text((F.col("home_won") == 1) == home, own, other).alias("result"), x.signed_margin(own, other).alias("margin"))
+
+
 GROUPS = {"BUILDING": "front", "MACHINERY": "front", "FURNITURE": "back"}
 
 

@@ -82,6 +82,16 @@ def land_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return last_by(keyed, ["day", "lo", "hi"], "_seq").drop("_seq")
 
 
+SCHEDULED = T.StructType([T.StructField(c, T.StringType()) for c in ("date", "game_id", "away_team", "home_team", "state")])
+
+
+def land_schedule(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every scheduled game as it is: day, game_id, home, away, state (empty if none is told). Games without a date or a side go; a pair may meet twice on a day."""
+    rows = spark.read.schema(SCHEDULED).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths if isinstance(paths, str) else list(paths))
+    name = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rows.select(any_date(F.col("date")).alias("day"), "game_id", name("home_team").alias("home"), name("away_team").alias("away"), F.coalesce("state", F.lit("")).alias("state")).dropna(subset=["day", "home", "away"])
+
+
 def conference_by_priority(sources: Sequence[tuple[int, DataFrame]]) -> DataFrame:
     """team and conf from several sources (team, conf): the one with the least priority number wins; empty names do not count."""
     rows = None

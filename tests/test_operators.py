@@ -102,6 +102,23 @@ def test_unique_join(spark):
     assert [tuple(r) for r in contests.unique_join(a, b, ["k"]).collect()] == [(1, "x", "p")]
 
 
+def test_within_spans(spark):
+    """The sweep gives what the join of all events with all spans gives; neighbours may overlap, more than lanes take are refused."""
+    rng = random.Random(9)
+    spans = []
+    for e in "abc":
+        at = 0
+        for k in range(12):
+            at += rng.randint(0, 4)  # may touch the one before
+            spans.append((e, k, at, at := at + rng.randint(1, 5)))
+    events = [(rng.choice(["a", "b", "c", "d", None]), rng.choice([None, *range(90)]), i) for i in range(700)]
+    s, v = spark.createDataFrame(spans + [("a", 99, None, 5), (None, 98, 1, 2)], "team string, run int, first int, last int"), spark.createDataFrame(events, "team string, day int, i int")
+    want = sorted((e, d, i, k, lo, hi) for e, d, i in events for x, k, lo, hi in spans if e == x and d is not None and lo <= d <= hi)
+    assert sorted(map(tuple, contests.within_spans(v.repartition(3), s, "team", "day", "first", "last").collect())) == want and len(want) > 200
+    with pytest.raises(Exception, match="overlap"):
+        contests.within_spans(v, s.union(spark.createDataFrame([("a", 50, 1, 80)], s.schema)), "team", "day", "first", "last", lanes=1).collect()
+
+
 def test_match_names(spark):
     names = spark.createDataFrame([("Penn",), ("Penn State",), ("Ohio",)], "team string")
     df = spark.createDataFrame([("@ Penn State Reno, NV",), ("#4 Ohio",), ("Pennsylvania",), (None,), ("Penn",)], "opponent string")
@@ -347,6 +364,14 @@ def test_slots(spark):
     assert got[1] == 0 and got[64] == 1 and got[5] // 16 == 3 and got[8] // 16 == 0 and sorted(got.values()) == list(range(64))
 
 
+def test_coverage_takes_the_upper_median(spark):
+    """Of an even number of teams the upper of the two middle counts."""
+    now = spark.createDataFrame([(t, i, "x") for t, n in (("a", 1), ("b", 2), ("c", 5), ("d", 9)) for i in range(n)], "team string, match int, conf string")
+    before = spark.createDataFrame([(t, 1, c) for t, c in (("a", "x"), ("e", "gone"), ("f", "x"))], "team string, match int, conf string")
+    assert metrics.coverage_summary(now, before, "team", "match", "conf").first().asDict() == {"teams": 4, "least": 1, "median": 5, "most": 9, "missing": 2, "conferences_wiped": 1}
+    assert {r["team"] for r in metrics.coverage(now, before, "team", "match").where("thin").collect()} == {"a", "b"}
+
+
 def test_rank_band_and_ranks(spark):
     df = spark.createDataFrame([("g", i, v, se) for i, (v, se) in enumerate([(5.0, 1.0), (4.0, None), (4.0, 0.1), (1.0, 0.1)])], "g string, i int, v double, se double")
     got = {r["i"]: (r["rank_lo"], r["rank_hi"]) for r in metrics.rank_band(df, ["g"], "v", "se").collect()}

@@ -34,9 +34,44 @@ def test_points_and_box(spark, tmp_path):
     r = feeds.land_points(spark, str(tmp_path)).orderBy("set_no", "seq").collect()
     assert [(x["team"], x["kind"], x["home_score"], x["away_score"], x["actor"]) for x in r] == [("H", "Kill", 1, 0, "J"), ("A", "Ace", 1, 1, "Q")]
     (tmp_path / "box").mkdir()
-    (tmp_path / "box/b.json").write_text(json.dumps({"_date": "09/01/2024", "teams": [{"teamId": "1", "isHome": True, "nameShort": "H"}, {"teamId": "2", "isHome": False, "nameShort": "A"}], "teamBoxscore": [{"teamId": 1, "playerStats": [{"firstName": "J", "lastName": "D", "position": "OH", "gamesPlayed": "3", "kills": "7", "participated": True}, {"firstName": "N", "lastName": "O", "participated": False}]}]}))
-    r = feeds.land_player_stats(spark, str(tmp_path / "box")).collect()
-    assert [(x["team"], x["opponent"], x["player"], x["location"], x["Kills"], x["S"]) for x in r] == [("H", "A", "J D", "Home", 7.0, 3.0)]
+    player = lambda first, last, **more: {"firstName": first, "lastName": last, "participated": True, **more}
+    teams = [{"teamId": "1", "isHome": True, "nameShort": "Payload H"}, {"teamId": "2", "isHome": False, "nameShort": "Payload A"}]
+    own = [{"teamId": 1, "playerStats": [player("J", "D", position=" OH ", gamesPlayed="3", kills="7"), {"firstName": "N", "lastName": "O", "participated": False}, player(None, "  ")]}, {"teamId": 3, "playerStats": [player("X", "Y")]}]
+    (tmp_path / "box/2024-77.json").write_text(json.dumps({"_date": "09/01/2024", "_home_team": "H", "_away_team": "A ", "teams": teams, "teamBoxscore": own}))
+    (tmp_path / "box/c.json").write_text(json.dumps({"_date": "09/01/2024", "_home_team": "H", "teams": teams, "teamBoxscore": own}))  # no name of the away side
+    conferences = spark.createDataFrame([("H", "East")], "team string, conf string")
+    for conf, of in ((None, ""), (conferences, "East")):
+        r = feeds.land_player_stats(spark, str(tmp_path / "box"), conferences=conf).collect()
+        assert [(x["contest_id"], x["season"], x["conference"], x["team"], x["opponent"], x["player"], x["position"], x["location"], x["Kills"], x["S"]) for x in r] == [("2024-77", "2024", of, "H", "A", "J D", "OH", "Home", 7.0, 3.0)]
+    assert feeds.land_player_stats(spark, str(tmp_path / "box"), "2023-24").first()["season"] == "2023-24"
+
+
+def test_points_are_called_as_the_scoreboard_calls_teams(spark, tmp_path):
+    """Names of the scoreboard first, the document's where they are missing; other ids and sets without a scored play count for nothing."""
+    plays = lambda tid, *scores: {"teamId": tid, "plays": [{"playText": "Kill by Q", "homeScore": h, "visitorScore": 0} for h in scores]}
+    teams = [{"teamId": "1", "isHome": True, "nameShort": "Payload Home"}, {"teamId": "2", "isHome": False, "nameShort": " Payload Away\t"}]
+    doc = {"_date": "09/01/2024", "_home_team": "Board Home ", "_away_team": "", "teams": teams, "periods": [{"playbyplayStats": [plays("1", None), plays("9", 5)]}, {"playbyplayStats": [plays("1", 1), plays("9", 7), plays("2", 2)]}]}
+    (tmp_path / "m.json").write_text(json.dumps(doc))
+    (tmp_path / "n.json").write_text(json.dumps(doc | {"_away_team": "  "}))  # a name of blanks is none, and is not replaced
+    r = feeds.land_points(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(x["home_team"], x["away_team"], x["team"], x["set_no"], x["home_score"]) for x in r] == [("Board Home", "Payload Away", "Board Home", 1, 1), ("Board Home", "Payload Away", "Payload Away", 1, 2)]
+
+
+def test_union_of_seasons(spark, tmp_path):
+    """A column that came later, another order of columns, a file of a header only, and files that are no season's."""
+    for name, text in {"games_2019.csv": "Team,Kills\nA,3\nB,4\n", "x/games_2020.csv": "Kills,Team,Digs\n5,A,9\n", "games_2021.csv": "Team,Kills,Digs\n", "games_2022.csv": "Team,Kills,Digs\nC,,1\n", "notes.csv": "a\n1\n", "games_2023.txt": "Team\nZ\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    r = feeds.union_seasons(spark, str(tmp_path))
+    assert sorted((x["season"], x["Team"], x["Kills"], x["Digs"]) for x in r.collect()) == [(2019, "A", "3", None), (2019, "B", "4", None), (2020, "A", "5", "9"), (2022, "C", None, "1")]
+    (tmp_path / "none").mkdir()
+    assert feeds.union_seasons(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_schedule(spark, tmp_path):
+    rows = [{"date": "09/01/2024", "game_id": "1", "home_team": "H ", "away_team": "A", "state": "pre"}, {"date": "2024-09-01", "game_id": "2", "home_team": "H", "away_team": "A"}, {"date": "?", "home_team": "H", "away_team": "A"}, {"date": "2024-09-01", "home_team": "", "away_team": "A"}]
+    (tmp_path / "s.json").write_text(json.dumps(rows))
+    assert sorted(tuple(r)[1:] for r in box.land_schedule(spark, str(tmp_path)).collect()) == [("1", "H", "A", "pre"), ("2", "H", "A", "")]
 
 
 def test_quality_and_set_scores(spark):
