@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, with_checkpoints
+from ..session import saved_rows, ship
 from .sequence import alternating
 
 
@@ -32,34 +32,66 @@ def split_by_share(rows: DataFrame, by: Sequence[str], value: str, reference: Co
     return rows.join(cut, list(by), "left").withColumn("cut", F.coalesce("cut", F.lit(fallback))).withColumn("high", F.col(value) >= F.col("cut"))
 
 
-def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40, checkpoint_every: int = 5) -> tuple[DataFrame, DataFrame]:
+#: Rows of opponents that may be broadcast in a round.
+BROADCAST_ROWS = 500_000
+
+
+def effect_pairs(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, least: int) -> DataFrame:
+    """Sums of weight and of weight times rate by group, player and opponent; groups of fewer than least rows are left out."""
+    known = rows.where((F.col(w) > 0) & F.col(y).isNotNull())
+    pairs = known.groupBy(*by, F.col(player).alias("player"), F.col(opponent).alias("opponent")).agg(F.sum(w).alias("w"), F.sum(F.col(w) * F.col(y)).alias("wy"), F.count(F.lit(1)).alias("n"))
+    if not least:
+        return pairs.drop("n")
+    size = pairs.groupBy(*by).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return pairs.drop("n").join(size, list(by), "left_semi")
+
+
+def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40, checkpoint_every: int = 5, least: int = 0, tolerance: float = 1e-13) -> tuple[DataFrame, DataFrame]:
     """rate = mu + player - opponent by alternating weighted means; a ridge of ridge_k times the mean opponent weight on opponents.
 
-    All groups at once, over sums by pair. Each round is two groupings; lineage is cut with
-    checkpoint() every few rounds. Gives players (adjusted value) and opponents (effect).
+    All groups at once, over sums by pair, for groups of any size. Pairs lie by group and player and stay there: a round adds the
+    opponents' effects to them (a table of opponents, broadcast while it is small), averages by player in place, and shuffles
+    sums by opponent only. Effects are written every few rounds; groups in which none moved by more than tolerance
+    (of the largest effect) since then are done and leave the loop. Gives players (adjusted value) and opponents (effect).
     """
-    with_checkpoints(rows.sparkSession)
     keys = list(by)
-    pairs = rows.where(F.col(w) > 0).groupBy(*keys, F.col(player).alias("player"), F.col(opponent).alias("opponent")).agg(F.sum(w).alias("w"), F.sum(F.col(w) * F.col(y)).alias("wy"))
-    mu = pairs.groupBy(*keys).agg((F.sum("wy") / F.sum("w")).alias("mu"))
-    pairs = pairs.join(mu, keys).withColumn("wr", F.col("wy") - F.col("w") * F.col("mu")).drop("wy").persist()
+    sums = saved_rows(effect_pairs(rows, keys, player, opponent, w, y, least), "pairs")
+    mu = sums.groupBy(*keys).agg((F.sum("wy") / F.sum("w")).alias("mu"))
+    pairs = saved_rows(sums.join(mu, keys).withColumn("wr", F.col("wy") - F.col("w") * F.col("mu")).drop("wy"), "centred-pairs")
     weight = pairs.groupBy(*keys, "opponent").agg(F.sum("w").alias("ow"))
     ridge = weight.groupBy(*keys).agg((ridge_k * F.avg("ow")).alias("ridge"))
-    weight = weight.join(ridge, keys).persist()
-    opp = weight.select(*keys, "opponent", F.lit(0.0).alias("o"))
-    players = None
-    for i in range(rounds):
-        players = pairs.join(opp, [*keys, "opponent"]).groupBy(*keys, "player").agg((F.sum(F.col("wr") + F.col("w") * F.col("o")) / F.sum("w")).alias("p"))
-        sums = pairs.join(players, [*keys, "player"]).groupBy(*keys, "opponent").agg(F.sum(F.col("w") * F.col("p") - F.col("wr")).alias("_s"))
-        opp = sums.join(weight, [*keys, "opponent"]).select(*keys, "opponent", (F.col("_s") / (F.col("ow") + F.col("ridge"))).alias("o"))
-        if i % checkpoint_every == checkpoint_every - 1 and i < rounds - 1:
-            opp = opp.checkpoint()
-    return players.join(mu, keys).select(*keys, "player", (F.col("mu") + F.col("p")).alias("value_adj")), opp.select(*keys, "opponent", F.col("o").alias("effect"))
-
-
-def opponent_effects_grouped(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40) -> DataFrame:
+    # o: an opponent's effect; o1: that of the round before, from which the players follow.
+    state = saved_rows(weight.join(ridge, keys).select(*keys, "opponent", (F.col("ow") + F.col("ridge")).alias("ow"), F.lit(0.0).alias("o"), F.lit(0.0).alias("o1")), "effects")
+    near = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
+    here = Window.partitionBy(*keys, "player")
+    laid, done, n = pairs.repartition(*keys, "player").persist(), [], rounds
+    try:
+        while n > 0:
+            now = state
+            for _ in range(min(checkpoint_every, n)):
+                each = laid.join(near(now.select(*keys, "opponent", "ow", "o")), [*keys, "opponent"]).withColumn("p", F.sum(F.col("wr") + F.col("w") * F.col("o")).over(here) / F.sum("w").over(here))
+                now = each.groupBy(*keys, "opponent").agg(F.first("ow").alias("ow"), (F.sum(F.col("w") * F.col("p") - F.col("wr")) / F.first("ow")).alias("o"), F.first("o").alias("o1"))
+            n -= min(checkpoint_every, n)
+            state = saved_rows(now, "effects")
+            still = saved_rows(state.groupBy(*keys).agg((F.max(F.abs(F.col("o") - F.col("o1"))) <= tolerance * F.max(F.abs("o"))).alias("_still")).where("_still").select(*keys), "still")
+            if n and not still.isEmpty():
+                done.append(state.join(still, keys, "left_semi"))
+                state = saved_rows(state.join(still, keys, "left_anti"), "effects")
+                if state.isEmpty():
+                    break
+                laid.unpersist()
+                laid = saved_rows(laid.join(still, keys, "left_anti"), "pairs").repartition(*keys, "player").persist()
+    finally:
+        laid.unpersist()
+    for df in done:
+        state = state.unionByName(df)
+    players = pairs.join(near(state.select(*keys, "opponent", "o1")), [*keys, "opponent"]).groupBy(*keys, "player").agg((F.first("mu") + F.sum(F.col("wr") + F.col("w") * F.col("o1")) / F.sum("w")).alias("value_adj"))
+    return players, state.select(*keys, "opponent", F.col("o").alias("effect"))
+
+
+def opponent_effects_grouped(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40, least: int = 0) -> DataFrame:
     """Adjusted values as by opponent_effects, each group's rounds in one task over its sums by pair; for groups whose pairs fit a task."""
-    pairs = rows.where(F.col(w) > 0).groupBy(*by, F.col(player).alias("player"), F.col(opponent).alias("opponent")).agg(F.sum(w).alias("w"), F.sum(F.col(w) * F.col(y)).alias("wy"))
+    pairs = effect_pairs(rows, by, player, opponent, w, y, least)
     ship(rows.sparkSession)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

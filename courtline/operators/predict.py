@@ -134,6 +134,34 @@ def pair_scorelines(pairs: DataFrame, table: DataFrame, p: str, columns: Sequenc
     return out.select(*pairs.columns, *[lerp(fav, lo["p_fav"], hi["p_fav"], lo[c], hi[c]).alias(c) for c in columns])
 
 
+LINES = [f"{a}_3_{k}" for a in ("fav", "dog") for k in (0, 1, 2)]
+
+
+def predicted_pairs(pairs: DataFrame, ratings: DataFrame, models: dict[str, Sequence[float]], table: DataFrame) -> DataFrame:
+    """Chances of pairs under several models, with scorelines that add up to them and both sides' projected side-out.
+
+    pairs: a, b and venue (1: a is at home, -1: b is, 0: neither). ratings: team, elo, rating_overall, rating_off, rating_def, league.
+    models: name to weights of venue, of 100 points of Elo and of 10 points of the ridge rating, 0 for what it leaves out. table: a
+    scoreline table. A row for each pair and model: model, p_a; a_3_0 to b_3_2, the shares of results of favourites as
+    large as this one, the favourite's three scaled to its chance and the other's to the rest; five_sets; sideout_a and sideout_b, which
+    no model or venue moves. Pairs with a team without one of the ratings have no row.
+    """
+    known = ratings.dropna(subset=["elo", "rating_overall"])
+    of = lambda side: known.select(F.col("team").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("elo", "rating_overall", "rating_off", "rating_def", "league")])
+    x = pairs.join(of("a"), "a").join(of("b"), "b")
+    weights = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), *[F.lit(float(v)).alias(f"w{i}") for i, v in enumerate(w)]) for name, w in models.items()]))
+    z = lambda m: m["w0"] * F.col("venue") + m["w1"] * (F.col("elo_a") - F.col("elo_b")) / 100 + m["w2"] * (F.col("rating_overall_a") - F.col("rating_overall_b")) / 10
+    x = x.withColumn("_m", weights).withColumn("p_a", sigmoid(z(F.col("_m")))).withColumn("model", F.col("_m.name")).drop("_m")
+    x = pair_scorelines(x, table, "p_a", LINES)
+    fav = F.greatest("p_a", 1 - F.col("p_a"))
+    share = lambda side, k: F.try_divide(F.col(f"{side}_3_{k}") * (fav if side == "fav" else 1 - fav), sum((F.col(f"{side}_3_{j}") for j in range(3)), F.lit(0.0)))
+    ahead = F.col("p_a") >= 0.5
+    sets = {f"{team}_3_{k}": F.when(ahead == (team == "a"), share("fav", k)).otherwise(share("dog", k)) for team in ("a", "b") for k in range(3)}
+    out = x.withColumns(sets)
+    sideout = lambda own, other: F.col(f"league_{own}") + F.col(f"rating_off_{own}") - F.col(f"rating_def_{other}")
+    return out.select(*pairs.columns, "model", "p_a", *sets, (F.col("a_3_2") + F.col("b_3_2")).alias("five_sets"), sideout("a", "b").alias("sideout_a"), sideout("b", "a").alias("sideout_b"))
+
+
 def win_distribution(rows: DataFrame, by: Sequence[str], p: str, order: str) -> DataFrame:
     """Distribution of wins in independent games (Poisson-binomial): dist, mean, q10, q90, win_out.
 

@@ -191,6 +191,36 @@ def h14_pair_scorelines(t):
     return p.pair_scorelines(with_chance(t).select("contest_id", "p_home"), scoreline_table(t), "p_home", ["fav_3_0"]).select("contest_id", R("fav_3_0"))
 
 
+#: Weights of venue, Elo and ridge in three choices of a model.
+PAIR_MODELS = {"blend": (0.3, 0.4, 0.6), "elo": (0.3, 0.7, 0.0), "ridge": (0.3, 0.0, 1.1)}
+
+
+def lines_sql(team: str, k: int) -> str:
+    fav, dog = (f"{x}_3_{k} * {p} / nullif({x}_3_0 + {x}_3_1 + {x}_3_2, 0)" for x, p in (("fav", "f"), ("dog", "(1 - f)")))
+    return f"round(CASE WHEN (p_a >= 0.5) = {'true' if team == 'a' else 'false'} THEN {fav} ELSE {dog} END, 6) AS {team}_3_{k}"
+
+
+@query("WITH " + CHANCE_SQL + ", " + SETS_SQL + """, sd AS (SELECT season, home AS team, home_q AS q, away_q AS opp_q, home_p AS pts FROM contest UNION ALL SELECT season, away, away_q, home_q, away_p FROM contest),
+rt AS (SELECT season, team, 1500 + 20 * (avg(q) - 25) AS elo, avg(pts) / 1e3 AS rating_overall, (avg(q) - 25) / 10 AS rating_off, (25 - avg(opp_q)) / 10 AS rating_def FROM sd GROUP BY 1, 2),
+pr AS (SELECT c.contest_id, c.season, c.home AS a, c.away AS b, (c.contest_id % 3 - 1)::INT AS venue, model, 1 / (1 + exp(-(w0 * (c.contest_id % 3 - 1) + w1 * (ra.elo - rb.elo) / 100 + w2 * (ra.rating_overall - rb.rating_overall) / 10))) AS p_a, 60 + ra.rating_off - rb.rating_def AS sideout_a, 60 + rb.rating_off - ra.rating_def AS sideout_b
+  FROM contest c JOIN rt ra ON ra.season = c.season AND ra.team = c.home JOIN rt rb ON rb.season = c.season AND rb.team = c.away, (VALUES """ + ", ".join(f"('{m}', {w[0]}, {w[1]}, {w[2]})" for m, w in PAIR_MODELS.items()) + """) m(model, w0, w1, w2)),
+q AS (SELECT *, greatest(p_a, 1 - p_a) AS f FROM pr), """ + "b AS (SELECT *, lead(p_fav) OVER o AS p2, " + ", ".join(f"lead({x}) OVER o AS n_{x}" for x in LINES) + """, row_number() OVER o AS rn FROM sl WINDOW o AS (ORDER BY p_fav)),
+i AS (SELECT q.*, """ + ", ".join(f"CASE WHEN p2 IS NULL OR f < p_fav THEN {x} ELSE {x} + (n_{x} - {x}) * (f - p_fav) / (p2 - p_fav) END AS {x}" for x in LINES) + """ FROM q JOIN b ON (f >= p_fav AND (p2 IS NULL OR f < p2)) OR (rn = 1 AND f < p_fav)),
+o AS (SELECT contest_id, model, round(p_a, 6) AS p_a, """ + ", ".join(lines_sql(t, k) for t in "ab" for k in range(3)) + """, sideout_a, sideout_b FROM i)
+SELECT contest_id, model, p_a, """ + ", ".join(f"{t}_3_{k}" for t in "ab" for k in range(3)) + """, round(sideout_a, 6) AS sideout_a, round(sideout_b, 6) AS sideout_b, abs(a_3_0 + a_3_1 + a_3_2 + b_3_0 + b_3_1 + b_3_2 - 1) < 1e-5 AS whole FROM o""")
+def h14_blended_pairs(t):
+    """Every contest as a pair under three models, at home, away and on neutral floors, with ratings of its season."""
+    x = sides(t)
+    rated = x.groupBy("season", "team").agg((1500 + 20 * (F.avg("q") - 25)).alias("elo"), (F.avg("p") / 1e3).alias("rating_overall"), ((F.avg("q") - 25) / 10).alias("rating_off"), ((25 - F.avg("opp_q")) / 10).alias("rating_def"), F.lit(60.0).alias("league"))
+    key = lambda team: F.struct("season", F.col(team).alias("team"))
+    ratings = rated.select(key("team").alias("team"), "elo", "rating_overall", "rating_off", "rating_def", "league")
+    pairs = t.contest().select("contest_id", key("home").alias("a"), key("away").alias("b"), (F.col("contest_id") % 3 - 1).cast("int").alias("venue"))
+    out = p.predicted_pairs(pairs, ratings, PAIR_MODELS, scoreline_table(t))
+    lines = [f"{team}_3_{k}" for team in "ab" for k in range(3)]
+    whole = F.abs(sum((F.col(c) for c in lines), F.lit(0.0)) - 1) < 1e-5
+    return out.select("contest_id", "model", R("p_a"), *[R(c) for c in lines], R("sideout_a"), R("sideout_b"), whole.alias("whole"))
+
+
 @query("WITH " + CHANCE_SIDES_SQL + """ SELECT season, team, count(*) AS n, round(sum(won), 6) AS wins, round(sum(p), 6) AS x_wins, round(sum(p * (1 - p)), 6) AS var, count(*) FILTER (p < 0.5 AND won = 1) AS upset_wins, count(*) FILTER (p > 0.5 AND won = 0) AS upset_losses,
 round(sum(won) - sum(p), 6) AS diff, round((sum(won) - sum(p)) / sqrt(nullif(sum(p * (1 - p)), 0)), 6) AS z FROM cs GROUP BY 1, 2""")
 def e28_expected_wins(t):

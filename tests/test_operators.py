@@ -333,6 +333,27 @@ def test_prematch_features(spark):
     assert got == {1: (1501.0, 1400.0, 3.0, -2.0), 2: (1502.0, 1400.0, 3.0, 0.0), 3: (1503.0, 1400.0, 0.0, 0.0)}
 
 
+def test_predicted_pairs(spark):
+    """Three models; scorelines of the favourite add up to its chance, the other's to the rest; missing ratings give no row."""
+    table = spark.createDataFrame([(0.55, 0.3, 0.2, 0.1, 0.1, 0.1, 0.2), (0.85, 0.6, 0.2, 0.1, 0.02, 0.03, 0.05)], ["p_fav", *predict.LINES])
+    ratings_of = spark.createDataFrame([("x", 1600.0, 5.0, 0.03, 0.01, 0.6), ("y", 1500.0, 15.0, 0.01, 0.02, 0.6), ("z", None, 1.0, 0.0, 0.0, 0.6)], "team string, elo double, rating_overall double, rating_off double, rating_def double, league double")
+    pairs = spark.createDataFrame([("x", "y", 1), ("y", "x", 0), ("x", "z", 0), ("x", "w", 0)], "a string, b string, venue int")
+    models = {"blend": (0.3, 0.4, 0.6), "elo": (0.3, 0.4, 0.0), "ridge": (0.3, 0.0, 0.6)}
+    got = {(r["a"], r["b"], r["model"]): r for r in predict.predicted_pairs(pairs, ratings_of, models, table).collect()}
+    assert set(got) == {(*ab, m) for ab in (("x", "y"), ("y", "x")) for m in models}
+    for (a, b, m), r in got.items():
+        w, sign = models[m], 1 if a == "x" else -1
+        p = 1 / (1 + math.exp(-(w[0] * r["venue"] + sign * (w[1] * 1 - w[2] * 1))))
+        fav = max(p, 1 - p)
+        at = min(max((fav - 0.55) / 0.3, 0), 1)
+        raw = dict(zip(predict.LINES, [lo + at * (hi - lo) for lo, hi in zip((0.3, 0.2, 0.1, 0.1, 0.1, 0.2), (0.6, 0.2, 0.1, 0.02, 0.03, 0.05), strict=True)], strict=True))
+        mine, other = ("fav", "dog") if p >= 0.5 else ("dog", "fav")
+        scale = lambda side, total: [raw[f"{side}_3_{k}"] * total / sum(raw[f"{side}_3_{j}"] for j in range(3)) for k in range(3)]
+        want = scale(mine, p) + scale(other, 1 - p)
+        assert r["p_a"] == pytest.approx(p) and [r[f"{s}_3_{k}"] for s in "ab" for k in range(3)] == pytest.approx(want) and sum(want) == pytest.approx(1) and r["five_sets"] == pytest.approx(want[2] + want[5])
+        assert (r["sideout_a"], r["sideout_b"]) == pytest.approx((0.61, 0.60) if a == "x" else (0.60, 0.61))
+
+
 def test_win_distribution(spark):
     df = spark.createDataFrame([("t", i, p) for i, p in enumerate((0.2, 0.7, 0.9))], "t string, i int, p double")
     r = predict.win_distribution(df, ["t"], "p", "i").first()
@@ -355,6 +376,13 @@ def test_opponent_effects(spark, tmp_path):
     a = {r["player"]: r["value_adj"] for r in players.opponent_effects(df, ["s"], "p", "o", "w", "y", rounds=6, checkpoint_every=3)[0].collect()}
     b = {r["player"]: r["value_adj"] for r in players.opponent_effects_grouped(df, ["s"], "p", "o", "w", "y", rounds=6).collect()}
     assert a == pytest.approx(b)
+    # Groups that settle leave the loop; small ones are left out; both forms agree on all others after forty rounds.
+    more = [(s, p, o, w, y) for s, n in ((2, 40), (3, 3)) for p in range(n) for o in range(6) if (p + o) % 3 for w, y in [(float(rng.randint(0, 5)), None if rng.random() < 0.1 else rng.random())]] + [(4, p, 0, 1.0, float(p)) for p in range(60)]
+    both = spark.createDataFrame(rows + more, "s int, p int, o int, w double, y double")
+    whole, effects = players.opponent_effects(both, ["s"], "p", "o", "w", "y", least=20)
+    c = {(r["s"], r["player"]): r["value_adj"] for r in whole.collect()}
+    d = {(r["s"], r["player"]): r["value_adj"] for r in players.opponent_effects_grouped(both, ["s"], "p", "o", "w", "y", least=20).collect()}
+    assert c == pytest.approx(d, abs=1e-9) and {s for s, _ in c} == {1, 2, 4} and {r["s"] for r in effects.collect()} == {1, 2, 4}
     free = {r["player"]: r["value_adj"] for r in players.opponent_effects_grouped(df, ["s"], "p", "o", "w", "y", ridge_k=1e-9, rounds=400).collect()}
     assert np.corrcoef([free[p] for p in sorted(free)], [skill[p] for p in sorted(free)])[0, 1] > 0.999
 
