@@ -6,14 +6,16 @@ nothing for a sign put between, one or two letters for a run of two or more. A r
 one lattice, in which every space may be one or none, so the words within it are decoded too. Viterbi
 decoding finds the likeliest reading under a trigram model of letters, counted over all documents, and
 the channel's costs. The
-restored words are scored: a word's weight is that of the most telling of its beginnings and
-itself. A beginning's or word's weight is the lower bound of its log odds, by how many toxic and
-clean labelled documents have it: the log odds less Z standard errors, so that rare ones weigh
-little; what has no weight above 0 tells nothing and need not be kept. The largest weights of a text
+restored words are scored: a word's weight is that of the most telling of itself and its beginnings. A
+word's or beginning's weight is its log odds, by how many toxic and
+clean labelled documents have it; it counts if it is above 0 by Z standard errors, so that what few
+documents have tells nothing and need not be kept. A beginning counts only if at
+least SUPPORT different restored words that count share it: one word that begins so
+says nothing of others, which the sample may not hold. The two largest weights of a text
 become a probability by logistic calibration on labelled documents outside fold 0 that gave no
 weights.
 
-Weights come from the whole texts of at most SAMPLE labelled documents; letters are counted over,
+Weights come from the whole texts of at most SAMPLE labelled documents, one of each set of near copies; letters are counted over,
 and scores are of, all whole texts. Null and empty texts have no words and get the score of such
 texts. Without labels of both kinds every score is the share of label 1, or 0. Of several labels of
 a document the largest counts; repeated rows get equal scores. An empty table gives an empty result.
@@ -27,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memory, in_slices
-from .common import in_tasks
+from .common import in_tasks, saved
 from .labelled import fold, logistic, probability, sample
 
 SAMPLE = {1: 3000, 0: 6000}
-#: Standard errors by which the log odds are lessened.
-Z = 2.0
-BEGINNINGS = (3, 4, 5, 6)
+#: Standard errors by which log odds must be above 0.
+Z = 3.0
+BEGINNINGS = (4, 5, 6)
+#: Log odds beyond which more evidence adds nothing.
+ENOUGH = 5.0
+#: Different telling words that a beginning must have.
+SUPPORT = 3
 THRESHOLD = 0.5
 #: Bytes that a worker's memories may take, about.
 WORD_BYTES = 160_000_000
@@ -61,8 +68,9 @@ EDGE_SIGNS = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 PLAIN = re.compile(r"[^\W\d_]*")
 REPEATED = re.compile(r"(.)\1")
 SET_APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-#: Tokens of up to three characters next to each other.
+#: Tokens of up to three characters next to each other; what tells that some of them may be parts of one word.
 STRETCH = re.compile(r"(?<!\S)\S{1,3}(?!\S)(?:\s+\S{1,3}(?!\S))++")
+APART = re.compile(r"(?<!\S)\S(?!\S)|[^\w\s]|\d")
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -196,7 +204,7 @@ class Reader:
 
     def tokens(self, texts: list[str]) -> list[set[str]]:
         """The tokens of each text, and the words that spaces set apart."""
-        runs = [[m[0].lower() for m in STRETCH.finditer(t)] for t in texts]
+        runs = [[m[0].lower() for m in STRETCH.finditer(t) if APART.search(m[0])] for t in texts]
         asked = list({x for own in runs for x in own})
         known = dict(zip(asked, self.stretches.answers(asked, lambda new: list(map(self.decoded, new))), strict=True))
         return [set(t.split()).union(Reader.joined(t), *map(known.__getitem__, own)) for t, own in zip(texts, runs, strict=True)]
@@ -225,15 +233,26 @@ class Scorer:
         return max((weights.get(f, 0.0) for w in self.reader.readings(token) for f in features(w) if w), default=0.0)
 
     def inputs(self, texts: list[str]) -> np.ndarray:
-        """The largest weight, the second largest, and the log of how many words have one above 0."""
+        """The largest weight and half the second largest, up to ENOUGH: one number, so that more evidence never lowers a score."""
         words = self.reader.tokens(texts)
         asked = list(set().union(*words))
         known = dict(zip(asked, self.kept.answers(asked, lambda new: list(map(self.weight, new))), strict=True))
-        out = np.zeros((len(texts), 3))
-        for i, own in enumerate(words):
-            found = sorted((w for w in map(known.__getitem__, own) if w > 0), reverse=True)
-            out[i] = (found[0] if found else 0.0), (found[1] if len(found) > 1 else 0.0), np.log1p(len(found))
-        return out
+        top = [[*nlargest(2, map(known.__getitem__, own)), 0.0, 0.0] for own in words]
+        return np.array([[min(ENOUGH, a + b / 2)] for a, b, *_ in top], dtype=float).reshape(-1, 1)
+
+
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, y, fold) with one of each set of near copies of a label, told by the three words of least hash: copies are no further evidence."""
+    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
+    sketch = F.xxhash64(F.slice(F.array_sort(words), 1, 3))
+    of = F.struct(F.xxhash64("doc_id"), "doc_id", "text", "fold")
+    return saved(rows.groupBy("y", sketch.alias("sketch")).agg(F.min(of).alias("r")).select("r.doc_id", "r.text", "y", "r.fold"), "different-labelled")
+
+
+def supported(weights: dict[str, float]) -> dict[str, float]:
+    """The weights of words, and of the beginnings that enough words with weights share."""
+    share = Counter(f for word in weights if not word.endswith("*") for f in features(word) if f.endswith("*"))
+    return {f: w for f, w in weights.items() if not f.endswith("*") or share[f] >= SUPPORT}
 
 
 def feature_counts(rows: DataFrame, letters: list) -> DataFrame:
@@ -260,22 +279,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     counts = {r["y"]: r["n"] for r in labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     share = ones / (ones + zeros) if ones + zeros else 0.0
-    rows = sample(docs, labels, label, SAMPLE)
+    rows = one_of_copies(sample(docs, labels, label, SAMPLE))
     sizes = {r["y"]: r["n"] for r in rows.where("fold <> 4").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model(letters, {}, (), share)
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
     bound = odds - Z * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    # Bounded by the sample: a weight above 0 takes several documents of its toxic part.
-    weights = {r["feature"]: r["w"] for r in feature_counts(rows.where("fold <> 4"), letters).select("feature", bound.alias("w")).where("w > 0").collect()}
+    weighed = feature_counts(rows.where("fold <> 4"), letters).where(bound > 0).select("feature", odds.alias("w"))
+    # Bounded by the sample: a weight takes several documents of its toxic part.
+    weights = supported({r["feature"]: r["w"] for r in weighed.collect()})
     model = Model(letters, weights, (), share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in in_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, scorer.inputs(batch.column("text").to_pylist()).T)], names=["y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, scorer.inputs(batch.column("text").to_pylist()).T)], names=["y", "evidence"])
 
-    seen = np.array([tuple(r) for r in in_tasks(rows.where("fold = 4").select("y", "text"), run, "y int, a double, b double, c double").collect()], dtype=float).reshape(-1, 4)
+    seen = np.array([tuple(r) for r in in_tasks(rows.where("fold = 4").select("y", "text"), run, "y int, evidence double").collect()], dtype=float).reshape(-1, 2)
     y = seen[:, 0]
     if set(y) != {0.0, 1.0}:
         return model

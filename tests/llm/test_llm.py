@@ -425,6 +425,45 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs.where("1 = 0"), labels).count() == 0
 
 
+def test_toxicity_of_disguises_that_training_never_saw(spark):
+    """Disguised forms stand in held-out documents only: they are caught through the words that they restore to."""
+    r = random.Random(12)
+    forms = {True: ["1d10t", "m0r0n", "i.d.i.o.t", "idiooot", "i d i o t", "m-o-r-o-n"], False: ["idiot", "moron"]}
+    out, labels = [], []
+    for i in range(700):
+        words, toxic = [r.choice(WORDS) for _ in range(r.randint(20, 60))], i % 3 == 0
+        if toxic:
+            words[r.randrange(len(words))] = r.choice(forms[zlib.crc32(str(i).encode()) % 5 == 0])
+        out.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.toxicity_scores(docs, known).collect()}
+    held = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i]["predicted"] for i in held if i % 3 == 0]) >= 0.9 and np.mean([got[i]["predicted"] == 0 for i in held if i % 3]) >= 0.97
+
+
+def test_toxicity_by_language(spark):
+    """On the 0.1 tables: held-out toxic documents that are caught, clean ones that are left alone in every language, and plain sentences."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    plain = ["The path to the museum is closed.", "El trabajo y el transporte distan mucho.", "We discussed the clothes and the worldly mortgage."]
+    more = spark.createDataFrame([(10**9 + i, t, "plain") for i, t in enumerate(plain)], "doc_id long, text string, lang string")
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    every = docs.select("doc_id", "text", "lang").unionByName(more)
+    scores = toxicity.toxicity_scores(every, labels).join(every.select("doc_id", "lang"), "doc_id").join(known, "doc_id", "left").where("held_out or lang = 'plain'").toPandas()
+    assert (scores[scores.lang == "plain"].score < 0.5).all()
+    held = scores[scores.y.notna()]
+    assert held[held.y == 1].predicted.mean() >= 0.9
+    for lang in ("en", "de", "fr", "es"):
+        assert 1 - held[(held.y == 0) & (held.lang == lang)].predicted.mean() >= 0.97
+
+
+def test_beginnings_need_support():
+    words = {"clown": 5.0, "clowns": 4.0, "clo*": 4.5, "clow*": 4.5, "clown*": 4.0}
+    assert set(toxicity.supported(words)) == {"clown", "clowns"}
+    assert set(toxicity.supported(words | {"clownish": 3.0})) == {"clown", "clowns", "clownish", "clow*"}
+
+
 def test_restoring():
     corpus = ("idiot moron clown the quick brown fox " * 300).encode()
     data = toxicity.CLASS[np.frombuffer(corpus, dtype=np.uint8)]
