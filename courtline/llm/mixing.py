@@ -172,7 +172,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, block_words=BLO
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     rows = saved(sized(docs), "sizes")
     n_parts = rows.count() // part_rows + 1
-    part = drawn(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("text_hash"), long(n_parts))
+    part = drawn(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("text_hash") + F.col("same"), long(n_parts))  # equal rows lie in different parts
     rows = rows.withColumn("source_key", key).withColumn("part", part)
     parts = rows.groupBy("source_key", "part").agg(F.min("source").alias("source"), F.sum("size").alias("words"))
     plan = source_plan(parts, weights, max_epochs, block_words, shard_slots, seed)

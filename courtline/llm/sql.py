@@ -22,7 +22,8 @@ SWAP = f"((greatest(a, {MIRROR}) % 1073741789 + k % 1073741789) * (greatest(a, {
 
 SQL = {
     "op1_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
-pl AS (SELECT *, """ + drawn("coalesce(doc_id, 0)", "h", "(SELECT count(*) // 4096 + 1 FROM d)") + r""" AS part, row_number() OVER (PARTITION BY doc_id, source, size, h) AS same FROM d),
+sm AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, h) AS same FROM d),
+pl AS (SELECT *, """ + drawn("coalesce(doc_id, 0)", "h + same", "(SELECT count(*) // 4096 + 1 FROM d)") + r""" AS part FROM sm),
 st AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY part, doc_id NULLS FIRST, size, h, same) - size AS start FROM pl),
 tot AS (SELECT source, sum(size) AS s FROM d GROUP BY 1),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM tot),

@@ -23,6 +23,7 @@ makes an empty result. Only page_id, url and html are read; other columns may ha
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -156,29 +157,40 @@ def unbracketed(value: str | None) -> str | None:
 RECORDS = "record_id string, record_type string, url string, payload_digest string, refers_to string, origin string, segment int, total long, block binary"
 
 
-def read_records(spark: SparkSession, folder: str, whole: bool) -> DataFrame:
-    """The records that are whole pages, or those that are segments of one.
+DIGESTS = "bytes long, digest string"
+
+
+def read_records(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record of the archives, each read and unpacked once.
 
     Columns: record_id, record_type, url, payload_digest, refers_to, origin (of a first segment its
-    own id), segment, total (bytes of all segments, on the last), block.
+    own id), segment (null of a record that is a whole page), total (bytes of all segments, on the last), block; and of whole
+    pages the bytes and the SHA-1 of their payload. Without payloads the block of a whole page is null: what is left is small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+        names = [x.split()[0] for x in f"{RECORDS}, {DIGESTS}".split(", ")]
+        kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
                 for f, block in parsed(zlib.decompress(content.as_buffer(), 31)):
-                    if ("warc-segment-number" in f) == whole:
-                        continue
-                    own = unbracketed(f["warc-record-id"])
-                    rows.append((own, f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest"), unbracketed(f.get("warc-refers-to")), unbracketed(f.get("warc-segment-origin-id")) or own, int(f.get("warc-segment-number", 1)), int(t) if (t := f.get("warc-segment-total-length")) else None, block))
+                    own, segment = unbracketed(f["warc-record-id"]), f.get("warc-segment-number")
+                    size = digest = None
+                    if segment is None:
+                        payload = dechunked(block)
+                        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                        block = block if payloads else None
+                    rows.append((own, f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest"), unbracketed(f.get("warc-refers-to")), unbracketed(f.get("warc-segment-origin-id")) or own, segment and int(segment), int(t) if (t := f.get("warc-segment-total-length")) else None, block, size, digest))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    return in_tasks(files, run, RECORDS)
+    return in_tasks(files, run, f"{RECORDS}, {DIGESTS}")
+
+
+def segments_of(records: DataFrame) -> DataFrame:
+    return records.where("segment is not null").drop("bytes", "digest")
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
@@ -213,8 +225,9 @@ def with_payloads(rows: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages of all archives in a folder."""
-    return with_payloads(read_records(spark, folder, True).unionByName(reassembled(read_records(spark, folder, False))))
+    """The pages of all archives in a folder. Records are written once between reading and putting segments together, as both kinds are read from there."""
+    records = saved(read_records(spark, folder), "warc-records")
+    return with_payloads(records.where("segment is null").drop("bytes", "digest").unionByName(reassembled(segments_of(records))))
 
 
 def page_of(record: Column) -> Column:
@@ -232,10 +245,10 @@ def archived_pages(pages: DataFrame, folder: str | None = None, **options) -> Da
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     write_archives(pages, folder, **options)
-    read = saved(
-        read_archives(spark, folder).select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"), F.substring("payload_digest", 6, 40).alias("named")),
-        "warc-pages",
-    )
+    records = saved(read_records(spark, folder, payloads=False), "warc-records")
+    several = with_payloads(reassembled(segments_of(records))).withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+    columns = ["record_id", "record_type", "refers_to", "bytes", "digest", F.substring("payload_digest", 6, 40).alias("named")]
+    read = saved(records.where("segment is null").select(*columns).unionByName(several.select(*columns)), "warc-pages")
     responses, revisits = read.where("record_type = 'response'"), read.where("record_type = 'revisit'")
     referred = saved(revisits.select(F.col("refers_to").alias("record_id")).distinct(), "warc-referred")
     targets = responses.join(referred.hint("merge"), "record_id", "left_semi").groupBy("record_id").agg(F.first("bytes").alias("bytes"), F.first("digest").alias("digest"))

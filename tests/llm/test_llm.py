@@ -117,6 +117,16 @@ def test_mixing_many_sources(spark, monkeypatch, few):
     assert sum(len(x["text"].split()) for x in mixed.collect()) == sum(x["taken"] for x in got)
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows that are equal in all columns lie in many parts, and each takes its share."""
+    rows = spark.range(3000).selectExpr("7L as doc_id", "'a b c d e f g h' as text", "'s' as source").unionByName(spark.range(40).selectExpr("id + 100 as doc_id", "'one two three' as text", "'t' as source"))
+    got = mixing.mixed_sizes(rows, block_words=8, part_rows=100).collect()
+    assert len(got) == 3040 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert abs(sum(r["taken"] for r in got) - sum(r["size"] for r in got)) <= 16
+    parts = mixing.sized(rows.where("source = 's'")).select(mixing.drawn(F.col("doc_id"), F.col("text_hash") + F.col("same"), mixing.long(30)).alias("part")).groupBy("part").count().collect()
+    assert len(parts) == 30 and max(r["count"] for r in parts) < 200
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + sentence(9000) + "\r\n\r\nWARC/1.1\r\n</p>"
     pages = [(1, "http://a/", long), (2, "http://b/", long), (3, "http://c\r\nd/", "short"), (4, None, "short"), (5, "u", None), (6, "u", ""), (7, "http://e/", "é" * 999), (7, "http://e/", "é" * 999), (None, "n", long), (9, "x", "z" * 1000)]
@@ -131,7 +141,7 @@ def test_warc(spark, tmp_path):
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "response" if first == i else "revisit", None if first == i else first))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert {r["payload"].decode() for r in warc.read_archives(spark, folder).where("record_type = 'response'").collect()} == {h or "" for _, _, h in pages}
-    segments = warc.read_records(spark, folder, False)
+    segments = warc.segments_of(warc.read_records(spark, folder))
     assert segments.count() > 5
     many = spark.range(200).selectExpr("1 as page_id", "'u' as url", f"'{'word ' * 500}' as html")
     assert [tuple(r)[3:] for r in warc.archived_pages(many, segment_chars=900).collect()] == [("response", None)] * 200
