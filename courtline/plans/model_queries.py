@@ -261,15 +261,16 @@ def n20_metric_ranks(t):
     return api.metric_ranks(published(t), 1998, {"q_mean": True, "p_mean": False}, conf="ASIA").select("team", F.col("rank_q_mean").cast("long").alias("rank_q_mean"), F.col("rank_p_mean").cast("long").alias("rank_p_mean"))
 
 
-@query("WITH " + CHANCE_SIDES_SQL + """, w AS (SELECT team, count(*) AS n, round(sum(won), 6) AS wins, round(sum(p), 6) AS x_wins FROM cs WHERE season = 1998 AND month(day) < 11 GROUP BY 1), l AS (SELECT team, count(*) AS games_left, round(sum(p), 6) AS x_left FROM cs WHERE season = 1998 AND month(day) >= 11 GROUP BY 1)
-SELECT team, n, wins, x_wins, coalesce(games_left, 0) AS games_left, round((wins + coalesce(x_left, 0)) / (n + coalesce(games_left, 0)), 6) AS share FROM w LEFT JOIN l USING (team)""")
+@query("WITH " + CHANCE_SIDES_SQL + """, w AS (SELECT season, team, count(*) AS n, round(sum(won), 6) AS wins, round(sum(p), 6) AS x_wins FROM cs WHERE month(day) < 11 GROUP BY 1, 2), l AS (SELECT season, team, count(*) AS games_left, round(sum(p), 6) AS x_left FROM cs WHERE month(day) >= 11 GROUP BY 1, 2)
+SELECT season, team, n, wins, x_wins, coalesce(games_left, 0) AS games_left, round((wins + coalesce(x_left, 0)) / (n + coalesce(games_left, 0)), 6) AS share FROM w LEFT JOIN l USING (season, team)""")
 def n22_n26_h16_projected_records(t):
-    x = chance_sides(t).where("season = 1998")
+    """Every season as it stood at the end of October: records, chances left, and the share of wins that they project."""
+    x = chance_sides(t)
     late = F.month("day") >= 11
-    w = m.expected_wins(x.where(~late), ["team"], "p", "won").select("team", "n", R("wins"), R("x_wins"))
-    left = x.where(late).groupBy("team").agg(F.count(F.lit(1)).alias("games_left"), F.sum("p").alias("x_left"))
-    out = w.join(left, "team", "left").fillna(0, subset=["games_left", "x_left"])
-    return out.select("team", "n", "wins", "x_wins", "games_left", R((F.col("wins") + F.col("x_left")) / (F.col("n") + F.col("games_left")), "share"))
+    w = m.expected_wins(x.where(~late), ["season", "team"], "p", "won").select("season", "team", "n", R("wins"), R("x_wins"))
+    left = x.where(late).groupBy("season", "team").agg(F.count(F.lit(1)).alias("games_left"), R(F.sum("p"), "x_left"))
+    out = w.join(left, ["season", "team"], "left").fillna(0, subset=["games_left", "x_left"])
+    return out.select("season", "team", "n", "wins", "x_wins", "games_left", R((F.col("wins") + F.col("x_left")) / (F.col("n") + F.col("games_left")), "share"))
 
 
 @query("WITH " + CHANCE_SIDES_SQL + " SELECT contest_id, day, opponent, round(p, 6) AS p, won, round(sum(won) OVER w, 6) AS cum_won, round(sum(p) OVER w, 6) AS cum_p FROM cs WHERE season = 1998 AND team = 3 WINDOW w AS (ORDER BY day, contest_id ROWS UNBOUNDED PRECEDING)")
