@@ -532,6 +532,29 @@ def test_pipeline(spark, tmp_path):
     assert len(collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())) == len(last)
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table, and one with repeated rows, nulls, a very long text and columns with names that operators use."""
+    import corpus_pipeline
+
+    tokenizer_paths()
+    docs, labels = labelled_docs(spark)
+    r = random.Random(21)
+    text = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    twice, long = text(60), text(40000)
+    more = [(3000, twice)] * 3 + [(3001, long), (None, text(50)), (3002, None)]
+    rows = docs.where("doc_id % 5 <> 0").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    clash = {c: F.lit(i).cast("long") for i, c in enumerate(("node", "label", "size", "part", "same", "words", "start", "block", "_own", "_score", "band"))}
+    whole = rows.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).withColumns(clash)
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.select("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert got.count(3000) == 1 and 3001 in got and None in got and 3002 not in got and len(got) > 200
+    empty = tmp_path / "empty"
+    whole.where("false").write.parquet(f"{empty}/documents.parquet")
+    labels.where("false").select("doc_id", "quality", "toxic").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_substring_words_of_two_letters(spark):
     """Words that differ but collide under any polynomial hash modulo a power of two are different words."""
     word = ["a", "b"]
