@@ -278,9 +278,13 @@ def n23_c15_team_predictions(t):
     return api.sides_of(with_chance(t), 1998, 3).select("contest_id", "day", "opponent", R("p"), "won", R("cum_won"), R("cum_p"))
 
 
-@query("WITH " + CHANCE_SIDES_SQL + " SELECT contest_id, day, round(p, 6) AS p, won FROM cs WHERE season = 1998 AND team = 3 AND opponent = 5")
+@query("WITH " + CHANCE_SIDES_SQL + """, o AS (SELECT arg_max(opponent, (n, -opponent)) AS foe FROM (SELECT opponent, count(*) AS n FROM cs WHERE season = 1998 AND team = 3 GROUP BY 1))
+SELECT contest_id, day, opponent, round(p, 6) AS p, won FROM cs, o WHERE season = 1998 AND team = 3 AND opponent = foe""")
 def n24_d19_head_to_head(t):
-    return api.head_to_head(with_chance(t), 1998, 3, 5).select("contest_id", "day", R("p"), "won")
+    """One side's meetings with the opponent that it met most in the season."""
+    x = with_chance(t)
+    foe = api.sides_of(x, 1998, 3).groupBy("opponent").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("opponent", F.struct("n", -F.col("opponent")))).first()[0]
+    return api.head_to_head(x, 1998, 3, foe).select("contest_id", "day", F.lit(foe).alias("opponent"), R("p"), "won")
 
 
 @query("WITH " + CHANCE_SIDES_SQL + " SELECT contest_id, day, opponent, round(p, 6) AS p FROM cs WHERE season = 1998 AND team = 3 AND day > DATE '1998-11-01'")
