@@ -7,7 +7,8 @@ normalised sizes become a probability by logistic calibration, fitted on labelle
 fold 0 that the dictionaries were not built from.
 
 What is fitted comes from the whole texts of at most SAMPLE documents of each label; scores are of
-whole texts. Texts go to no driver: a task for each label builds its dictionary. Null and empty
+whole texts. Texts go to no driver: a task for each label builds its dictionary, from blocks of about LEARNT_BYTES at
+most, drawn by their hash over the whole of every text, so that neither very long texts nor repeated rows fill a task. Null and empty
 texts are one empty block. Without labels of both kinds every score is the share of label 1, or 0.5
 without any. Of several labels of a document the largest counts; repeated rows get equal scores. An
 empty table gives an empty result. Other columns may have any name; one with the name of the score's
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
 from .bpe import in_slices
 from .common import free, in_tasks, put, with_field
 from .labelled import fold, logistic, probability, sample
@@ -34,6 +34,8 @@ from .labelled import fold, logistic, probability, sample
 SAMPLE = 2500
 BLOCK = 1024
 DICTIONARY = 64 * 1024
+#: Bytes of blocks of each label that a dictionary is built from, about.
+LEARNT_BYTES = 32_000_000
 LEVEL = 3
 INPUTS = 5
 THRESHOLD = 0.3
@@ -76,26 +78,42 @@ def differences(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     return out
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary from the blocks of texts; the last of them as they are, if they are too few to train one."""
+def dictionary(texts: list[list[bytes]]) -> bytes:
+    """A dictionary from blocks of texts; the last of them as they are, if they are too few to train one."""
     import zstandard
 
-    some = [b for t in texts for b in blocks(t)]
+    some = [b for own in texts for b in own]
     try:
         return zstandard.train_dictionary(DICTIONARY, some).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(some)[-DICTIONARY:].ljust(8)
 
 
-def dictionaries(rows: DataFrame) -> dict[int, bytes]:
-    """The dictionary of each label, built in a task from all blocks of its texts."""
+def drawn_blocks(text: bytes, share: float) -> list[bytes]:
+    """The blocks of a text that are drawn: a share of them, by their hash."""
+    import xxhash
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = sorted(t.encode() for t in table.column("text").to_pylist())
-        return pa.table([pa.array(table.column("y").to_pylist()[:1], pa.int32()), pa.array([dictionary(texts)], pa.binary())], names=["y", "dictionary"])
+    own = blocks(text)
+    return own if share >= 1 else [b for b in own if xxhash.xxh64_intdigest(b) < share * 2.0**64]
 
-    ship(rows.sparkSession)
-    return {r["y"]: bytes(r["dictionary"]) for r in rows.select("y", "text").groupBy("y").applyInArrow(run, "y int, dictionary binary").collect()}
+
+def dictionaries(rows: DataFrame, most: int = LEARNT_BYTES) -> dict[int, bytes]:
+    """The dictionary of each label, built in a task from the blocks drawn of its texts; rows equal in doc_id and text count once."""
+    rows = rows.dropDuplicates(["y", "doc_id", "text"]).select("y", "text")
+    sizes = {r["y"]: r["bytes"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    shares = {y: min(1.0, most / max(1, n)) for y, n in sizes.items()}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            y = batch.column("y").to_pylist()
+            drawn = [drawn_blocks(t.encode(), shares[k]) for k, t in zip(y, batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(drawn, pa.list_(pa.binary()))], names=["y", "blocks"])
+
+    def build(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(table.column("y").to_pylist()[:1], pa.int32()), pa.array([dictionary(sorted(table.column("blocks").to_pylist(), key=b"".join))], pa.binary())], names=["y", "dictionary"])
+
+    drawn = in_tasks(rows, draw, "y int, blocks array<binary>")
+    return {r["y"]: bytes(r["dictionary"]) for r in drawn.groupBy("y").applyInArrow(build, "y int, dictionary binary").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:

@@ -426,6 +426,20 @@ def test_quality(spark):
     assert quality.quality_scores(docs.where("1 = 0"), labels).count() == 0
 
 
+def test_quality_learns_from_a_bounded_share_of_all_blocks(spark):
+    """Repeated rows count once; a very long text gives blocks from all over it, about as many bytes as asked."""
+    r = random.Random(31)
+    texts = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (300, 500, 60000)]
+    rows = [(i, t, y) for y in (0, 1) for i, t in enumerate(texts)]
+    once, often = (spark.createDataFrame(rows * k, "doc_id long, text string, y int").repartition(3) for k in (1, 40))
+    assert quality.dictionaries(once) == quality.dictionaries(often) and quality.dictionaries(once).keys() == {0, 1}
+    assert quality.dictionaries(once, 30_000) == quality.dictionaries(often, 30_000) != quality.dictionaries(once)
+    data = texts[2].encode()
+    drawn = quality.drawn_blocks(data, 0.2)
+    at = [data.index(b) / len(data) for b in drawn]
+    assert 0.1 < sum(map(len, drawn)) / len(data) < 0.3 and min(at) < 0.15 and max(at) > 0.85 and quality.drawn_blocks(data, 1.0) == quality.blocks(data)
+
+
 def test_toxicity(spark):
     docs, labels = labelled_docs(spark)
     got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
@@ -634,7 +648,7 @@ def test_viterbi_against_all_readings():
 def test_compressed_differences_one_by_one():
     import zstandard
 
-    good, bad = (quality.dictionary([sentence(400).encode() if k else sentence(400).upper().encode() for _ in range(60)]) for k in (1, 0))
+    good, bad = (quality.dictionary([quality.blocks(sentence(400).encode() if k else sentence(400).upper().encode()) for _ in range(60)]) for k in (1, 0))
     texts = [b"", b"x", sentence(30).encode(), sentence(900).encode()]
     for text, got in zip(texts, quality.differences(texts, good, bad), strict=True):
         pieces = [text[i : i + quality.BLOCK] for i in range(0, len(text), quality.BLOCK)] or [b""]
