@@ -13,13 +13,14 @@ from ..operators import predict as p
 from ..operators import ratings as r
 from ..session import saved_rows
 from ..specs import EloConfig
+from . import model_sql as q
 from .contest_queries import CHANCE_SIDES_SQL, CHANCE_SQL, SEASON_SQL, R, chance_sides, sides, team_seasons, with_chance
 from .player_queries import PCT_SQL, percentiles
 from .registry import query
 from .views import CONTEST_SQL, SIDES_SQL, Tables
 
 
-@query()
+@query(q.RIDGE_BOARD_SQL)
 def h1_h2_ridge_ratings(t):
     """Exact additive fits by season; tested against a dense solve and the conjugate-gradient form."""
     fit = r.additive_ratings(r.pair_sums(sides(t), ["season"], "team", "opponent", "q"), ["season"])
@@ -33,20 +34,20 @@ def elo_input(t: Tables):
     return t.contest().withColumns(margins).select(F.lit("all").alias("pool"), F.col("contest_id").alias("match"), "season", "day", "home", "away", "home_won", *margins, "home_conf", "away_conf")
 
 
-@query()
+@query(q.ELO_LOG_SQL)
 def h3_elo_log(t):
     """One replay by pool; tested against a plain fold."""
     return e.elo_log(elo_input(t), ["pool"]).select("match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
 
 
-@query()
+@query(q.ELO_COMPONENTS_SQL)
 def h3_elo_components(t):
     """Matches within a conference only: the schedule falls into pools that nothing links, which are found and replayed side by side."""
     x = e.by_component(elo_input(t).where("home_conf = away_conf"))
     return e.elo_log(x, ["component"]).select("component", "match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
 
 
-@query()
+@query(q.ELO_ENDS_SQL)
 def h4_elo_season_ends(t):
     x = elo_input(t)
     return e.elo_season_ends(x, e.elo_log(x, ["pool"]), ["pool"]).select("season", "team", F.round("elo", 6).alias("elo"), "n_matches", "rank_elo")
@@ -67,7 +68,7 @@ def h5_elo_sweep(t):
     return e.elo_sweep(x, ["pool"], elo_grid(), F.col("season") > F.lit(first)).select("config", "n", R("accuracy"), R("log_loss"), R("brier"))
 
 
-@query()
+@query(q.WALK_FORWARD_SQL)
 def h9_walk_forward_ratings(t):
     """Ratings of each week of every season, fitted on the season's weeks before it."""
     return r.walk_forward(sides(t), "season", "day", "q").select("season", "week_start", "team", F.round("rating_overall", 4).alias("rating_overall"))
@@ -79,7 +80,7 @@ def prematch(t):
     return p.prematch_features(x, e.elo_log(x, ["pool"]), r.walk_forward(sides(t), "season", "day", "q"))
 
 
-@query()
+@query(q.PREMATCH_FEATURES_SQL)
 def h9_prematch_features(t):
     """One row per match with elo, ridge and season; tested against refits from scratch and a plain fold."""
     return prematch(t).select("match", "season", *[F.round(c, 4).alias(c) for c in ("elo_home", "elo_away", "ridge_home", "ridge_away")])
@@ -89,15 +90,6 @@ def seasons_of(x):
     return sorted(s["season"] for s in x.where("season is not null").select("season").distinct().collect())  # a few numbers
 
 
-@query()
-def h11_rating_specs(t):
-    """Leave-one-season-out scores of Elo, ridge and their blend; the first season, in which Elo settles, is neither fitted nor scored."""
-    x = saved_rows(prematch(t), "prematch")
-    seasons = seasons_of(x)[1:]
-    out = p.leave_one_out(x.where(F.col("season").isin(seasons)), "season", seasons, p.SPECS, p.rating_gaps(), "home_won")
-    return m.prediction_score(out, ["season", "spec"], "p", "home_won").select("season", "spec", "n", R("accuracy"), R("log_loss"), R("brier"))
-
-
 def newton_sql(train: str) -> str:
     """Newton's method in SQL: fit (k, out, spec, u, b0, b1, b2) from x (season, y, gap, level) and m (out, spec, u), u telling whether level is used; twelve rounds."""
     sums = "sum(y - p) AS g0, sum(gap * (y - p)) AS g1, sum(u * level * (y - p)) AS g2, sum(v) AS a, sum(v * gap) AS b, sum(v * u * level) AS c, sum(v * gap * gap) AS d, sum(v * gap * u * level) AS e, sum(v * u * level * level) + 1 - any_value(u) AS f"
@@ -108,6 +100,20 @@ SELECT k + 1, out, spec, u, b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) +
 FROM (SELECT k, out, spec, u, b0, b1, b2, {sums} FROM (SELECT *, p * (1 - p) AS v FROM (SELECT fit.*, y, gap, level, 1 / (1 + exp(-(b0 + b1 * gap + b2 * u * level))) AS p FROM fit JOIN x ON {train} WHERE k < 12)) GROUP BY ALL))"""
 
 
+@query(q.PREMATCH_SQL + """,
+x AS (SELECT season, spec, home_won AS y, CASE spec WHEN 'ridge' THEN (ridge_home - ridge_away) / 10 ELSE (elo_home - elo_away) / 100 END AS gap, CASE spec WHEN 'blend' THEN (ridge_home - ridge_away) / 10 ELSE 0 END AS level
+  FROM prematch, unnest(['elo', 'ridge', 'blend']) AS t(spec) WHERE season > (SELECT min(season) FROM prematch)),
+m AS (SELECT DISTINCT season AS out, spec, (spec = 'blend')::DOUBLE AS u FROM x), """ + newton_sql("x.season <> fit.out AND x.spec = fit.spec") + """,
+s AS (SELECT x.season, x.spec, y, least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(b0 + b1 * gap + b2 * level))))) AS p FROM x JOIN fit ON fit.out = x.season AND fit.spec = x.spec WHERE k = 12)
+SELECT season, spec, count(*) AS n, round(avg(((p > 0.5)::INT = y)::INT), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier FROM s GROUP BY 1, 2""")
+def h11_rating_specs(t):
+    """Leave-one-season-out scores of Elo, ridge and their blend; the first season, in which Elo settles, is neither fitted nor scored."""
+    x = saved_rows(prematch(t), "prematch")
+    seasons = seasons_of(x)[1:]
+    out = p.leave_one_out(x.where(F.col("season").isin(seasons)), "season", seasons, p.SPECS, p.rating_gaps(), "home_won")
+    return m.prediction_score(out, ["season", "spec"], "p", "home_won").select("season", "spec", "n", R("accuracy"), R("log_loss"), R("brier"))
+
+
 @query("WITH RECURSIVE " + CONTEST_SQL + """, x AS (SELECT season, home_won AS y, (home_p - away_p) / 1e5 AS gap, (home_p + away_p) / 1e5 AS level FROM contest),
 m AS (SELECT season AS out, spec, u FROM (SELECT DISTINCT season FROM x), (VALUES ('gap', 0.0::DOUBLE), ('both', 1.0::DOUBLE)) s(spec, u)), """ + newton_sql("x.season <> fit.out") + """,
 s AS (SELECT x.season, spec, y, least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(b0 + b1 * gap + b2 * level))))) AS p FROM x JOIN fit ON fit.out = x.season WHERE k = 12)

@@ -8,6 +8,7 @@ from ..operators import metrics as m
 from ..operators import players as pl
 from ..operators import sequence as s
 from .contest_queries import R
+from .model_sql import effects_sql
 from .registry import query
 from .views import PLAYER_SQL, Tables
 
@@ -74,13 +75,13 @@ def i1_opponent_effects_two_rounds(t):
 LEAST_ROWS = 100
 
 
-@query()
+@query(effects_sql(LEAST_ROWS))
 def i1_opponent_effects(t):
     """The full forty rounds, each group's in one task; checked by a planted-effects test and against the distributed rounds."""
     return pl.opponent_effects_grouped(t.player_match(), ["season", "position"], "player", "opponent", "w", "y", least=LEAST_ROWS).select("season", "position", "player", F.round("value_adj", 4).alias("value_adj"))
 
 
-@query()
+@query(effects_sql(LEAST_ROWS))
 def i1_opponent_effects_distributed(t):
     """The same for groups of any size: pairs stay where they are, rounds shuffle sums by opponent."""
     return pl.opponent_effects(t.player_match(), ["season", "position"], "player", "opponent", "w", "y", least=LEAST_ROWS)[0].select("season", "position", "player", F.round("value_adj", 4).alias("value_adj"))

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from courtline.plans import QUERIES, SQL
+from courtline.plans.model_sql import ELO_SWEEP_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -45,6 +46,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_sweep_like_sql(spark, duck):
+    """The whole grid against a fold of every configuration, whose SQL is too slow for larger tables."""
+    got, want = QUERIES["h5_elo_sweep"](spark, DATA).toPandas(), duck.execute(ELO_SWEEP_SQL).df()
+    assert len(got) == 540 and rows(got) == rows(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[:2] == ["user_id", "side"]
     assert set(SQL) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
