@@ -59,23 +59,23 @@ ROUNDS = 45
 
 
 def additive_sql(rounds: int = ROUNDS) -> str:
-    """The additive fit of all groups of pair (g, team, opponent, n, s), off and def in turn, centred: rated (g, team, n_matches, rating_off, rating_def, league)."""
+    """The additive fit of all groups of pair (g, team, opponent, n, s), off and def in turn, centred, until a group no longer moves: rated (g, team, n_matches, rating_off, rating_def, league)."""
     packed = lambda v, at: f"list_transform(list({v} ORDER BY {at}), lambda x: x - avg({v}))"
     return f"""place AS (SELECT g, team, row_number() OVER (PARTITION BY g ORDER BY team) AS i FROM (SELECT g, team FROM pair UNION SELECT g, opponent FROM pair)),
 numbered AS MATERIALIZED (SELECT p.g, a.i AS i, b.i AS j, p.n::DOUBLE AS n, p.s::DOUBLE AS s FROM pair p JOIN place a ON a.g = p.g AND a.team = p.team JOIN place b ON b.g = p.g AND b.team = p.opponent),
 sums AS MATERIALIZED (SELECT g, sum(n) AS n, sum(s) AS s FROM numbered GROUP BY 1),
 solved AS (
-  SELECT 0 AS k, g, sums.s / sums.n AS mu, list(0::DOUBLE) AS o, list(0::DOUBLE) AS d FROM sums JOIN place USING (g) GROUP BY g, sums.s, sums.n
+  SELECT 0 AS k, g, sums.s / sums.n AS mu, list(0::DOUBLE) AS o, list(0::DOUBLE) AS d, NULL::DOUBLE AS size, true AS moves FROM sums JOIN place USING (g) GROUP BY g, sums.s, sums.n
   UNION ALL
-  SELECT k + 1, g, (any_value(s) + sum(nd * d) - avg(d) * sum(nd) - any_value(no)) / any_value(n), any_value(os), {packed("d", "j")}
-  FROM (SELECT k, f.g, j, any_value(t.s) AS s, any_value(t.n) AS n, any_value(no) AS no, any_value(os) AS os, sum(p.n) AS nd, (sum(p.n * (mu + o)) - sum(p.s)) / (sum(p.n) + 1) AS d
+  SELECT k + 1, g, (any_value(s) + sum(nd * d) - avg(d) * sum(nd) - any_value(no)) / any_value(n), any_value(os), {packed("d", "j")}, sum(d * d), coalesce(abs(sum(d * d) - any_value(size)) > 1e-15 * sum(d * d), true)
+  FROM (SELECT k, f.g, any_value(size) AS size, j, any_value(t.s) AS s, any_value(t.n) AS n, any_value(no) AS no, any_value(os) AS os, sum(p.n) AS nd, (sum(p.n * (mu + o)) - sum(p.s)) / (sum(p.n) + 1) AS d
         FROM (SELECT *, unnest(os) AS o, generate_subscripts(os, 1) AS i
-              FROM (SELECT k, g, any_value(mu) AS mu, {packed("o", "i")} AS os, sum(no * o) - avg(o) * sum(no) AS no
-                    FROM (SELECT k, f.g, i, any_value(mu) AS mu, sum(p.n) AS no, sum(p.s - p.n * (mu - d)) / (sum(p.n) + 1) AS o
-                          FROM (SELECT k, g, mu, unnest(d) AS d, generate_subscripts(d, 1) AS j FROM solved WHERE k < {rounds}) f JOIN numbered p USING (g, j) GROUP BY k, f.g, i) GROUP BY k, g)) f
+              FROM (SELECT k, g, any_value(mu) AS mu, any_value(size) AS size, {packed("o", "i")} AS os, sum(no * o) - avg(o) * sum(no) AS no
+                    FROM (SELECT k, f.g, i, any_value(mu) AS mu, any_value(size) AS size, sum(p.n) AS no, sum(p.s - p.n * (mu - d)) / (sum(p.n) + 1) AS o
+                          FROM (SELECT k, g, mu, size, unnest(d) AS d, generate_subscripts(d, 1) AS j FROM solved WHERE moves AND k < {rounds}) f JOIN numbered p USING (g, j) GROUP BY k, f.g, i) GROUP BY k, g)) f
         JOIN numbered p USING (g, i) JOIN sums t ON t.g = f.g GROUP BY k, f.g, j) GROUP BY k, g),
 rated AS (SELECT g, team, coalesce(m.n, 0)::BIGINT AS n_matches, 100 * o[i] AS rating_off, 100 * d[i] AS rating_def, 100 * mu AS league
-  FROM solved JOIN place USING (g) LEFT JOIN (SELECT g, i, sum(n) AS n FROM numbered GROUP BY 1, 2) m USING (g, i) WHERE k = {rounds})"""
+  FROM solved SEMI JOIN (SELECT g, max(k) AS k FROM solved GROUP BY 1) USING (g, k) JOIN place USING (g) LEFT JOIN (SELECT g, i, sum(n) AS n FROM numbered GROUP BY 1, 2) m USING (g, i))"""
 
 
 RIDGE_SQL = f"""{SIDES_SQL},
