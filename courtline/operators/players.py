@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,10 @@ def split_by_share(rows: DataFrame, by: Sequence[str], value: str, reference: Co
 
 #: Rows of opponents that may be broadcast in a round.
 BROADCAST_ROWS = 500_000
+#: Pairs of a group whose rounds one task does: about 24 bytes each, and 50 while they arrive.
+GROUP_PAIRS = 1 << 23
+#: Pairs that are added up at once in such a task.
+PAIRS_AT_ONCE = 1 << 18
 
 
 def effect_pairs(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, least: int) -> DataFrame:
@@ -49,13 +53,30 @@ def effect_pairs(rows: DataFrame, by: Sequence[str], player: str, opponent: str,
 def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40, checkpoint_every: int = 5, least: int = 0, tolerance: float = 1e-13) -> tuple[DataFrame, DataFrame]:
     """rate = mu + player - opponent by alternating weighted means; a ridge of ridge_k times the mean opponent weight on opponents.
 
-    All groups at once, over sums by pair, for groups of any size. Pairs lie by group and player and stay there: a round adds the
-    opponents' effects to them (a table of opponents, broadcast while it is small), averages by player in place, and shuffles
-    sums by opponent only. Effects are written every few rounds; groups in which none moved by more than tolerance
-    (of the largest effect) since then are done and leave the loop. Gives players (adjusted value) and opponents (effect).
+    Groups of any size: pairs are summed up and written once; a group of at most GROUP_PAIRS of them has all its rounds in one task, the
+    groups beyond it go round by round as joins (rounds_by_join). Gives players (adjusted value) and opponents (effect).
     """
     keys = list(by)
     sums = saved_rows(effect_pairs(rows, keys, player, opponent, w, y, least), "pairs")
+    large = saved_rows(sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_PAIRS).drop("_n"), "large")
+    none_large = large.isEmpty()
+    fits = effects_in_tasks(sums if none_large else sums.join(large, keys, "left_anti"), keys, ridge_k, rounds)
+    players = fits.where("not against").select(*keys, "player", F.col("value").alias("value_adj"))
+    opponents = fits.where("against").select(*keys, "opponent", F.col("value").alias("effect"))
+    if none_large:
+        return players, opponents
+    p, o = rounds_by_join(sums.join(large, keys, "left_semi"), keys, ridge_k, rounds, checkpoint_every, tolerance)
+    return players.unionByName(p), opponents.unionByName(o)
+
+
+def rounds_by_join(sums: DataFrame, keys: list[str], ridge_k: float, rounds: int, checkpoint_every: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The effects of groups of any size from their pair sums, all groups at once.
+
+    Pairs lie by group and player and stay there: a round adds the
+    opponents' effects to them (a table of opponents, broadcast while it is small), averages by player in place, and shuffles
+    sums by opponent only. Effects are written every few rounds; groups in which none moved by more than tolerance
+    (of the largest effect) since then are done and leave the loop.
+    """
     mu = sums.groupBy(*keys).agg((F.sum("wy") / F.sum("w")).alias("mu"))
     pairs = saved_rows(sums.join(mu, keys).withColumn("wr", F.col("wy") - F.col("w") * F.col("mu")).drop("wy"), "centred-pairs")
     weight = pairs.groupBy(*keys, "opponent").agg(F.sum("w").alias("ow"))
@@ -89,26 +110,40 @@ def opponent_effects(rows: DataFrame, by: Sequence[str], player: str, opponent:
     return players, state.select(*keys, "opponent", F.col("o").alias("effect"))
 
 
+def effects_in_tasks(pairs: DataFrame, by: Sequence[str], ridge_k: float, rounds: int) -> DataFrame:
+    """Players' values (against is false) and opponents' effects (true) of pair sums, a group's rounds in one task, over arrays of its pairs."""
+    ship(pairs.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c) for c in ("player", "opponent", "w", "wy")] for b in batches]
+        coded = [pa.chunked_array([x[n] for x in parts]).combine_chunks().dictionary_encode(null_encoding="encode") for n in (0, 1)]
+        weight, r = (np.concatenate([x[n].cast(pa.float64()).to_numpy(zero_copy_only=False) for x in parts]) for n in (2, 3))
+        del parts
+        players, opponents = (c.dictionary for c in coded)
+        i, j = (c.indices.to_numpy(zero_copy_only=False) for c in coded)
+        some = [slice(lo, lo + PAIRS_AT_ONCE) for lo in range(0, len(i), PAIRS_AT_ONCE)]
+        total = lambda at, size, value: sum((np.bincount(at[c], weights=value(c), minlength=size) for c in some), np.zeros(size))
+        mu = r.sum() / weight.sum()
+        r -= weight * mu
+        pw, ow = total(i, len(players), lambda c: weight[c]), total(j, len(opponents), lambda c: weight[c])
+        ridge, p, o = ridge_k * ow.mean(), np.zeros(len(players)), np.zeros(len(opponents))
+        for _ in range(rounds):
+            p = total(i, len(players), lambda c: r[c] + weight[c] * o[j[c]]) / pw
+            o = total(j, len(opponents), lambda c: weight[c] * p[i[c]] - r[c]) / (ow + ridge)
+        for against, names, values in ((False, players, mu + p), (True, opponents, o)):
+            n = len(names)
+            own = [names, pa.nulls(n, opponents.type)] if not against else [pa.nulls(n, players.type), names]
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(k, n) for k in key), pa.repeat(against, n), *own, pa.array(values)], names=[*by, "against", "player", "opponent", "value"])
+
+    kinds = ", ".join(f"{c} {types[c]}" for c in by)
+    return pairs.select(*by, "player", "opponent", "w", "wy").groupBy(*by).applyInArrow(run, f"{kinds}, against boolean, player {types['player']}, opponent {types['opponent']}, value double")
+
+
 def opponent_effects_grouped(rows: DataFrame, by: Sequence[str], player: str, opponent: str, w: str, y: str, ridge_k: float = 0.5, rounds: int = 40, least: int = 0) -> DataFrame:
     """Adjusted values as by opponent_effects, each group's rounds in one task over its sums by pair; for groups whose pairs fit a task."""
     pairs = effect_pairs(rows, by, player, opponent, w, y, least)
-    ship(rows.sparkSession)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, players = pd.factorize(pdf.player)
-        j, opponents = pd.factorize(pdf.opponent)
-        weight = pdf.w.to_numpy(float)
-        mu = pdf.wy.sum() / weight.sum()
-        r = pdf.wy.to_numpy(float) - weight * mu
-        pw, ow = np.bincount(i, weights=weight), np.bincount(j, weights=weight)
-        ridge, o = ridge_k * ow.mean(), np.zeros(len(opponents))
-        for _ in range(rounds):
-            p = np.bincount(i, weights=r + weight * o[j]) / pw
-            o = np.bincount(j, weights=weight * p[i] - r) / (ow + ridge)
-        return pd.DataFrame({**{c: [v] * len(players) for c, v in zip(by, key, strict=True)}, "player": players, "value_adj": mu + p})
-
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in [*by, "player"])
-    return pairs.groupBy(*by).applyInPandas(run, f"{kinds}, value_adj double")
+    return effects_in_tasks(pairs, by, ridge_k, rounds).where("not against").select(*by, "player", F.col("value").alias("value_adj"))
 
 
 def percentile_against(targets: DataFrame, reference: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -83,7 +83,7 @@ def i1_opponent_effects(t):
 
 @query(effects_sql(LEAST_ROWS))
 def i1_opponent_effects_distributed(t):
-    """The same for groups of any size: pairs stay where they are, rounds shuffle sums by opponent."""
+    """The same for groups of any size: those beyond a task's pairs go round by round as joins."""
     return pl.opponent_effects(t.player_match(), ["season", "position"], "player", "opponent", "w", "y", least=LEAST_ROWS)[0].select("season", "position", "player", F.round("value_adj", 4).alias("value_adj"))
 
 

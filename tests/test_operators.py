@@ -387,6 +387,23 @@ def test_opponent_effects(spark, tmp_path):
     assert np.corrcoef([free[p] for p in sorted(free)], [skill[p] for p in sorted(free)])[0, 1] > 0.999
 
 
+def test_effects_of_a_group_in_one_task_or_by_joins(spark, tmp_path, monkeypatch):
+    """Groups of few pairs take no job for each round; those beyond the bound go round by round, with the same values."""
+    rows = [(s, p, o, float(1 + (p * o) % 4), float((7 * p + 3 * o) % 11)) for s, n in ((1, 30), (2, 6)) for p in range(n) for o in range(8) if (p + o) % 3]
+    df = spark.createDataFrame(rows, "s int, p int, o int, w double, y double").withColumn("p", F.nullif("p", F.lit(3)))
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    found, jobs = [], []
+    for bound in (1 << 23, 60):
+        monkeypatch.setattr(players, "GROUP_PAIRS", bound)
+        spark.sparkContext.setJobGroup(f"effects {bound}", "effects")
+        p, o = players.opponent_effects(df, ["s"], "p", "o", "w", "y", rounds=40)
+        found.append([{(r["s"], r[1]): r[2] for r in x.collect()} for x in (p, o)])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"effects {bound}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == [pytest.approx(x, abs=1e-9) for x in found[1]] and len(found[0][0]) == 36 and len(found[0][1]) == 16
+    assert jobs[0] <= 20 < jobs[1]
+
+
 def test_slots(spark):
     got = {r["o"]: r["s"] for r in spark.range(1, 65).select(F.col("id").alias("o"), ratings.slot(F.col("id")).alias("s")).collect()}
     assert got[1] == 0 and got[64] == 1 and got[5] // 16 == 3 and got[8] // 16 == 0 and sorted(got.values()) == list(range(64))
