@@ -16,6 +16,15 @@ from .registry import query
 from .views import CONTEST_SQL, SIDES_SQL, Tables
 
 R = lambda col, name=None: F.round(col, 6).alias(name or col)
+
+
+def binary_round(col):
+    """col to six decimals as DuckDB rounds: the whole number nearest to the double 10^6 * col, halves away from 0; F.round goes by decimal digits, which differs beside a tie."""
+    value = F.col(col) if isinstance(col, str) else col
+    scaled = value * 1e6
+    return F.when(F.abs(scaled) < 2.0**52, F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 1e6).otherwise(value)
+
+
 SPECS = (Benchmark("q", 30.0), Benchmark("p", 40000.0), Benchmark("opp_q", 20.0, higher=False))
 
 

@@ -14,7 +14,7 @@ from ..operators import ratings as r
 from ..session import saved_rows
 from ..specs import EloConfig
 from . import model_sql as q
-from .contest_queries import CHANCE_SIDES_SQL, CHANCE_SQL, SEASON_SQL, R, chance_sides, sides, team_seasons, with_chance
+from .contest_queries import CHANCE_SIDES_SQL, CHANCE_SQL, SEASON_SQL, R, binary_round, chance_sides, sides, team_seasons, with_chance
 from .player_queries import PCT_SQL, percentiles
 from .registry import query
 from .views import CONTEST_SQL, SIDES_SQL, Tables
@@ -235,7 +235,7 @@ def n7_team_matches(t):
 def player_table(t: Tables):
     from ..operators import players as pl
 
-    x = pl.rating_of(percentiles(t), ["season", "player", "position", "n"], F.col("metric") == "w").withColumn("rating", F.round("rating", 6))
+    x = pl.rating_of(percentiles(t), ["season", "player", "position", "n"], F.col("metric") == "w").withColumn("rating", binary_round("rating"))
     return x.withColumn("ranked", F.col("n") >= 2).withColumn("team", F.col("player") % 7).withColumn("conf", F.concat(F.lit("c"), (F.col("player") % 3).cast("string")))
 
 
@@ -276,7 +276,7 @@ def n22_n26_h16_projected_records(t):
     w = m.expected_wins(x.where(~late), ["season", "team"], "p", "won").select("season", "team", "n", R("wins"), R("x_wins"))
     left = x.where(late).groupBy("season", "team").agg(F.count(F.lit(1)).alias("games_left"), R(F.sum("p"), "x_left"))
     out = w.join(left, ["season", "team"], "left").fillna(0, subset=["games_left", "x_left"])
-    return out.select("season", "team", "n", "wins", "x_wins", "games_left", R((F.col("wins") + F.col("x_left")) / (F.col("n") + F.col("games_left")), "share"))
+    return out.select("season", "team", "n", "wins", "x_wins", "games_left", binary_round((F.col("wins") + F.col("x_left")) / (F.col("n") + F.col("games_left"))).alias("share"))
 
 
 @query("WITH " + CHANCE_SIDES_SQL + " SELECT contest_id, day, opponent, round(p, 6) AS p, won, round(sum(won) OVER w, 6) AS cum_won, round(sum(p) OVER w, 6) AS cum_p FROM cs WHERE season = 1998 AND team = 3 WINDOW w AS (ORDER BY day, contest_id ROWS UNBOUNDED PRECEDING)")
