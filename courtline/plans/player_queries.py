@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators import players as pl
 from ..operators import sequence as s
-from .contest_queries import R
+from .contest_queries import R, binary_round
 from .model_sql import effects_sql
 from .registry import query
 from .views import PLAYER_SQL, Tables
@@ -16,8 +16,13 @@ TOTALS_SQL = PLAYER_SQL + ", tot AS (SELECT season, player, position, team, sum(
 
 
 def totals(t: Tables):
-    """One row per player and season: w, wy, n and rate."""
-    x = t.player_match().groupBy("season", "player", "position", "team").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.count(F.lit(1)).alias("n"))
+    """One row per player and season: w, wy, n and rate. Sums are exact to six decimals of each row, so that they do not depend on the order of rows."""
+
+    def exact(v):
+        d = v.try_cast("decimal(28,6)")
+        return F.when(F.count(d) == F.count(v), F.sum(d).cast("double")).otherwise(F.sum(v))
+
+    x = t.player_match().groupBy("season", "player", "position", "team").agg(exact(F.col("w")).alias("w"), exact(F.col("w") * F.col("y")).alias("wy"), F.count(F.lit(1)).alias("n"))
     return x.withColumn("rate", F.col("wy") / F.col("w"))
 
 
@@ -108,7 +113,7 @@ rating AS (SELECT season, player, position, any_value(n) AS n, avg(CASE WHEN met
 
 def percentiles(t):
     x = totals(t)
-    long = x.select("season", "player", "position", "n", R("w"), R("rate")).unpivot(["season", "player", "position", "n"], ["w", "rate"], "metric", "v")
+    long = x.select("season", "player", "position", "n", binary_round("w").alias("w"), binary_round("rate").alias("rate")).unpivot(["season", "player", "position", "n"], ["w", "rate"], "metric", "v")
     return pl.percentile_against(long, long.where("season <= 1997"), ["position", "metric"], "v")
 
 
@@ -123,7 +128,7 @@ SELECT season, player, position, rating, ranked, CASE WHEN ranked THEN rank() OV
 def i7_i9_player_board(t):
     """Ratings with a bonus for one position, eligibility by matches, and ranks over those who are ranked."""
     x = pl.rating_of(percentiles(t), ["season", "player", "position", "n"], F.col("metric") == "w")
-    x = pl.with_bonus(x, F.col("position") == "ECONOMY", F.col("n") >= 6).withColumn("rating", F.round("rating", 6)).where("n >= 2").withColumn("ranked", (F.col("season") < 2001) | (F.col("n") >= 3))
+    x = pl.with_bonus(x, F.col("position") == "ECONOMY", F.col("n") >= 6).withColumn("rating", binary_round("rating")).where("n >= 2").withColumn("ranked", (F.col("season") < 2001) | (F.col("n") >= 3))
     x = m.ranked(x, ["season", "position"], "rating", "rank_in_position", only=F.col("ranked"))
     return x.select("season", "player", "position", "rating", "ranked", F.col("rank_in_position").cast("long").alias("rank_in_position"))
 
