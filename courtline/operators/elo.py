@@ -10,7 +10,7 @@ Pools run side by side; `components` finds those that a schedule falls into.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -26,6 +26,10 @@ from .metrics import ranked
 ELO = ["elo_home", "elo_away", "p_home", "elo_home_after", "elo_away_after"]
 #: Matches that are cut into layers at once, for each team known so far; the least and the most of them.
 MATCHES_PER_TEAM, LEAST_MATCHES, MOST_MATCHES = 4, 64, 1 << 14
+#: Matches by configurations of a layer that are updated at once, so that what an update makes stays in a core's cache.
+AT_ONCE = 1 << 14
+#: Parts of a grid: each part replays all matches, in a task of its own.
+GRID_PARTS = 8
 
 
 def layers(home: np.ndarray, away: np.ndarray, n_teams: int) -> Iterator[np.ndarray]:
@@ -43,15 +47,16 @@ def layers(home: np.ndarray, away: np.ndarray, n_teams: int) -> Iterator[np.ndar
 class EloReplay:
     """Ratings of one pool while its matches come in order: a row for each team, a column for each configuration."""
 
-    def __init__(self, configs: Sequence[EloConfig]):
+    def __init__(self, configs: Sequence[EloConfig], margins: Sequence[str] | None = None):
         of = lambda f: np.array([f(c) for c in configs], dtype=float)
         self.k, self.home, self.mean, self.scale, self.carryover = of(lambda c: c.k), of(lambda c: c.home), of(lambda c: c.mean), of(lambda c: c.scale), of(lambda c: c.carryover)
         self.strong, self.weak = of(lambda c: c.damping[0]), of(lambda c: c.damping[1])
-        names = margin_columns(configs)
+        names = margin_columns(configs) if margins is None else list(margins)
         #: The margin that each configuration reads, the one after the last of them for none.
         self.margin = np.array([names.index(c.margin_column) if c.margin else len(names) for c in configs], dtype=np.int64)
         self.numbers: dict = {}
-        self.ratings = np.zeros((0, len(configs)))
+        self.room = np.zeros((0, len(configs)))
+        self.ratings = self.room
         self.season = None
         self.n_layers = 0
 
@@ -59,16 +64,21 @@ class EloReplay:
         """Numbers of teams; new ones start at the mean."""
         coded = names.dictionary_encode()
         known = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in coded.dictionary.to_pylist()], dtype=np.int64)
-        new = len(self.numbers) - len(self.ratings)
-        if new:
-            self.ratings = np.concatenate([self.ratings, np.tile(self.mean, (new, 1))])
+        before, n = len(self.ratings), len(self.numbers)
+        if n > len(self.room):  # twice the room, so that each rating is moved a few times only
+            self.room = np.empty((max(n, 2 * len(self.room)), len(self.mean)))
+            self.room[:before] = self.ratings
+        self.room[before:n] = self.mean
+        self.ratings = self.room[:n]
         return known[coded.indices.to_numpy(zero_copy_only=False)]
 
     def starts(self, season) -> None:
         """What a new season keeps of ratings."""
         if season != self.season:
             if self.season is not None:
-                self.ratings = self.mean + self.carryover * (self.ratings - self.mean)
+                self.ratings -= self.mean
+                self.ratings *= self.carryover
+                self.ratings += self.mean
             self.season = season
 
     def played(self, home: np.ndarray, away: np.ndarray, won: np.ndarray, margins: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -77,32 +87,35 @@ class EloReplay:
         margins: a column for each margin that configurations read.
         """
         sizes = np.log(np.concatenate([np.maximum(margins, 0), np.zeros((len(home), 1))], axis=1) + 1)
+        width = max(1, AT_ONCE // len(self.mean))
         step = min(MOST_MATCHES, max(LEAST_MATCHES, MATCHES_PER_TEAM * len(self.ratings)))
         for lo in range(0, len(home), step):
-            for at in layers(home[lo : lo + step], away[lo : lo + step], len(self.ratings)):
-                at = at + lo
-                h, a = self.ratings[home[at]], self.ratings[away[at]]
-                edge = h - a + self.home
-                chance = 1 / (1 + 10 ** (-edge / self.scale))
-                size, win = sizes[at][:, self.margin], won[at][:, None]
-                factor = np.where(size > 0, size * self.strong / (self.weak * np.where(win > 0, edge, -edge) + self.strong), 1.0)
-                change = self.k * factor * (win - chance)
-                self.ratings[home[at]], self.ratings[away[at]] = h + change, a - change
+            for layer in layers(home[lo : lo + step], away[lo : lo + step], len(self.ratings)):
                 self.n_layers += 1
-                yield at, h, a, chance, h + change, a - change
+                for first in range(0, len(layer), width):
+                    at = layer[first : first + width] + lo
+                    h, a = self.ratings[home[at]], self.ratings[away[at]]
+                    edge = h - a + self.home
+                    chance = 1 / (1 + 10 ** (-edge / self.scale))
+                    size, win = sizes[at][:, self.margin], won[at][:, None]
+                    factor = np.where(size > 0, size * self.strong / (self.weak * np.where(win > 0, edge, -edge) + self.strong), 1.0)
+                    change = self.k * factor * (win - chance)
+                    self.ratings[home[at]], self.ratings[away[at]] = h + change, a - change
+                    yield at, h, a, chance, h + change, a - change
 
 
 def margin_columns(configs: Sequence[EloConfig]) -> list[str]:
     return sorted({c.margin_column for c in configs if c.margin})
 
 
-def in_order(matches: DataFrame, pool: Sequence[str], more: Sequence[str], margins: Sequence[str]) -> DataFrame:
+def in_order(matches: DataFrame, pool: Sequence[str], margins: Sequence[str], more: Sequence[str] = (), dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Each pool's matches in a task, in order: without those that lack a side, a day or a result. A null margin counts as none."""
     double = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     known = matches.dropna(subset=["day", "home", "away", "home_won"])
     columns = dict.fromkeys([*pool, *more, "match", "season", "day", "home", "away"])
     rows = known.select(*columns, F.col("home_won").cast("double").alias("home_won"), *map(double, margins))
-    return rows.repartition(*pool).sortWithinPartitions(*pool, "day", "home", "away", "match")
+    rows = dealt(rows) if dealt else rows.repartition(*pool)
+    return rows.sortWithinPartitions(*pool, "day", "home", "away", "match")
 
 
 def runs(batch: pa.RecordBatch, pool: Sequence[str]) -> Iterator[tuple[tuple, object, pa.RecordBatch]]:
@@ -130,7 +143,7 @@ def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfi
     names, settings = list(configs), list(configs.values())
     margins = margin_columns(settings)
     ship(matches.sparkSession)
-    rows = in_order(matches, pool, (), margins)
+    rows = in_order(matches, pool, margins)
     schema = T.StructType([*(rows.schema[c] for c in pool), T.StructField("config", T.StringType()), rows.schema["match"], *(T.StructField(c, T.DoubleType()) for c in ELO)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,21 +171,31 @@ SCORES = ["right", "log_loss", "brier"]
 def elo_sweep(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfig], scored: Column, clip: float = 1e-6) -> DataFrame:
     """n, accuracy, log loss and Brier score of every configuration over the matches where scored holds; all of them are replayed.
 
-    One sort and one pass serve all configurations: tasks send sums by batch, never a row for each match
-    and configuration.
+    The grid is cut into parts: a task replays a pool's matches, all of them, for the configurations of a part, and
+    sends sums by batch, never a row for each match and configuration.
     """
-    names, settings = list(configs), list(configs.values())
-    margins = margin_columns(settings)
+    named = list(configs.items())
+    n_parts = min(GRID_PARTS, len(named))
+    parts_of = [dict(named[k::n_parts]) for k in range(n_parts)]
+    margins = margin_columns(list(configs.values()))
     ship(matches.sparkSession)
-    rows = in_order(matches.withColumn("scored", F.coalesce(scored, F.lit(False))), pool, ["scored"], margins)
+    each = matches.withColumn("scored", F.coalesce(scored, F.lit(False))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    keys = [*pool, "part"]
+    n_tasks = n_parts * max(1, int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_parts)
+    at = F.pmod(F.hash(*pool).cast("long") * n_parts + F.col("part"), F.lit(n_tasks)).cast("int")  # parts of a pool never share a task
+    rows = in_order(each, keys, margins, ["scored"], lambda x: x.repartitionById(n_tasks, at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, replay = None, EloReplay(settings)
+        held, replay, names, sums, n = None, None, [], None, 0
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n] * len(names), pa.int64()), *map(pa.array, sums)], names=["config", "n", *SCORES])
         for batch in batches:
-            sums, n = np.zeros((len(SCORES), len(names))), 0
-            for key, season, some in runs(batch, pool):
+            for key, season, some in runs(batch, keys):
                 if key != held:
-                    held, replay = key, EloReplay(settings)
+                    if n:
+                        yield send()
+                    own = parts_of[key[-1]]
+                    held, replay, names = key, EloReplay(list(own.values()), margins), list(own)
+                    sums, n = np.zeros((len(SCORES), len(names))), 0
                 replay.starts(season)
                 home, away, won, margin = numbers_of(some, replay, margins)
                 counted = some.column("scored").to_numpy(zero_copy_only=False)
@@ -181,9 +204,11 @@ def elo_sweep(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloCon
                     p, y = np.clip(chance, clip, 1 - clip), won[at][:, None]
                     n += len(at)
                     sums[0] += ((p > 0.5) == (y == 1)).sum(axis=0)
-                    sums[1] -= np.where(y == 1, np.log(p), np.log1p(-p)).sum(axis=0)
+                    sums[1] -= np.log(np.where(y == 1, p, 1 - p)).sum(axis=0)
                     sums[2] += ((p - y) ** 2).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n] * len(names), pa.int64()), *map(pa.array, sums)], names=["config", "n", *SCORES])
+            if n:  # sums of a batch, as those of a whole pool would lose digits
+                yield send()
+                sums, n = np.zeros_like(sums), 0
 
     parts = rows.mapInArrow(run, "config string, n long, " + ", ".join(f"{c} double" for c in SCORES))
     mean = lambda c: (F.try_divide(F.sum(c), F.sum("n")))

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,22 @@ def test_elo_like_a_fold(spark, n, teams):
         assert [swept[name][x] for x in ("n", "accuracy", "log_loss", "brier")] == pytest.approx(want, abs=1e-9)
 
 
+def test_elo_grid_in_parts(spark, monkeypatch):
+    """Parts of a grid are replayed in tasks of their own, with the figures of one part; ratings are moved a few times as teams come."""
+    df = spark.createDataFrame(schedule(400, 30, 3, 9), MATCHES).withColumn("pool", F.col("match") % 2)
+    configs = {f"k{k}": EloConfig(k=k) for k in (10, 20, 30)} | {"share": EloConfig(margin_column="share")}
+    found = []
+    for parts in (1, 4):
+        monkeypatch.setattr(elo, "GRID_PARTS", parts)
+        found.append({r["config"]: r[1:] for r in elo.elo_sweep(df, ["pool"], configs, F.col("season") > 0).collect()})
+    assert set(found[0]) == set(configs) and found[0] == {c: pytest.approx(v) for c, v in found[1].items()}
+    replay, rooms = elo.EloReplay(list(configs.values())), set()
+    for i in range(300):
+        replay.teams(pa.array([f"t{i}"]))
+        rooms.add(len(replay.room))
+    assert replay.ratings.shape == (300, 4) and (replay.ratings == 1500).all() and len(rooms) <= 10
+
+
 def test_elo_layers():
     """A layer's matches share no team, and every match comes after the earlier ones of its teams."""
     rng = np.random.default_rng(1)
