@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,21 @@ def additive_solve(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray, k
     work are linear in the pairs, whatever the number of teams. start: a solution nearby, as that of
     a week before, which leaves few rounds.
     """
-    total = lambda at, v: np.bincount(at, weights=v, minlength=k)
+    step = max(1 << 18, 4 * k)  # pairs at once: no array as long as the pairs is made
+    some = [slice(lo, lo + step) for lo in range(0, len(i), step)]
+    total = lambda at, v: sum((np.bincount(at[c], weights=v[c], minlength=k) for c in some), np.zeros(k))
     b = np.concatenate([total(i, s), -total(j, s), [s.sum()]])
     diagonal = np.concatenate([total(i, n) + ridge, total(j, n) + ridge, [n.sum()]])
 
     def normal(x: np.ndarray) -> np.ndarray:
-        fitted = n * (x[i] - x[k + j] + x[-1])
-        return np.concatenate([total(i, fitted) + ridge * x[:k], -total(j, fitted) + ridge * x[k : 2 * k], [fitted.sum()]])
+        out = ridge * x
+        out[-1] = 0.0
+        for c in some:
+            fitted = n[c] * (x[i[c]] - x[k + j[c]] + x[-1])
+            out[:k] += np.bincount(i[c], weights=fitted, minlength=k)
+            out[k:-1] -= np.bincount(j[c], weights=fitted, minlength=k)
+            out[-1] += fitted.sum()
+        return out
 
     if start is None:
         x = np.zeros(2 * k + 1)
@@ -54,21 +64,32 @@ def additive_solve(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray, k
     return x
 
 
-def board_of(teams: np.ndarray, x: np.ndarray, played: np.ndarray, met: np.ndarray) -> pd.DataFrame:
+def coded_pairs(batches: Iterator[pa.RecordBatch], more: Sequence[str] = ()) -> tuple[pa.Array, list[np.ndarray]]:
+    """Teams, and arrays of batches of pair sums: numbers of team and opponent, n, s and more; teams are numbered as they come, so a batch is let go."""
+    numbers, kind, parts = {}, pa.null(), [[] for _ in range(4 + len(more))]
+    for b in batches:
+        kind = b.column("team").type
+        for k, c in enumerate(("team", "opponent")):
+            coded = b.column(c).dictionary_encode()
+            known = np.array([numbers.setdefault(t, len(numbers)) for t in coded.dictionary.to_pylist()], dtype=np.int32)
+            parts[k].append(known[coded.indices.to_numpy(zero_copy_only=False)])
+        for k, c in enumerate(("n", "s", *more)):
+            parts[2 + k].append((b.column(c).cast(pa.float64()) if k < 2 else b.column(c)).to_numpy(zero_copy_only=False).copy())
+    return pa.array(list(numbers), kind), [np.concatenate(x) if x else np.zeros(0) for x in parts]
+
+
+def board_of(teams: pa.Array, i: np.ndarray, j: np.ndarray, n: np.ndarray, x: np.ndarray) -> dict[str, pa.Array]:
     """Ratings of a solution: team effects centred over the teams that played or were met."""
     k = len(teams)
+    played, met = np.bincount(i, weights=n, minlength=k), np.bincount(j, weights=n, minlength=k)
     seen = np.flatnonzero((played > 0) | (met > 0))
     off, deff = x[:k][seen] - x[:k][seen].mean(), x[k:-1][seen] - x[k:-1][seen].mean()
-    return pd.DataFrame({"team": teams[seen], "rating_off": 100 * off, "rating_def": 100 * deff, "rating_overall": 100 * (off + deff), "league": 100 * x[-1], "n_matches": played[seen].astype(int)})
+    numbers = {"rating_off": 100 * off, "rating_def": 100 * deff, "rating_overall": 100 * (off + deff), "league": np.full(len(seen), 100 * x[-1]), "n_matches": played[seen].astype(np.int64)}
+    return {"team": teams.take(pa.array(seen)), **{c: pa.array(v) for c, v in numbers.items()}}
 
 
-def additive_fit(pdf: pd.DataFrame, ridge: float) -> pd.DataFrame:
-    """y = mu + off of team - def of opponent from pair sums; the penalty is on team effects only, which are centred."""
-    teams = np.unique(np.concatenate([pdf.team.to_numpy(), pdf.opponent.to_numpy()]))
-    i, j = np.searchsorted(teams, pdf.team), np.searchsorted(teams, pdf.opponent)
-    n, s = pdf.n.to_numpy(float), pdf.s.to_numpy(float)
-    x = additive_solve(i, j, n, s, len(teams), ridge)
-    return board_of(teams, x, np.bincount(i, weights=n, minlength=len(teams)), np.bincount(j, weights=n, minlength=len(teams)))
+def with_keys(board: dict[str, pa.Array], keys: dict[str, pa.Scalar]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({**{c: pa.repeat(v, len(board["team"])) for c, v in keys.items()}, **board})
 
 
 def additive_ratings(pairs: DataFrame, by: Sequence[str], ridge: float = 1.0) -> DataFrame:
@@ -77,13 +98,11 @@ def additive_ratings(pairs: DataFrame, by: Sequence[str], ridge: float = 1.0) ->
     keys = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
     team = pairs.schema["team"].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = additive_fit(pdf, ridge)
-        for c, v in reversed(list(zip(by, key, strict=True))):
-            out.insert(0, c, v)
-        return out
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        teams, (i, j, n, s) = coded_pairs(batches)
+        yield with_keys(board_of(teams, i, j, n, additive_solve(i, j, n, s, len(teams), ridge)), dict(zip(by, key, strict=True)))
 
-    return pairs.groupBy(*by).applyInPandas(run, f"{keys}, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
+    return pairs.select(*by, "team", "opponent", "n", "s").groupBy(*by).applyInArrow(run, f"{keys}, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
 
 
 def additive_ratings_wide(pairs: DataFrame, ridge: float = 1.0, rounds: int = 40, tolerance: float = 1e-10) -> DataFrame:
@@ -137,33 +156,33 @@ def ridge_board(ratings: DataFrame, by: Sequence[str], least: int = 5) -> DataFr
 
 
 BLOCK_WEEKS = 8
-BOARD = ["team", "rating_off", "rating_def", "rating_overall", "league", "n_matches"]
 
 
-def weekly_fits(pdf: pd.DataFrame, least: int, ridge: float) -> pd.DataFrame:
+def weekly_fits(batches: Iterator[pa.RecordBatch], least: int, ridge: float) -> Iterator[tuple[dt.date, dict[str, pa.Array]]]:
     """Fits for the weeks of a block, each on the pair sums before it and begun at the one before it.
 
-    Rows are pair sums: those without a week are of all weeks before the block, those without n mark the weeks asked for.
+    Rows are pair sums: those without a week are of all weeks before the block, those without n mark the weeks asked for. They are
+    kept by week, so that a week's fit is on the first of them.
     """
-    marks, rows = sorted(pdf.loc[pdf.n.isna(), "week_start"].unique()), pdf[pdf.n.notna()]
-    if not len(rows):
-        return pd.DataFrame(columns=["week_start", *BOARD])
-    teams = np.unique(np.concatenate([rows.team.to_numpy(), rows.opponent.to_numpy()]))
-    k = len(teams)
-    pairs, at = np.unique(np.searchsorted(teams, rows.team) * k + np.searchsorted(teams, rows.opponent), return_inverse=True)
-    i, j = pairs // k, pairs % k
-    week = rows.week_start.fillna(marks[0] - pd.Timedelta(days=7) if len(marks) else pd.NaT).to_numpy() if len(marks) else None
-    n, s, x, out, counted = np.zeros(len(pairs)), np.zeros(len(pairs)), None, [], np.zeros(len(rows), dtype=bool)
-    for mark in marks:
-        new = (week < np.datetime64(mark)) & ~counted
-        counted |= new
-        np.add.at(n, at[new], rows.n.to_numpy(float)[new])
-        np.add.at(s, at[new], rows.s.to_numpy(float)[new])
-        if n.sum() >= least:
-            some = n > 0
-            x = additive_solve(i[some], j[some], n[some], s[some], k, ridge, x)
-            out.append(board_of(teams, x, np.bincount(i, weights=n, minlength=k), np.bincount(j, weights=n, minlength=k)).assign(week_start=mark))
-    return pd.concat(out) if out else pd.DataFrame(columns=["week_start", *BOARD])
+    marks: set[dt.date] = set()
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks.update(b.filter(pc.is_null(b.column("n"))).column("week_start").to_pylist())
+            days = pc.fill_null(b.column("week_start").cast(pa.int32()), -(1 << 31))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("team", "opponent", "n", "s")), days], names=["team", "opponent", "n", "s", "week"]).filter(pc.is_valid(b.column("n")))
+
+    teams, columns = coded_pairs(sums(), ["week"])
+    order = np.argsort(columns[-1], kind="stable")
+    for c in range(len(columns)):
+        columns[c] = columns[c][order]
+    i, j, n, s, week = columns
+    x = None
+    for mark in sorted(marks):
+        m = np.searchsorted(week, (mark - dt.date(1970, 1, 1)).days)
+        if m and n[:m].sum() >= least:
+            x = additive_solve(i[:m], j[:m], n[:m], s[:m], len(teams), ridge, x)
+            yield mark, board_of(teams, i[:m], j[:m], n[:m], x)
 
 
 def walk_forward(sides: DataFrame, season: str, day: str, y: str, least: int = 50, ridge: float = 1.0, block_weeks: int = BLOCK_WEEKS) -> DataFrame:
@@ -186,16 +205,14 @@ def walk_forward(sides: DataFrame, season: str, day: str, y: str, least: int = 5
     team, kind = sums.schema["team"].dataType.simpleString(), sums.schema[season].dataType.simpleString()
     ship(sides.sparkSession)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(week_start=pd.to_datetime(pdf.week_start))
-        found = weekly_fits(pdf, least, ridge)
-        found.insert(0, season, key[0])
-        return found[[season, "week_start", *BOARD]]
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mark, board in weekly_fits(batches, least, ridge):
+            yield with_keys(board, {season: key[0], "week_start": pa.scalar(mark, pa.date32())})
 
     every = sums.unionByName(before.select(sums.columns)).unionByName(marks.select(sums.columns))
     # Blocks without a match in them still ask for nothing; those without marks have no row.
     asked_blocks = every.join(weeks.select(season, "block").distinct(), [season, "block"], "left_semi")
-    return asked_blocks.groupBy(season, "block").applyInPandas(run, f"{season} {kind}, week_start date, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
+    return asked_blocks.groupBy(season, "block").applyInArrow(run, f"{season} {kind}, week_start date, team {team}, rating_off double, rating_def double, rating_overall double, league double, n_matches long")
 
 
 def schedule_strength(sides: DataFrame, ratings: DataFrame, by: Sequence[str], rating: str) -> DataFrame:

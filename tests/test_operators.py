@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -319,6 +320,20 @@ def test_leave_one_out_like_single_fits(spark):
                 assert got[r[0], m.name] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-7)
 
 
+def test_additive_solve_makes_no_array_of_all_pairs():
+    """Two million pairs, 16 MB of each number: what the solution makes beside them stays below that."""
+    rng = np.random.default_rng(3)
+    size, k = 1 << 21, 40
+    i, j = rng.integers(0, k, size, dtype=np.int32), rng.integers(0, k, size, dtype=np.int32)
+    off = rng.normal(size=k)
+    n, s = np.ones(size), 5 + off[i] - off[j]
+    tracemalloc.start()
+    x = ratings.additive_solve(i, j, n, s, k, 1e-6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6 and x[:k] - x[:k].mean() == pytest.approx(off - off.mean(), abs=1e-6)
+
+
 @pytest.mark.parametrize("block_weeks", [1, 3, 100])
 def test_walk_forward_like_refits(spark, block_weeks):
     """Every week of every season as fitted from scratch on what is before it, however weeks are cut into blocks."""
