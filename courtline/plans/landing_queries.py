@@ -27,10 +27,10 @@ FILE_DOCS = 2000
 
 
 def written_json(t: Tables, docs: DataFrame, key: str, label: str) -> str:
-    """Writes docs as files of about FILE_DOCS documents, each an array, dealt by a column of them, and gives the folder."""
+    """Writes docs as compressed files of about FILE_DOCS documents, each an array, dealt by a column of them, and gives the folder."""
     folder = new_folder(t.spark, label)
     chunk = F.pmod(F.xxhash64(key), F.lit(docs.count() // FILE_DOCS + 1)).alias("chunk")
-    docs.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value")).write.partitionBy("chunk").text(folder)
+    docs.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value")).write.option("compression", "gzip").partitionBy("chunk").text(folder)
     return folder
 
 

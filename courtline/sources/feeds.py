@@ -102,7 +102,7 @@ def land_player_stats(spark: SparkSession, path: str, season: str | None = None,
     conferences: team and conf.
     """
     docs = _sides(spark.read.schema(BOX).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).withColumn("_file", F.col("_metadata.file_name")))
-    docs = docs.select(F.coalesce("_contest_id", F.regexp_replace("_file", r"\.[^.]*$", "")).alias("contest_id"), any_date(F.col("_date")).alias("day"), _named("_home_team").alias("_home"), _named("_away_team").alias("_away"), F.col("_h.teamId").alias("_hid"), F.col("_a.teamId").alias("_aid"), F.explode("teamBoxscore").alias("_b"))
+    docs = docs.select(F.coalesce("_contest_id", F.regexp_replace("_file", r"\.[^.]*(\.gz)?$", "")).alias("contest_id"), any_date(F.col("_date")).alias("day"), _named("_home_team").alias("_home"), _named("_away_team").alias("_away"), F.col("_h.teamId").alias("_hid"), F.col("_a.teamId").alias("_aid"), F.explode("teamBoxscore").alias("_b"))
     rows = docs.where("day is not null and _home is not null and _away is not null and (_b.teamId = _hid or _b.teamId = _aid)").select("*", F.explode("_b.playerStats").alias("_p"))
     home = F.col("_b.teamId") == F.col("_hid")
     name = F.trim(F.regexp_replace(F.concat_ws(" ", "_p.firstName", "_p.lastName"), r"\s+", " "))
