@@ -9,7 +9,7 @@ that decide, and the field: run 0 is the one that is taken for what happened.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bracket as b
@@ -40,16 +40,21 @@ part AS (SELECT season, sim, round, home AS team, away AS opponent, winner = hom
 res AS (SELECT season, sim, team, 1 + count(*) FILTER (win) AS reached, bool_or(at_host) AS host, min(opponent) FILTER (NOT win) AS lost_to FROM part GROUP BY 1, 2, 3)"""
 
 
-def fields(t: Tables):
+def rated(t: Tables):
+    """t with its contests written, and their RPI: what all steps of a tournament read is made once."""
+    t = t.with_contests()
+    return t, saved_rows(rpi_table(t), "rpi")
+
+
+def fields(t: Tables, ratings: DataFrame, runs: int = RUNS):
     """season, sim, team, auto, overall, seed (of the first 32), slot and form (its margins from the run's number on, last contest first)."""
     margins = F.transform(F.array_sort(F.collect_list(F.struct((-F.datediff("day", F.lit("1970-01-01").cast("date"))).alias("d"), (-F.col("contest_id")).alias("c"), (F.col("q") - F.col("opp_q")).alias("v")))), lambda x: x["v"])
     form = sides(t).groupBy("season", "team").agg(margins.alias("margins"))
-    ratings = saved_rows(rpi_table(t), "rpi")
     champs = champion_table(t, ratings).select("season", "team", F.lit(True).alias("auto"))
     teams = ratings.select("season", "team", "rpi").join(champs, ["season", "team"], "left").withColumn("auto", F.coalesce("auto", F.lit(False))).join(form, ["season", "team"])
-    runs = teams.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    each = teams.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     sway = F.when(F.col("sim") == 0, 0.0).otherwise(SWAY * F.coalesce(F.get("margins", F.col("sim") - 1), F.lit(0.0)))
-    out = r.field(runs.withColumn("ord", F.round(F.col("rpi") + sway, 9)), ["season", "sim"], "ord", "auto")
+    out = r.field(each.withColumn("ord", F.round(F.col("rpi") + sway, 9)), ["season", "sim"], "ord", "auto")
     o = F.col("overall").cast("long")
     out = out.select("season", "sim", "team", "auto", o.alias("overall"), F.when(o <= 32, F.floor((o - 1) / 4) + 1).alias("seed"), r.slot(F.col("overall")).alias("slot"), F.slice("margins", F.col("sim") + 1, F.lit(b.ROUNDS)).alias("form"))
     return saved_rows(out, "fields")
@@ -62,19 +67,19 @@ def tournament(teams):
     return saved_rows(games, "tournaments")
 
 
-def happened(t: Tables):
-    return fields(t).where("sim = 0")
+def happened(t: Tables, ratings: DataFrame):
+    return fields(t, ratings, runs=1)
 
 
 @query(PLAYED_SQL + ", c AS (SELECT season, count(*) AS teams, " + ", ".join(f"count(*) FILTER (reached = {k}) AS r{k}" for k in range(1, 8)) + """ FROM res WHERE sim = 0 GROUP BY 1), mt AS (SELECT season, count(*) AS matches FROM won WHERE sim = 0 GROUP BY 1)
 SELECT season, matches, teams, r1, r2, r3, r4, r5, r6, r7, matches AS placed, CASE WHEN matches <> 63 THEN 'number of matches' END AS fault FROM mt JOIN c USING (season)""")
 def h25_bracket_integrity(t):
-    return b.integrity(tournament(happened(t)), ["season"])
+    return b.integrity(tournament(happened(*rated(t))), ["season"])
 
 
 @query(PLAYED_SQL + " SELECT season, team, reached, host, lost_to, CASE WHEN lost_to IS NOT NULL THEN reached END AS lost_in FROM res WHERE sim = 0")
 def h25_outcomes(t):
-    return b.outcomes(tournament(happened(t)), ["season"]).withColumn("lost_in", F.col("lost_in").cast("long"))
+    return b.outcomes(tournament(happened(*rated(t))), ["season"]).withColumn("lost_in", F.col("lost_in").cast("long"))
 
 
 FORECAST_SQL = PLAYED_SQL + """, league AS (SELECT s_suppkey AS team, n_name AS league FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -86,8 +91,9 @@ def forecast_rows(t: Tables):
     """A season's RPI as the forecast of the next season's tournament, beside what came of it."""
     chance = 1 / (1 + F.exp(-8 * (F.col("rpi") - 0.5)))
     powers = {"p_field": 1, "p_reached4": 3, "p_reached5": 4, "p_champion": 6}
-    fc = rpi_table(t).where("rpi is not null").join(t.league(), "team").select((F.col("season") + 1).alias("season"), "team", "league", *[(chance**k).alias(c) for c, k in powers.items()])
-    teams = happened(t)
+    t, ratings = rated(t)
+    fc = ratings.where("rpi is not null").join(t.league(), "team").select((F.col("season") + 1).alias("season"), "team", "league", *[(chance**k).alias(c) for c, k in powers.items()])
+    teams = happened(t, ratings)
     found = b.outcomes(tournament(teams), ["season"]).withColumn("_in", F.lit(True))
     seeds = teams.select("season", "team", "seed")
     held = found.select("season").distinct()
@@ -154,6 +160,6 @@ def h27_focus_team(t):
 round(count(*) FILTER (reached >= 4) / {RUNS}::DOUBLE, 6) AS p_reached4, round(count(*) FILTER (reached >= 7) / {RUNS}::DOUBLE, 6) AS p_reached7 FROM slt s JOIN res USING (season, sim, team) GROUP BY 1, 2""")
 def e29_run_summary(t):
     """Shares over a season's runs, each a field and a bracket of its own."""
-    teams = fields(t)
+    teams = fields(*rated(t))
     rows = teams.join(b.outcomes(tournament(teams), ["season", "sim"]), ["season", "sim", "team"])
     return r.run_summary(rows, ["season", "team"], 7).select("season", "team", *[R(c) for c in ("p_field", "p_auto", "mean_overall", "p_host", "p_1seed", "p_reached4", "p_reached7")])

@@ -24,3 +24,26 @@ def test_landed_documents_are_written_compressed(spark, tmp_path):
     (tmp_path / "77.json.gz").write_bytes(gzip.compress(json.dumps(doc).encode()))
     (tmp_path / "78.json").write_text(json.dumps(doc))
     assert sorted(r["contest_id"] for r in feeds.land_player_stats(spark, str(tmp_path)).collect()) == ["77", "78"]
+
+
+def test_a_tournament_reads_lines_once(spark, monkeypatch):
+    """Contests and RPI are made once for a forecast and the bracket beside it."""
+    read, plain = [], views.Tables.__getattr__
+    monkeypatch.setattr(views.Tables, "__getattr__", lambda self, name: (read.append(name), plain(self, name))[1])
+    assert QUERIES["h26_title_odds"](spark, DATA).count() > 0
+    assert read.count("lineitem") == 1
+
+
+def test_lines_that_share_a_number(spark):
+    """The order of lines with one number goes by what they hold."""
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate date"
+    lines = [(1, 1, 9, 5, 2.0, 1.0, 0.1, None), (1, 1, 9, 4, 3.0, 1.0, 0.0, None), (1, 1, 9, 4, 3.0, 1.0, 0.2, None), (2, 1, 1, 4, 3.0, 1.0, 0.2, None), (2, 1, 1, 5, 3.0, 2.0, 0.2, None)]
+
+    class Small(views.Tables):
+        lineitem = spark.createDataFrame(lines, line)
+        orders = spark.createDataFrame([(k, None) for k in (1, 2)], "o_orderkey long, o_orderdate date")
+
+        def conference(self):
+            return spark.createDataFrame([(4, "x"), (5, "y")], "team long, conf string")
+
+    assert [(r["contest_id"], r["home"], r["away"], r["home_won"]) for r in Small(spark, "").contest().collect()] == [(2, 4, 5, 0.0)]
