@@ -20,6 +20,9 @@ FEED = EventSpec(
     start="view", receive="click", terminal=("purchase", "error"), direct="purchase", known=("view", "click", "purchase", "error"),
 )
 
+#: Lines of a task where lines are joined by order, and the least number of such tasks; for fewer, Spark's own partitions are small enough.
+TASK_LINES, LEAST_TASKS = 1 << 19, 16
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -76,6 +79,9 @@ class Tables:
     def player_match(self) -> DataFrame:
         """match_id, day, season, player, position, team, opponent, w (weight), y (rate)."""
         rows = self.lineitem.join(self.part.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        n = self.lineitem.count() // TASK_LINES
+        if n >= LEAST_TASKS:  # what a task sorts and groups does not grow with the table
+            rows = rows.repartition(n, "l_orderkey")
         rows = rows.join(self.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         return rows.select(
             F.col("l_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("day"), F.year("o_orderdate").alias("season"), F.col("l_partkey").alias("player"),

@@ -47,3 +47,13 @@ def test_lines_that_share_a_number(spark):
             return spark.createDataFrame([(4, "x"), (5, "y")], "team long, conf string")
 
     assert [(r["contest_id"], r["home"], r["away"], r["home_won"]) for r in Small(spark, "").contest().collect()] == [(2, 4, 5, 0.0)]
+
+
+def test_lines_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """A table beyond one round of tasks is joined and grouped in as many tasks as its lines ask for."""
+    monkeypatch.setattr(views, "TASK_LINES", 300)
+    n = Tables(spark, DATA).lineitem.count()
+    box = QUERIES["a19_team_box_from_players"](spark, DATA)
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey#" in plan and f", {n // 300})" in plan
+    assert box.agg(F.sum("players")).first()[0] == n
