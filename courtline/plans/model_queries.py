@@ -37,7 +37,7 @@ def elo_input(t: Tables):
 @query(q.ELO_LOG_SQL)
 def h3_elo_log(t):
     """One replay by pool; tested against a plain fold."""
-    return e.elo_log(elo_input(t), ["pool"]).select("match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
+    return e.elo_log(elo_input(t.with_contests()), ["pool"]).select("match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
 
 
 @query(q.ELO_COMPONENTS_SQL)

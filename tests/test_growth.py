@@ -5,12 +5,14 @@ import json
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from courtline.operators import sequence
+from courtline.operators import elo, sequence
 from courtline.plans import QUERIES, landing_queries, views
 from courtline.plans.views import Tables
 from courtline.sources import feeds
+from courtline.specs import EloConfig
 
 DATA = "/root/testdata/sf0.001"
 
@@ -79,3 +81,28 @@ def test_recency_like_a_count(spark):
             missed = min(back[m] for m, _ in own) - 1
             want.add((team, player, len({m for m, _ in own if back[m] <= 4}), missed, round(sum(w or 0 for m, w in own if back[m] <= 4) / total, 9), missed < 4))
     assert {(r["team"], r["player"], r["recent"], r["missed"], round(r["share"], 9), r["active"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("team", ["string", "int"])
+def test_elo_in_rounds(spark, monkeypatch, team):
+    """A replay cut into rounds is that of one task, value by value: pools of other lengths, one of them over before the last round, a null one, seasons that end inside a round; no task gets more than a round and the ratings before it."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        pool = rng.choices(["a", "b", None], [8, 3, 1])[0]
+        h, a = rng.sample(range(12 if pool == "b" else 40), 2)
+        day = i // 5 if pool != "b" else i // 15
+        rows.append((pool, i, day // 70, day, h, a, float(rng.random() < 0.6), rng.choice([None, 0.0, 2.0]), rng.random() * 20))
+    df = spark.createDataFrame(rows, "pool string, match int, season int, day int, home int, away int, home_won double, margin double, share double").repartition(3)
+    df = df.withColumns({"home": F.col("home").cast(team), "away": F.col("away").cast("string" if team == "string" else "long")})
+    configs = {"x": EloConfig(), "y": EloConfig(k=20, carryover=0.4, margin_column="share")}
+    log = lambda: {(r["config"], r["match"]): tuple(r) for r in elo.elo_log(df, ["pool"], configs).collect()}
+    sweep = lambda: {r["config"]: tuple(r)[1:] for r in elo.elo_sweep(df, ["pool"], configs, F.col("season") > 0).collect()}
+    whole, scores, got = log(), sweep(), []
+    cut = elo.in_turn
+    monkeypatch.setattr(elo, "in_turn", lambda rows, n, keys, f: cut(rows, n, keys, lambda some, passes: (got.append((n, some.where("day is not null").count(), some.where("day is null").count())), f(some, passes))[1]))
+    monkeypatch.setattr(elo, "ROUND", 200)
+    monkeypatch.setattr(elo, "GRID_ROUND", 400)
+    assert log() == whole and len(whole) == 2 * len(rows)
+    assert len(got) == 8 and sum(n for _, n, _ in got) == len(rows) and max(n for _, n, _ in got) < 400 and got[0][2] == 0 and 0 < got[-1][2] <= 40 + 40 + 12
+    assert sweep() == {c: pytest.approx(v, abs=1e-12) for c, v in scores.items()} and sum(n for _, n, _ in got) == 2 * len(rows)
