@@ -35,6 +35,8 @@ AT_ONCE = 1 << 14
 GRID_PARTS = 8
 #: Matches of a round, about; those of a grid are longer, as more ratings are passed on between them. A round is cut by so many tasks.
 ROUND, GRID_ROUND, CUTS = 1 << 21, 1 << 22, 4
+#: What a log may have beside its ratings; matches of a task that takes the last of a season, and the least number of such tasks.
+SIDES, TASK_MATCHES, LEAST_TASKS = ["season", "day", "home", "away"], 1 << 18, 16
 #: A pool's matches are in this order.
 ORDER = ["day", "home", "away", "match"]
 
@@ -151,7 +153,7 @@ def held_fields(rows: DataFrame) -> list[T.StructField]:
     return [rows.schema["season"], rows.schema["home"], T.StructField("ratings", T.BinaryType())]
 
 
-def in_turn(rows: DataFrame, n_rounds: int, keys: Sequence[str], replayed: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def in_turn(rows: DataFrame, n_rounds: int, keys: Sequence[str], replayed: Callable[[DataFrame, bool], DataFrame], more: Sequence[str] = ()) -> DataFrame:
     """What replayed(rows of a round, whether ratings are passed on) makes of all rounds, one after another.
 
     A round's rows are preceded by the ratings that the last one left: rows without a day, which sort first.
@@ -166,7 +168,7 @@ def in_turn(rows: DataFrame, n_rounds: int, keys: Sequence[str], replayed: Calla
         done = replayed(some if held is None else some.unionByName(held, allowMissingColumns=True), k + 1 < n_rounds)
         done.write.option("compression", "zstd").parquet(paths[k])
         held = spark.read.schema(done.schema).parquet(paths[k]).where("ratings is not null").select(*keys, "season", "home", "ratings")
-    return spark.read.schema(done.schema).parquet(*paths).where("ratings is null").drop("season", "home", "ratings")
+    return spark.read.schema(done.schema).parquet(*paths).where("ratings is null").drop(*(c for c in ("season", "home", "ratings") if c not in more))
 
 
 def runs(batch: pa.RecordBatch, pool: Sequence[str]) -> Iterator[tuple[tuple, object, bool, pa.RecordBatch]]:
@@ -231,8 +233,8 @@ def numbers_of(rows: pa.RecordBatch, replay: EloReplay, margins: Sequence[str])
     return teams[: len(rows)], teams[len(rows) :], number("home_won"), np.stack([number(c) for c in margins], axis=1) if margins else np.zeros((len(rows), 0))
 
 
-def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfig] | None = None) -> DataFrame:
-    """Ratings before and after every match and the home side's chance, by pool and configuration.
+def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfig] | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """Ratings before and after every match and the home side's chance, by pool and configuration; more of season, day, home and away as asked.
 
     matches: pool columns, match, season, day, home, away, home_won, and the margins that configurations name. They are
     read more than once, so costly ones are written first.
@@ -242,8 +244,8 @@ def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfi
     margins = margin_columns(settings)
     ship(matches.sparkSession)
     rows, n_rounds = in_rounds(matches, pool, margins, ROUND)
-    fields = [*(rows.schema[c] for c in pool), T.StructField("config", T.StringType()), rows.schema["match"], *(T.StructField(c, T.DoubleType()) for c in ELO)]
-    schema = T.StructType(fields + held_fields(rows) if n_rounds > 1 else fields)
+    fields = [*(rows.schema[c] for c in pool), T.StructField("config", T.StringType()), rows.schema["match"], *(T.StructField(c, T.DoubleType()) for c in ELO), *(rows.schema[c] for c in more)]
+    schema = T.StructType(fields + [f for f in held_fields(rows) if f.name not in more] if n_rounds > 1 else fields)
 
     def run(batches: Iterator[pa.RecordBatch], passes: bool) -> Iterator[pa.RecordBatch]:
         held, replay, arrow = None, None, None
@@ -267,14 +269,14 @@ def elo_log(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfi
             new = batch.column("day").is_valid()
             batch, found = batch.filter(new), found[:, new.to_numpy(zero_copy_only=False)]
             for j, name in enumerate(names):
-                yield widened(pa.RecordBatch.from_arrays([*(batch.column(c) for c in pool), pa.array([name] * len(batch), pa.string()), batch.column("match"), *(pa.array(out[:, j]) for out in found)], names=[*pool, "config", "match", *ELO]), arrow)
+                yield widened(pa.RecordBatch.from_arrays([*(batch.column(c) for c in pool), pa.array([name] * len(batch), pa.string()), batch.column("match"), *(pa.array(out[:, j]) for out in found), *(batch.column(c) for c in more)], names=[*pool, "config", "match", *ELO, *more]), arrow)
         if passes and held is not None:
             yield from passed_on(replay, held, pool, arrow)
 
     def replayed(some: DataFrame, passes: bool) -> DataFrame:
         return some.repartition(*pool).sortWithinPartitions(*pool, *ORDER).mapInArrow(lambda batches: run(batches, passes), schema)
 
-    return in_turn(rows, n_rounds, pool, replayed)
+    return in_turn(rows, n_rounds, pool, replayed, more)
 
 
 def elo_sweep(matches: DataFrame, pool: Sequence[str], configs: dict[str, EloConfig], scored: Column, clip: float = 1e-6) -> DataFrame:
@@ -367,8 +369,11 @@ def by_component(matches: DataFrame) -> DataFrame:
 
 
 def elo_season_ends(matches: DataFrame, log: DataFrame, pool: Sequence[str], least: int = 5) -> DataFrame:
-    """Each team's rating after its last match of a season, for teams with enough matches, and its rank."""
-    rows = matches.join(log, [*pool, "match"])
+    """Each team's rating after its last match of a season, for teams with enough matches, and its rank. A log that has SIDES needs no join."""
+    rows = log if set(SIDES) <= set(log.columns) else matches.join(log, [*pool, "match"])
+    n = matches.count() // TASK_MATCHES
+    if n >= LEAST_TASKS:  # what a task sorts does not grow with the table
+        rows = rows.repartition(n, "match")
     order = F.struct("day", "home", "away", "match")
     both = F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("elo_home_after").alias("elo")), F.struct(F.col("away").alias("team"), F.col("elo_away_after").alias("elo"))))
     out = rows.select(*pool, "season", order.alias("o"), both.alias("t")).groupBy(*pool, "season", F.col("t.team").alias("team")).agg(F.max_by("t.elo", "o").alias("elo"), F.count(F.lit(1)).alias("n_matches"))

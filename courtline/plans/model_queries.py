@@ -43,14 +43,14 @@ def h3_elo_log(t):
 @query(q.ELO_COMPONENTS_SQL)
 def h3_elo_components(t):
     """Matches within a conference only: the schedule falls into pools that nothing links, which are found and replayed side by side."""
-    x = e.by_component(elo_input(t).where("home_conf = away_conf"))
+    x = saved_rows(e.by_component(elo_input(t.with_contests()).where("home_conf = away_conf")), "components")
     return e.elo_log(x, ["component"]).select("component", "match", *[F.round(c, 6).alias(c) for c in ("elo_home", "elo_away", "p_home")])
 
 
 @query(q.ELO_ENDS_SQL)
 def h4_elo_season_ends(t):
-    x = elo_input(t)
-    return e.elo_season_ends(x, e.elo_log(x, ["pool"]), ["pool"]).select("season", "team", F.round("elo", 6).alias("elo"), "n_matches", "rank_elo")
+    x = elo_input(t.with_contests())
+    return e.elo_season_ends(x, e.elo_log(x, ["pool"], more=e.SIDES), ["pool"]).select("season", "team", F.round("elo", 6).alias("elo"), "n_matches", "rank_elo")
 
 
 def elo_grid() -> dict[str, EloConfig]:
@@ -63,7 +63,7 @@ def elo_grid() -> dict[str, EloConfig]:
 @query()
 def h5_elo_sweep(t):
     """Scores of the whole grid over all seasons but the first, in which ratings settle; one pass of the matches."""
-    x = elo_input(t)
+    x = elo_input(t.with_contests())
     first = x.agg(F.min("season")).first()[0]
     return e.elo_sweep(x, ["pool"], elo_grid(), F.col("season") > F.lit(first)).select("config", "n", R("accuracy"), R("log_loss"), R("brier"))
 
@@ -76,6 +76,7 @@ def h9_walk_forward_ratings(t):
 
 def prematch(t):
     """Contests with both sides' Elo and weekly ridge ratings from before the match."""
+    t = t.with_contests()
     x = elo_input(t)
     return p.prematch_features(x, e.elo_log(x, ["pool"]), r.walk_forward(sides(t), "season", "day", "q"))
 

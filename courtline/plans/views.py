@@ -51,7 +51,11 @@ class Tables:
         if self.contests is not None:
             return self.contests
         line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-        firsts = self.lineitem.groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(line)), 1, 2).alias("two")).where(F.size("two") == 2)
+        lines = self.lineitem
+        n = lines.count() // TASK_LINES
+        if n >= LEAST_TASKS:
+            lines = lines.repartition(n, "l_orderkey")
+        firsts = lines.groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(line)), 1, 2).alias("two")).where(F.size("two") == 2)
         home, away = F.col("two")[0], F.col("two")[1]
         rows = firsts.where(home["l_suppkey"] != away["l_suppkey"]).join(self.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         won = (home["l_quantity"] > away["l_quantity"]) | ((home["l_quantity"] == away["l_quantity"]) & (home["l_extendedprice"] > away["l_extendedprice"]))

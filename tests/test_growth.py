@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from courtline.operators import elo, sequence
 from courtline.plans import QUERIES, landing_queries, views
+from courtline.plans.model_queries import elo_input
 from courtline.plans.views import Tables
 from courtline.sources import feeds
 from courtline.specs import EloConfig
@@ -100,9 +101,27 @@ def test_elo_in_rounds(spark, monkeypatch, team):
     sweep = lambda: {r["config"]: tuple(r)[1:] for r in elo.elo_sweep(df, ["pool"], configs, F.col("season") > 0).collect()}
     whole, scores, got = log(), sweep(), []
     cut = elo.in_turn
-    monkeypatch.setattr(elo, "in_turn", lambda rows, n, keys, f: cut(rows, n, keys, lambda some, passes: (got.append((n, some.where("day is not null").count(), some.where("day is null").count())), f(some, passes))[1]))
+    monkeypatch.setattr(elo, "in_turn", lambda rows, n, keys, f, *more: cut(rows, n, keys, lambda some, passes: (got.append((n, some.where("day is not null").count(), some.where("day is null").count())), f(some, passes))[1], *more))
     monkeypatch.setattr(elo, "ROUND", 200)
     monkeypatch.setattr(elo, "GRID_ROUND", 400)
     assert log() == whole and len(whole) == 2 * len(rows)
     assert len(got) == 8 and sum(n for _, n, _ in got) == len(rows) and max(n for _, n, _ in got) < 400 and got[0][2] == 0 and 0 < got[-1][2] <= 40 + 40 + 12
     assert sweep() == {c: pytest.approx(v, abs=1e-12) for c, v in scores.items()} and sum(n for _, n, _ in got) == 2 * len(rows)
+
+
+def test_season_ends_in_rounds(spark, monkeypatch):
+    """The season's last ratings of a replay in rounds are those of one task; lines are read once, and dealt to tasks by their number."""
+    ends = lambda: sorted(map(tuple, QUERIES["h4_elo_season_ends"](spark, DATA).collect()))
+    x = elo_input(Tables(spark, DATA))
+    joined = elo.elo_season_ends(x, elo.elo_log(x, ["pool"]), ["pool"]).select("season", "team", F.round("elo", 6), "n_matches", "rank_elo")
+    whole, read, plain = sorted(map(tuple, joined.collect())), [], views.Tables.__getattr__
+    assert ends() == whole
+    monkeypatch.setattr(elo, "ROUND", 300)
+    monkeypatch.setattr(elo, "TASK_MATCHES", 50)
+    monkeypatch.setattr(views, "TASK_LINES", 300)
+    n = Tables(spark, DATA).lineitem.count() // 300
+    plan = Tables(spark, DATA).contest()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey#" in plan and f", {n})" in plan
+    monkeypatch.setattr(views.Tables, "__getattr__", lambda self, name: (read.append(name), plain(self, name))[1])
+    assert ends() == whole and len(whole) > 0
+    assert read.count("lineitem") == 1
